@@ -6,17 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, langid, linededup, mixing, ngramjoin, secrets
+from . import chat, decontam, htmltext, langid, licenses, linededup, media, mixing, ngramjoin, secrets
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op1_html_text": lambda spark, d: htmltext.extract_text(table(spark, d, "pages")),
     "op2_decontamination": lambda spark, d: decontam.contamination_digest(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op3_license_scan": lambda spark, d: licenses.license_digest(table(spark, d, "documents")),
     "op4_chat_format": lambda spark, d: chat.chat_digest(chat.with_probe(table(spark, d, "conversations"))),
     "op5_language_id": lambda spark, d: langid.language_digest(table(spark, d, "documents")),
     "op6_ngram_jaccard": lambda spark, d: ngramjoin.near_duplicate_digest(table(spark, d, "documents")),
     "op7_line_dedup": lambda spark, d: linededup.line_digest(table(spark, d, "documents")),
+    "op8_media_columns": lambda spark, d: media.media_digest(table(spark, d, "documents")),
     "op9_mixing": lambda spark, d: mixing.mixture_digest(table(spark, d, "documents")),
     "op10_secret_scan": lambda spark, d: secrets.secret_digest(table(spark, d, "documents")),
 }
