@@ -22,7 +22,7 @@ FILTER_BITS = 1 << 26
 
 def hash_limit(pct: int) -> int:
     """Shingles with smaller hashes are counted: a bit more, in sixteenths of all, than a prefix needs."""
-    return min(15, math.ceil((100 - pct) * 0.16 + 0.6)) << 60
+    return min(15, math.ceil((100 - pct) * 0.16 + 1.6)) << 60
 
 
 def extension(n: np.ndarray, pct: int) -> np.ndarray:
@@ -30,13 +30,13 @@ def extension(n: np.ndarray, pct: int) -> np.ndarray:
 
     Bands are so wide that two sets that may link lie in the same or in
     neighbouring bands. A band's groups are no more than a pair of its smallest
-    sets has common shingles, less one, and a twentieth of its smallest size.
+    sets has common shingles, less one, and a fiftieth of its smallest size.
     """
     band = np.floor(np.log(np.maximum(n, 1)) / math.log(100 / pct) + 1e-9).astype(np.int64)
 
     def groups(b):
         low = np.floor((100 / pct) ** (b - 1.0))  # sets of the band below meet at this band's key
-        return np.maximum(0, np.minimum(low // 20, np.ceil(low * pct / 100) - 1)).astype(np.int64)
+        return np.maximum(0, np.minimum(low // 50, np.ceil(low * pct / 100) - 1)).astype(np.int64)
 
     return band, groups(band), groups(band + 1)
 
