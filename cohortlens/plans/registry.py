@@ -1,4 +1,6 @@
 """All queries of the engine by name, and the SQL each must agree with."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import cohort_queries  # noqa: F401
+from .base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
