@@ -22,7 +22,7 @@ def crisp_mask(prefix: str = "") -> Column:
     """Bit 5 * dim + band - 1 for each score."""
     out = F.lit(0).cast("long")
     for i, d in enumerate(DIMS):
-        out = out + F.shiftleft(F.lit(1).cast("long"), F.col(f"{prefix}{d}_score") - 1 + 5 * i)
+        out = out + F.call_function("shiftleft", F.lit(1).cast("long"), F.col(f"{prefix}{d}_score") - 1 + 5 * i)
     return out
 
 

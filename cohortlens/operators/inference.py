@@ -65,7 +65,7 @@ def sign_flip_p(differences: DataFrame, value: str, by: list[str]) -> DataFrame:
     """
     groups = differences.groupBy(*by).agg(F.sort_array(F.collect_list(value)).alias("d"))
     n = F.size("d")
-    patterns = F.sequence(F.lit(0), F.when(n <= 20, F.shiftleft(F.lit(1), n) - 1).otherwise(F.raise_error(F.lit("more than 20 differences: sample patterns instead"))))
+    patterns = F.sequence(F.lit(0), F.when(n <= 20, F.call_function("shiftleft", F.lit(1), n) - 1).otherwise(F.raise_error(F.lit("more than 20 differences: sample patterns instead"))))
     total = F.aggregate("d", F.lit(0.0), lambda a, x: a + x)
     flipped = F.abs(F.aggregate(F.transform("d", lambda x, i: F.when(F.getbit(F.col("pattern").cast("long"), i) == 1, -x).otherwise(x)), F.lit(0.0), lambda a, x: a + x))
     rows = groups.withColumn("observed", F.abs(total)).withColumn("pattern", F.explode(patterns))

@@ -37,8 +37,8 @@ def piecewise(x: Column, centroids: Column) -> Column:
 
     def degree(c, i):
         before, after = F.get(centroids, i - 1), F.get(centroids, i + 1)
-        left = F.when(i == 0, 1.0).otherwise((x - before) / _gap(c - before))
-        right = F.when(i == n - 1, 1.0).otherwise((after - x) / _gap(after - c))
+        left = F.when((i == 0) | ((i == n - 1) & (x >= c)), 1.0).otherwise((x - before) / _gap(c - before))
+        right = F.when((i == n - 1) | ((i == 0) & (x <= c)), 1.0).otherwise((after - x) / _gap(after - c))
         return F.greatest(F.lit(0.0), F.least(F.lit(1.0), left, right))
 
     return F.transform(centroids, degree)
@@ -48,47 +48,60 @@ def _gap(g: Column) -> Column:
     return F.when(g == 0, EPS).otherwise(g)
 
 
-def half_widths(centroids: Column) -> Column:
-    """Band widths: half the gap to the neighbours (their mean inside); no gap takes the median positive one; a tiny floor."""
+def guarded_piecewise(x: Column, centroids: Column) -> Column:
+    """As piecewise, but where all centroids coincide the middle level has degree 1 and no other any."""
+    middle = F.floor(F.size(centroids) / 2)
+    alone = F.transform(centroids, lambda c, i: F.when(i == middle, 1.0).otherwise(0.0))
+    return F.when(F.array_min(centroids) == F.array_max(centroids), alone).otherwise(piecewise(x, centroids))
+
+
+def with_widths(df: DataFrame, centroids: str, out: str) -> DataFrame:
+    """df with the band widths of ascending centroids: half the gap to the neighbour at the ends, half the mean of both
+    gaps inside; no gap takes the median positive one; and a tiny floor. In steps, on a fitted frame of a few rows."""
     n = F.size(centroids)
     gaps = F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.get(centroids, i + 1) - F.get(centroids, i))
-    positive = F.array_sort(F.filter(gaps, lambda g: g > 0))
-    size = F.size(positive)
-    middle = (F.get(positive, F.floor((size - 1) / 2).cast("int")) + F.get(positive, F.floor(size / 2).cast("int"))) / 2
-    filled = F.transform(gaps, lambda g: F.when(g > 0, g).otherwise(F.coalesce(middle, F.lit(1.0))))
-    floor = 1e-12 * F.greatest(F.lit(1.0), F.array_max(F.transform(centroids, F.abs)))
+    df = df.withColumn("__gaps", gaps).withColumn("__pos", F.array_sort(F.filter("__gaps", lambda g: g > 0)))
+    size = F.size("__pos")
+    middle = (F.get("__pos", F.floor((size - 1) / 2).cast("int")) + F.get("__pos", F.floor(size / 2).cast("int"))) / 2
+    df = df.withColumn("__mid", F.coalesce(middle, F.lit(1.0))).withColumn("__floor", 1e-12 * F.greatest(F.lit(1.0), F.array_max(F.transform(centroids, F.abs))))
+    df = df.withColumn("__filled", F.transform("__gaps", lambda g: F.when(g > 0, g).otherwise(F.col("__mid"))))
 
     def width(c, i):
-        left, right = F.get(filled, i - 1), F.get(filled, i)
-        return F.greatest(floor, F.when(i == 0, right / 2).when(i == n - 1, left / 2).otherwise((left + right) / 4))
+        left, right = F.get("__filled", i - 1), F.get("__filled", i)
+        return F.greatest(F.col("__floor"), F.when(i == 0, right / 2).when(i == n - 1, left / 2).otherwise((left + right) / 4))
 
-    return F.transform(centroids, width)
+    return df.withColumn(out, F.transform(centroids, width)).drop("__gaps", "__pos", "__mid", "__floor", "__filled")
 
 
-def normalized(x: Column, centroids: Column, shape: str) -> Column:
-    """Degrees that add up to 1: ``gaussian`` exp(-z^2 / 2), shifted by the largest exponent, or ``bell`` 1 / (1 + z^4)."""
-    widths = half_widths(centroids)
-    z = F.zip_with(centroids, widths, lambda c, w: (x - c) / w)
+def normalized(df: DataFrame, x: Column, centroids: str, widths: str, shape: str, out: str) -> DataFrame:
+    """df with degrees that add up to 1: ``gaussian`` exp(-z^2 / 2), shifted by the largest exponent, or ``bell`` 1 / (1 + z^4)."""
+    df = df.withColumn("__z", F.zip_with(centroids, widths, lambda c, w: (x - c) / w))
     if shape == "gaussian":
-        e = F.transform(z, lambda v: -0.5 * v * v)
-        raw = F.transform(e, lambda v: F.exp(v - F.array_max(e)))
+        df = df.withColumn("__z", F.transform("__z", lambda v: -0.5 * v * v)).withColumn("__z", F.transform("__z", lambda v: F.exp(v - F.array_max("__z"))))
     else:
-        raw = F.transform(z, lambda v: 1 / (1 + F.pow(F.abs(v), F.lit(4.0))))
-    total = F.aggregate(raw, F.lit(0.0), lambda a, b: a + b)
-    return F.transform(raw, lambda v: v / total)
+        df = df.withColumn("__z", F.transform("__z", lambda v: 1 / (1 + F.pow(F.abs(v), F.lit(4.0)))))
+    df = df.withColumn("__t", F.aggregate("__z", F.lit(0.0), lambda a, b: a + b))
+    return df.withColumn(out, F.transform("__z", lambda v: v / F.col("__t"))).drop("__z", "__t")
 
 
 def fuzzify(df: DataFrame, centroids: DataFrame, family: str = "piecewise") -> DataFrame:
     """df with R_mu, F_mu, M_mu: degrees in score order by a family: piecewise, gaussian, bell or log_gaussian."""
-    out = df.crossJoin(F.broadcast(as_row(centroids)))
+    params, shape = as_row(centroids), family.removeprefix("log_")
     for d in DIMS:
-        x, c = F.col(d).cast("double"), F.col(f"{d}_cuts")
-        if family == "log_gaussian":
-            x, c = F.log1p(F.greatest(x, F.lit(0.0))), F.transform(c, lambda v: F.log1p(F.greatest(v, F.lit(0.0))))
-        rising = F.array_sort(c)
-        degrees = piecewise(x, rising) if family == "piecewise" else normalized(x, rising, family.removeprefix("log_"))
-        out = out.withColumn(f"{d}_mu", F.transform(F.reverse(degrees) if d == "R" else degrees, lambda v: F.round(v, 9)))
-    return out.drop(*[f"{d}_cuts" for d in DIMS])
+        c = F.col(f"{d}_cuts")
+        params = params.withColumn(f"{d}_cuts", F.array_sort(F.transform(c, lambda v: F.log1p(F.greatest(v, F.lit(0.0)))) if family == "log_gaussian" else c))
+        if shape != "piecewise":
+            params = with_widths(params, f"{d}_cuts", f"{d}_widths")
+    out = df.crossJoin(F.broadcast(params))
+    for d in DIMS:
+        x = F.col(d).cast("double")
+        x = F.log1p(F.greatest(x, F.lit(0.0))) if family == "log_gaussian" else x
+        if shape == "piecewise":
+            out = out.withColumn(f"{d}_mu", piecewise(x, F.col(f"{d}_cuts")))
+        else:
+            out = normalized(out, x, f"{d}_cuts", f"{d}_widths", shape, f"{d}_mu")
+        out = out.withColumn(f"{d}_mu", F.transform(F.reverse(f"{d}_mu") if d == "R" else F.col(f"{d}_mu"), lambda v: F.round(v, 9)))
+    return out.drop(*[f"{d}_{c}" for d in DIMS for c in ("cuts", "widths")])
 
 
 def fit_tail(scored: DataFrame) -> DataFrame:

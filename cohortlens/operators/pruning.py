@@ -30,7 +30,7 @@ def concept_degrees(fuzzy: DataFrame, concepts: DataFrame, t_norm: str = "min")
     combine = (lambda a, v: F.least(a, v)) if t_norm == "min" else (lambda a, v: a * v)
     mu = F.aggregate(F.transform("bands", lambda b: F.get("degrees", b)), F.lit(1.0), combine)
     few = concepts.select("band_mask", bands.alias("bands")).distinct()
-    return fuzzy.select("customer_id", degrees.alias("degrees")).crossJoin(F.broadcast(few)).select("customer_id", "band_mask", F.round(mu, 9).alias("mu"))
+    return fuzzy.select("customer_id", degrees.alias("degrees")).crossJoin(F.broadcast(few)).select("customer_id", "band_mask", mu.alias("mu"))
 
 
 def core_overlaps(degrees: DataFrame) -> DataFrame:

@@ -91,8 +91,8 @@ pos AS (SELECT dim, band, c, lag(c) OVER w AS lo, lead(c) OVER w AS hi, row_numb
 )
 MU = (
     CENTROIDS
-    + """, mu AS (SELECT customer_id, dim, band, round(greatest(0.0, least(1.0, CASE WHEN lo IS NULL THEN 1.0 ELSE (x - lo) / (CASE WHEN c = lo THEN 1e-9 ELSE c - lo END) END,
-  CASE WHEN hi IS NULL THEN 1.0 ELSE (hi - x) / (CASE WHEN hi = c THEN 1e-9 ELSE hi - c END) END)), 9) AS mu FROM l JOIN pos USING (dim)),
+    + """, mu AS (SELECT customer_id, dim, band, round(greatest(0.0, least(1.0, CASE WHEN lo IS NULL OR (hi IS NULL AND x >= c) THEN 1.0 ELSE (x - lo) / (CASE WHEN c = lo THEN 1e-9 ELSE c - lo END) END,
+  CASE WHEN hi IS NULL OR (lo IS NULL AND x <= c) THEN 1.0 ELSE (hi - x) / (CASE WHEN hi = c THEN 1e-9 ELSE hi - c END) END)), 9) AS mu FROM l JOIN pos USING (dim)),
 mus AS (SELECT customer_id, list(mu ORDER BY band) FILTER (dim = 'R') AS R_mu, list(mu ORDER BY band) FILTER (dim = 'F') AS F_mu,
   list(mu ORDER BY band) FILTER (dim = 'M') AS M_mu FROM mu GROUP BY customer_id)"""
 )
