@@ -48,18 +48,15 @@ def prefix_length(n: np.ndarray, pct: int) -> np.ndarray:
 
 
 def set_profiles(docs: DataFrame, k: int, pct: int) -> DataFrame:
-    """(doc_id, n, key, check, counted, toks) of every row: its set's size, its identity in 128 bits, and the
-    shingles a prefix may hold: all counted ones, then as many others, by hash, as the prefix length asks for."""
+    """(node, n, counted, toks) of every row with shingles: its set's identity and size, and the shingles a prefix
+    may hold: all counted ones, then as many others, by hash, as the prefix length asks for."""
     limit = np.uint64(hash_limit(pct))
 
     def profile(batches):
-        for batch in pieces(batches, 1):
-            s, at = shingle_sets(batch.column(1), k)
+        for batch in pieces(batches, 0):
+            s, at = shingle_sets(batch.column(0), k)
             n = np.diff(at)
-            sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(s + np.uint64(77)))])
-            more = np.concatenate([[np.uint64(0)], np.cumsum(mix(s * np.uint64(0x9E3779B97F4A7C15) + np.uint64(5)))])
-            key = mix(sums[at[1:]] - sums[at[:-1]] + n.astype(np.uint64))
-            check = more[at[1:]] - more[at[:-1]]
+            key = set_identity(s, at)
             low = np.concatenate([[0], np.cumsum(s < limit)])
             counted = low[at[1:]] - low[at[:-1]]  # hashes ascend within a set
             take = np.maximum(counted, prefix_length(n, pct))
@@ -67,12 +64,29 @@ def set_profiles(docs: DataFrame, k: int, pct: int) -> DataFrame:
             inside = np.arange(len(s)) - np.repeat(at[:-1], n)
             toks = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]).astype(np.int32)), pa.array(s[inside < np.repeat(take, n)].view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n.astype(np.int64)), pa.array(key.view(np.int64)), pa.array(check.view(np.int64)), pa.array(counted.astype(np.int32)), toks],
-                names=["doc_id", "n", "key", "check", "counted", "toks"],
+                [pa.array(key.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(counted.astype(np.int32)), toks],
+                names=["node", "n", "counted", "toks"],
             )
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(profile, f"doc_id {id_type}, n long, key long, check long, counted int, toks array<long>")
+    return docs.select("text").mapInArrow(profile, "node long, n long, counted int, toks array<long>").where("n > 0")
+
+
+def set_keys(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, n, node) of every row: its set's size and identity. Costs a scan, where a stored profile would cost disk."""
+
+    def keys(batches):
+        for batch in pieces(batches, 1):
+            s, at = shingle_sets(batch.column(1), k)
+            n = np.diff(at)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(set_identity(s, at).view(np.int64))], names=["doc_id", "n", "node"])
+
+    return docs.select("doc_id", "text").mapInArrow(keys, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, node long")
+
+
+def set_identity(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit identity of each set of shingles, whatever their order."""
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(s + np.uint64(77)))])
+    return mix(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(np.uint64))
 
 
 def signatures(prefixes: DataFrame, pct: int, rare: int) -> DataFrame:
@@ -180,11 +194,7 @@ def link_components(docs: DataFrame, k: int = 4, pct: int = 85, rare: int = RARE
     4. Nodes joined by signatures are verified together, a pair of blocks of
        bounded size at a time, and only a spanning forest of the links leaves the task.
     """
-    spark = docs.sparkSession
-    profile = checkpointed(set_profiles(docs, k, pct))
-    small = profile.select("doc_id", "n", F.col("key").alias("node"))
-    nodes = profile.where("n > 0").groupBy(F.col("key").alias("node"), "n", "counted").agg(F.min_by("toks", "check").alias("toks"))
-    nodes = checkpointed(nodes)
+    nodes = checkpointed(set_profiles(docs, k, pct).groupBy("node", "n", "counted").agg(F.first("toks").alias("toks")))
     tokens = nodes.select("node", F.explode("toks").alias("tok"))
     df = tokens.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
     repeated = tokens.join(df, "tok").groupBy("node").agg(F.collect_list(F.struct("tok", "df")).alias("own"))
@@ -218,6 +228,7 @@ def link_components(docs: DataFrame, k: int = 4, pct: int = 85, rare: int = RARE
     sets = candidate_sets(docs, groups.select("node"), k).dropDuplicates(["node"])
     verified = work.join(sets, "node").groupBy("task").applyInArrow(lambda t: _verify(t, pct), "a long, b long")
     linked = connected_components(verified)
+    small = set_keys(docs, k)
     parts = small.join(linked, "node", "left").withColumn("part", F.when(F.col("n") > 0, F.coalesce("component", "node")))
     lowest = parts.where("n > 0").groupBy("part").agg(F.min("doc_id").alias("lowest"))
     out = parts.join(lowest, "part", "left")
@@ -235,8 +246,8 @@ def _verify(table: pa.Table, pct: int) -> pa.Table:
     return pa.table({"a": pa.array(node[[i for i, _ in edges]] if edges else [], pa.int64()), "b": pa.array(node[[j for _, j in edges]] if edges else [], pa.int64())})
 
 
-def candidate_sets(docs: DataFrame, nodes: DataFrame, k: int, bits: int = FILTER_BITS) -> DataFrame:
-    """(node, shingles) of the rows of docs whose sets may be among nodes, by a Bloom filter of bounded size."""
+def bloom_of(nodes: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A Bloom filter of bounded size over the first column of nodes, 64-bit hashes, made in the tasks and merged by words."""
 
     def build(batches):
         out = np.zeros(bits // 8, np.uint8)
@@ -254,15 +265,20 @@ def candidate_sets(docs: DataFrame, nodes: DataFrame, k: int, bits: int = FILTER
 
     for row in words.mapInArrow(pack, "at binary, word binary").toLocalIterator():
         found[np.frombuffer(row.at, np.int64)] = np.frombuffer(row.word, np.uint64)
-    sent = docs.sparkSession.sparkContext.broadcast(found.view(np.uint8))
+    return found.view(np.uint8)
+
+
+def candidate_sets(docs: DataFrame, nodes: DataFrame, k: int, bits: int = FILTER_BITS) -> DataFrame:
+    """(node, shingles) of the rows of docs whose sets may be among nodes, by a Bloom filter of bounded size."""
+
+    sent = docs.sparkSession.sparkContext.broadcast(bloom_of(nodes, bits))
 
     def emit(batches):
         wanted = sent.value
         for batch in pieces(batches, 0):
             s, at = shingle_sets(batch.column(0), k)
             n = np.diff(at)
-            sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(s + np.uint64(77)))])
-            key = mix(sums[at[1:]] - sums[at[:-1]] + n.astype(np.uint64))
+            key = set_identity(s, at)
             hit = all_bits(wanted, bloom_slots(key, bits, 3)) & (n > 0)
             _, once = np.unique(key, return_index=True)
             keep = np.zeros(len(n), bool)
@@ -284,8 +300,26 @@ def keep_one_of_each(docs: DataFrame, k: int = 5, pct: int = 80) -> DataFrame:
     """The rows of docs without near duplicates: of each component the row of its smallest doc_id stays.
 
     Of rows that repeat a doc_id one stays. Documents without shingles, and those without doc_id, stay.
+    Rows whose id is surely not among those to look at, by a Bloom filter,
+    pass on as they are; only the others' texts are shuffled for the exact join.
     """
-    keep = link_components(docs, k, pct).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    ided = docs.where("doc_id is not null")
-    kept = ided.join(keep, ided["doc_id"] == keep["__keep"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where("doc_id is null"))
+    found = checkpointed(link_components(docs, k, pct).where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("component_id").alias("component_id")))
+    doubtful = found.where("rows > 1 or doc_id <> component_id").select(F.xxhash64("doc_id").alias("node"))
+    sent = docs.sparkSession.sparkContext.broadcast(bloom_of(doubtful))
+    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("__keep"))
+    keyed = docs.withColumn("__h", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")))
+    at = len(docs.columns)
+
+    def part(wanted: bool):
+        def rows(batches):
+            for batch in batches:
+                h = batch.column(at)
+                known = np.asarray(h.is_valid())
+                hit = all_bits(sent.value, bloom_slots(h.fill_null(0).to_numpy().view(np.uint64), FILTER_BITS, 3)) & known
+                yield batch.filter(pa.array(hit == wanted))
+
+        return keyed.mapInArrow(rows, keyed.schema).drop("__h")
+
+    suspects = part(True)
+    kept = suspects.join(keep, suspects["doc_id"] == keep["__keep"], "left_semi").dropDuplicates(["doc_id"])
+    return part(False).unionByName(kept)
