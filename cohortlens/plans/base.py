@@ -100,3 +100,17 @@ mus AS (SELECT customer_id, list(mu ORDER BY band) FILTER (dim = 'R') AS R_mu, l
 
 def with_(ctes: str, select: str) -> str:
     return f"WITH {ctes}{select}" if select.lstrip().startswith(",") else f"WITH {ctes}\n{select}"
+
+
+#: Crisp concepts of the cohort at {cut}, projected on its customers: proj (customer_id, m, mu), and percent ranks: pct.
+CRISP_COHORT = """c0 AS (SELECT o_custkey::VARCHAR AS customer_id, datesub('day', max(o_orderdate), TIMESTAMP '{cut}') AS R, count(DISTINCT o_orderkey) AS F, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS M
+  FROM orders WHERE o_orderdate <= TIMESTAMP '{cut}' GROUP BY 1),
+q0 AS (SELECT list_transform(quantile_cont(R::DOUBLE, [0.2, 0.4, 0.6, 0.8]), lambda v: round(v, 6)) AS qr, list_transform(quantile_cont(F::DOUBLE, [0.2, 0.4, 0.6, 0.8]), lambda v: round(v, 6)) AS qf,
+  list_transform(quantile_cont(M, [0.2, 0.4, 0.6, 0.8]), lambda v: round(v, 6)) AS qm FROM c0),
+k0 AS (SELECT customer_id, 4 - len(list_filter(qr, lambda c: R::DOUBLE > c)) AS rs, 5 + len(list_filter(qf, lambda c: F::DOUBLE > c)) AS fs, 10 + len(list_filter(qm, lambda c: M::DOUBLE > c)) AS ms FROM c0, q0),
+m0 AS (SELECT customer_id, ((1 << rs) + (1 << fs) + (1 << ms))::BIGINT AS mask, rs, fs, ms FROM k0),
+cb AS (SELECT count(*) AS n, bit_and(mask) AS m FROM m0 GROUP BY CUBE (rs, fs, ms)),
+cn AS (SELECT DISTINCT m FROM cb WHERE n >= 0.04 * (SELECT count(*) FROM m0) AND m <> 0),
+proj AS (SELECT customer_id, m, 1.0::DOUBLE AS mu FROM m0 JOIN cn ON (mask & m) = m),
+pct AS (SELECT customer_id, (rank() OVER (ORDER BY R) + (count(*) OVER (PARTITION BY R) - 1) / 2) / count(*) OVER () AS R, (rank() OVER (ORDER BY F) + (count(*) OVER (PARTITION BY F) - 1) / 2) / count(*) OVER () AS F,
+  (rank() OVER (ORDER BY M) + (count(*) OVER (PARTITION BY M) - 1) / 2) / count(*) OVER () AS M FROM c0)"""
