@@ -58,7 +58,7 @@ def poisson_replicate(docs: DataFrame, rates: DataFrame, seed: int = 9) -> DataF
     else:  # salted: no task gets all rows of a large source
         salts = 32
         keyed = keyed.withColumn("__salt", F.pmod(F.xxhash64(F.col("doc_id")), F.lit(salts)))
-        spread = tables.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+        spread = tables.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
         joined = keyed.join(spread, ["__source", "__salt"]).drop("__salt")
     ident = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     draw = F.aggregate(
