@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, htmltext, langid, licenses, linededup, media, mixing, ngramjoin, secrets
+from . import chat, decontam, htmltext, langid, licenses, linededup, media, mixing, ngramjoin, oracles, secrets
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,7 +25,11 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_decontamination": oracles.CONTAMINATION_SQL,
+    "op3_license_scan": oracles.LICENSE_SQL,
     "op4_chat_format": chat.CHAT_SQL,
+    "op6_ngram_jaccard": oracles.JACCARD_SQL,
+    "op7_line_dedup": oracles.LINE_SQL,
     "op9_mixing": mixing.MIXTURE_SQL,
     "op10_secret_scan": secrets.SECRETS_SQL,
 }
