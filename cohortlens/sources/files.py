@@ -30,8 +30,13 @@ def grocery_baskets(spark: SparkSession, path: str) -> DataFrame:
 
 def music_purchases(spark: SparkSession, path: str) -> DataFrame:
     """(customer_id, invoice, at, value) of headerless lines "customer yyyyMMdd count dollars"; an invoice is a customer's day; only dollars > 0."""
+    return parse_purchases(spark.read.text(path))
+
+
+def parse_purchases(lines: DataFrame) -> DataFrame:
+    """The purchases in lines (value) of white-space separated fields."""
     parts = F.split(F.trim("value"), r"\s+")
-    rows = spark.read.text(path).where(F.trim("value") != "").select(parts.alias("p"))
+    rows = lines.where(F.trim("value") != "").select(parts.alias("p"))
     rows = rows.select(F.get("p", F.lit(0)).alias("customer_id"), F.to_date(F.get("p", F.lit(1)), "yyyyMMdd").alias("at"), F.get("p", F.lit(3)).cast("decimal(18,2)").alias("value"))
     return rows.where("value > 0").withColumn("invoice", F.col("at")).select("customer_id", "invoice", "at", "value")
 
