@@ -208,12 +208,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, cover
 
     Documents without any hit keep their texts unchanged. Where some words are
     hit, but too few to reject the document, the text from the first to the
-    last character of each hit interval is removed.
+    last character of each hit interval is removed and n_chars, where there is one, brought up to date.
     """
     found = find_contamination(docs, benchmark, window)
     n_hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda s, x: s + (x.b - x.a))
     kept = found.where(~((n_hit > 0) & (coverage * n_hit >= F.col("__n_words"))))
     names = docs.columns
+    length_at = names.index("n_chars") if "n_chars" in names else None
     text_at, at = names.index("text"), len(names)
 
     def cut(batches):
@@ -230,6 +231,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, cover
                         raw = raw[: place[s["a"]][0]] + raw[place[s["b"] - 1][1] :]
                     texts[i] = raw.decode()
             columns = batch.columns[:at]
+            if length_at is not None:
+                lengths = [len(t) if s else n for t, s, n in zip(texts, batch.column(at + 1).to_pylist(), columns[length_at].to_pylist(), strict=True)]
+                columns[length_at] = pa.array(lengths).cast(columns[length_at].type)
             columns[text_at] = pa.array(texts, columns[text_at].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
