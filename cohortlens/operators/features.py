@@ -54,7 +54,7 @@ def spline_basis(df: DataFrame, fit: DataFrame) -> DataFrame:
         t = F.col(f"{d}_cuts")
         out = out.withColumn("__x", F.greatest(t[3], F.least(t[7], F.log1p(F.col(d).cast("double")))))
         # the last of the inner intervals takes its right end
-        inside = lambda i: ((F.col("__x") >= F.get(t, i)) & (F.col("__x") < F.get(t, i + 1))) | ((i == 6) & (F.col("__x") == F.get(t, i + 1)) & (F.get(t, i) < F.get(t, i + 1)))
+        inside = lambda i: ((i < 7) & (F.col("__x") >= F.get(t, i)) & (F.col("__x") < F.get(t, i + 1))) | ((i == 6) & (F.col("__x") == F.get(t, i + 1)) & (F.get(t, i) < F.get(t, i + 1)))
         out = out.withColumn("__b", F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.when(inside(i), 1.0).otherwise(0.0)))
         for k in (1, 2, 3):
             out = out.withColumn("__b", F.transform(F.sequence(F.lit(0), F.lit(9 - k)), _basis_step(t, k)))

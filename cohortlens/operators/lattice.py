@@ -36,7 +36,8 @@ def generators(groups: dict[int, int], intent: int, max_states: int = MAX_STATES
     equal intersections added up as they arise, counts those that don't.
     """
     signed: dict[frozenset[int], int] = {}
-    for low in lower_neighbours(groups, intent):
+    # the empty set has every attribute in common; it lies within any lower neighbour, if there is one
+    for low in lower_neighbours(groups, intent) or [frozenset()]:
         fresh: dict[frozenset[int], int] = {low: -1}
         for known, sign in signed.items():
             both = known & low

@@ -37,7 +37,7 @@ def _spline_sql() -> str:
     steps = [""", z AS (SELECT customer_id, CASE dim WHEN 'R' THEN 0 WHEN 'F' THEN 1 ELSE 2 END AS o, dim, ln(1 + x) AS z FROM l),
 q AS (SELECT dim, quantile_cont(z, [0.0, 0.25, 0.5, 0.75, 1.0]) AS q FROM z GROUP BY 1),
 t AS (SELECT dim, [q[1] - 3 * (q[2] - q[1]), q[1] - 2 * (q[2] - q[1]), q[1] - (q[2] - q[1])] || q || [q[5] + (q[5] - q[4]), q[5] + 2 * (q[5] - q[4]), q[5] + 3 * (q[5] - q[4])] AS t FROM q),
-k0 AS (SELECT customer_id, o, z, t, i, CASE WHEN (z >= t[i + 1] AND z < t[i + 2]) OR (i = 6 AND z = t[8]) THEN 1.0::DOUBLE ELSE 0 END AS b FROM z JOIN t USING (dim), range(10) r(i))"""]
+k0 AS (SELECT customer_id, o, z, t, i, CASE WHEN (i < 7 AND z >= t[i + 1] AND z < t[i + 2]) OR (i = 6 AND z = t[8]) THEN 1.0::DOUBLE ELSE 0 END AS b FROM z JOIN t USING (dim), range(10) r(i))"""]
     for k in (1, 2, 3):
         steps.append(f""", k{k} AS (SELECT a.customer_id, a.o, a.z, a.t, a.i, coalesce((a.z - a.t[a.i + 1]) / nullif(a.t[a.i + {k + 1}] - a.t[a.i + 1], 0), 0) * a.b
  + coalesce((a.t[a.i + {k + 2}] - a.z) / nullif(a.t[a.i + {k + 2}] - a.t[a.i + 2], 0), 0) * n.b AS b FROM k{k - 1} a JOIN k{k - 1} n ON n.customer_id = a.customer_id AND n.o = a.o AND n.i = a.i + 1)""")

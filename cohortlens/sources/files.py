@@ -15,8 +15,7 @@ GROCERY_SCHEMA = "household_key long, BASKET_ID long, DAY int, PRODUCT_ID long,
 def retail_lines(spark: SparkSession, paths: list[str], schema: str = RETAIL_SCHEMA, timestamps: str = "yyyy-MM-dd HH:mm:ss") -> DataFrame:
     """(customer_id, invoice, at, value) of retail CSV files, a byte-order mark allowed: lines with customer, of positive
     quantity and price, not cancelled (invoice numbers with a leading C)."""
-    # columns go by the header's names, so files may order them as they like; the mark is no part of a name
-    raw = spark.read.csv(paths, header=True, schema=schema, enforceSchema=True, timestampNTZFormat=timestamps)
+    raw = spark.read.option("timestampNTZFormat", timestamps).csv(paths, header=True, schema=schema)
     lines = raw.where("CustomerID IS NOT NULL AND Quantity > 0 AND UnitPrice > 0 AND NOT startswith(InvoiceNo, 'C')")
     value = (F.col("Quantity") * F.col("UnitPrice").cast("decimal(18,4)")).cast("decimal(18,4)")
     return lines.select(F.col("CustomerID").cast("long").cast("string").alias("customer_id"), F.regexp_replace("InvoiceNo", "^﻿", "").alias("invoice"), F.col("InvoiceDate").alias("at"), value.alias("value"))

@@ -24,7 +24,7 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_windows_close_behind_the_watermark(spark, tmp_path):
-    rows = [("a", 1, datetime(2020, 1, 1), 2.0), ("a", 1, datetime(2020, 1, 1), 2.0), ("a", 2, datetime(2020, 1, 2), 3.0), ("a", 3, datetime(2020, 3, 1), 1.0)]
+    rows = [("a", 1, datetime(2020, 1, 2), 2.0), ("a", 1, datetime(2020, 1, 2), 2.0), ("a", 2, datetime(2020, 1, 3), 3.0), ("a", 3, datetime(2020, 3, 1), 1.0)]
     folder = str(tmp_path / "in")
     spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(folder)
     stream = spark.readStream.schema(SCHEMA).parquet(folder)
