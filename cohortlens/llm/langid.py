@@ -9,14 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import lean_batches
 from .kernels import pieces
 
 #: Runs of anything that is no letter part words; a word is padded by one space at both ends.
 _GAPS = re.compile(r"[\W\d_]+")
 #: Length of a profile, of languages and of documents.
 TOP = 400
-#: Training documents per language at most; the ones with the smallest hash of their id.
+#: Training documents of a language, about, at most.
 SAMPLE = 20_000
+#: Languages at most; more raise.
+MAX_LANGUAGES = 1000
 
 
 def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -72,15 +75,21 @@ class Profiles:
 def learn(train: DataFrame, top: int = TOP, sample: int = SAMPLE) -> dict[str, list[int]]:
     """Profiles of the languages in train (text, lang, ``__order``); rows without text or lang are passed over.
 
-    Learns from ``sample`` documents of a language at most, those of least
-    ``__order``. N-grams are counted in each task and summed by Spark; only the
-    finished profiles, ``top`` numbers a language, come to the driver.
+    Learns from about ``sample`` documents of a language at most: those whose
+    64-bit hash ``__order`` lies in the lowest share of all hashes that holds
+    so many on average. N-grams are counted in each task and summed by Spark;
+    only the finished profiles, ``top`` numbers a language, come to the driver.
     """
+    lean_batches(train.sparkSession)
     rows = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    # Two steps, so that no task sorts all rows of a frequent language.
-    part = Window.partitionBy("lang", F.pmod("__order", F.lit(64))).orderBy("__order")
-    each = -(-sample // 64)
-    rows = rows.withColumn("__at", F.row_number().over(part)).where(F.col("__at") <= each)
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    if not sizes:
+        return {}
+    shares = [(r.lang, min((1 << 63) - 1, int((min(1.0, sample / r.n) * 2 - 1) * (1 << 63)))) for r in sizes]
+    most = train.sparkSession.createDataFrame(shares, "lang string, __most long")
+    rows = rows.join(F.broadcast(most), "lang").where(F.col("__order") <= F.col("__most"))
 
     def count(batches):
         for batch in pieces(batches, 0, 4 << 20):
@@ -103,6 +112,7 @@ def learn(train: DataFrame, top: int = TOP, sample: int = SAMPLE) -> dict[str, l
 def identify(docs: DataFrame, profiles: dict[str, list[int]], top: int = TOP) -> DataFrame:
     """docs with ``__lang`` and ``__score``; ``und`` and 0 where the text is null or has no letter."""
     at = docs.columns.index("text")
+    lean_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(profiles)
     out = docs.withColumns({"__lang": F.lit("").cast("string"), "__score": F.lit(0.0)})
 
