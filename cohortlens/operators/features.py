@@ -36,13 +36,20 @@ def spline_fit(train: DataFrame) -> DataFrame:
     return q.select("dim", F.concat(left, "quantiles", right).alias("cuts"))
 
 
-def _basis_step(t: Column, k: int):
-    """One step of the recursion over the values ``__b`` of degree k - 1; empty intervals add nothing."""
+def _indicator(condition):
+    return lambda i: F.when(condition(i), 1.0).otherwise(0.0)
 
-    def step(i):
-        a = F.try_divide(F.col("__x") - F.get(t, i), F.get(t, i + k) - F.get(t, i))
-        b = F.try_divide(F.get(t, i + k + 1) - F.col("__x"), F.get(t, i + k + 1) - F.get(t, i + 1))
-        return F.coalesce(a, F.lit(0.0)) * F.get("__b", i) + F.coalesce(b, F.lit(0.0)) * F.get("__b", i + 1)
+
+def _basis_step(t: Column, x: Column):
+    """One step of the recursion, from the values b of degree k - 1 to those of degree k; empty intervals add nothing."""
+
+    def step(b, k):
+        def value(i):
+            left = F.try_divide(x - F.get(t, i), F.get(t, i + k) - F.get(t, i))
+            right = F.try_divide(F.get(t, i + k + 1) - x, F.get(t, i + k + 1) - F.get(t, i + 1))
+            return F.coalesce(left, F.lit(0.0)) * F.get(b, i) + F.coalesce(right, F.lit(0.0)) * F.get(b, i + 1)
+
+        return F.transform(F.sequence(F.lit(0), 9 - k), value)
 
     return step
 
@@ -52,13 +59,12 @@ def spline_basis(df: DataFrame, fit: DataFrame) -> DataFrame:
     out = df.crossJoin(F.broadcast(scoring.as_row(fit)))
     for d in DIMS:
         t = F.col(f"{d}_cuts")
-        out = out.withColumn("__x", F.greatest(t[3], F.least(t[7], F.log1p(F.col(d).cast("double")))))
+        x = F.greatest(t[3], F.least(t[7], F.log1p(F.col(d).cast("double"))))
         # the last of the inner intervals takes its right end
-        inside = lambda i: ((i < 7) & (F.col("__x") >= F.get(t, i)) & (F.col("__x") < F.get(t, i + 1))) | ((i == 6) & (F.col("__x") == F.get(t, i + 1)) & (F.get(t, i) < F.get(t, i + 1)))
-        out = out.withColumn("__b", F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.when(inside(i), 1.0).otherwise(0.0)))
-        for k in (1, 2, 3):
-            out = out.withColumn("__b", F.transform(F.sequence(F.lit(0), F.lit(9 - k)), _basis_step(t, k)))
-        out = out.withColumnRenamed("__b", f"{d}_basis").drop("__x", f"{d}_cuts")
+        inside = lambda i, t=t, x=x: ((i < 7) & (x >= F.get(t, i)) & (x < F.get(t, i + 1))) | ((i == 6) & (x == F.get(t, i + 1)) & (F.get(t, i) < F.get(t, i + 1)))
+        first = F.transform(F.sequence(F.lit(0), F.lit(9)), _indicator(inside))
+        # a fold holds each degree's values once; columns would be written into each other and computed over and over
+        out = out.withColumn(f"{d}_basis", F.aggregate(F.sequence(F.lit(1), F.lit(3)), first, _basis_step(t, x)))
     return out.select("customer_id", F.concat(*[f"{d}_basis" for d in DIMS]).alias("x"))
 
 
