@@ -26,6 +26,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def lean_batches(spark: SparkSession) -> None:
+    """Texts go to Python in Arrow batches of a few MB, in place of up to 64 MB: each is held several times over on the way."""
+    for key, most in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 4 << 20)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = int(spark.conf.get(key).rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage in the cluster's shared folder, so that lost executors lose nothing."""
     shared_folder(df.sparkSession)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, lean_batches
 from .kernels import pieces, words
 
 #: Most item words of one automaton: about 2 states a word, some 100 MB in a worker at this size.
@@ -141,6 +141,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     null item ids count as the string "null".
     """
     sc = docs.sparkSession.sparkContext
+    lean_batches(docs.sparkSession)
     out = docs.withColumn("__n_words", F.lit(0).cast("long")).withColumn("__spans", F.expr("cast(array() as array<struct<a:int,b:int>>)")).withColumn("__items", F.expr("cast(array() as array<string>)"))
     at = len(docs.columns)
     text_at = docs.columns.index("text")

@@ -137,7 +137,7 @@ def shingle_sets(column, k: int) -> tuple[np.ndarray, np.ndarray]:
     return s, np.concatenate([[0], np.cumsum(np.bincount(o, minlength=n_texts))])
 
 
-def pieces(batches, at: int, most_bytes: int = 1 << 20, most_rows: int = 2000):
+def pieces(batches, at: int, most_bytes: int = 1 << 18, most_rows: int = 2000):
     """The batches cut so that a piece has about most_bytes of text in column ``at``, or one longer text.
 
     The kernels take some 60 bytes of memory a byte of text.

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import all_bits, bloom_slots, set_bits
+from .common import all_bits, bloom_slots, lean_batches, set_bits
 from .kernels import LOWER, SPACE, pieces, span_hashes, text_bytes
 
 #: Bits of each filter. Fixed, so what is broadcast is bounded; a filter that fills up only lets more lines shuffle.
@@ -107,6 +107,7 @@ def repeat_filter(docs: DataFrame, min_chars: int, bits: int = BITS, builders: i
         if now is not None:
             yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([twice.tobytes()])], names=["block", "twice"])
 
+    lean_batches(docs.sparkSession)
     texts = docs.select("text")
     built = texts.coalesce(builders).mapInArrow(build, "block int, once binary, twice binary")
     merged = built.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block int, twice binary")

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import lean_batches
 from .kernels import pieces
 
 #: A payload is padded to a positive multiple of this: the rows of the image.
@@ -135,6 +136,7 @@ def image_hash(image: np.ndarray) -> str:
 
 def store_media(docs: DataFrame) -> DataFrame:
     """doc_id, media (PNG, binary) and n_bytes of every row of docs; a null text is an empty one."""
+    lean_batches(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def store(batches):
@@ -153,6 +155,7 @@ def padded(raw: bytes, row: int = ROW) -> bytes:
 
 def read_media(media: DataFrame) -> DataFrame:
     """doc_id, n_bytes and, read back from ``media``: its payload's size, hash and tail checksum, its own size and hash, its feature."""
+    lean_batches(media.sparkSession)
     id_type = media.schema["doc_id"].dataType.simpleString()
     fields = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 

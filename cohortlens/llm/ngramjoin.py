@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import all_bits, bloom_slots, checkpointed, connected_components, set_bits
+from .common import all_bits, bloom_slots, checkpointed, connected_components, lean_batches, set_bits
 from .kernels import mix, pieces, shingle_sets
 
 #: Shingles in more distinct sets than this are frequent and indexed in pairs.
@@ -98,24 +98,30 @@ def signatures(prefixes: DataFrame, pct: int, rare: int) -> DataFrame:
     one; as there are as many groups as a prefix is extended by, two sets that
     link share a rare shingle or two frequent ones of a group.
     """
-    limit = hash_limit(pct)
+    limit = np.uint64(hash_limit(pct))
 
     def index(batches):
         for batch in batches:
+            key, n, counted = (batch.column(i).to_numpy() for i in range(3))
+            lists = batch.column(3)
+            at = lists.offsets.to_numpy()
+            toks = lists.values.field("tok").to_numpy().view(np.uint64)
+            dfs = lists.values.field("df").to_numpy()
+            low = np.concatenate([[0], np.cumsum(toks < limit)])
+            length = prefix_length(n, pct)
+            once = counted - (low[at[1:]] - low[at[:-1]])  # counted shingles of this set only come first
             sig, node = [], []
-            for key, n, counted, own in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                tok = np.array([x["tok"] for x in own], np.int64).view(np.uint64)
-                df = np.array([x["df"] for x in own], np.int64)
-                is_counted = tok < np.uint64(limit)
-                length = int(prefix_length(np.array([n]), pct)[0])
-                once = counted - int(is_counted.sum())  # counted shingles of this set only come first
+            # a prefix of shingles that no other set has has no signature
+            for d in np.flatnonzero((length > once) & (at[1:] > at[:-1])).tolist():
+                tok, df = toks[at[d] : at[d + 1]], dfs[at[d] : at[d + 1]]
+                is_counted = tok < limit
                 order = np.lexsort((tok, df))
-                first = order[is_counted[order]][: max(0, length - once)]
+                first = order[is_counted[order]][: max(0, int(length[d] - once[d]))]
                 rest = np.flatnonzero(~is_counted)
-                rest = rest[np.argsort(tok[rest])] if length > counted else rest[:0]
+                rest = rest[np.argsort(tok[rest])] if length[d] > counted[d] else rest[:0]
                 take = np.concatenate([first, rest])
                 tok, df = tok[take], df[take]
-                band, g, g1 = (int(x[0]) for x in extension(np.array([n]), pct))
+                band, g, g1 = (int(x[0]) for x in extension(n[d : d + 1], pct))
                 out = [tok[df <= rare]]
                 often = tok[df > rare]
                 for b, groups in ((band, g), (band + 1, g1)):
@@ -129,7 +135,7 @@ def signatures(prefixes: DataFrame, pct: int, rare: int) -> DataFrame:
                         out.append(mix(mix(t[i] + np.uint64(b)) * np.uint64(3) + t[j]))
                 out = np.unique(np.concatenate(out))
                 sig.append(out)
-                node.append(np.full(len(out), key, np.int64))
+                node.append(np.full(len(out), key[d], np.int64))
             if sig:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.concatenate(node))], names=["sig", "node"])
 
@@ -194,6 +200,7 @@ def link_components(docs: DataFrame, k: int = 4, pct: int = 85, rare: int = RARE
     4. Nodes joined by signatures are verified together, a pair of blocks of
        bounded size at a time, and only a spanning forest of the links leaves the task.
     """
+    lean_batches(docs.sparkSession)
     nodes = checkpointed(set_profiles(docs, k, pct).groupBy("node", "n", "counted").agg(F.first("toks").alias("toks")))
     tokens = nodes.select("node", F.explode("toks").alias("tok"))
     df = tokens.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
