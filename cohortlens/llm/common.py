@@ -41,27 +41,35 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Edges that a task of the component search takes, about.
+EDGES_A_TASK = 50_000
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of an undirected edge list (a, b); component is the smallest node.
 
     Alternates large-star and small-star steps. A hub's neighbours are never
     collected: its minimum is a partial aggregate, joined back to the edges.
+    Tasks are as many as the edges need, since each round shuffles some times.
     Nodes without edges are not in the result.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = checkpointed(edges)
+    size = edges.count()
     seen = None
     for _ in range(max_rounds):
+        tasks = max(1, -(-size // EDGES_A_TASK))
+        edges = edges.coalesce(tasks)
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(tasks).distinct().coalesce(tasks)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edges = checkpointed(small.where("u <> v").distinct())
+        edges = checkpointed(small.where("u <> v").coalesce(tasks).distinct().coalesce(tasks))
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break
-        seen = state
+        seen, size = state, state[0]
     else:
         raise RuntimeError("components did not settle")
     own = edges.select(F.col("v").alias("node")).distinct()

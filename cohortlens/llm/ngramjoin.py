@@ -15,7 +15,7 @@ from .kernels import mix, pieces, shingle_sets
 #: Shingles in more distinct sets than this are frequent and indexed in pairs.
 RARE = 16
 #: Shingles, about, that one verifying task takes from each of its two blocks.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 #: Bits of the filter of candidate sets; fixed, so the broadcast is bounded.
 FILTER_BITS = 1 << 26
 
