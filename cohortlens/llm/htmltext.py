@@ -115,7 +115,7 @@ class Page:
             if block or drop != above[3]:
                 flush()
             if name in RAW:
-                self.tags.append(self._token(above[1] + "/" + name))
+                self.tags.append(self._token(above[1] + "/" + name) | 1)
                 if not rest.endswith("/"):  # its content is no markup: on to its end
                     closing = re.compile(rf"</{name}\s*>", re.I).search(source, at)
                     at = closing.end() if closing else len(source)
@@ -132,7 +132,7 @@ class Page:
             self.has_content = max(self.has_content, content)
             path = above[1] + "/" + name
             if block:
-                self.tags.append(self._token(path))
+                self.tags.append(self._token(path) | 1)
             if not rest.endswith("/"):
                 stack.append((name, path if block else above[1], max(above[2], content), above[3] or drop))
         if at < len(source):
@@ -160,7 +160,15 @@ class Page:
 
     def candidates(self) -> list[tuple[int, str]]:
         """Blocks that may be template text: (token with the text, text). Not those in an article, nor dropped ones."""
-        return [(int(mix(np.array([token ^ _hash(" ".join(text.split()), 2)], np.uint64))[0]), text) for token, text, inside, dropped in self.blocks if not dropped and not inside]
+        return [(self._with_text(token, text), text) for token, text, inside, dropped in self.blocks if not dropped and not inside]
+
+    def tokens(self) -> list[int]:
+        """All tags, and the blocks that may be template text unless the page has an article."""
+        return self.tags + ([] if self.has_content else [token for token, _ in self.candidates()])
+
+    @staticmethod
+    def _with_text(token: int, text: str) -> int:
+        return int(mix(np.array([token ^ _hash(" ".join(text.split()), 2)], np.uint64))[0]) & ~1
 
     def main_text(self, template: set[int]) -> str:
         """The text of the slots: of the article, or else of main, or else of whatever is neither template nor dropped."""
@@ -171,12 +179,34 @@ class Page:
         return " ".join(entities.unescape(" ".join(kept)).split())
 
 
+def page_streams(pages: DataFrame) -> DataFrame:
+    """(host, number, stream): the tokens of each distinct content of a host, in their order and 8 bytes each; tags are odd, texts even."""
+
+    def streams(batches):
+        cache: dict[str, int] = {}
+        for batch in pieces(batches, 2):
+            found: dict[tuple[str, int], bytes] = {}
+            for number, url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                key = host_of(url), number
+                if key not in found:
+                    found[key] = np.array(Page(source or "", cache).tokens(), np.uint64).tobytes()
+                if len(cache) > 100_000:
+                    cache.clear()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int64()), pa.array(found.values(), pa.binary())], names=["host", "number", "stream"]
+            )
+
+    rows = pages.select(F.xxhash64("html").alias("number"), "url", "html").mapInArrow(streams, "host string, number long, stream binary")
+    return rows.groupBy("host", "number").agg(F.first("stream").alias("stream"))
+
+
 def template_tokens(pages: DataFrame, min_pages: int = MIN_PAGES, min_tags: int = MIN_TAGS) -> DataFrame:
     """(host, token): text tokens of the hosts' templates.
 
     A token's occurrence vector has, for each page of its host, how often it
-    occurs there; vectors are compared by the xor of a hash of each page and
-    count, so a token is one row in each task and one in all. Tokens of equal
+    occurs there; copies of a page are one page, whatever their ids and URLs.
+    Vectors are compared by the xor of a hash of each page and count, so a
+    token is one row in each task and one in all. Tokens of equal
     vectors form a class. Classes on ``min_pages`` pages or more with
     ``min_tags`` tags or more are valid; as a token's path is part of it,
     a class lies within one slot of the class of its parents, and the valid
@@ -184,23 +214,13 @@ def template_tokens(pages: DataFrame, min_pages: int = MIN_PAGES, min_tags: int
     """
 
     def tokens(batches):
-        cache: dict[str, int] = {}
         for batch in pieces(batches, 2):
-            seen: dict[tuple[str, int, bool], list[int]] = {}
-            for number, url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                host, page = host_of(url), Page(source or "", cache)
-                if len(cache) > 100_000:
-                    cache.clear()
-                own: dict[tuple[int, bool], int] = {}
-                for t in page.tags:
-                    own[t, True] = own.get((t, True), 0) + 1
-                if not page.has_content:
-                    for t, _ in page.candidates():
-                        own[t, False] = own.get((t, False), 0) + 1
-                keys = list(own)
-                place = mix(mix(np.array([number], np.int64).view(np.uint64)) + np.array([own[k] for k in keys], np.uint64)).tolist()
-                for k, h in zip(keys, place, strict=True):
-                    entry = seen.setdefault((host, *k), [0, 0])
+            seen: dict[tuple[str, int], list[int]] = {}
+            for host, number, stream in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                keys, times = np.unique(np.frombuffer(stream, np.uint64), return_counts=True)
+                place = mix(mix(np.array([number], np.int64).view(np.uint64)) + times.astype(np.uint64))
+                for k, h in zip(keys.tolist(), place.tolist(), strict=True):
+                    entry = seen.setdefault((host, k), [0, 0])
                     entry[0] ^= h
                     entry[1] += 1
             keys = list(seen)
@@ -208,19 +228,18 @@ def template_tokens(pages: DataFrame, min_pages: int = MIN_PAGES, min_tags: int
                 [
                     pa.array([k[0] for k in keys], pa.string()),
                     pa.array(np.array([k[1] for k in keys], np.uint64).view(np.int64)),
-                    pa.array([k[2] for k in keys], pa.bool_()),
                     pa.array(np.array([seen[k][0] for k in keys], np.uint64).view(np.int64)),
                     pa.array([seen[k][1] for k in keys], pa.int64()),
                 ],
-                names=["host", "token", "tag", "vector", "pages"],
+                names=["host", "token", "vector", "pages"],
             )
 
-    numbered = pages.select(F.xxhash64("page_id", "url", "html").alias("number"), "url", "html")
-    rows = numbered.mapInArrow(tokens, "host string, token long, tag boolean, vector long, pages long")
-    vectors = rows.groupBy("host", "token", "tag").agg(F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages")).where(F.col("pages") >= min_pages)
+    rows = page_streams(pages).mapInArrow(tokens, "host string, token long, vector long, pages long")
+    vectors = rows.groupBy("host", "token").agg(F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages")).where(F.col("pages") >= min_pages)
     vectors = checkpointed(vectors)
-    valid = vectors.groupBy("host", "vector", "pages").agg(F.count_if("tag").alias("tags")).where(F.col("tags") >= min_tags)
-    return vectors.where("not tag").join(valid, ["host", "vector", "pages"]).select("host", "token").distinct()
+    tag = F.col("token").bitwiseAND(1) == 1
+    valid = vectors.groupBy("host", "vector", "pages").agg(F.count_if(tag).alias("tags")).where(F.col("tags") >= min_tags)
+    return vectors.where(~tag).join(valid, ["host", "vector", "pages"]).select("host", "token").distinct()
 
 
 def extract_text(pages: DataFrame, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:

@@ -130,6 +130,16 @@ def test_templates_drop_what_a_host_repeats(spark):
     assert {r.n_chars for r in htmltext.extract_text(same).collect()} == {len("Head & line One twothree <x> four five six seven end")}
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    page = "<html><body><div><p>own text {0}</p><h2>and {0} more</h2></div></body></html>"
+    other = "<html><body><ul><li>other text {0}</li></ul></body></html>"
+    rows = [(i, f"http://copies.example/{i}", page.format(0)) for i in range(4)] + [(9, "http://same.example/", page.format(1))] * 3
+    rows += [(20 + i, f"http://mixed.example/{i}", page.format(2)) for i in range(3)] + [(30 + i, f"http://mixed.example/o{i}", other.format(i)) for i in range(4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    out = sorted((r.page_id, r.text) for r in htmltext.extract_text(pages).collect())
+    assert out == sorted([(i, "own text 0 and 0 more") for i in range(4)] + [(9, "own text 1 and 1 more")] * 3 + [(20 + i, "own text 2 and 2 more") for i in range(3)] + [(30 + i, f"other text {i}") for i in range(4)])
+
+
 @pytest.mark.parametrize("which", ["odd", "none"])
 def test_odd_inputs_have_defined_results(spark, odd_docs, no_docs, which):
     docs = odd_docs if which == "odd" else no_docs
