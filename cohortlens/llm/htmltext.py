@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
+from collections import Counter
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -49,11 +52,8 @@ def host_of(url: str | None) -> str:
     return host.removeprefix("www.")
 
 
-def _hash(text: str, seed: int) -> int:
-    # two interleaved polynomial sums are enough to tell apart the tokens of a host
-    data = np.frombuffer(text.encode(), np.uint8).astype(np.uint64)
-    powers = np.full(len(data) + 1, np.uint64(0x9E3779B97F4A7C15))
-    return int(mix(np.array([int((data * np.multiply.accumulate(powers)[:-1]).sum()) & 0xFFFFFFFFFFFFFFFF], np.uint64) ^ np.uint64(seed + len(data)))[0])
+def _hash(text: str, path: int = 0) -> int:
+    return int.from_bytes(blake2b(text.encode(), digest_size=8, salt=path.to_bytes(8, "little")).digest(), "little")
 
 
 class Page:
@@ -61,12 +61,12 @@ class Page:
 
     ``blocks`` are (token, text, within content, dropped): text runs between
     block tags, with inline tags left out and references still in place.
-    ``tags`` are the tokens of the start tags. A token stands for a path of
-    open elements and, for a block, its text.
+    ``stream`` has the tokens of start tags (odd) and of blocks (even) in their
+    order. A token stands for a path of open elements and, for a block, its text.
     """
 
     def __init__(self, source: str, cache: dict[str, int]):
-        self.tags: list[int] = []
+        self.stream: list[int] = []
         self.blocks: list[tuple[int, str, int, bool]] = []
         self.has_content = 0
         self.cache = cache
@@ -80,7 +80,8 @@ class Page:
                 run.clear()
                 if text and not text.isspace():
                     _, path, inside, dropped = stack_of_blocks() or ("", "", 0, False)
-                    self.blocks.append((self._token(path), text, inside, dropped))
+                    self.stream.append(self._with_text(self._token(path), text))
+                    self.blocks.append((self.stream[-1], text, inside, dropped))
 
         def stack_of_blocks():
             return next((x for x in reversed(stack) if x[0] not in INLINE or x[3]), None)
@@ -115,7 +116,7 @@ class Page:
             if block or drop != above[3]:
                 flush()
             if name in RAW:
-                self.tags.append(self._token(above[1] + "/" + name) | 1)
+                self.stream.append(self._token(above[1] + "/" + name) | 1)
                 if not rest.endswith("/"):  # its content is no markup: on to its end
                     closing = re.compile(rf"</{name}\s*>", re.I).search(source, at)
                     at = closing.end() if closing else len(source)
@@ -132,7 +133,7 @@ class Page:
             self.has_content = max(self.has_content, content)
             path = above[1] + "/" + name
             if block:
-                self.tags.append(self._token(path) | 1)
+                self.stream.append(self._token(path) | 1)
             if not rest.endswith("/"):
                 stack.append((name, path if block else above[1], max(above[2], content), above[3] or drop))
         if at < len(source):
@@ -141,7 +142,7 @@ class Page:
 
     def _token(self, path: str) -> int:
         if path not in self.cache:
-            self.cache[path] = _hash(path, 1)
+            self.cache[path] = _hash(path)
         return self.cache[path]
 
     @staticmethod
@@ -158,25 +159,28 @@ class Page:
                 return True
         return False
 
-    def candidates(self) -> list[tuple[int, str]]:
-        """Blocks that may be template text: (token with the text, text). Not those in an article, nor dropped ones."""
-        return [(self._with_text(token, text), text) for token, text, inside, dropped in self.blocks if not dropped and not inside]
-
-    def tokens(self) -> list[int]:
-        """All tags, and the blocks that may be template text unless the page has an article."""
-        return self.tags + ([] if self.has_content else [token for token, _ in self.candidates()])
-
     @staticmethod
     def _with_text(token: int, text: str) -> int:
-        return int(mix(np.array([token ^ _hash(" ".join(text.split()), 2)], np.uint64))[0]) & ~1
+        return _hash(" ".join(text.split()), token) & ~1
+
+    def main_text(self, template: np.ndarray) -> str:
+        """The text of the slots, which is all that isn't among the sorted template tokens: of the article, or else of main, or else of whatever isn't dropped.
+
+        An article or main without any slot is its own.
+        """
+        chosen = [b for b in self.blocks if b[2] == self.has_content and not b[3]]
+        fixed, _ = _find(template, np.array([b[0] for b in chosen], np.uint64))
+        if self.has_content and fixed.all():
+            fixed[:] = False
+        return " ".join(entities.unescape(" ".join(b[1] for b, f in zip(chosen, fixed.tolist(), strict=True) if not f)).split())
+
 
-    def main_text(self, template: set[int]) -> str:
-        """The text of the slots: of the article, or else of main, or else of whatever is neither template nor dropped."""
-        if self.has_content:
-            kept = [text for _, text, inside, dropped in self.blocks if inside == self.has_content and not dropped]
-        else:
-            kept = [text for token, text in self.candidates() if token not in template]
-        return " ".join(entities.unescape(" ".join(kept)).split())
+def _find(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each value is in the sorted table, and where."""
+    if not len(table):
+        return np.zeros(len(values), bool), np.zeros(len(values), np.int64)
+    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
+    return table[at] == values, at
 
 
 def page_streams(pages: DataFrame) -> DataFrame:
@@ -189,7 +193,7 @@ def page_streams(pages: DataFrame) -> DataFrame:
             for number, url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 key = host_of(url), number
                 if key not in found:
-                    found[key] = np.array(Page(source or "", cache).tokens(), np.uint64).tobytes()
+                    found[key] = np.array(Page(source or "", cache).stream, np.uint64).tobytes()
                 if len(cache) > 100_000:
                     cache.clear()
             yield pa.RecordBatch.from_arrays(
@@ -200,91 +204,208 @@ def page_streams(pages: DataFrame) -> DataFrame:
     return rows.groupBy("host", "number").agg(F.first("stream").alias("stream"))
 
 
-def template_tokens(pages: DataFrame, min_pages: int = MIN_PAGES, min_tags: int = MIN_TAGS) -> DataFrame:
-    """(host, token): text tokens of the hosts' templates.
+def _counted(streams: DataFrame) -> DataFrame:
+    """(host, token, class, pages, at): tokens by their occurrence vectors.
 
-    A token's occurrence vector has, for each page of its host, how often it
-    occurs there; copies of a page are one page, whatever their ids and URLs.
-    Vectors are compared by the xor of a hash of each page and count, so a
-    token is one row in each task and one in all. Tokens of equal
-    vectors form a class. Classes on ``min_pages`` pages or more with
-    ``min_tags`` tags or more are valid; as a token's path is part of it,
-    a class lies within one slot of the class of its parents, and the valid
-    ones nest into the template.
+    A vector has, for each page of the host, how often the token occurs there;
+    copies of a page are one page, whatever their ids and URLs. Vectors are
+    compared by the xor of a hash of each page and count, so a token is one row
+    in each task and one in all. ``at`` is the token's place in the page of
+    least hash, which is the same page for all tokens of a class.
     """
 
     def tokens(batches):
         for batch in pieces(batches, 2):
             seen: dict[tuple[str, int], list[int]] = {}
             for host, number, stream in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                keys, times = np.unique(np.frombuffer(stream, np.uint64), return_counts=True)
+                keys, first, times = np.unique(np.frombuffer(stream, np.uint64), return_index=True, return_counts=True)
                 place = mix(mix(np.array([number], np.int64).view(np.uint64)) + times.astype(np.uint64))
-                for k, h in zip(keys.tolist(), place.tolist(), strict=True):
-                    entry = seen.setdefault((host, k), [0, 0])
+                at = np.minimum(first, (1 << 24) - 1) + ((number & ((1 << 39) - 1)) << 24)
+                for k, h, a in zip(keys.tolist(), place.tolist(), at.tolist(), strict=True):
+                    entry = seen.setdefault((host, k), [0, 0, a])
                     entry[0] ^= h
                     entry[1] += 1
-            keys = list(seen)
+                    entry[2] = min(entry[2], a)
+            keys, values = list(seen), list(seen.values())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([k[0] for k in keys], pa.string()),
                     pa.array(np.array([k[1] for k in keys], np.uint64).view(np.int64)),
-                    pa.array(np.array([seen[k][0] for k in keys], np.uint64).view(np.int64)),
-                    pa.array([seen[k][1] for k in keys], pa.int64()),
+                    pa.array(np.array([v[0] for v in values], np.uint64).view(np.int64)),
+                    pa.array([v[1] for v in values], pa.int64()),
+                    pa.array([v[2] for v in values], pa.int64()),
                 ],
-                names=["host", "token", "vector", "pages"],
+                names=["host", "token", "vector", "pages", "at"],
             )
 
-    rows = page_streams(pages).mapInArrow(tokens, "host string, token long, vector long, pages long")
-    vectors = rows.groupBy("host", "token").agg(F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages")).where(F.col("pages") >= min_pages)
-    vectors = checkpointed(vectors)
-    tag = F.col("token").bitwiseAND(1) == 1
-    valid = vectors.groupBy("host", "vector", "pages").agg(F.count_if(tag).alias("tags")).where(F.col("tags") >= min_tags)
-    return vectors.where(~tag).join(valid, ["host", "vector", "pages"]).select("host", "token").distinct()
+    rows = streams.mapInArrow(tokens, "host string, token long, vector long, pages long, at long")
+    whole = rows.groupBy("host", "token").agg(F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"), F.min("at").alias("at"))
+    return whole.select("host", "token", F.xxhash64("vector", "pages").alias("class"), "pages", "at")
+
+
+def _nesting(stream: np.ndarray, table: tuple[np.ndarray, ...], tell) -> None:
+    """Tells of a page's classes (class, token or None, low, high): a token out of its class's order has itself, a class
+    the hash of the slot that each of its rounds lies in, and low < high where it crosses a class of more pages or tokens."""
+    hit, at = _find(table[0], stream)
+    at = at[hit].tolist()
+    tokens, classes, pages, places = table[0], table[1], table[2], table[3]
+    seen: Counter[int] = Counter()
+    rounds: dict[int, list[tuple[int, int, int]]] = {}
+    for t in at:
+        rounds.setdefault(int(classes[t]), []).append((seen[t], int(places[t]), t))
+        seen[t] += 1
+    out: set[int] = set()
+    for c, keys in rounds.items():
+        if any(a >= b for a, b in zip(keys, keys[1:], strict=False)):
+            # what isn't in a longest increasing run stands elsewhere than in other rounds or pages
+            ends, last, before = [], [], []
+            for i, key in enumerate(keys):
+                k = bisect_left(ends, key)
+                ends[k : k + 1], last[k : k + 1] = [key], [i]
+                before.append(last[k - 1] if k else -1)
+            i, kept = last[-1], set()
+            while i >= 0:
+                kept.add(i)
+                i = before[i]
+            for t in {key[2] for i, key in enumerate(keys) if i not in kept}:
+                out.add(t)
+                tell(c, int(tokens[t]), 0, 0)
+    size = Counter(int(classes[t]) for t in seen if t not in out)
+    lost: set[int] = set()
+    open_: list[list[int]] = []  # class, place of its last token, tokens to come in this round
+    for t in at:
+        c, place = int(classes[t]), int(places[t])
+        if t in out or c in lost:
+            continue
+        depth = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == c), None)
+        if depth is None:
+            slot = hash((open_[-1][0], open_[-1][1])) if open_ else 0
+            tell(c, None, slot, slot)
+            open_.append([c, place, size[c]])
+            depth = len(open_) - 1
+        elif depth < len(open_) - 1:
+            weight = {x[0]: (int(pages[rounds[x[0]][0][2]]), size[x[0]], x[0]) for x in open_[depth:]}
+            inner = [x[0] for x in open_[depth + 1 :]]
+            for g in [c] if any(weight[x] > weight[c] for x in inner) else inner:
+                lost.add(g)
+                tell(g, None, 0, 1)
+            open_[:] = [x for x in open_ if x[0] not in lost]
+            if c in lost:
+                continue
+        open_[depth][1] = place
+        open_[depth][2] -= 1
+        if not open_[depth][2]:
+            del open_[depth]
 
 
-def extract_text(pages: DataFrame, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
-    """(page_id, url, text, n_chars) of every row of pages.
+def _invalid(streams: DataFrame, table: DataFrame, broadcast_tokens: int) -> DataFrame:
+    """(host, class, token): tokens of classes that aren't ordered; with a null token, classes that aren't nested, which is in one slot of one class or of none."""
+
+    def work(batches, table_of):
+        for batch in pieces(batches, 2):
+            told: dict[tuple[str, int, int | None], list[int]] = {}
+            owns = list(zip(*[c.to_pylist() for c in batch.columns[3:]], strict=True)) or [None] * batch.num_rows
+            for host, stream, own in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), owns, strict=True):
+
+                def tell(c, token, low, high, host=host):
+                    ends = told.setdefault((host, c, token), [low, high])
+                    ends[:] = min(ends[0], low), max(ends[1], high)
+
+                _nesting(np.frombuffer(stream, np.uint64), table_of(host, own), tell)
+            signed = [None if k[2] is None else k[2] - (1 << 64 if k[2] >> 63 else 0) for k in told]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([k[0] for k in told], pa.string()), pa.array([k[1] for k in told], pa.int64()), pa.array(signed, pa.int64()),
+                    pa.array([v[0] for v in told.values()], pa.int64()), pa.array([v[1] for v in told.values()], pa.int64()),
+                ],
+                names=["host", "class", "token", "low", "high"],
+            )
 
-    The article of a page is what an ``article`` or ``main`` element holds,
-    without the elements that name menus, adverts, notices, forms, comments and
-    the like; a page without such an element yields the slots of its host's
-    template. A null or empty html has an empty text; repeated rows are
-    separate pages; a null url is a host of its own.
+    named = [F.col("host"), F.col("number"), F.col("stream")]
+    rows = _beside(streams, named, F.col("host"), F.xxhash64("number"), table.select("host", "token", "class", "pages", "at"), broadcast_tokens, work, "host string, class long, token long, low long, high long")
+    ends = rows.groupBy("host", "class", "token").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    return ends.where("token is not null or low <> high").select("host", "class", "token")
 
-    Templates go to all tasks if they are few in all. Beyond that they are
-    joined to the pages by host, with the pages of hosts that have a 64th of
+
+def template_tokens(pages: DataFrame, min_pages: int = MIN_PAGES, min_tags: int = MIN_TAGS, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
+    """(host, token): text tokens of the hosts' templates.
+
+    Tokens of equal occurrence vectors form a class. A class is valid on
+    ``min_pages`` pages of different content or more, with ``min_tags`` tags or
+    more, if it is ordered (on every page its tokens come in rounds of one
+    order) and nested (each round lies within one slot, the same on all pages,
+    of another class, or in none). Tokens out of order leave their class, and
+    classes that cross others or change their slot go, until all are valid;
+    the valid classes are the template.
+    """
+
+    def large(df: DataFrame) -> DataFrame:
+        tags = df.groupBy("host", "class").agg(F.count_if(F.col("token").bitwiseAND(1) == 1).alias("tags")).where(F.col("tags") >= min_tags)
+        return checkpointed(df.join(tags.select("host", "class"), ["host", "class"]).select("host", "token", "class", "pages", "at"))
+
+    streams = checkpointed(page_streams(pages))
+    table = large(checkpointed(_counted(streams).where(F.col("pages") >= min_pages)))
+    while True:
+        bad = checkpointed(_invalid(streams, table, broadcast_tokens))
+        if bad.isEmpty():
+            return table.where(F.col("token").bitwiseAND(1) == 0).select("host", "token")
+        table = table.join(bad.where("token is not null").select("host", "token"), ["host", "token"], "left_anti")
+        table = large(table.join(bad.where("token is null").select("host", "class"), ["host", "class"], "left_anti"))
+
+
+def _beside(rows: DataFrame, named: list, host, salt, table: DataFrame, broadcast_tokens: int, work, schema: str) -> DataFrame:
+    """work(batches, table_of) of the named columns, where table_of(host, own) has the sorted columns of a host in table (host, token, ...).
+
+    Tables go to all tasks if they are few tokens in all. Beyond that they are
+    joined to the rows by host, with the rows of hosts that have a 64th of
     all rows or more (there are 64 at most) dealt to 64 salts each.
     """
-    spark = pages.sparkSession
-    lean_batches(spark)
-    templates = checkpointed(template_tokens(pages))
-    named = [F.col("page_id"), F.col("url"), F.col("html")]
-    schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long"
-    if templates.count() <= broadcast_tokens:
-        by_host: dict[str, set[int]] = {}
-        for row in templates.toLocalIterator():
-            by_host.setdefault(row.host, set()).add(row.token)
-        sent = spark.sparkContext.broadcast(by_host)
-        return pages.select(*named).mapInArrow(lambda batches: _texts(batches, lambda url, own: sent.value.get(host_of(url), ())), schema)
-    keyed = pages.select(*named, F.udf(host_of, "string")("url").alias("__host"))
+    columns = table.columns[1:]
+
+    def arrays(own) -> tuple[np.ndarray, ...]:
+        cut = [np.array([] if own is None or c is None else c, np.int64) for c in (own or [None] * len(columns))]
+        first = cut[0].view(np.uint64)
+        order = np.argsort(first)
+        return first[order], *[c[order] for c in cut[1:]]
+
+    lists = table.groupBy(F.col("host").alias("__host")).agg(*[F.collect_list(c).alias(f"__{c}") for c in columns])
+    if table.count() <= broadcast_tokens:
+        by_host = {row[0]: arrays(row[1:]) for row in lists.toLocalIterator()}
+        sent, none = rows.sparkSession.sparkContext.broadcast(by_host), arrays(None)
+        return rows.select(*named).mapInArrow(lambda batches: work(batches, lambda h, own: sent.value.get(h, none)), schema)
+    keyed = rows.select(*named, host.alias("__host"), salt.alias("__spread"))
     total = keyed.count()
     hot = keyed.groupBy("__host").agg(F.count("*").alias("n")).where(F.col("n") * 64 >= total).select("__host", F.lit(64).alias("__salts"))
-    keyed = keyed.join(F.broadcast(hot), "__host", "left").withColumn("__salt", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("__salts", F.lit(1))))
-    lists = templates.groupBy(F.col("host").alias("__host")).agg(F.collect_list("token").alias("__tokens"))
+    keyed = keyed.join(F.broadcast(hot), "__host", "left").withColumn("__salt", F.pmod("__spread", F.coalesce("__salts", F.lit(1))))
     spread = lists.join(F.broadcast(hot), "__host", "left").withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), (F.coalesce("__salts", F.lit(1)) - 1).cast("long"))))
-    joined = keyed.join(spread.select("__host", "__salt", "__tokens"), ["__host", "__salt"], "left").select(*named, "__tokens")
-    return joined.mapInArrow(lambda batches: _texts(batches, lambda url, own: own or ()), schema)
+    joined = keyed.join(spread.drop("__salts"), ["__host", "__salt"], "left").select(*named, *[f"__{c}" for c in columns])
+    return joined.mapInArrow(lambda batches: work(batches, lambda h, own: arrays(own)), schema)
+
+
+def extract_text(pages: DataFrame, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
+    """(page_id, url, text, n_chars) of every row of pages.
+
+    All pages lose the template of their host; what remains lies in its slots.
+    Of these, those in an ``article`` or ``main`` element are chosen where a
+    page has one, and those in elements that name menus, adverts, notices,
+    forms, comments and the like are not. A null or empty html has an empty
+    text; repeated rows are separate pages; a null url is a host of its own.
+    """
+    lean_batches(pages.sparkSession)
+    templates = checkpointed(template_tokens(pages, broadcast_tokens=broadcast_tokens))
+    schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long"
+    return _beside(pages, [F.col("page_id"), F.col("url"), F.col("html")], F.udf(host_of, "string")("url"), F.xxhash64("page_id", "url"), templates, broadcast_tokens, _texts, schema)
 
 
-def _texts(batches, template_of):
+def _texts(batches, table_of):
     cache: dict[str, int] = {}
     for batch in pieces(batches, 2):
         urls, sources = batch.column(1).to_pylist(), batch.column(2).to_pylist()
         owns = batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * len(urls)
         texts = []
         for url, source, own in zip(urls, sources, owns, strict=True):
-            signed = template_of(url, own)
-            texts.append(Page(source or "", cache).main_text({t & 0xFFFFFFFFFFFFFFFF for t in signed}))
+            template = table_of(host_of(url), own and [own])[0]
+            texts.append(Page(source or "", cache).main_text(template))
             if len(cache) > 100_000:
                 cache.clear()
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])

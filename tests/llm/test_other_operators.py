@@ -6,6 +6,7 @@ import re
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 
 from cohortlens.llm import chat, decontam, htmltext, langid, licenses, linededup, media, mixing, ngramjoin, secrets
@@ -140,6 +141,34 @@ def test_copies_of_a_page_are_no_template(spark):
     assert out == sorted([(i, "own text 0 and 0 more") for i in range(4)] + [(9, "own text 1 and 1 more")] * 3 + [(20 + i, "own text 2 and 2 more") for i in range(3)] + [(30 + i, f"other text {i}") for i in range(4)])
 
 
+def test_template_classes_are_ordered_and_nested(spark):
+    article = "<html><body><article><h1>Title {0}</h1><p>own {0}</p><div>Share this story</div></article></body></html>"
+    rows = [(i, f"http://article.example/{i}", article.format(i)) for i in range(6)]
+    a, b = "<p>alpha note</p>", "<h2>beta note</h2>"
+    rows += [(10 + i, f"http://order.example/{i}", f"<html><body><div>{a + b if i < 3 else b + a}</div><pre>own {i}</pre></body></html>") for i in range(6)]
+    widget = "<section><h3>Weather today</h3></section>"
+    rows += [(20 + i, f"http://slot.example/{i}", f"<html><body>{widget * (i < 4)}<div>Site name</div>{widget * (4 <= i < 6)}<pre>own {i}</pre></body></html>") for i in range(9)]
+    rows += [(30 + i, f"http://all.example/{i}", f"<html><body><p>menu {i}</p><article><p>the only text</p></article></body></html>") for i in range(4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for bound in (1 << 20, 0):
+        out = {r.page_id: r.text for r in htmltext.extract_text(pages, bound).collect()}
+        assert [out[i] for i in range(6)] == [f"Title {i} own {i}" for i in range(6)]
+        # one of the two that change places leaves the class
+        assert [out[10 + i] for i in range(6)] in ([f"{note} own {i}" for i in range(6)] for note in ("alpha note", "beta note"))
+        assert [out[20 + i] for i in range(9)] == [f"Weather today own {i}" if i < 4 else f"own {i}" if i > 5 else f"Weather today own {i}" for i in range(9)]
+        assert {out[30 + i] for i in range(4)} == {"the only text"}
+
+
+def test_of_crossing_classes_the_one_on_fewer_pages_goes():
+    table = tuple(np.array(c) for c in (np.array([2, 3, 4, 5], np.uint64), [1, 2, 1, 2], [9, 5, 9, 5], [0, 1, 2, 3]))
+    told = []
+    htmltext._nesting(np.array([2, 3, 4, 5], np.uint64), table, lambda *x: told.append(x))
+    assert (2, None, 0, 1) in told and (1, None, 0, 1) not in told
+    told.clear()
+    htmltext._nesting(np.array([2, 3, 5, 3, 5, 4], np.uint64), table, lambda *x: told.append(x))
+    assert all(low == high and token is None for _, token, low, high in told) and len({low for c, _, low, _ in told if c == 2}) == 1
+
+
 @pytest.mark.parametrize("which", ["odd", "none"])
 def test_odd_inputs_have_defined_results(spark, odd_docs, no_docs, which):
     docs = odd_docs if which == "odd" else no_docs
