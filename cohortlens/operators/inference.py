@@ -58,18 +58,24 @@ def origins_positive(points: DataFrame, value: str = "delta") -> DataFrame:
     return points.where("pooled").groupBy("metric").agg(F.concat_ws("/", F.count_if(F.col(value) > 0).cast("string"), F.count("*").cast("string")).alias("origins_positive"))
 
 
-def sign_flip_p(differences: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """(by..., n, p): exact two-sided sign-flip test of a zero mean, over all 2^n patterns for n of 20 at most (more raise).
+def sign_flip_p(differences: DataFrame, value: str, by: list[str], draws: int | None = None, seed: int = 42) -> DataFrame:
+    """(by..., n, p): two-sided sign-flip test of a zero mean, exact over all 2^n patterns for n of 20 at most.
 
-    Patterns are numbered and each is summed bit by bit from the group's small array.
+    Larger groups take ``draws`` random patterns, of r that reach the observed
+    sum p is (r + 1) / (draws + 1); without ``draws`` they raise. Patterns are
+    numbered and each is summed from the group's array: its signs are the bits
+    of the number, or of hashes of number, place and seed.
     """
     groups = differences.groupBy(*by).agg(F.sort_array(F.collect_list(value)).alias("d"))
     n = F.size("d")
-    patterns = F.sequence(F.lit(0), F.when(n <= 20, F.call_function("shiftleft", F.lit(1), n) - 1).otherwise(F.raise_error(F.lit("more than 20 differences: sample patterns instead"))))
+    last = F.raise_error(F.lit("more than 20 differences: sample patterns instead")) if draws is None else F.lit(draws - 1)
+    patterns = F.sequence(F.lit(0), F.when(n <= 20, F.call_function("shiftleft", F.lit(1), n) - 1).otherwise(last))
     total = F.aggregate("d", F.lit(0.0), lambda a, x: a + x)
-    flipped = F.abs(F.aggregate(F.transform("d", lambda x, i: F.when(F.getbit(F.col("pattern").cast("long"), i) == 1, -x).otherwise(x)), F.lit(0.0), lambda a, x: a + x))
+    bit = lambda i: F.when(n <= 20, F.getbit(F.col("pattern").cast("long"), F.least(i, F.lit(20)))).otherwise(F.xxhash64("pattern", i, F.lit(seed)).bitwiseAND(1))
+    flipped = F.abs(F.aggregate(F.transform("d", lambda x, i: F.when(bit(i) == 1, -x).otherwise(x)), F.lit(0.0), lambda a, x: a + x))
     rows = groups.withColumn("observed", F.abs(total)).withColumn("pattern", F.explode(patterns))
-    return rows.groupBy(*by, F.size("d").cast("long").alias("n")).agg(F.avg((F.round(flipped, 9) >= F.round(F.col("observed"), 9)).cast("double")).alias("p"))
+    reached = rows.groupBy(*by, F.size("d").cast("long").alias("n")).agg(F.count_if(F.round(flipped, 9) >= F.round(F.col("observed"), 9)).alias("__r"), F.count("*").alias("__b"))
+    return reached.select(*by, "n", F.when(F.col("n") <= 20, F.col("__r") / F.col("__b")).otherwise((F.col("__r") + 1) / (F.col("__b") + 1)).alias("p"))
 
 
 def paired_t(differences: DataFrame, value: str, by: list[str]) -> DataFrame:

@@ -372,7 +372,7 @@ def i8(spark, d):
 f AS (SELECT arm, len(d) AS n, round(abs(list_sum(d)), 9) AS o, d, unnest(range(1 << len(d))) AS pat FROM g)
 SELECT arm, n, round(avg((round(abs(list_sum(list_transform(range(n), lambda i: CASE WHEN (pat >> i) & 1 = 1 THEN -d[i + 1] ELSE d[i + 1] END))), 9) >= o)::INT), 6) AS p FROM f GROUP BY 1, 2""")
 def i9(spark, d):
-    return rounded(inference.sign_flip_p(_diffs(spark, d), "diff", ["arm"]))
+    return rounded(inference.sign_flip_p(_diffs(spark, d), "diff", ["arm"], draws=10_000))
 
 
 @query("i10_paired_t", f"""WITH x AS ({_DIFFS}), r AS (SELECT arm, diff, rank() OVER (PARTITION BY arm ORDER BY abs(diff)) + (count(*) OVER (PARTITION BY arm, abs(diff)) - 1) / 2 AS r FROM x WHERE diff <> 0),

@@ -325,3 +325,20 @@ def test_results_do_not_depend_on_layout(spark, cohort):
         assert sorted(a.collect()) == sorted(b.collect())
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_sign_flips_of_large_groups_are_drawn(spark):
+    rng = random.Random(3)
+    mixed = [rng.choice((-1, 1, 1)) * rng.randint(1, 9) for _ in range(30)]
+    sums = {0: 1}
+    for v in mixed:
+        step = {}
+        for s, n in sums.items():
+            for t in (s + v, s - v):
+                step[t] = step.get(t, 0) + n
+        sums = step
+    exact = sum(n for s, n in sums.items() if abs(s) >= abs(sum(mixed))) / 2 ** len(mixed)
+    rows = [(1, float(v)) for v in mixed] + [(2, 1.0 + v) for v in range(25)] + [(3, float(v)) for v in range(-35, 36)] + [(4, 1.0), (4, 2.0)]
+    got = {r.g: (r.n, r.p) for r in inference.sign_flip_p(spark.createDataFrame(rows, "g int, v double"), "v", ["g"], draws=4000).collect()}
+    assert got[1][0] == 30 and abs(got[1][1] - exact) < 0.04
+    assert got[2] == (25, 1 / 4001) and got[3] == (71, 1.0) and got[4] == (2, 0.5)
