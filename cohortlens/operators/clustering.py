@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 
 from .scoring import DIMS
 
-#: Ward works on so many weighted points at most; more customers are first gathered into that many small k-means clusters.
-WARD_POINTS = 1000
-
 
 def min_max_log(df: DataFrame) -> DataFrame:
     """(customer_id, x): log1p of R, F, M scaled to [0, 1]; a constant has 0."""
@@ -34,29 +31,58 @@ def k_means(points: DataFrame, k: int, seed: int = 0, starts: int = 10) -> DataF
 
 
 def _ward_tree(x: np.ndarray, w: np.ndarray, k: int) -> np.ndarray:
-    """Labels of weighted points after merging to k clusters, each time the pair of least added variance (Lance-Williams)."""
+    """Labels of weighted points after merging to k clusters, each time the pair of least added variance.
+
+    Merges are found by a chain of nearest neighbours over centres and weights,
+    in memory of the number of points, and then done in the order of their variance.
+    """
     n = len(x)
-    d = (w[:, None] * w[None, :] / (w[:, None] + w[None, :])) * ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)
-    np.fill_diagonal(d, np.inf)
-    size, label, alive = w.astype(float).copy(), np.arange(n), np.ones(n, bool)
-    for _ in range(max(0, n - k)):
-        i, j = np.unravel_index(d.argmin(), d.shape)
-        others = alive.copy()
-        others[[i, j]] = False
-        total = size[i] + size[j] + size[others]
-        d[i, others] = d[others, i] = ((size[i] + size[others]) * d[i, others] + (size[j] + size[others]) * d[j, others] - size[others] * d[i, j]) / total
-        size[i] += size[j]
-        alive[j] = False
-        d[j, :] = d[:, j] = np.inf
-        label[label == j] = i
-    return np.unique(label, return_inverse=True)[1]
-
-
-def ward(points: DataFrame, k: int, most: int = WARD_POINTS) -> DataFrame:
-    """(customer_id, x, label) by Ward's method: exact over distinct points up to ``most``, else over the weighted
-    centres of ``most`` k-means clusters, which bounds what the driver holds."""
-    distinct = points.groupBy("x").agg(F.count("*").alias("w"))
-    if distinct.count() <= most:
+    centre, size, node = x.astype(float).copy(), w.astype(float).copy(), np.arange(n)
+    chain: list[int] = []
+    merges: list[tuple[float, int, int]] = []
+    left = n
+    while left > 1:
+        if 2 * left < len(size) and len(size) > 64:
+            kept = np.flatnonzero(size)
+            place = np.cumsum(size > 0) - 1
+            centre, size, node, chain = centre[kept], size[kept], node[kept], [int(place[c]) for c in chain]
+        if not chain:
+            chain = [int(np.flatnonzero(size)[0])]
+        a = chain[-1]
+        gap = centre - centre[a]
+        d = np.einsum("ij,ij->i", gap, gap) * (size[a] * size / (size[a] + size))
+        d[size == 0] = np.inf
+        d[a] = np.inf
+        b = int(d.argmin())
+        if len(chain) > 1 and d[chain[-2]] <= d[b]:
+            b = chain[-2]
+            del chain[-2:]
+            merges.append((float(d[b]), int(node[a]), int(node[b])))
+            a, b = min(a, b), max(a, b)
+            centre[a] = (centre[a] * size[a] + centre[b] * size[b]) / (size[a] + size[b])
+            size[a] += size[b]
+            size[b] = 0
+            node[a] = min(node[a], node[b])
+            left -= 1
+        else:
+            chain.append(b)
+    root = list(range(n))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for _, a, b in sorted(merges, key=lambda m: m[0])[: max(0, n - k)]:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return np.unique([find(i) for i in range(n)], return_inverse=True)[1]
+
+
+def ward(points: DataFrame, k: int, most: int | None = None) -> DataFrame:
+    """(customer_id, x, label) by Ward's method over the distinct points, which the driver holds once; their number
+    is the work squared. Only if a caller gives ``most`` and there are more, over the weighted centres of ``most`` k-means clusters."""
+    if most is None or points.select("x").distinct().count() <= most:
         keyed = points.withColumn("key", F.to_json(F.struct("x")))
         centres = keyed.groupBy("key").agg(F.first("x").alias("c"), F.count("*").alias("w"))
     else:
@@ -66,7 +92,7 @@ def ward(points: DataFrame, k: int, most: int = WARD_POINTS) -> DataFrame:
     rows = centres.orderBy("key").collect()
     labels = _ward_tree(np.array([r.c for r in rows]), np.array([r.w for r in rows]), k)
     table = points.sparkSession.createDataFrame([(r.key, int(v)) for r, v in zip(rows, labels, strict=True)], "key string, label int")
-    return keyed.join(F.broadcast(table), "key").select("customer_id", "x", "label")
+    return keyed.join(table, "key").select("customer_id", "x", "label")
 
 
 def fcm_degrees(points: DataFrame, centres: list[list[float]], m: float = 2.0) -> DataFrame:

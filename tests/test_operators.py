@@ -342,3 +342,24 @@ def test_sign_flips_of_large_groups_are_drawn(spark):
     got = {r.g: (r.n, r.p) for r in inference.sign_flip_p(spark.createDataFrame(rows, "g int, v double"), "v", ["g"], draws=4000).collect()}
     assert got[1][0] == 30 and abs(got[1][1] - exact) < 0.04
     assert got[2] == (25, 1 / 4001) and got[3] == (71, 1.0) and got[4] == (2, 0.5)
+
+
+def test_ward_is_exact_beyond_a_thousand_points(spark):
+    rng = np.random.default_rng(5)
+    x = rng.random((1100, 3))
+    rows = [(f"c{i}", [float(v) for v in p]) for i, p in enumerate(x)]
+    got = {r.customer_id: r.label for r in clustering.ward(spark.createDataFrame(rows, "customer_id string, x array<double>"), 4).collect()}
+    # the plain method: of all pairs of clusters, merge the one that adds least variance
+    centre, size, label = x.copy(), np.ones(len(x)), np.arange(len(x))
+    d = ((x[:, None] - x[None]) ** 2).sum(axis=2) / 2
+    np.fill_diagonal(d, np.inf)
+    for _ in range(len(x) - 4):
+        i, j = np.unravel_index(d.argmin(), d.shape)
+        centre[i] = (centre[i] * size[i] + centre[j] * size[j]) / (size[i] + size[j])
+        size[i], size[j] = size[i] + size[j], 0
+        label[label == j] = i
+        d[j] = d[:, j] = np.inf
+        new = ((centre - centre[i]) ** 2).sum(axis=1) * size * size[i] / (size + size[i])
+        new[(size == 0) | (np.arange(len(x)) == i)] = np.inf
+        d[i] = d[:, i] = new
+    assert len({(got[f"c{i}"], label[i]) for i in range(len(x))}) == 4
