@@ -1,12 +1,14 @@
-"""Session plumbing, components and Bloom filters shared by this subpackage."""
+"""Session plumbing, free names, spread joins, components and Bloom filters shared by this subpackage."""
 
 from __future__ import annotations
 
 import tempfile
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .kernels import mix
 
@@ -16,16 +18,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where that is unset, as in tests on one machine, a temporary one."""
+    """The session's ``spark.checkpoint.dir``; where that is unset a temporary folder on one machine, as in tests, else one in the warehouse."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if folder is None:
-        folder = tempfile.mkdtemp(prefix="checkpoints")
+        folder = tempfile.mkdtemp(prefix="checkpoints") if sc.master.startswith("local") else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
     return folder
 
 
+def column(name: str) -> Column:
+    """The column of this very name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def columns(df: DataFrame) -> list[Column]:
+    return [column(c) for c in df.columns]
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores appended until no column of df has it in either case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def with_fields(df: DataFrame, *fields: tuple[str, str]) -> StructType:
+    """df's schema and more fields (name, type) at its end, under the names given."""
+    more = StructType.fromDDL(", ".join(f"`{name}` {kind}" for name, kind in fields))
+    return StructType([*df.schema.fields, *more.fields])
+
+
 def lean_batches(spark: SparkSession) -> None:
     """Texts go to Python in Arrow batches of a few MB, in place of up to 64 MB: each is held several times over on the way."""
     for key, most in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 4 << 20)):
@@ -41,6 +69,26 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: A key that this share of all rows holds, or more, is hot; so there are so many hot keys at most.
+HOT_KEYS = 64
+
+
+def join_spread(rows: DataFrame, table: DataFrame, on: str, weight: str, spread: Column, how: str = "inner") -> DataFrame:
+    """rows joined to table by ``on``, and no task gets all rows of a hot key.
+
+    table has one row a key, with the rows that hold it in ``weight``, which is
+    dropped. Hot keys, ``HOT_KEYS`` at most, are broadcast to give their rows a
+    salt from ``spread``, any column that differs among them; the table's rows
+    of these keys are repeated for each salt. Every row is shuffled once.
+    """
+    total = table.agg(F.sum(weight).alias("__total"))
+    hot = table.crossJoin(F.broadcast(total)).where(F.col(weight) * HOT_KEYS >= F.col("__total")).select(on, F.lit(HOT_KEYS).alias("__salts"))
+    salt = F.coalesce(F.pmod(F.xxhash64(spread), F.col("__salts")), F.lit(0)).cast("int")
+    salted = rows.join(F.broadcast(hot), on, "left").withColumn("__salt", salt).drop("__salts")
+    repeated = table.crossJoin(F.broadcast(total)).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.when(F.col(weight) * HOT_KEYS >= F.col("__total"), HOT_KEYS - 1).otherwise(0))))
+    return salted.join(repeated.drop("__total", weight), [on, "__salt"], how).drop("__salt")
+
+
 #: Edges that a task of the component search takes, about.
 EDGES_A_TASK = 50_000
 
@@ -49,22 +97,28 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of an undirected edge list (a, b); component is the smallest node.
 
     Alternates large-star and small-star steps. A hub's neighbours are never
-    collected: its minimum is a partial aggregate, joined back to the edges.
-    Tasks are as many as the edges need, since each round shuffles some times.
+    collected: its minimum is a partial aggregate, joined back to the edges,
+    and hubs' edges are spread over tasks. Tasks are as many as the edges
+    need, since each round shuffles some times.
     Nodes without edges are not in the result.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = checkpointed(edges)
     size = edges.count()
     seen = None
+
+    def lowest(rows: DataFrame, low: DataFrame, tasks: int) -> DataFrame:
+        # what one task takes in any case needs no spreading
+        return rows.join(low.drop("degree"), "u") if tasks == 1 else join_spread(rows, low, "u", "degree", F.col("v"))
+
     for _ in range(max_rounds):
         tasks = max(1, -(-size // EDGES_A_TASK))
         edges = edges.coalesce(tasks)
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(tasks).distinct().coalesce(tasks)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("degree"))
+        large = lowest(both.where("v > u"), low, tasks).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(tasks).distinct().coalesce(tasks)
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+        small = lowest(large, low, tasks).select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         edges = checkpointed(small.where("u <> v").coalesce(tasks).distinct().coalesce(tasks))
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
@@ -89,3 +143,56 @@ def set_bits(bits: np.ndarray, slots: np.ndarray) -> None:
 def all_bits(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
     """Whether all bits of a column of slots are set."""
     return np.logical_and.reduce((bits[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8)) & np.uint8(1), axis=0).astype(bool)
+
+
+#: Bits of a filter of rows to look at, at most; fixed, so that what is broadcast is bounded. A full one only lets more rows through.
+FILTER_BITS = 1 << 26
+
+
+def bloom_of(hashes: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter over the first column of hashes, 64-bit ones, made in the tasks and merged by words."""
+
+    def build(batches):
+        out = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            set_bits(out, bloom_slots(batch.column(0).to_numpy().view(np.uint64), bits, 3))
+        at = np.flatnonzero(out.view(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out.view(np.uint64)[at].view(np.int64))], names=["at", "word"])
+
+    words = hashes.mapInArrow(build, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word"))
+    found = np.zeros(bits // 64, np.uint64)
+
+    def pack(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_numpy().tobytes()]), pa.array([batch.column(1).to_numpy().tobytes()])], names=["at", "word"])
+
+    for row in words.mapInArrow(pack, "at binary, word binary").toLocalIterator():
+        found[np.frombuffer(row.at, np.int64)] = np.frombuffer(row.word, np.uint64)
+    return found.view(np.uint8)
+
+
+def filter_size(keys: int, most: int = FILTER_BITS) -> int:
+    """Bits for so many keys: about ten each, a power of two, within a fixed bound."""
+    return min(most, 1 << max(16, (10 * keys).bit_length()))
+
+
+def parted(docs: DataFrame, key: Column, wanted: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """docs in two parts: rows whose key's hash may be among ``wanted`` (a column of xxhash64 values), and all others, which surely aren't.
+
+    A row without key is among the others. Both parts read docs where it lies.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(bloom_of(wanted, bits))
+    keyed = docs.select(*columns(docs), F.when(key.isNotNull(), F.xxhash64(key)).alias(free_names(docs, "h")[0]))
+    names = docs.columns
+    at = len(names)
+
+    def part(inside: bool):
+        def rows(batches):
+            for batch in batches:
+                h = batch.column(at)
+                hit = all_bits(sent.value, bloom_slots(h.fill_null(0).to_numpy().view(np.uint64), bits, 3)) & np.asarray(h.is_valid())
+                yield pa.RecordBatch.from_arrays(batch.columns[:at], names=names).filter(pa.array(hit == inside))
+
+        return keyed.mapInArrow(rows, docs.schema)
+
+    return part(True), part(False)

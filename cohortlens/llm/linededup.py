@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import all_bits, bloom_slots, lean_batches, set_bits
+from .common import all_bits, bloom_slots, checkpointed, column, columns, filter_size, free_names, join_spread, lean_batches, parted, set_bits, with_fields
 from .kernels import LOWER, SPACE, pieces, span_hashes, text_bytes
 
-#: Bits of each filter. Fixed, so what is broadcast is bounded; a filter that fills up only lets more lines shuffle.
-BITS = 1 << 26
+#: Bits of a filter, at most: what is broadcast is bounded. Up to there filters grow with the text; a full one only lets more hashes shuffle.
+MOST_BITS = 1 << 28
 HASHES = 3
-#: Tasks that build the filters at most; each sends its two filters once.
-BUILDERS = 256
+#: Repeated keys up to so many (24 bytes each, about) are broadcast; beyond that they are joined to the documents that have any.
+MOST_KEYS = 1 << 19
 
 
 class Lines:
@@ -64,7 +64,15 @@ def _distinct(owner: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return order[keep]
 
 
-def repeat_filter(docs: DataFrame, min_chars: int, bits: int = BITS, builders: int = BUILDERS) -> np.ndarray:
+def filter_bits(docs: DataFrame, min_chars: int) -> tuple[int, int]:
+    """Bits of a filter for docs, and tasks to fill it: bits for four times as many keys as the bytes of text can hold."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(MOST_BITS, 1 << max(16, (4 * size // (min_chars + 1)).bit_length()))
+    # a task sends its filters once, so it should read far more than it sends
+    return bits, max(4 * docs.sparkSession.sparkContext.defaultParallelism, size // (8 * bits))
+
+
+def repeat_filter(docs: DataFrame, min_chars: int, bits: int, builders: int) -> np.ndarray:
     """The filter of keys that were seen in two documents or more (and of some others).
 
     Each task fills a once-seen and a twice-seen filter: a key whose bits are
@@ -72,7 +80,7 @@ def repeat_filter(docs: DataFrame, min_chars: int, bits: int = BITS, builders: i
     are merged block by block in Spark: bits in two tasks' once-seen filters
     are twice seen too, so a key that two documents hold is always found.
     """
-    block = min(bits // 8, 1 << 16)
+    block = max(bits // 8 // 4096, 16)
 
     def build(batches):
         once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
@@ -87,9 +95,11 @@ def repeat_filter(docs: DataFrame, min_chars: int, bits: int = BITS, builders: i
             again = ~new | all_bits(once, slots)
             set_bits(twice, slots[:, again])
             set_bits(once, slots)
-        for i in range(0, bits // 8, block):
-            if once[i : i + block].any():
-                yield pa.RecordBatch.from_arrays([pa.array([i // block], pa.int32()), pa.array([once[i : i + block].tobytes()]), pa.array([twice[i : i + block].tobytes()])], names=["block", "once", "twice"])
+        some = np.flatnonzero(once.reshape(-1, block).any(axis=1))
+        for k in range(0, len(some), 256):
+            i = some[k : k + 256]
+            cut = lambda x: pa.array([r.tobytes() for r in x.reshape(-1, block)[i]], pa.binary())  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), cut(once), cut(twice)], names=["block", "once", "twice"])
 
     def merge(batches):
         # rows come sorted by block
@@ -107,9 +117,7 @@ def repeat_filter(docs: DataFrame, min_chars: int, bits: int = BITS, builders: i
         if now is not None:
             yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([twice.tobytes()])], names=["block", "twice"])
 
-    lean_batches(docs.sparkSession)
-    texts = docs.select("text")
-    built = texts.coalesce(builders).mapInArrow(build, "block int, once binary, twice binary")
+    built = docs.select("text").coalesce(builders).mapInArrow(build, "block int, once binary, twice binary")
     merged = built.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block int, twice binary")
     out = np.zeros(bits // 8, np.uint8)
     for row in merged.toLocalIterator():
@@ -117,13 +125,11 @@ def repeat_filter(docs: DataFrame, min_chars: int, bits: int = BITS, builders: i
     return out
 
 
-def repeated_lines(docs: DataFrame, min_chars: int, min_docs: int, bits: int = BITS) -> DataFrame:
-    """(h1, h2, doc_id) of documents that lose their lines of a key, one row for each key and document.
-
-    A key counts by its distinct documents; the largest doc_id keeps its lines.
-    Rows without doc_id count as no document and lose nothing.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast(repeat_filter(docs, min_chars, bits))
+def suspected_lines(docs: DataFrame, min_chars: int, most_bits: int | None = None) -> DataFrame:
+    """(h1, h2, doc_id), each once, of the keys that the twice-seen filter suspects, as two 64-bit hashes. Rows without doc_id count as no document."""
+    bits, builders = filter_bits(docs, min_chars)
+    bits = min(bits, most_bits or bits)
+    sent = docs.sparkSession.sparkContext.broadcast(repeat_filter(docs, min_chars, bits, builders))
 
     def suspects(batches):
         twice = sent.value
@@ -137,75 +143,142 @@ def repeated_lines(docs: DataFrame, min_chars: int, min_docs: int, bits: int = B
             yield pa.RecordBatch.from_arrays([pa.array(a[where].view(np.int64)), pa.array(b[where].view(np.int64)), ids.take(pa.array(where))], names=["h1", "h2", "doc_id"])
 
     schema = f"h1 long, h2 long, doc_id {docs.schema['doc_id'].dataType.simpleString()}"
-    rows = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(suspects, schema)
-    keys = rows.groupBy("h1", "h2").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
-    return rows.join(keys, ["h1", "h2"]).where(F.col("doc_id") < F.col("keeper")).select("h1", "h2", "doc_id")
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(suspects, schema)
+
+
+def repeated_keys(suspects: DataFrame, min_docs: int) -> DataFrame:
+    """(h1, h2, n, keeper) of the keys that min_docs distinct documents hold or more, with how many do and the largest doc_id."""
+    return suspects.groupBy("h1", "h2").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
+
+
+class KeyTable:
+    """Repeated keys in the order of their hashes, with their keepers; found by both hashes."""
 
+    def __init__(self, h1: np.ndarray, h2: np.ndarray, keeper: pa.Array | None = None):
+        order = np.lexsort((h2, h1))
+        self.h1, self.h2 = h1[order], h2[order]
+        self.keeper = keeper.take(pa.array(order)) if keeper is not None else None
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, bits: int = BITS) -> DataFrame:
-    """docs with repeated lines taken out of ``text``, and ``__n_lines``, ``__n_dropped``.
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The place of each (a, b), or -1."""
+        out = np.full(len(a), -1, np.int64)
+        at = np.searchsorted(self.h1, a)
+        left = np.flatnonzero(at < len(self.h1))
+        while len(left):
+            left = left[self.h1[at[left]] == a[left]]
+            same = self.h2[at[left]] == b[left]
+            out[left[same]] = at[left[same]]
+            left = left[~same]
+            at[left] += 1
+            left = left[at[left] < len(self.h1)]
+        return out
+
+
+def _without(lines: Lines, texts: pa.Array, gone: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The texts without the lines that are gone, and how many of its lines each text loses."""
+    n_dropped = np.bincount(lines.owner[gone], minlength=lines.texts)
+    if not gone.any():
+        return texts, n_dropped
+    data, out = lines.data.tobytes(), texts.to_pylist()
+    first = np.searchsorted(lines.owner, np.arange(lines.texts + 1))
+    for i in np.flatnonzero(n_dropped).tolist():
+        stay = first[i] + np.flatnonzero(~gone[first[i] : first[i + 1]])
+        out[i] = b"\n".join(data[lines.starts[k] : lines.ends[k]] for k in stay.tolist()).decode()
+    return pa.array(out, texts.type), n_dropped
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, most_bits: int | None = None, most_keys: int = MOST_KEYS) -> DataFrame:
+    """docs with repeated lines taken out of ``text``, and ``n_lines`` (before) and ``n_dropped`` at the end.
 
     A line's key is the line stripped of ``[\\x20\\x09-\\x0D]`` with A-Z
     lower-cased. Keys of ``min_chars`` code points or more that ``min_docs``
-    documents hold lose all their lines but those in the largest doc_id. Only
-    lines that the twice-seen filter suspects are shuffled, as two 64-bit
-    hashes, for exact counts. A null or empty text is one empty line; a null
-    stays null if it loses nothing.
+    documents hold lose all their lines but those in the largest doc_id.
+
+    Only lines that the twice-seen filter suspects are shuffled, as two 64-bit
+    hashes, for exact counts; texts stay where they are read. The repeated keys
+    go to all tasks if they are few; else they are joined to their documents,
+    and of texts only those move that a filter suspects of such a line.
+
+    A null or empty text is one empty line; a null stays null. Rows that repeat
+    a doc_id are one document in the counts; rows without one count as none and
+    lose nothing. Lines and texts may be of any length. Other columns pass
+    through, whatever their names; if docs has a column ``n_lines`` or
+    ``n_dropped``, the added one has underscores at its end.
     """
-    drops = repeated_lines(docs, min_chars, min_docs, bits)
+    lean_batches(docs.sparkSession)
+    suspects = suspected_lines(docs, min_chars, most_bits)
+    keys = checkpointed(repeated_keys(suspects, min_docs))
+    names = free_names(docs, "n_lines", "n_dropped")
+    out_names = [*docs.columns, *names]
+    at, ident, width = docs.columns.index("text"), docs.columns.index("doc_id"), len(docs.columns)
+    schema = with_fields(docs, (names[0], "long"), (names[1], "long"))
+
+    def finished(batch, lines, gone):
+        texts, n_dropped = _without(lines, batch.column(at), gone)
+        n_lines = np.bincount(lines.owner, minlength=lines.texts)
+        return pa.RecordBatch.from_arrays([*batch.columns[:at], texts, *batch.columns[at + 1 : width], pa.array(n_lines.astype(np.int64)), pa.array(n_dropped.astype(np.int64))], names=out_names)
+
+    if keys.count() <= most_keys:
+        few = keys.select("h1", "h2", "keeper").toArrow().combine_chunks()
+        column_of = lambda i: few.column(i).combine_chunks() if few.num_rows else pa.array([], few.schema.field(i).type)
+        sent = docs.sparkSession.sparkContext.broadcast((column_of(0).to_numpy().view(np.uint64), column_of(1).to_numpy().view(np.uint64), column_of(2)))
+
+        def apply(batches):
+            table = KeyTable(*sent.value)
+            for batch in pieces(batches, at):
+                lines = Lines(batch.column(at))
+                number, a, b = lines.hashes(min_chars)
+                place = table.find(a, b)
+                number, place = number[place >= 0], place[place >= 0]
+                ids = batch.column(ident).take(pa.array(lines.owner[number]))
+                lost = pa.compute.less(ids, table.keeper.take(pa.array(place))).fill_null(False)
+                gone = np.zeros(len(lines.owner), bool)
+                gone[number[np.asarray(lost)]] = True
+                yield finished(batch, lines, gone)
+
+        return docs.mapInArrow(apply, schema)
+
+    suspects = checkpointed(suspects.withColumn("key", F.struct("h1", "h2")).select("key", "doc_id"))
+    lost = join_spread(suspects, keys.select(F.struct("h1", "h2").alias("key"), "keeper", "n"), "key", "n", F.col("doc_id")).where(F.col("doc_id") < F.col("keeper"))
     # a document's keys: as many as it has lines at most
-    drops = drops.groupBy("doc_id").agg(F.collect_list("h1").alias("__drop"))
-    joined = docs.join(drops, "doc_id", "left").select(*[docs[c] for c in docs.columns], "__drop")
-    joined = joined.withColumns({"__n_lines": F.lit(0).cast("long"), "__n_dropped": F.lit(0).cast("long")})
-    at, names = docs.columns.index("text"), docs.columns
+    ident_name, drop = free_names(docs, "id", "drop")
+    drops = checkpointed(lost.groupBy(F.col("doc_id").alias(ident_name)).agg(F.collect_list("key").alias(drop)))
+    touched, others = parted(docs, column("doc_id"), drops.select(F.xxhash64(ident_name)), filter_size(drops.count()))
 
-    def apply(batches):
+    def apply_lists(batches):
         for batch in pieces(batches, at):
             lines = Lines(batch.column(at))
-            n_lines = np.bincount(lines.owner, minlength=lines.texts)
-            n_dropped = np.zeros(lines.texts, np.int64)
-            texts = batch.column(at)
-            drop = batch.column(len(names))
-            if drop.null_count < len(drop):
-                number, a, _ = lines.hashes(min_chars)
-                owner = lines.owner[number]
-                lists = drop.to_pylist()
-                bad = np.zeros(len(number), bool)
-                bounds = np.searchsorted(owner, np.arange(lines.texts + 1))
-                for i, x in enumerate(lists):
-                    if x:
-                        lo, hi = bounds[i], bounds[i + 1]
-                        bad[lo:hi] = np.isin(a[lo:hi], np.array(x, np.int64).view(np.uint64))
-                gone = np.zeros(len(lines.owner), bool)
-                gone[number[bad]] = True
-                n_dropped = np.bincount(lines.owner[gone], minlength=lines.texts)
-                data = lines.data.tobytes()
-                out = texts.to_pylist()
-                first = np.searchsorted(lines.owner, np.arange(lines.texts + 1))
-                for i in np.flatnonzero(n_dropped):
-                    at_lines = np.arange(first[i], first[i + 1])
-                    out[i] = b"\n".join(data[lines.starts[k] : lines.ends[k]] for k in at_lines[~gone[at_lines]]).decode()
-                texts = pa.array(out, texts.type)
-            columns = [*batch.columns[:at], texts, *batch.columns[at + 1 : len(names)], pa.array(n_lines.astype(np.int64)), pa.array(n_dropped.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "__n_lines", "__n_dropped"])
-
-    return joined.mapInArrow(apply, joined.drop("__drop").schema)
+            number, a, b = lines.hashes(min_chars)
+            gone = np.zeros(len(lines.owner), bool)
+            if batch.num_columns > width:
+                lists = batch.column(width)
+                bounds = np.searchsorted(lines.owner[number], np.arange(lines.texts + 1))
+                for i in np.flatnonzero(np.asarray(lists.is_valid())).tolist():
+                    pairs = lists[i].values
+                    h1, h2 = (pairs.field(k).to_numpy().view(np.uint64) for k in (0, 1))
+                    mine = slice(bounds[i], bounds[i + 1])
+                    gone[number[mine][KeyTable(h1, h2).find(a[mine], b[mine]) >= 0]] = True
+            yield finished(batch, lines, gone)
+
+    joined = touched.join(drops, column("doc_id") == F.col(ident_name), "left").select(*columns(docs), drop)
+    return joined.mapInArrow(apply_lists, schema).union(others.mapInArrow(apply_lists, schema))
 
 
 def line_digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines (before), n_dropped and the hash of what is kept."""
     kept = dedup_lines(docs.select("doc_id", "text"))
-    return kept.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """docs with repeated lines dropped and n_chars, where there is one, brought up to date.
 
-    A document that had text and keeps none but white space goes.
+    A document that had text and keeps none but white space goes. Nulls, odd
+    texts and other columns are as ``dedup_lines`` says.
     """
-    kept = dedup_lines(docs)
-    kept = kept.where((F.col("__n_dropped") == 0) | (F.trim("text") != ""))
+    n_lines, n_dropped = free_names(docs, "n_lines", "n_dropped")
+    kept = dedup_lines(docs).where((F.col(n_dropped) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
-        changed = F.when(F.col("__n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        changed = F.when(F.col(n_dropped) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
         kept = kept.withColumn("n_chars", changed)
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.select(*columns(docs))

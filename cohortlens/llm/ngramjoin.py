@@ -9,15 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import all_bits, bloom_slots, checkpointed, connected_components, lean_batches, set_bits
+from .common import all_bits, bloom_of, bloom_slots, checkpointed, column, columns, connected_components, filter_size, free_names, join_spread, lean_batches, parted, with_fields
 from .kernels import mix, pieces, shingle_sets
 
 #: Shingles in more distinct sets than this are frequent and indexed in pairs.
 RARE = 16
 #: Shingles, about, that one verifying task takes from each of its two blocks.
-BLOCK = 1 << 19
-#: Bits of the filter of candidate sets; fixed, so the broadcast is bounded.
-FILTER_BITS = 1 << 26
+BLOCK = 1 << 17
+#: Sets of one signature that are compared in one task; more are compared in pairs of parts of this size.
+GROUP = 4096
 
 
 def hash_limit(pct: int) -> int:
@@ -47,9 +47,31 @@ def prefix_length(n: np.ndarray, pct: int) -> np.ndarray:
     return np.minimum(n, n - -(-n * pct // 100) + 1 + np.maximum(g, g1))
 
 
+def sketches(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A parity sketch of each set: 64-bit words, set after set, and where each set's begin.
+
+    A set of n shingles has a power of two of bits, n or some more, and each
+    shingle flips one. Two sets that differ in k shingles have sketches that
+    differ in k bits at most, and folding the upper half of a sketch on the
+    lower gives the sketch of half the bits.
+    """
+    n = np.diff(at)
+    words = sketch_words(n)
+    start = np.concatenate([[0], np.cumsum(words)])
+    out = np.zeros(start[-1], np.uint64)
+    h = mix(s + np.uint64(0xB175))
+    bit = h & (np.repeat(words, n).astype(np.uint64) * np.uint64(64) - np.uint64(1))
+    np.bitwise_xor.at(out, np.repeat(start[:-1], n) + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return out, start
+
+
+def sketch_words(n: np.ndarray) -> np.ndarray:
+    return 1 << np.ceil(np.log2(np.maximum(n, 1) / 64)).clip(0).astype(np.int64)
+
+
 def set_profiles(docs: DataFrame, k: int, pct: int) -> DataFrame:
-    """(node, n, counted, toks) of every row with shingles: its set's identity and size, and the shingles a prefix
-    may hold: all counted ones, then as many others, by hash, as the prefix length asks for."""
+    """(node, n, counted, toks, sketch) of every row with shingles: its set's identity and size, the shingles a prefix
+    may hold (all counted ones, then as many others, by hash, as the prefix length asks for), and its parity sketch."""
     limit = np.uint64(hash_limit(pct))
 
     def profile(batches):
@@ -63,16 +85,18 @@ def set_profiles(docs: DataFrame, k: int, pct: int) -> DataFrame:
             take[n == 0] = 0
             inside = np.arange(len(s)) - np.repeat(at[:-1], n)
             toks = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]).astype(np.int32)), pa.array(s[inside < np.repeat(take, n)].view(np.int64)))
+            bits, start = sketches(s, at)
+            sketch = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((start * 8).astype(np.int32).tobytes()), pa.py_buffer(bits.tobytes())])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(counted.astype(np.int32)), toks],
-                names=["node", "n", "counted", "toks"],
+                [pa.array(key.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(counted.astype(np.int32)), toks, sketch],
+                names=["node", "n", "counted", "toks", "sketch"],
             )
 
-    return docs.select("text").mapInArrow(profile, "node long, n long, counted int, toks array<long>").where("n > 0")
+    return docs.select("text").mapInArrow(profile, "node long, n long, counted int, toks array<long>, sketch binary").where("n > 0")
 
 
 def set_keys(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, node) of every row: its set's size and identity. Costs a scan, where a stored profile would cost disk."""
+    """(doc_id, n, node) of every row: its set's size and identity."""
 
     def keys(batches):
         for batch in pieces(batches, 1):
@@ -142,6 +166,121 @@ def signatures(prefixes: DataFrame, pct: int, rare: int) -> DataFrame:
     return prefixes.select("node", "n", "counted", "own").mapInArrow(index, "sig long, node long")
 
 
+def _root(parent: np.ndarray) -> np.ndarray:
+    """The root of every place, by doubling."""
+    while True:
+        above = parent[parent]
+        if (above == parent).all():
+            return parent
+        parent = above
+
+
+class Sketches:
+    """The sketches of a batch of sets, compared in pairs."""
+
+    def __init__(self, column: pa.Array, n: np.ndarray):
+        self.n, self.words = n, sketch_words(n)
+        values = column.to_pylist()
+        self.flat = np.frombuffer(b"".join(values), np.uint64)
+        self.start = np.concatenate([[0], np.cumsum(self.words)])[:-1]
+
+    def _of(self, i: np.ndarray, words: int) -> np.ndarray:
+        """Sketches of sets i, folded to so many words."""
+        out = np.zeros((len(i), words), np.uint64)
+        for own in np.unique(self.words[i]).tolist():
+            at = np.flatnonzero(self.words[i] == own)
+            whole = self.flat[self.start[i[at]][:, None] + np.arange(own)]
+            out[at] = np.bitwise_xor.reduce(whole.reshape(len(at), own // words, words), axis=1)
+        return out
+
+    def near(self, i: np.ndarray, j: np.ndarray, pct: int) -> np.ndarray:
+        """Whether sets i and j may link: by their sizes, and as they differ in no fewer shingles than their sketches do in bits."""
+        a, b = self.n[i], self.n[j]
+        out = (100 * np.minimum(a, b) >= pct * np.maximum(a, b))
+        least = np.minimum(self.words[i], self.words[j])
+        for words in np.unique(least[out]).tolist():
+            at = np.flatnonzero(out & (least == words))
+            step = max(1, (1 << 17) // words)
+            for k in range(0, len(at), step):
+                p = at[k : k + step]
+                away = np.bitwise_count(self._of(i[p], words) ^ self._of(j[p], words)).sum(axis=1, dtype=np.int64)
+                out[p] = away * (100 + pct) <= (100 - pct) * (a[p] + b[p])
+        return out
+
+
+def near_pairs(group: np.ndarray, part: np.ndarray, across: np.ndarray, sketch: Sketches, pct: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs within a group that may link; ``across`` rows only pair with another part.
+
+    Groups are runs of rows. Rows a distance apart are compared, distance by
+    distance, and rows that are connected already aren't: memory is that of the rows.
+    """
+    parent = np.arange(len(group))
+    i, away, edges = np.arange(max(0, len(group) - 1)), 1, []
+    while len(i):
+        i = i[i + away < len(group)]
+        i = i[group[i] == group[i + away]]
+        if not len(i):
+            break
+        open_ = (parent[i] != parent[i + away]) & ~(across[i] & (part[i] == part[i + away]))
+        a = i[open_]
+        a = a[sketch.near(a, a + away, pct)] if len(a) else a
+        for x, y in zip(a.tolist(), (a + away).tolist(), strict=True):
+            rx, ry = x, y
+            while parent[rx] != rx:
+                rx = parent[rx]
+            while parent[ry] != ry:
+                ry = parent[ry]
+            if rx != ry:
+                parent[max(rx, ry)] = min(rx, ry)
+                edges.append((x, y))
+        if len(a):
+            parent = _root(parent)
+        away += 1
+    return edges
+
+
+def candidate_edges(postings: DataFrame, nodes: DataFrame, pct: int, group: int = GROUP) -> DataFrame:
+    """(a, b): pairs of sets that share a signature and may link by size and sketch, a spanning forest for each signature.
+
+    Signatures of one set only go no further, and of those of the very same
+    sets, by two hashes, one does. The sets of one that more than ``group``
+    have are dealt to parts by hash, and each pair of parts is a task's.
+    """
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(seed))).alias(f"mark{seed}") for seed in (1, 2)]
+    held = postings.groupBy("sig").agg(F.count("*").alias("m"), *marks).where("m > 1").groupBy("m", "mark1", "mark2").agg(F.min("sig").alias("sig"))
+    many = checkpointed(held.select("sig", "m", F.ceil(F.col("m") / group).cast("int").alias("parts")))
+    met = join_spread(postings, many, "sig", "m", F.col("node"))
+    met = met.join(nodes.select("node", "n", "sketch"), "node").withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = met.select("sig", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "node", "n", "part", "sketch")
+
+    def compare(batches):
+        kept = None
+        for batch in batches_with_end(batches):
+            if batch is not None:
+                kept = batch if kept is None else pa.concat_batches([kept, batch])
+            if kept is None or not kept.num_rows:
+                continue
+            sig, low, high = (kept.column(k).to_numpy() for k in range(3))
+            change = np.concatenate([[0], np.cumsum((sig[1:] != sig[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]))])
+            # the last task may go on in the next batch
+            cut = int(np.searchsorted(change, change[-1])) if batch is not None else len(change)
+            if not cut:
+                continue
+            now, kept = kept.slice(0, cut), kept.slice(cut)
+            node, n, part = (now.column(k).to_numpy() for k in (3, 4, 5))
+            # of two parts, the pairs within one are compared elsewhere
+            edges = np.array(near_pairs(change[:cut], part, (low != high)[:cut], Sketches(now.column(6), n), pct), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(node[edges[:, 0]]), pa.array(node[edges[:, 1]])], names=["a", "b"])
+
+    return rows.repartition("sig", "low", "high").sortWithinPartitions("sig", "low", "high", "node").mapInArrow(compare, "a long, b long")
+
+
+def batches_with_end(batches):
+    yield from batches
+    yield None
+
+
 def _union_find(n: int):
     parent = list(range(n))
 
@@ -185,42 +324,40 @@ def forest(sets: list[np.ndarray], pct: int, split: int | None = None) -> list[t
     return edges
 
 
-def link_components(docs: DataFrame, k: int = 4, pct: int = 85, rare: int = RARE, block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs.
-
-    Rows whose k-word shingle sets have a Jaccard similarity of pct % or more
-    are linked; component_id is the smallest doc_id that links reach. An empty
-    or null text has no shingles and is its own component. Repeated rows have
-    equal sets and share a component; a null doc_id never names one unless
-    nothing else does.
+def linked_sets(docs: DataFrame, k: int = 4, pct: int = 85, rare: int = RARE, block: int = BLOCK, group: int = GROUP) -> DataFrame:
+    """(node, component) of the distinct shingle sets that have a link to another one.
 
     1. Equal sets become one node, so groups of copies cost one row each.
     2. Shingles are counted over all nodes; most occur once and end there.
     3. Prefixes give signatures (see ``signatures``); sets that share none can't link.
-    4. Nodes joined by signatures are verified together, a pair of blocks of
-       bounded size at a time, and only a spanning forest of the links leaves the task.
+    4. Pairs that share one are compared by size and sketch, which rejects
+       nearly all that don't link and none that do (see ``candidate_edges``).
+    5. What is left is connected nearly as closely as links are. Its groups are
+       verified exactly, a pair of blocks of bounded size at a time, and only
+       a spanning forest of the links leaves the task.
     """
     lean_batches(docs.sparkSession)
-    nodes = checkpointed(set_profiles(docs, k, pct).groupBy("node", "n", "counted").agg(F.first("toks").alias("toks")))
-    tokens = nodes.select("node", F.explode("toks").alias("tok"))
+    nodes = checkpointed(set_profiles(docs, k, pct).groupBy("node", "n", "counted").agg(F.first("toks").alias("toks"), F.first("sketch").alias("sketch")))
+    # another set differs by a shingle at least, so small sets have no link
+    apart = nodes.where(F.col("n") * (100 - pct) >= pct)
+    tokens = apart.select("node", F.explode("toks").alias("tok"))
     df = tokens.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
     repeated = tokens.join(df, "tok").groupBy("node").agg(F.collect_list(F.struct("tok", "df")).alias("own"))
-    prefixes = repeated.join(nodes.select("node", "n", "counted"), "node")
-    sigs = signatures(prefixes, pct, rare)
-    pairs = checkpointed(sigs)
-    first = pairs.groupBy("sig").agg(F.min("node").alias("low"), F.count("*").alias("m")).where("m > 1")
-    edges = pairs.join(first, "sig").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    groups = checkpointed(connected_components(edges).join(nodes.select("node", "n"), "node"))
+    prefixes = repeated.join(apart.select("node", "n", "counted"), "node")
+    postings = checkpointed(signatures(prefixes, pct, rare))
+    groups = checkpointed(connected_components(candidate_edges(postings, nodes, pct, group)).join(nodes.select("node", "n"), "node"))
 
     # Blocks: a group's nodes are dealt by size, so that blocks too different in size never meet.
-    many = groups.groupBy("component").agg(F.sum("n").alias("m"))
+    many = checkpointed(groups.groupBy("component").agg(F.sum("n").alias("m"), F.count("*").alias("nodes")))
+    large = many.where(F.col("m") > block)
+    single = join_spread(groups, many.where(F.col("m") <= block).select("component", "nodes"), "component", "nodes", F.col("node"))
     step = math.log(100 / pct)
-    placed = groups.join(many, "component").withColumn("band", F.floor(F.log("n") / F.lit(step) + 1e-9))
-    inband = placed.groupBy("component", "band").agg(F.sum("n").alias("in_band"))
-    placed = placed.join(inband, ["component", "band"])
-    placed = placed.withColumn("slots", F.ceil(F.col("in_band") / F.lit(block))).withColumn("slot", F.pmod(F.xxhash64("node"), F.col("slots")))
-    single = F.col("m") <= F.lit(block)
-    blocks = placed.where(~single).select("component", "band", "slot").distinct()
+    placed = join_spread(groups, large.select("component", "nodes"), "component", "nodes", F.col("node")).withColumn("band", F.floor(F.log("n") / F.lit(step) + 1e-9))
+    placed = checkpointed(placed.withColumn("key", F.struct("component", "band")))
+    inband = placed.groupBy("key").agg(F.sum("n").alias("in_band"), F.count("*").alias("nodes"))
+    placed = join_spread(placed, inband, "key", "nodes", F.col("node")).withColumn("slot", F.pmod(F.xxhash64("node"), F.ceil(F.col("in_band") / F.lit(block))))
+    placed = checkpointed(placed.select("node", "component", "band", "slot"))
+    blocks = placed.select("component", "band", "slot").distinct()
     other = blocks.select("component", F.col("band").alias("band2"), F.col("slot").alias("slot2"))
     meets = (F.col("band2") == F.col("band")) & (F.col("slot2") >= F.col("slot")) | (F.col("band2") == F.col("band") + 1)
     tasks = blocks.join(other, "component").where(meets)
@@ -228,18 +365,39 @@ def link_components(docs: DataFrame, k: int = 4, pct: int = 85, rare: int = RARE
     two = F.concat_ws(":", "component", "band2", "slot2")
     tasks = tasks.select(one.alias("x"), two.alias("y"), F.concat_ws("|", one, two).alias("task"))
     sides = tasks.select(F.col("x").alias("block"), "task", F.lit(0).alias("side")).union(tasks.where("x <> y").select(F.col("y").alias("block"), "task", F.lit(1).alias("side")))
-    work = placed.where(~single).withColumn("block", one).join(sides, "block").select("node", "task", "side")
-    work = work.union(placed.where(single).select("node", F.col("component").cast("string").alias("task"), F.lit(0).alias("side")))
-    work = checkpointed(work)
+    work = placed.select("node", one.alias("block")).join(sides, "block").select("node", "task", "side")
+    work = checkpointed(work.union(single.select("node", F.col("component").cast("string").alias("task"), F.lit(0).alias("side"))))
 
-    sets = candidate_sets(docs, groups.select("node"), k).dropDuplicates(["node"])
+    sets = candidate_sets(docs, groups.select("node"), k, filter_size(groups.count())).dropDuplicates(["node"])
     verified = work.join(sets, "node").groupBy("task").applyInArrow(lambda t: _verify(t, pct), "a long, b long")
-    linked = connected_components(verified)
-    small = set_keys(docs, k)
-    parts = small.join(linked, "node", "left").withColumn("part", F.when(F.col("n") > 0, F.coalesce("component", "node")))
-    lowest = parts.where("n > 0").groupBy("part").agg(F.min("doc_id").alias("lowest"))
-    out = parts.join(lowest, "part", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("lowest")).otherwise(F.col("doc_id")).alias("component_id"))
+    return connected_components(verified)
+
+
+def components_of_sets(keys: DataFrame, linked: DataFrame) -> DataFrame:
+    """(node, rows, doc_id, keeper): of the sets of keys (doc_id, n, node) with several rows or a link, how many rows each has,
+    the smallest doc_id of its component, and the least set of the component with it. A null doc_id is the smallest of none but nulls."""
+    held = keys.where("n > 0").groupBy("node").agg(F.count("*").alias("rows"), F.min("doc_id").alias("own"))
+    both = checkpointed(held.join(linked, "node", "left").where("rows > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "node")))
+    lowest = both.groupBy("component").agg(F.min(F.when(F.col("own").isNotNull(), F.struct("own", "node"))).alias("low"), F.count("*").alias("nodes"))
+    out = join_spread(both, lowest, "component", "nodes", F.col("node"))
+    return checkpointed(out.select("node", "rows", F.col("low.own").alias("lowest"), F.col("low.node").alias("keeper")))
+
+
+def link_components(docs: DataFrame, k: int = 4, pct: int = 85, rare: int = RARE, block: int = BLOCK, group: int = GROUP) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of docs.
+
+    Rows whose k-word shingle sets have a Jaccard similarity of pct % or more
+    are linked; component_id is the smallest doc_id that links reach. An empty
+    or null text has no shingles and is its own component. Repeated rows have
+    equal sets and share a component; a null doc_id never names one unless
+    nothing else does. Words and texts may be of any length; other columns of
+    docs aren't read. See ``linked_sets`` for the method.
+    """
+    linked = linked_sets(docs, k, pct, rare, block, group)
+    keys = checkpointed(set_keys(docs, k))
+    found = components_of_sets(keys, linked)
+    out = join_spread(keys, found, "node", "rows", F.col("doc_id"), "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("keeper").isNotNull(), F.col("lowest")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def _verify(table: pa.Table, pct: int) -> pa.Table:
@@ -253,29 +411,7 @@ def _verify(table: pa.Table, pct: int) -> pa.Table:
     return pa.table({"a": pa.array(node[[i for i, _ in edges]] if edges else [], pa.int64()), "b": pa.array(node[[j for _, j in edges]] if edges else [], pa.int64())})
 
 
-def bloom_of(nodes: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """A Bloom filter of bounded size over the first column of nodes, 64-bit hashes, made in the tasks and merged by words."""
-
-    def build(batches):
-        out = np.zeros(bits // 8, np.uint8)
-        for batch in batches:
-            set_bits(out, bloom_slots(batch.column(0).to_numpy().view(np.uint64), bits, 3))
-        at = np.flatnonzero(out.view(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out.view(np.uint64)[at].view(np.int64))], names=["at", "word"])
-
-    words = nodes.coalesce(64).mapInArrow(build, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word"))
-    found = np.zeros(bits // 64, np.uint64)
-
-    def pack(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_numpy().tobytes()]), pa.array([batch.column(1).to_numpy().tobytes()])], names=["at", "word"])
-
-    for row in words.mapInArrow(pack, "at binary, word binary").toLocalIterator():
-        found[np.frombuffer(row.at, np.int64)] = np.frombuffer(row.word, np.uint64)
-    return found.view(np.uint8)
-
-
-def candidate_sets(docs: DataFrame, nodes: DataFrame, k: int, bits: int = FILTER_BITS) -> DataFrame:
+def candidate_sets(docs: DataFrame, nodes: DataFrame, k: int, bits: int) -> DataFrame:
     """(node, shingles) of the rows of docs whose sets may be among nodes, by a Bloom filter of bounded size."""
 
     sent = docs.sparkSession.sparkContext.broadcast(bloom_of(nodes, bits))
@@ -304,29 +440,31 @@ def near_duplicate_digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, pct: int = 80) -> DataFrame:
-    """The rows of docs without near duplicates: of each component the row of its smallest doc_id stays.
+    """The rows of docs without near duplicates: of each component of linked texts one row of its smallest doc_id stays.
 
-    Of rows that repeat a doc_id one stays. Documents without shingles, and those without doc_id, stay.
+    Rows are judged by their texts: of rows that repeat a doc_id with other
+    texts each belongs to its own component. Rows without shingles stay, and so
+    do those without doc_id. Other columns pass through, whatever their names.
     Rows whose id is surely not among those to look at, by a Bloom filter,
     pass on as they are; only the others' texts are shuffled for the exact join.
     """
-    found = checkpointed(link_components(docs, k, pct).where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("component_id").alias("component_id")))
-    doubtful = found.where("rows > 1 or doc_id <> component_id").select(F.xxhash64("doc_id").alias("node"))
-    sent = docs.sparkSession.sparkContext.broadcast(bloom_of(doubtful))
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("__keep"))
-    keyed = docs.withColumn("__h", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")))
-    at = len(docs.columns)
-
-    def part(wanted: bool):
-        def rows(batches):
-            for batch in batches:
-                h = batch.column(at)
-                known = np.asarray(h.is_valid())
-                hit = all_bits(sent.value, bloom_slots(h.fill_null(0).to_numpy().view(np.uint64), FILTER_BITS, 3)) & known
-                yield batch.filter(pa.array(hit == wanted))
-
-        return keyed.mapInArrow(rows, keyed.schema).drop("__h")
-
-    suspects = part(True)
-    kept = suspects.join(keep, suspects["doc_id"] == keep["__keep"], "left_semi").dropDuplicates(["doc_id"])
-    return part(False).unionByName(kept)
+    keys = checkpointed(set_keys(docs, k))
+    found = components_of_sets(keys, linked_sets(docs, k, pct))
+    stays = (F.col("doc_id") == F.col("lowest")) & (F.col("node") == F.col("keeper"))
+    looked = join_spread(keys.where("doc_id IS NOT NULL AND n > 0"), found, "node", "rows", F.col("doc_id"))
+    ident, node, place, stay, tag = free_names(docs, "ident", "node", "place", "stay", "tag")
+    looked = checkpointed(looked.select(F.col("doc_id").alias(ident), F.col("node").alias(place), stays.alias(stay)).distinct())
+    suspects, others = parted(docs, column("doc_id"), looked.select(F.xxhash64(ident)), filter_size(looked.count()))
+    text, names = docs.columns.index("text"), [*docs.columns, node]
+
+    def identify(batches):
+        for batch in pieces(batches, text):
+            s, start = shingle_sets(batch.column(text), k)
+            empty = np.diff(start) == 0
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(set_identity(s, start).view(np.int64), mask=empty)], names=names)
+
+    known = suspects.mapInArrow(identify, with_fields(docs, (node, "long")))
+    judged = known.join(looked, (column("doc_id") == F.col(ident)) & (F.col(node) == F.col(place)), "left").where(F.coalesce(stay, F.lit(True)))
+    # where a row stays for its component, one does; rows of no component all do
+    once = judged.withColumn(tag, F.when(F.col(stay), F.lit(-1).cast("long")).otherwise(F.monotonically_increasing_id()))
+    return others.unionByName(once.dropDuplicates([ident, place, tag]).select(*columns(docs)))

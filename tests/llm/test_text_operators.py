@@ -121,10 +121,48 @@ def test_line_dedup_matches_brute_force(docs_of):
         assert (out[i].n_lines, out[i].n_dropped, out[i].kept_sha256) == (len(lines), len(lines) - len(kept), sha("\n".join(kept)))
 
 
-def test_line_dedup_with_a_full_filter(docs_of):
-    texts = [f"a line that five documents have, {'x' * 30}\nown line {i}" for i in range(6)]
-    got = {r.doc_id: r.text for r in linededup.dedup_lines(docs_of(texts), bits=1 << 10).collect()}
-    assert got == {i: (texts[i] if i == 5 else f"own line {i}") for i in range(6)}
+@pytest.mark.parametrize("options", [{"most_bits": 1 << 10}, {"most_keys": 0}, {"most_bits": 1 << 10, "most_keys": 0}])
+def test_line_dedup_with_a_full_filter_and_without_broadcast(docs_of, options):
+    texts = [f"a line that five documents have, {'x' * 30}\nown line {i}" for i in range(6)] + ["alone", None, "a line of its own that has more than forty code points"]
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(docs_of(texts), **options).collect()}
+    assert got == {i: (t if i >= 5 else f"own line {i}") for i, t in enumerate(texts)}
+
+
+def thue_morse(n, a, b):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+@pytest.mark.parametrize("size", [64, 1024, 4096])
+def test_lines_and_words_that_fool_polynomial_hashes(docs_of, size):
+    one, other = thue_morse(size, "a", "b"), thue_morse(size, "b", "a")
+    lines = rows(linededup.line_digest(docs_of([one] * 5 + [other] * 5)))
+    assert [lines[i].n_dropped for i in range(10)] == [1, 1, 1, 1, 0] * 2
+    docs = docs_of([one, other, f"x {one} y z", f"x {other} y z"])
+    assert {i: r.component_id for i, r in rows(ngramjoin.near_duplicate_digest(docs)).items()} == {i: i for i in range(4)}
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.binary(max_size=40), max_size=12))
+def test_span_hashes_know_spans_by_their_bytes_alone(spans):
+    data = np.frombuffer(b"".join(spans) + b"tail", np.uint8)
+    ends = np.cumsum([len(x) for x in spans]).astype(np.int64)
+    h = kernels.span_hashes(data, ends - np.array([len(x) for x in spans], np.int64), ends, 5)
+    assert all((h[i] == h[j]) == (spans[i] == spans[j]) for i in range(len(spans)) for j in range(i))
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 60), min_size=1, max_size=50), min_size=2, max_size=8))
+def test_sketches_reject_no_pair_that_links(sets):
+    import pyarrow as pa
+
+    flat = [np.sort(kernels.mix(np.array(sorted(x), np.uint64))) for x in sets]
+    at = np.concatenate([[0], np.cumsum([len(x) for x in flat])])
+    bits, start = ngramjoin.sketches(np.concatenate(flat), at)
+    made = ngramjoin.Sketches(pa.array([bits[a:b].tobytes() for a, b in zip(start[:-1], start[1:], strict=True)]), np.diff(at))
+    i, j = np.triu_indices(len(sets), 1)
+    near = made.near(i, j, 85)
+    for a, b, maybe in zip(i.tolist(), j.tolist(), near.tolist(), strict=True):
+        assert maybe or 100 * len(sets[a] & sets[b]) < 85 * len(sets[a] | sets[b])
 
 
 def brute_components(texts, k, pct):
@@ -141,8 +179,8 @@ def brute_components(texts, k, pct):
     return sets, part
 
 
-@pytest.mark.parametrize("block", [1 << 20, 400])
-def test_jaccard_components_match_brute_force(docs_of, block):
+@pytest.mark.parametrize(("block", "group"), [(1 << 20, 4096), (400, 5)])
+def test_jaccard_components_match_brute_force(docs_of, block, group):
     rng = random.Random(11)
     base = [[f"w{rng.randint(0, 400)}" for _ in range(rng.choice([3, 6, 30, 90, 200]))] for _ in range(12)]
     texts = []
@@ -154,10 +192,18 @@ def test_jaccard_components_match_brute_force(docs_of, block):
     texts += ["", None, "one", "ONE", texts[0].upper()]
     for k, pct in ((4, 85), (5, 80)):
         sets, part = brute_components(texts, k, pct)
-        out = rows(ngramjoin.link_components(docs_of(texts), k, pct, rare=3, block=block))
+        out = rows(ngramjoin.link_components(docs_of(texts), k, pct, rare=3, block=block, group=group))
         assert {i: (r.n_shingles, r.component_id) for i, r in out.items()} == {i: (len(s), part[i]) for i, s in enumerate(sets)}
 
 
+def test_one_row_of_each_component_stays(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    made = [(5, a), (5, b), (3, b + " end"), (7, a), (7, a), (9, "x"), (9, "x"), (None, a), (4, None), (4, None), (8, ""), (2, "other words that nothing else has here")]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    kept = sorted((tuple(r) for r in ngramjoin.keep_one_of_each(docs).collect()), key=repr)
+    assert kept == sorted([(5, a), (3, b + " end"), (9, "x"), (None, a), (4, None), (4, None), (8, ""), made[-1]], key=repr)
+
+
 def test_prefixes_of_linked_sets_share_a_signature():
     for n in range(1, 400):
         for pct in (80, 85):
