@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,7 +51,7 @@ def prefix_length(n: np.ndarray, pct: int) -> np.ndarray:
 def sketches(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A parity sketch of each set: 64-bit words, set after set, and where each set's begin.
 
-    A set of n shingles has a power of two of bits, n or some more, and each
+    A set of n shingles has a power of two of bits, n / 2 or some more, and each
     shingle flips one. Two sets that differ in k shingles have sketches that
     differ in k bits at most, and folding the upper half of a sketch on the
     lower gives the sketch of half the bits.
@@ -66,12 +67,12 @@ def sketches(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch_words(n: np.ndarray) -> np.ndarray:
-    return 1 << np.ceil(np.log2(np.maximum(n, 1) / 64)).clip(0).astype(np.int64)
+    return 1 << np.ceil(np.log2(np.maximum(n, 1) / 128)).clip(0).astype(np.int64)
 
 
 def set_profiles(docs: DataFrame, k: int, pct: int) -> DataFrame:
     """(node, n, counted, toks, sketch) of every row with shingles: its set's identity and size, the shingles a prefix
-    may hold (all counted ones, then as many others, by hash, as the prefix length asks for), and its parity sketch."""
+    may hold (all counted ones, then as many others, by hash, as the prefix length asks for), and its size and parity sketch in one."""
     limit = np.uint64(hash_limit(pct))
 
     def profile(batches):
@@ -86,7 +87,11 @@ def set_profiles(docs: DataFrame, k: int, pct: int) -> DataFrame:
             inside = np.arange(len(s)) - np.repeat(at[:-1], n)
             toks = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]).astype(np.int32)), pa.array(s[inside < np.repeat(take, n)].view(np.int64)))
             bits, start = sketches(s, at)
-            sketch = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((start * 8).astype(np.int32).tobytes()), pa.py_buffer(bits.tobytes())])
+            head = start + np.arange(len(start))
+            packed = np.empty(head[-1], np.uint64)
+            packed[head[:-1]] = n
+            packed[np.delete(np.arange(head[-1]), head[:-1])] = bits
+            sketch = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((head * 8).astype(np.int32).tobytes()), pa.py_buffer(packed.tobytes())])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(counted.astype(np.int32)), toks, sketch],
                 names=["node", "n", "counted", "toks", "sketch"],
@@ -176,13 +181,13 @@ def _root(parent: np.ndarray) -> np.ndarray:
 
 
 class Sketches:
-    """The sketches of a batch of sets, compared in pairs."""
+    """The sizes and sketches of a batch of sets, compared in pairs."""
 
-    def __init__(self, column: pa.Array, n: np.ndarray):
-        self.n, self.words = n, sketch_words(n)
-        values = column.to_pylist()
-        self.flat = np.frombuffer(b"".join(values), np.uint64)
-        self.start = np.concatenate([[0], np.cumsum(self.words)])[:-1]
+    def __init__(self, column: pa.Array):
+        self.flat = np.frombuffer(b"".join(column.to_pylist()), np.uint64)
+        size = pa.compute.binary_length(column).to_numpy().astype(np.int64) // 8
+        self.start = np.cumsum(size) - size + 1
+        self.words, self.n = size - 1, self.flat[self.start - 1].astype(np.int64)
 
     def _of(self, i: np.ndarray, words: int) -> np.ndarray:
         """Sketches of sets i, folded to so many words."""
@@ -250,9 +255,11 @@ def candidate_edges(postings: DataFrame, nodes: DataFrame, pct: int, group: int
     held = postings.groupBy("sig").agg(F.count("*").alias("m"), *marks).where("m > 1").groupBy("m", "mark1", "mark2").agg(F.min("sig").alias("sig"))
     many = checkpointed(held.select("sig", "m", F.ceil(F.col("m") / group).cast("int").alias("parts")))
     met = join_spread(postings, many, "sig", "m", F.col("node"))
-    met = met.join(nodes.select("node", "n", "sketch"), "node").withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int"))
+    met = met.join(nodes.select("node", "sketch"), "node").withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = met.select("sig", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "node", "n", "part", "sketch")
+    # the two parts of a task and the row's own in one number
+    place = F.least("part", "other").cast("long") * (1 << 42) + F.greatest("part", "other") * (1 << 21) + F.col("part")
+    rows = met.select("sig", place.alias("place"), "node", "sketch")
 
     def compare(batches):
         kept = None
@@ -261,19 +268,21 @@ def candidate_edges(postings: DataFrame, nodes: DataFrame, pct: int, group: int
                 kept = batch if kept is None else pa.concat_batches([kept, batch])
             if kept is None or not kept.num_rows:
                 continue
-            sig, low, high = (kept.column(k).to_numpy() for k in range(3))
-            change = np.concatenate([[0], np.cumsum((sig[1:] != sig[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]))])
+            sig, place = (kept.column(k).to_numpy() for k in range(2))
+            task = place >> 21
+            change = np.concatenate([[0], np.cumsum((sig[1:] != sig[:-1]) | (task[1:] != task[:-1]))])
             # the last task may go on in the next batch
             cut = int(np.searchsorted(change, change[-1])) if batch is not None else len(change)
             if not cut:
                 continue
             now, kept = kept.slice(0, cut), kept.slice(cut)
-            node, n, part = (now.column(k).to_numpy() for k in (3, 4, 5))
+            node, own = now.column(2).to_numpy(), place[:cut] & ((1 << 21) - 1)
             # of two parts, the pairs within one are compared elsewhere
-            edges = np.array(near_pairs(change[:cut], part, (low != high)[:cut], Sketches(now.column(6), n), pct), np.int64).reshape(-1, 2)
+            across = (task >> 21 != task & ((1 << 21) - 1))[:cut]
+            edges = np.array(near_pairs(change[:cut], own, across, Sketches(now.column(3)), pct), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(node[edges[:, 0]]), pa.array(node[edges[:, 1]])], names=["a", "b"])
 
-    return rows.repartition("sig", "low", "high").sortWithinPartitions("sig", "low", "high", "node").mapInArrow(compare, "a long, b long")
+    return rows.repartition("sig", F.shiftright("place", 21)).sortWithinPartitions("sig", "place", "node").mapInArrow(compare, "a long, b long")
 
 
 def batches_with_end(batches):

@@ -158,7 +158,7 @@ def test_sketches_reject_no_pair_that_links(sets):
     flat = [np.sort(kernels.mix(np.array(sorted(x), np.uint64))) for x in sets]
     at = np.concatenate([[0], np.cumsum([len(x) for x in flat])])
     bits, start = ngramjoin.sketches(np.concatenate(flat), at)
-    made = ngramjoin.Sketches(pa.array([bits[a:b].tobytes() for a, b in zip(start[:-1], start[1:], strict=True)]), np.diff(at))
+    made = ngramjoin.Sketches(pa.array([np.uint64(len(x)).tobytes() + bits[a:b].tobytes() for x, a, b in zip(sets, start[:-1], start[1:], strict=True)]))
     i, j = np.triu_indices(len(sets), 1)
     near = made.near(i, j, 85)
     for a, b, maybe in zip(i.tolist(), j.tolist(), near.tolist(), strict=True):
