@@ -28,6 +28,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that this program wrote, wherever Spark can reach it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def column(name: str) -> Column:
     """The column of this very name, whatever characters it has."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -69,6 +75,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def map_rows(df: DataFrame, work, schema: StructType) -> DataFrame:
+    """df.mapInArrow(work, schema), for columns of any names: the batches' own names are plain numbers."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(work, schema)
+
+
 #: A key that this share of all rows holds, or more, is hot; so there are so many hot keys at most.
 HOT_KEYS = 64
 
@@ -81,12 +92,13 @@ def join_spread(rows: DataFrame, table: DataFrame, on: str, weight: str, spread:
     salt from ``spread``, any column that differs among them; the table's rows
     of these keys are repeated for each salt. Every row is shuffled once.
     """
-    total = table.agg(F.sum(weight).alias("__total"))
-    hot = table.crossJoin(F.broadcast(total)).where(F.col(weight) * HOT_KEYS >= F.col("__total")).select(on, F.lit(HOT_KEYS).alias("__salts"))
-    salt = F.coalesce(F.pmod(F.xxhash64(spread), F.col("__salts")), F.lit(0)).cast("int")
-    salted = rows.join(F.broadcast(hot), on, "left").withColumn("__salt", salt).drop("__salts")
-    repeated = table.crossJoin(F.broadcast(total)).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.when(F.col(weight) * HOT_KEYS >= F.col("__total"), HOT_KEYS - 1).otherwise(0))))
-    return salted.join(repeated.drop("__total", weight), [on, "__salt"], how).drop("__salt")
+    salts, salt, total = free_names(rows, "salts", "salt", "total")
+    sums = F.broadcast(table.agg(F.sum(weight).alias(total)))
+    is_hot = F.col(weight) * HOT_KEYS >= F.col(total)
+    hot = table.crossJoin(sums).where(is_hot).select(on, F.lit(HOT_KEYS).alias(salts))
+    salted = rows.join(F.broadcast(hot), on, "left").withColumn(salt, F.coalesce(F.pmod(F.xxhash64(spread), F.col(salts)), F.lit(0)).cast("int")).drop(salts)
+    repeated = table.crossJoin(sums).withColumn(salt, F.explode(F.sequence(F.lit(0), F.when(is_hot, HOT_KEYS - 1).otherwise(0)))).drop(total, weight)
+    return salted.join(repeated, [on, salt], how).drop(salt)
 
 
 #: Edges that a task of the component search takes, about.
@@ -193,6 +205,6 @@ def parted(docs: DataFrame, key: Column, wanted: DataFrame, bits: int) -> tuple[
                 hit = all_bits(sent.value, bloom_slots(h.fill_null(0).to_numpy().view(np.uint64), bits, 3)) & np.asarray(h.is_valid())
                 yield pa.RecordBatch.from_arrays(batch.columns[:at], names=names).filter(pa.array(hit == inside))
 
-        return keyed.mapInArrow(rows, docs.schema)
+        return map_rows(keyed, rows, docs.schema)
 
     return part(True), part(False)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+import re
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, lean_batches
+from .common import checkpointed, columns, filter_size, free_names, join_spread, lean_batches, map_rows, parted, with_fields
 from .kernels import pieces, words
 
 #: Most item words of one automaton: about 2 states a word, some 100 MB in a worker at this size.
@@ -131,48 +135,96 @@ def _shards(benchmark: DataFrame, shard_words: int):
     yield shard
 
 
+_BUILT: dict[str, Automaton] = {}
+
+
+def automaton_of(key: str, items: list[tuple[object, list[bytes]]], window: int) -> Automaton:
+    """The automaton of a shard, built once in a worker process and kept until another is asked for."""
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = Automaton(items, window)
+    return _BUILT[key]
+
+
+SPANS = "array<struct<a:int,b:int>>"
+
+
+def _scan_with(spark, shard, window: int):
+    """A function from a text to its number of words, its spans and the ids of its items as strings."""
+    sent, key = spark.sparkContext.broadcast(shard), uuid.uuid4().hex
+
+    def scan(text: str | None):
+        automaton = automaton_of(key, sent.value, window)
+        seq = words((text or "").encode())
+        hits, found = automaton.scan(seq)
+        return len(seq), hits, sorted({str(i) if i is not None else "null" for i in (automaton.ids[k] for k in found)})
+
+    return scan
+
+
+def _spans(found: list[list[tuple[int, int]]]) -> pa.Array:
+    return pa.array([[{"a": a, "b": b} for a, b in x] for x in found], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """The rows of docs with ``__n_words``, ``__spans`` (hit word intervals) and ``__items`` (found item ids as strings).
+    """docs with ``n_words``, ``spans`` (hit word intervals) and ``items`` (found item ids as strings) at the end.
 
     The benchmark is read in shards of at most ``shard_words`` words, so what a
-    worker holds is bounded however large the benchmark is; with more than one
-    shard the documents pass through them one after the other.
-    Null or empty texts have no words; repeated rows are judged row by row;
-    null item ids count as the string "null".
+    worker holds is bounded however large the benchmark is. One shard is one
+    scan. With more, each scan gives the spans of the texts it hits, and these
+    are joined to the documents by a hash of their text; of the documents'
+    texts only those move that a filter suspects of a hit.
+
+    Null or empty texts have no words; texts may be of any length; repeated
+    rows have equal results; null item ids count as the string "null". Other
+    columns pass through, whatever their names; an added column whose name is
+    taken has underscores at its end.
     """
-    sc = docs.sparkSession.sparkContext
-    lean_batches(docs.sparkSession)
-    out = docs.withColumn("__n_words", F.lit(0).cast("long")).withColumn("__spans", F.expr("cast(array() as array<struct<a:int,b:int>>)")).withColumn("__items", F.expr("cast(array() as array<string>)"))
-    at = len(docs.columns)
-    text_at = docs.columns.index("text")
-    pending = False
-    for shard in _shards(benchmark, shard_words):
-        if pending:
-            out = checkpointed(out)
-        pending = True
-        sent = sc.broadcast(shard)
-        schema = out.schema
-
-        def scan(batches, sent=sent):
-            automaton = Automaton(sent.value, window)
-            names = [str(i) if i is not None else "null" for i in automaton.ids]
-            for batch in pieces(batches, text_at):
-                n, spans, items = [], [], []
-                for text, was, had in zip(batch.column(text_at), batch.column(at + 1), batch.column(at + 2), strict=True):
-                    seq = words((text.as_py() or "").encode())
-                    hits, found = automaton.scan(seq)
-                    n.append(len(seq))
-                    spans.append(union_spans([(s["a"], s["b"]) for s in was.as_py()], hits))
-                    items.append(sorted({*had.as_py(), *(names[k] for k in found)}))
-                columns = batch.columns[:at] + [
-                    pa.array(n, pa.int64()),
-                    pa.array([[{"a": a, "b": b} for a, b in s] for s in spans], batch.column(at + 1).type),
-                    pa.array(items, batch.column(at + 2).type),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-
-        out = out.mapInArrow(scan, schema)
-    return out
+    spark = docs.sparkSession
+    lean_batches(spark)
+    names = free_names(docs, "n_words", "spans", "items")
+    schema = with_fields(docs, (names[0], "long"), (names[1], SPANS), (names[2], "array<string>"))
+    out_names, at, width = [*docs.columns, *names], docs.columns.index("text"), len(docs.columns)
+    shards = _shards(benchmark, shard_words)
+    first, second = next(shards), next(shards, None)
+    if second is None:
+        look = _scan_with(spark, first, window)
+
+        def scan(batches):
+            for batch in pieces(batches, at):
+                n, spans, items = zip(*[look(t.as_py()) for t in batch.column(at)], strict=True)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), _spans(spans), pa.array(items, pa.list_(pa.string()))], names=out_names)
+
+        return map_rows(docs, scan, schema)
+
+    # a text's hits follow from the text, so a text's hash stands for its rows
+    texts, hits = docs.select(F.sha2("text", 256).alias("key"), "text").where("text IS NOT NULL"), None
+    for shard in itertools.chain([first, second], shards):
+        look = _scan_with(spark, shard, window)
+
+        def scan_hits(batches, look=look):
+            for batch in pieces(batches, 1):
+                found = [look(t.as_py()) for t in batch.column(1)]
+                keep = [i for i, x in enumerate(found) if x[1]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), _spans([found[i][1] for i in keep]), pa.array([found[i][2] for i in keep], pa.list_(pa.string()))], names=["key", "spans", "items"])
+
+        one = checkpointed(texts.mapInArrow(scan_hits, f"key string, spans {SPANS}, items array<string>").groupBy("key").agg(F.first("spans").alias("spans"), F.first("items").alias("items"), F.count("*").alias("rows")))
+        hits = one if hits is None else hits.unionByName(one)
+    key, spans, items = free_names(docs, "key", "span_lists", "item_lists")
+    found = checkpointed(hits.groupBy(F.col("key").alias(key)).agg(F.collect_list("spans").alias(spans), F.collect_list("items").alias(items), F.max("rows").alias("rows")))
+    touched, others = parted(docs, F.sha2("text", 256), found.select(F.xxhash64(key)), filter_size(found.count()))
+
+    def finish(batches):
+        for batch in pieces(batches, at):
+            n = [len(words((t.as_py() or "").encode())) for t in batch.column(at)]
+            lists = list(zip(*[c.to_pylist() for c in batch.columns[width:]], strict=True)) or [(None, None)] * batch.num_rows
+            merged = [functools.reduce(union_spans, ([(s["a"], s["b"]) for s in one] for one in x or []), []) for x, _ in lists]
+            ids = [sorted({i for one in y or [] for i in one}) for _, y in lists]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(n, pa.int64()), _spans(merged), pa.array(ids, pa.list_(pa.string()))], names=out_names)
+
+    keyed = touched.withColumn(key, F.sha2("text", 256))
+    joined = join_spread(keyed, found, key, "rows", F.monotonically_increasing_id(), "left").select(*columns(docs), spans, items)
+    return map_rows(joined, finish, schema).union(map_rows(others, finish, schema))
 
 
 def union_spans(x: list[tuple[int, int]], y: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -194,13 +246,13 @@ def contamination_digest(docs: DataFrame, benchmark: DataFrame, window: int = 13
     ``coverage`` of its words.
     """
     found = find_contamination(docs.select("doc_id", "text"), benchmark, window)
-    n_hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda s, x: s + (x.b - x.a))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + (x.b - x.a))
     return found.select(
         "doc_id",
-        F.col("__n_words").alias("n_words"),
+        "n_words",
         n_hit.alias("n_hit"),
-        F.size("__items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("__items", ","), 256).alias("items_sha256"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
     ).withColumn("contaminated", (F.col("n_hit") > 0) & (coverage * F.col("n_hit") >= F.col("n_words")))
 
 
@@ -210,17 +262,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, cover
     Documents without any hit keep their texts unchanged. Where some words are
     hit, but too few to reject the document, the text from the first to the
     last character of each hit interval is removed and n_chars, where there is one, brought up to date.
+    Nulls, odd texts and other columns are as ``find_contamination`` says.
     """
     found = find_contamination(docs, benchmark, window)
-    n_hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda s, x: s + (x.b - x.a))
-    kept = found.where(~((n_hit > 0) & (coverage * n_hit >= F.col("__n_words"))))
+    n_words, spans, _ = free_names(docs, "n_words", "spans", "items")
+    n_hit = F.aggregate(spans, F.lit(0).cast("long"), lambda s, x: s + (x.b - x.a))
+    kept = found.where(~((n_hit > 0) & (coverage * n_hit >= F.col(n_words))))
     names = docs.columns
     length_at = names.index("n_chars") if "n_chars" in names else None
     text_at, at = names.index("text"), len(names)
 
     def cut(batches):
-        import re
-
         word = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
         for batch in pieces(batches, text_at):
             texts = batch.column(text_at).to_pylist()
@@ -238,4 +290,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, cover
             columns[text_at] = pa.array(texts, columns[text_at].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return kept.mapInArrow(cut, docs.schema)
+    return map_rows(kept, cut, docs.schema)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lean_batches
+from .common import column, columns, free_names, lean_batches, map_rows, with_fields
 from .kernels import pieces
 
 #: Runs of anything that is no letter part words; a word is padded by one space at both ends.
@@ -18,7 +18,7 @@ _GAPS = re.compile(r"[\W\d_]+")
 TOP = 400
 #: Training documents of a language, about, at most.
 SAMPLE = 20_000
-#: Languages at most; more raise.
+#: Languages at most, those of most documents: profiles are broadcast.
 MAX_LANGUAGES = 1000
 
 
@@ -82,9 +82,7 @@ def learn(train: DataFrame, top: int = TOP, sample: int = SAMPLE) -> dict[str, l
     """
     lean_batches(train.sparkSession)
     rows = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
     if not sizes:
         return {}
     shares = [(r.lang, min((1 << 63) - 1, int((min(1.0, sample / r.n) * 2 - 1) * (1 << 63)))) for r in sizes]
@@ -110,21 +108,25 @@ def learn(train: DataFrame, top: int = TOP, sample: int = SAMPLE) -> dict[str, l
 
 
 def identify(docs: DataFrame, profiles: dict[str, list[int]], top: int = TOP) -> DataFrame:
-    """docs with ``__lang`` and ``__score``; ``und`` and 0 where the text is null or has no letter."""
-    at = docs.columns.index("text")
+    """docs with ``lang_pred`` and ``score`` at the end; ``und`` and 0 where the text is null or has no letter.
+
+    Whole texts of any length count; repeated rows are judged alike, and equal
+    distances go to the first language by name. Other columns pass through,
+    whatever their names; if docs has a column ``lang_pred`` or ``score``, the
+    added one has underscores at its end.
+    """
+    at, names = docs.columns.index("text"), free_names(docs, "lang_pred", "score")
     lean_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(profiles)
-    out = docs.withColumns({"__lang": F.lit("").cast("string"), "__score": F.lit(0.0)})
+    out_names = [*docs.columns, *names]
 
     def predict(batches):
         model = Profiles(sent.value, top)
         for batch in pieces(batches, at):
             said = [model.predict(t.as_py()) for t in batch.column(at)]
-            columns = [*batch.columns[:-2], pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=out_names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())], names=out_names)
 
-    out_names = out.columns
-    return out.mapInArrow(predict, out.schema)
+    return map_rows(docs, predict, with_fields(docs, (names[0], "string"), (names[1], "double")))
 
 
 def held_out() -> F.Column:
@@ -141,9 +143,9 @@ def train_profiles(docs: DataFrame) -> dict[str, list[int]]:
 def language_digest(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of docs; a null doc_id isn't held out."""
     said = identify(docs.select("doc_id", "text"), train_profiles(docs))
-    return said.select("doc_id", held_out().alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+    return said.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose text has a language; their columns are unchanged."""
-    return identify(docs, train_profiles(docs)).where(F.col("__lang") != "und").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs whose text has a language, which is any letter where some language was learned; their columns are unchanged."""
+    return identify(docs, train_profiles(docs)).where(column(free_names(docs, "lang_pred")[0]) != "und").select(*columns(docs))

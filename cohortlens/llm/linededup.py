@@ -8,7 +8,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import all_bits, bloom_slots, checkpointed, column, columns, filter_size, free_names, join_spread, lean_batches, parted, set_bits, with_fields
+from .common import all_bits, bloom_slots, checkpointed, column, columns, filter_size, free_names, join_spread, lean_batches, map_rows, parted, set_bits, with_fields
 from .kernels import LOWER, SPACE, pieces, span_hashes, text_bytes
 
 #: Bits of a filter, at most: what is broadcast is bounded. Up to there filters grow with the text; a full one only lets more hashes shuffle.
@@ -236,7 +236,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, most_bi
                 gone[number[np.asarray(lost)]] = True
                 yield finished(batch, lines, gone)
 
-        return docs.mapInArrow(apply, schema)
+        return map_rows(docs, apply, schema)
 
     suspects = checkpointed(suspects.withColumn("key", F.struct("h1", "h2")).select("key", "doc_id"))
     lost = join_spread(suspects, keys.select(F.struct("h1", "h2").alias("key"), "keeper", "n"), "key", "n", F.col("doc_id")).where(F.col("doc_id") < F.col("keeper"))
@@ -261,7 +261,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, most_bi
             yield finished(batch, lines, gone)
 
     joined = touched.join(drops, column("doc_id") == F.col(ident_name), "left").select(*columns(docs), drop)
-    return joined.mapInArrow(apply_lists, schema).union(others.mapInArrow(apply_lists, schema))
+    return map_rows(joined, apply_lists, schema).union(map_rows(others, apply_lists, schema))
 
 
 def line_digest(docs: DataFrame) -> DataFrame:

@@ -135,7 +135,11 @@ def image_hash(image: np.ndarray) -> str:
 
 
 def store_media(docs: DataFrame) -> DataFrame:
-    """doc_id, media (PNG, binary) and n_bytes of every row of docs; a null text is an empty one."""
+    """doc_id, media (PNG, binary) and n_bytes of every row of docs.
+
+    A null text is an empty one, texts may be of any length that an array of
+    bytes can have, repeated rows give equal media, and other columns aren't read.
+    """
     lean_batches(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
@@ -154,7 +158,10 @@ def padded(raw: bytes, row: int = ROW) -> bytes:
 
 
 def read_media(media: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and, read back from ``media``: its payload's size, hash and tail checksum, its own size and hash, its feature."""
+    """doc_id, n_bytes and, read back from ``media``: its payload's size, hash and tail checksum, its own size and hash, its feature.
+
+    Media that aren't whole 8-bit grey PNG files, null included, raise. Other columns aren't read.
+    """
     lean_batches(media.sparkSession)
     id_type = media.schema["doc_id"].dataType.simpleString()
     fields = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -163,7 +170,7 @@ def read_media(media: DataFrame) -> DataFrame:
         for batch in pieces(batches, 1):
             rows = []
             for png in batch.column(1):
-                png = png.as_py()
+                png = png.as_py() or b""
                 image = decode_png(png)
                 payload = image.tobytes()
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(png), hashlib.sha256(png).hexdigest(), image_hash(image)))

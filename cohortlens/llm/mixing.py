@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import columns, free_names
+
 #: A source is broadcast with its cumulated probabilities up to so many of these; 8 bytes each.
 BROADCAST_ROWS = 1_000_000
 #: Means above this are drawn as a sum of independent parts, so that exp(-mean) stays far from 0.
@@ -32,57 +34,65 @@ def _uniform(*parts) -> F.Column:
 
 
 def poisson_replicate(docs: DataFrame, rates: DataFrame, seed: int = 9) -> DataFrame:
-    """docs with ``__copy`` (0, 1, ...) and ``__key``: each row as often as its draw says, to be ordered by ``__key``.
+    """docs with ``copy`` (0, 1, ...), ``n_copies`` and ``shuffle_key`` at the end: each row as often as its draw says, to be ordered by the key.
 
     The draw is Poisson with the mean of the row's source, by inversion of a
     uniform hash of seed, doc_id and a part number: the least k whose
-    cumulated probability exceeds it. Equal ids draw alike. A null doc_id or
-    source is a value like any other; a source without a rate has mean 0.
+    cumulated probability exceeds it. Equal ids draw alike, so repeated rows
+    are repeated alike. A null doc_id or source is a value like any other; a
+    source without a rate has mean 0. Texts aren't looked at. Other columns
+    pass through, whatever their names; an added column whose name is taken
+    has underscores at its end.
     """
-    grid = rates.where("mean > 0").select(
-        F.coalesce(F.to_json(F.struct("source")), F.lit("{}")).alias("__source"),
-        F.greatest(F.lit(1), F.ceil(F.col("mean") / PART)).cast("int").alias("__parts"),
-        F.col("mean"),
-    )
-    part_mean = F.col("mean") / F.col("__parts")
+    copy, n_copies, key, source, parts, cdf, salt = free_names(docs, "copy", "n_copies", "shuffle_key", "source_key", "parts", "cdf", "salt")
+    source_key = F.coalesce(F.to_json(F.struct("source")), F.lit("{}")).alias(source)
+    grid = rates.where("mean > 0").select(source_key, F.greatest(F.lit(1), F.ceil(F.col("mean") / PART)).cast("int").alias(parts), F.col("mean"))
+    part_mean = F.col("mean") / F.col(parts)
     # ln P(k) = -m + k ln m - ln k!, cumulated; the tail beyond the grid has less than 1e-18
     step = F.explode(F.sequence(F.lit(0), (F.ceil(part_mean + 10 * F.sqrt(part_mean)) + 20).cast("int"))).alias("k")
-    steps = grid.select("__source", "__parts", part_mean.alias("m"), step)
-    at = Window.partitionBy("__source").orderBy("k")
+    steps = grid.select(source, parts, part_mean.alias("m"), step)
+    at = Window.partitionBy(source).orderBy("k")
     log_factorial = F.sum(F.log(F.greatest(F.col("k"), F.lit(1)).cast("double"))).over(at)
     steps = steps.withColumn("p", F.exp(-F.col("m") + F.col("k") * F.log("m") - log_factorial)).withColumn("c", F.sum("p").over(at))
-    tables = steps.groupBy("__source", "__parts").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "c"))), lambda x: x.c).alias("__cdf"))
-    keyed = docs.withColumn("__source", F.coalesce(F.to_json(F.struct("source")), F.lit("{}")))
+    tables = steps.groupBy(source, parts).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "c"))), lambda x: x.c).alias(cdf))
+    keyed = docs.select(*columns(docs), source_key)
     if steps.count() <= BROADCAST_ROWS:
-        joined = keyed.join(F.broadcast(tables), "__source")
+        joined = keyed.join(F.broadcast(tables), source)
     else:  # salted: no task gets all rows of a large source
         salts = 32
-        keyed = keyed.withColumn("__salt", F.pmod(F.xxhash64(F.col("doc_id")), F.lit(salts)))
-        spread = tables.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-        joined = keyed.join(spread, ["__source", "__salt"]).drop("__salt")
+        keyed = keyed.withColumn(salt, F.pmod(F.xxhash64(F.col("doc_id")), F.lit(salts)))
+        spread = tables.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+        joined = keyed.join(spread, [source, salt])
     ident = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     draw = F.aggregate(
-        F.sequence(F.lit(1), F.col("__parts")),
+        F.sequence(F.lit(1), F.col(parts)),
         F.lit(0),
-        lambda total, j: total + F.size(F.filter("__cdf", lambda c: c <= _uniform(F.lit(str(seed)), ident, j.cast("string")))),
+        lambda total, j: total + F.size(F.filter(cdf, lambda c: c <= _uniform(F.lit(str(seed)), ident, j.cast("string")))),
     )
-    drawn = joined.withColumn("__n_copies", draw).where("__n_copies > 0")
-    copies = drawn.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__n_copies") - 1)))
-    key = F.md5(F.concat_ws("|", F.lit(f"order{seed}"), ident, F.col("__copy").cast("string")).cast("binary"))
-    return copies.withColumn("__key", key).drop("__source", "__parts", "__cdf")
+    drawn = joined.withColumn(n_copies, draw).where(F.col(n_copies) > 0)
+    copies = drawn.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(n_copies) - 1)))
+    order = F.md5(F.concat_ws("|", F.lit(f"order{seed}"), ident, F.col(copy).cast("string")).cast("binary"))
+    return copies.select(*columns(docs), copy, n_copies, order.alias(key))
 
 
-def shuffled_globally(replicated: DataFrame) -> DataFrame:
-    """Rows in the order of ``__key`` over all partitions: a range partitioning, sorted within."""
+def shuffled_globally(replicated: DataFrame, key: str = "shuffle_key") -> DataFrame:
+    """Rows in the order of ``key`` over all partitions: a range partitioning, sorted within."""
     n = int(replicated.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return replicated.repartitionByRange(n, "__key").sortWithinPartitions("__key")
+    return replicated.repartitionByRange(n, key).sortWithinPartitions(key)
+
+
+def mixed_sources(docs: DataFrame) -> DataFrame:
+    """docs repeated to square-root source weights, in a global random order, with ``copy`` at the end to number repeats (see ``poisson_replicate``)."""
+    copy, _, key = free_names(docs, "copy", "n_copies", "shuffle_key")
+    mixed = poisson_replicate(docs, replication_rates(square_root_weights(docs)))
+    return shuffled_globally(mixed, key).select(*columns(docs), copy)
 
 
 def mixture_digest(docs: DataFrame) -> DataFrame:
     """doc_id, source, copy, n_copies, shuffle_key of every copy, mixed to square-root weights."""
     rows = docs.select("doc_id", "source")
     out = shuffled_globally(poisson_replicate(rows, replication_rates(square_root_weights(rows))))
-    return out.select("doc_id", "source", F.col("__copy").cast("long").alias("copy"), F.col("__n_copies").cast("long").alias("n_copies"), F.col("__key").alias("shuffle_key"))
+    return out.select("doc_id", "source", F.col("copy").cast("long").alias("copy"), F.col("n_copies").cast("long").alias("n_copies"), "shuffle_key")
 
 
 MIXTURE_SQL = """

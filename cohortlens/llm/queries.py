@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, decontam, htmltext, langid, licenses, linededup, media, mixing, ngramjoin, oracles, secrets
-from .common import table
+from .common import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,7 +22,7 @@ QUERIES: dict[str, Query] = {
     "op7_line_dedup": lambda spark, d: linededup.line_digest(table(spark, d, "documents")),
     "op8_media_columns": lambda spark, d: media.media_digest(table(spark, d, "documents")),
     "op9_mixing": lambda spark, d: mixing.mixture_digest(table(spark, d, "documents")),
-    "op10_secret_scan": lambda spark, d: secrets.secret_digest(table(spark, d, "documents")),
+    "op10_secret_scan": lambda spark, d: secrets.secret_digest(table(spark, d, "documents"), f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"),
 }
 
 ORACLES: dict[str, str] = {

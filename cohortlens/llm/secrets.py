@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import columns, free_names, join_spread
+
 #: The rules in their order. (kind, pattern, group of the value or 0, least length of it, base rule)
 #: Letters of either case are written out, so that no engine folds other letters into them.
 RULES = [
@@ -18,6 +21,8 @@ RULES = [
 ]
 #: Names the set of rules; scans under another name start over.
 RULE_VERSION = "1"
+#: A ledger of up to so many blobs, 64 bytes each, is broadcast to the texts; a larger one meets them by a shuffle.
+BROADCAST_BLOBS = 200_000
 LEDGER_SCHEMA = "blob string, rule_version string, spans array<struct<start:long,kind:int,end:long>>"
 
 
@@ -51,7 +56,7 @@ def scan_blobs(blobs: DataFrame) -> DataFrame:
         )
         for number, (_, pattern, group, _, _) in enumerate(RULES)
     ]
-    hits = blobs.where(_may_hit(text)).select("blob", F.inline(F.array(*found))).where(F.size("lengths") > 0)
+    hits = blobs.select("blob", F.inline(F.array(*found))).where(F.size("lengths") > 0)
     each = hits.select("blob", "kind", F.posexplode(F.arrays_zip(F.slice("gaps", F.lit(1), F.size("lengths")).alias("gap"), F.col("lengths").alias("length"), F.coalesce("values", "lengths").alias("value"))).alias("at", "x"))
     each = each.select("blob", "kind", "at", "x.*").toDF("blob", "kind", "at", "gap", "length", "value")
     end = F.sum(F.col("gap").cast("long") + F.col("length")).over(Window.partitionBy("blob", "kind").orderBy("at"))
@@ -61,20 +66,41 @@ def scan_blobs(blobs: DataFrame) -> DataFrame:
     return placed.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"))
 
 
+def _unseen(docs: DataFrame, ledger: DataFrame | None, rule_version: str) -> DataFrame:
+    """(blob, text) of the rows of docs whose content the ledger has no scan of under these rules."""
+    rows = docs.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
+    if ledger is None:
+        return rows
+    seen = ledger.where(F.col("rule_version") == rule_version).select("blob").distinct()
+    few = seen.limit(BROADCAST_BLOBS + 1).count() <= BROADCAST_BLOBS
+    return rows.join(F.broadcast(seen) if few else seen, "blob", "left_anti")
+
+
 def unseen_blobs(docs: DataFrame, ledger: DataFrame | None, rule_version: str = RULE_VERSION) -> DataFrame:
     """(blob, text) of the contents in docs that the ledger has no scan of under these rules, each once."""
-    blobs = docs.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
-    if ledger is not None:
-        blobs = blobs.join(ledger.where(F.col("rule_version") == rule_version).select("blob").distinct(), "blob", "left_anti")
-    return blobs.groupBy("blob").agg(F.first("text").alias("text"))
+    return _unseen(docs, ledger, rule_version).groupBy("blob").agg(F.first("text").alias("text"))
 
 
 def ledger_update(docs: DataFrame, ledger: DataFrame | None, rule_version: str = RULE_VERSION) -> DataFrame:
-    """What to append to the ledger (blob, rule_version, spans): a row for each unseen blob, spans empty where nothing was found."""
-    fresh = unseen_blobs(docs, ledger, rule_version)
-    found = scan_blobs(fresh)
+    """What to append to the ledger (blob, rule_version, spans): a row for each unseen blob, spans empty where nothing was found.
+
+    A look for any match is made where texts are read; only texts with one
+    are brought together by content, to be scanned once each, and of the others only the hash.
+    """
+    fresh = _unseen(docs, ledger, rule_version)
+    found = scan_blobs(fresh.where(_may_hit(F.col("text"))).groupBy("blob").agg(F.first("text").alias("text")))
     empty = F.expr("cast(array() as array<struct<start:long,kind:int,end:long>>)")
-    return fresh.select("blob").join(found, "blob", "left").select("blob", F.lit(rule_version).alias("rule_version"), F.coalesce("spans", empty).alias("spans"))
+    return fresh.select("blob").distinct().join(found, "blob", "left").select("blob", F.lit(rule_version).alias("rule_version"), F.coalesce("spans", empty).alias("spans"))
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger at path; None where there is none yet."""
+    try:
+        return spark.read.schema(LEDGER_SCHEMA).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def record_scans(docs: DataFrame, path: str, rule_version: str = RULE_VERSION) -> DataFrame:
@@ -83,28 +109,36 @@ def record_scans(docs: DataFrame, path: str, rule_version: str = RULE_VERSION) -
     A run that dies appends nothing, and the next one scans its blobs again.
     """
     spark = docs.sparkSession
-    files = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = files.getFileSystem(spark._jsc.hadoopConfiguration()).exists(files)
-    ledger = spark.read.schema(LEDGER_SCHEMA).parquet(path) if there else None
-    ledger_update(docs, ledger, rule_version).write.mode("append").parquet(path)
+    ledger_update(docs, read_ledger(spark, path), rule_version).write.mode("append").parquet(path)
     return spark.read.schema(LEDGER_SCHEMA).parquet(path)
 
 
+def _with_findings(rows: DataFrame, blob: str, table: DataFrame) -> DataFrame:
+    """rows left joined to the table by blob; the rows of a very common content are spread."""
+    held = rows.groupBy(blob).agg(F.count("*").alias("rows"))
+    return join_spread(rows, table.join(held, blob), blob, "rows", F.monotonically_increasing_id(), "left")
+
+
 def findings_by_path(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs with ``__spans``: the spans of (blob, spans) joined back to every row with that content; null if none."""
-    spans = found.where(F.size("spans") > 0).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
-    return docs.withColumn("__blob", F.sha2(F.coalesce("text", F.lit("")), 256)).join(spans, "__blob", "left").drop("__blob")
+    """docs with ``spans`` at the end: those of (blob, spans) joined back to every row with that content; null if none.
+
+    Other columns pass through, whatever their names; a taken ``spans`` has underscores at its end.
+    """
+    spans, blob = free_names(docs, "spans", "blob")
+    table = found.where(F.size("spans") > 0).select(F.col("blob").alias(blob), F.col("spans").alias(spans))
+    return _with_findings(docs.withColumn(blob, F.sha2(F.coalesce("text", F.lit("")), 256)), blob, table).select(*columns(docs), spans)
 
 
-def secret_digest(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every row of docs.
+def secret_digest(docs: DataFrame, path: str, rule_version: str = RULE_VERSION) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every row of docs, by way of the ledger at path.
 
-    Without a ledger every content is new. Null or empty texts have no spans;
-    repeated rows and versions of a document each have theirs.
+    Contents that the ledger hasn't are scanned and recorded first; findings
+    are read from it. Null or empty texts have no spans; texts may be of any
+    length; repeated rows and versions of a document each have theirs; other
+    columns of docs aren't read.
     """
-    fresh = scan_blobs(unseen_blobs(docs, ledger))
-    if ledger is not None:
-        fresh = fresh.union(ledger.where(F.col("rule_version") == RULE_VERSION).select("blob", "spans"))
+    docs = docs.select("doc_id", "text")
+    known = record_scans(docs, path, rule_version).where((F.col("rule_version") == rule_version) & (F.size("spans") > 0))
     names = F.array(*[F.lit(r[0]) for r in RULES])
     base = sum(r[4] for r in RULES)
 
@@ -112,17 +146,16 @@ def secret_digest(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame
         return F.array_join(F.transform(spans, lambda s: F.concat(F.element_at(names, s.kind + 1), F.lit(":"), s.start.cast("string"), F.lit(":"), s.end.cast("string"))), ",")
 
     def count(kind):
-        return F.coalesce(F.size(F.filter("__spans", lambda s: s.kind == kind)), F.lit(0)).cast("long")
+        return F.coalesce(F.size(F.filter("spans", lambda s: s.kind == kind)), F.lit(0)).cast("long")
 
     # digests are made once a content, before the join back
-    rows = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob"))
-    made = fresh.withColumnRenamed("spans", "__spans").select(
+    made = known.select(
         "blob",
         *[count(k).alias(f"n_{RULES[k][0]}") for k in range(base)],
-        F.sha2(text(F.filter("__spans", lambda s: s.kind < base)), 256).alias("base_sha256"),
-        text(F.col("__spans")).alias("spans"),
+        F.sha2(text(F.filter("spans", lambda s: s.kind < base)), 256).alias("base_sha256"),
+        text(F.col("spans")).alias("spans"),
     )
-    joined = rows.join(made, "blob", "left")
+    joined = _with_findings(docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob")), "blob", made)
     return joined.select(
         "doc_id",
         *[F.coalesce(f"n_{RULES[k][0]}", F.lit(0).cast("long")).alias(f"n_{RULES[k][0]}") for k in range(base)],

@@ -29,8 +29,3 @@ def odd_docs(spark):
         (6, "ünïcödé \U0001f600 text", "fr", "c", 10, "z", "z", "z", "z"),
     ]
     return spark.createDataFrame(rows, SCHEMA_EXTRA)
-
-
-@pytest.fixture
-def no_docs(spark):
-    return spark.createDataFrame([], SCHEMA_EXTRA)

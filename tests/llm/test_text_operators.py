@@ -72,9 +72,9 @@ def test_decontamination_matches_brute_force(spark, docs_of, shard_words):
                     seen |= want[tuple(w[k : k + size])]
                     hit[k : k + size] = [True] * size
         got = [False] * len(w)
-        for s in r["__spans"]:
+        for s in r.spans:
             got[s.a : s.b] = [True] * (s.b - s.a)
-        assert got == hit and r["__n_words"] == len(w) and r["__items"] == sorted(map(str, seen))
+        assert got == hit and r.n_words == len(w) and r["items"] == sorted(map(str, seen))
 
 
 def test_decontamination_cuts_and_rejects(spark, docs_of):
