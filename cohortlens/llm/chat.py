@@ -37,8 +37,9 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """(conv_id, segments, formatted) of each conversation in turns (conv_id, turn, role, text).
 
     Turns are collected as structs and sorted by turn, role and text; a null
-    turn comes first, null roles and texts are empty. Adjacent turns of one
-    role share a header and are parted by ``<part/>``:
+    turn comes first, null roles and texts are empty, repeated rows are turns
+    of their own, and a null conv_id is a conversation. Adjacent turns of one
+    role are merged into one with an array of texts, parted by ``<part/>``:
     ``### User: text<part/>text</turn>\\n### Assistant: text</turn>\\n``.
     Control strings in texts are escaped, reversibly. ``segments`` are the
     pieces of the output in order with the loss mask, ``loss`` being true for
@@ -46,26 +47,28 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
 
     Rows are collected within each task before they are shuffled, so a
     conversation with many rows arrives as a few lists; its one output row
-    holds its whole text in any case.
+    holds its whole text in any case. Other columns of turns aren't read.
     """
     rows = turns.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     sorted_turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
 
-    def pieces(x, i):
-        opens = (i == 0) | (F.try_element_at("ts", i).getField("role") != x.role)
-        last = i == F.size("ts") - 1
-        closes = last | (F.try_element_at("ts", i + 2).getField("role") != x.role)
-        head = F.when(opens, F.concat(F.lit("### "), _label(x.role), F.lit(": "))).otherwise(F.lit(""))
-        tail = F.when(closes, F.lit("</turn>\n")).otherwise(F.lit("<part/>"))
-        return F.array(
-            F.struct(head.alias("text"), F.lit(False).alias("loss")),
-            F.struct(escape(x.text).alias("text"), (x.role == loss_role).alias("loss")),
-            F.struct(tail.alias("text"), F.lit(False).alias("loss")),
-        )
-
-    # element_at counts from 1: the turn before is number i, the next i + 2; the first has none before it
-    segments = F.flatten(F.transform("ts", pieces))
-    out = sorted_turns.select("conv_id", segments.alias("segments"))
+    # a run of turns of one role begins where the turn before has another
+    first = F.filter(F.sequence(F.lit(0), F.size("ts") - 1), lambda i: (i == 0) | (F.get("ts", i - 1).role != F.get("ts", i).role))
+    runs = sorted_turns.withColumn("first", first)
+    size = lambda at, k: F.coalesce(F.get("first", k + 1), F.size("ts")) - at
+    merged = F.transform("first", lambda at, k: F.struct(F.get("ts", at).role.alias("role"), F.transform(F.slice("ts", at + 1, size(at, k)), lambda x: x.text).alias("texts")))
+    runs = runs.select("conv_id", merged.alias("runs"))
+
+    def piece(text, loss):
+        return F.struct(text.alias("text"), loss.alias("loss"))
+
+    def pieces(run):
+        apart = F.array(piece(F.lit("<part/>"), F.lit(False)))
+        texts = F.transform(run.texts, lambda t, i: F.concat(F.when(i > 0, apart).otherwise(F.slice(apart, 1, 0)), F.array(piece(escape(t), run.role == loss_role))))
+        head, tail = F.concat(F.lit("### "), _label(run.role), F.lit(": ")), F.lit("</turn>\n")
+        return F.concat(F.array(piece(head, F.lit(False))), F.flatten(texts), F.array(piece(tail, F.lit(False))))
+
+    out = runs.select("conv_id", F.flatten(F.transform("runs", pieces)).alias("segments"))
     return out.withColumn("formatted", F.array_join(F.transform("segments", lambda s: s.text), ""))
 
 

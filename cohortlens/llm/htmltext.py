@@ -10,7 +10,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, lean_batches
@@ -28,6 +28,8 @@ DROPPED_NAMES = frozenset(
     " nav navbar navigation menu breadcrumb breadcrumbs sidebar footer header masthead comment comments disqus replies social share sharing"
     " related widget contentinfo complementary search alert toolbar pagination".split()
 )
+#: Of these, words that name a part of the text itself within an article or main element.
+HEADINGS = frozenset("header masthead".split())
 #: Beginnings of such words where they are written as one.
 DROPPED_STARTS = ("adsby", "adslot", "advert", "breadcrumb", "cookie", "footer", "navbar", "navlink", "newsletter", "popup", "sidebar", "sidenav", "sponsor", "topnav")
 #: What makes an article or main element one of these, and nothing else does.
@@ -43,13 +45,12 @@ BROADCAST_TOKENS = 1 << 21
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>", re.S)
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_HOST = re.compile(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#:]*)")
+_HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#:]*)"
 
 
-def host_of(url: str | None) -> str:
-    """The host of a URL in lower case, without a leading ``www.``; empty for null."""
-    host = _HOST.match(url or "").group(1).lower()
-    return host.removeprefix("www.")
+def host_of(url: str) -> Column:
+    """The host of the URL in a column in lower case, without a leading ``www.``; empty for null."""
+    return F.regexp_replace(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), _HOST, 1)), "^www[.]", "")
 
 
 def _hash(text: str, path: int = 0) -> int:
@@ -151,7 +152,7 @@ class Page:
             return not above[2]  # an article's own header holds its headline
         if name not in NAMED and name not in CONTENT or "=" not in rest:
             return False
-        names = DROPPED_ARTICLES if name in CONTENT else DROPPED_NAMES
+        names = DROPPED_ARTICLES if name in CONTENT else DROPPED_NAMES - HEADINGS if above[2] else DROPPED_NAMES
         for m in _NAMES.finditer(rest):
             value = m.group(2) or m.group(3) or m.group(4) or ""
             words = [w.lower() for w in _WORD.findall(value)]
@@ -190,8 +191,8 @@ def page_streams(pages: DataFrame) -> DataFrame:
         cache: dict[str, int] = {}
         for batch in pieces(batches, 2):
             found: dict[tuple[str, int], bytes] = {}
-            for number, url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                key = host_of(url), number
+            for number, host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                key = host, number
                 if key not in found:
                     found[key] = np.array(Page(source or "", cache).stream, np.uint64).tobytes()
                 if len(cache) > 100_000:
@@ -200,7 +201,7 @@ def page_streams(pages: DataFrame) -> DataFrame:
                 [pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int64()), pa.array(found.values(), pa.binary())], names=["host", "number", "stream"]
             )
 
-    rows = pages.select(F.xxhash64("html").alias("number"), "url", "html").mapInArrow(streams, "host string, number long, stream binary")
+    rows = pages.select(F.xxhash64("html").alias("number"), host_of("url").alias("host"), "html").mapInArrow(streams, "host string, number long, stream binary")
     return rows.groupBy("host", "number").agg(F.first("stream").alias("stream"))
 
 
@@ -389,22 +390,24 @@ def extract_text(pages: DataFrame, broadcast_tokens: int = BROADCAST_TOKENS) ->
     Of these, those in an ``article`` or ``main`` element are chosen where a
     page has one, and those in elements that name menus, adverts, notices,
     forms, comments and the like are not. A null or empty html has an empty
-    text; repeated rows are separate pages; a null url is a host of its own.
+    text; repeated rows are separate pages that count once in their host's
+    template; a null url is a host of its own. Pages may be of any length;
+    other columns of pages aren't read.
     """
     lean_batches(pages.sparkSession)
     templates = checkpointed(template_tokens(pages, broadcast_tokens=broadcast_tokens))
     schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long"
-    return _beside(pages, [F.col("page_id"), F.col("url"), F.col("html")], F.udf(host_of, "string")("url"), F.xxhash64("page_id", "url"), templates, broadcast_tokens, _texts, schema)
+    return _beside(pages, [F.col("page_id"), F.col("url"), F.col("html"), host_of("url").alias("host")], host_of("url"), F.xxhash64("page_id", "url"), templates, broadcast_tokens, _texts, schema)
 
 
 def _texts(batches, table_of):
     cache: dict[str, int] = {}
     for batch in pieces(batches, 2):
-        urls, sources = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        owns = batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * len(urls)
+        sources = batch.column(2).to_pylist()
+        owns = batch.column(4).to_pylist() if batch.num_columns > 4 else [None] * len(sources)
         texts = []
-        for url, source, own in zip(urls, sources, owns, strict=True):
-            template = table_of(host_of(url), own and [own])[0]
+        for host, source, own in zip(batch.column(3).to_pylist(), sources, owns, strict=True):
+            template = table_of(host, own and [own])[0]
             texts.append(Page(source or "", cache).main_text(template))
             if len(cache) > 100_000:
                 cache.clear()

@@ -50,6 +50,72 @@ TEMPLATES: list[tuple[str, str]] = [
         " following disclaimer <<optional>> 2 <<end>> redistributions in binary form must reproduce the above copyright notice this list of"
         " conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     ),
+    (
+        "bsd-3",
+        "neither the name of <<any 12>> nor the names of its contributors may be used to endorse or promote products derived from this software"
+        " without specific prior written permission",
+    ),
+    (
+        "bsd",
+        "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not"
+        " limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<any 8>> be"
+        " liable for any direct indirect incidental special exemplary or consequential damages",
+    ),
+    (
+        "apache-2",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain"
+        " a copy of the license at <<any 8>> unless required by applicable law or agreed to in writing software distributed under the license is"
+        " distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific"
+        " language governing permissions and limitations under the license",
+    ),
+    *[
+        (
+            label,
+            f"is free software you can redistribute it and or modify it under the terms of the gnu {name} as published by the free software"
+            f" foundation either version {version} of the license or <<optional>> at your option <<end>> any later version",
+        )
+        for label, name, version in (
+            ("gpl-2", "general public license", "2"),
+            ("gpl-3", "general public license", "3"),
+            ("lgpl-2.1", "lesser general public license", "2 1"),
+            ("lgpl-3", "lesser general public license", "3"),
+            ("agpl-3", "affero general public license", "3"),
+        )
+    ],
+    (
+        "gpl",
+        "is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness"
+        " for a particular purpose see the gnu <<optional>> lesser <<end>> <<optional>> affero <<end>> general public license for more details",
+    ),
+    (
+        "mpl-2",
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this"
+        " file you can obtain one at <<any 1>> mozilla org mpl 2 0",
+    ),
+    (
+        "epl-2",
+        "this program and the accompanying materials are made available under the terms of the eclipse public license <<optional>> version <<end>>"
+        " <<optional>> v <<end>> 2 0 which <<optional>> accompanies this distribution and <<end>> is available at",
+    ),
+    (
+        "bsl-1",
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"
+        " covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative"
+        " works of the software",
+    ),
+    (
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will <<any 8>> be held liable for any damages arising"
+        " from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and"
+        " to alter it and redistribute it freely",
+    ),
+    (
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or"
+        " distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    ),
+    ("cc0", "to the extent possible under law <<any 4>> waived all copyright and related or neighboring rights"),
+    *[(label, f"spdx license identifier {name}") for label, name in (("mit", "mit"), ("apache-2", "apache 2 0"), ("isc", "isc"), ("mpl-2", "mpl 2 0"), ("bsd-3", "bsd 3 clause"), ("gpl-2", "gpl 2 0"), ("gpl-3", "gpl 3 0"))],
 ]
 _MARK = re.compile(r"<<(optional|end|any (\d+))>>|(\S+)")
 
@@ -153,7 +219,8 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     A template accepts where its mandatory words follow each other exactly.
     score is 1 where a match covers 20 words or more, 0.9 for a shorter one,
     0.5 for a phrase alone, 0 for nothing. Null and empty texts have no words;
-    repeated rows are scanned row by row.
+    repeated rows are scanned row by row; texts may be of any length; other
+    columns of docs aren't read.
     """
     lean_batches(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
