@@ -35,9 +35,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated to square-root source weights, in a global random order; ``copy`` numbers repeats."""
-    rates = mixing.replication_rates(mixing.square_root_weights(docs))
-    mixed = mixing.shuffled_globally(mixing.poisson_replicate(docs, rates))
-    return mixed.withColumnRenamed("__copy", "copy").drop("__n_copies", "__key")
+    return mixing.mixed_sources(docs)
 
 
 STAGES = [
@@ -53,9 +51,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage, read from where it was written; a stage's rows are deleted once the next has been."""
     docs = common.table(spark, sf_dir, "documents")
     base = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for number, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{number}-{name}")
-        docs = spark.read.parquet(f"{base}/{number}-{name}")
+        folder = f"{base}/{number}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        if before:
+            common.remove_folder(spark, before)
+        docs, before = spark.read.parquet(folder), folder
     return docs
