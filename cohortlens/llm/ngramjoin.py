@@ -10,7 +10,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import all_bits, bloom_of, bloom_slots, checkpointed, column, columns, connected_components, filter_size, free_names, join_spread, lean_batches, parted, with_fields
+from .common import all_bits, bloom_of, bloom_slots, checkpointed, column, columns, connected_components, filter_size, free_names, join_spread, lean_batches, map_rows, parted, with_fields
 from .kernels import mix, pieces, shingle_sets
 
 #: Shingles in more distinct sets than this are frequent and indexed in pairs.
@@ -216,14 +216,15 @@ class Sketches:
 def near_pairs(group: np.ndarray, part: np.ndarray, across: np.ndarray, sketch: Sketches, pct: int) -> list[tuple[int, int]]:
     """A spanning forest of the pairs within a group that may link; ``across`` rows only pair with another part.
 
-    Groups are runs of rows. Rows a distance apart are compared, distance by
-    distance, and rows that are connected already aren't: memory is that of the rows.
+    Groups are runs of rows, by size within. Rows a distance apart are compared,
+    distance by distance, until sizes are too far apart; rows that are
+    connected already aren't. Memory is that of the rows.
     """
     parent = np.arange(len(group))
     i, away, edges = np.arange(max(0, len(group) - 1)), 1, []
     while len(i):
         i = i[i + away < len(group)]
-        i = i[group[i] == group[i + away]]
+        i = i[(group[i] == group[i + away]) & (100 * sketch.n[i] >= pct * sketch.n[i + away])]
         if not len(i):
             break
         open_ = (parent[i] != parent[i + away]) & ~(across[i] & (part[i] == part[i + away]))
@@ -245,21 +246,23 @@ def near_pairs(group: np.ndarray, part: np.ndarray, across: np.ndarray, sketch:
 
 
 def candidate_edges(postings: DataFrame, nodes: DataFrame, pct: int, group: int = GROUP) -> DataFrame:
-    """(a, b): pairs of sets that share a signature and may link by size and sketch, a spanning forest for each signature.
+    """(a, b): pairs of sets that share a signature and may link by size and sketch, a spanning forest for each group.
 
-    Signatures of one set only go no further, and of those of the very same
-    sets, by two hashes, one does. The sets of one that more than ``group``
-    have are dealt to parts by hash, and each pair of parts is a task's.
+    The sets of a signature are led by the least of them, and a group is all
+    sets of a leader's signatures: every pair that shares a signature is in a
+    group, and sets that share many meet once or a few times. The sets of a
+    group of more than ``group`` are dealt to parts by hash, and each pair of
+    parts is a task's.
     """
-    marks = [F.bit_xor(F.xxhash64("node", F.lit(seed))).alias(f"mark{seed}") for seed in (1, 2)]
-    held = postings.groupBy("sig").agg(F.count("*").alias("m"), *marks).where("m > 1").groupBy("m", "mark1", "mark2").agg(F.min("sig").alias("sig"))
-    many = checkpointed(held.select("sig", "m", F.ceil(F.col("m") / group).cast("int").alias("parts")))
-    met = join_spread(postings, many, "sig", "m", F.col("node"))
-    met = met.join(nodes.select("node", "sketch"), "node").withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int"))
+    held = checkpointed(postings.groupBy("sig").agg(F.count("*").alias("m"), F.min("node").alias("leader")).where("m > 1"))
+    led = checkpointed(join_spread(postings, held, "sig", "m", F.col("node")).select("leader", "node").distinct())
+    sizes = led.groupBy("leader").agg(F.count("*").alias("m"), F.ceil(F.count("*") / group).cast("int").alias("parts"))
+    met = join_spread(led, sizes, "leader", "m", F.col("node"))
+    met = met.join(nodes.select("node", "n", "sketch"), "node").withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     # the two parts of a task and the row's own in one number
     place = F.least("part", "other").cast("long") * (1 << 42) + F.greatest("part", "other") * (1 << 21) + F.col("part")
-    rows = met.select("sig", place.alias("place"), "node", "sketch")
+    rows = met.select("leader", place.alias("place"), "n", "node", "sketch")
 
     def compare(batches):
         kept = None
@@ -268,21 +271,22 @@ def candidate_edges(postings: DataFrame, nodes: DataFrame, pct: int, group: int
                 kept = batch if kept is None else pa.concat_batches([kept, batch])
             if kept is None or not kept.num_rows:
                 continue
-            sig, place = (kept.column(k).to_numpy() for k in range(2))
+            leader, place = (kept.column(k).to_numpy() for k in range(2))
             task = place >> 21
-            change = np.concatenate([[0], np.cumsum((sig[1:] != sig[:-1]) | (task[1:] != task[:-1]))])
+            change = np.concatenate([[0], np.cumsum((leader[1:] != leader[:-1]) | (task[1:] != task[:-1]))])
             # the last task may go on in the next batch
             cut = int(np.searchsorted(change, change[-1])) if batch is not None else len(change)
             if not cut:
                 continue
             now, kept = kept.slice(0, cut), kept.slice(cut)
-            node, own = now.column(2).to_numpy(), place[:cut] & ((1 << 21) - 1)
+            node, own = now.column(3).to_numpy(), place[:cut] & ((1 << 21) - 1)
             # of two parts, the pairs within one are compared elsewhere
             across = (task >> 21 != task & ((1 << 21) - 1))[:cut]
-            edges = np.array(near_pairs(change[:cut], own, across, Sketches(now.column(3)), pct), np.int64).reshape(-1, 2)
+            edges = np.array(near_pairs(change[:cut], own, across, Sketches(now.column(4)), pct), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(node[edges[:, 0]]), pa.array(node[edges[:, 1]])], names=["a", "b"])
 
-    return rows.repartition("sig", F.shiftright("place", 21)).sortWithinPartitions("sig", "place", "node").mapInArrow(compare, "a long, b long")
+    task = F.shiftright("place", 21)
+    return rows.repartition("leader", task).sortWithinPartitions("leader", task, "n", "node").mapInArrow(compare, "a long, b long")
 
 
 def batches_with_end(batches):
@@ -472,7 +476,7 @@ def keep_one_of_each(docs: DataFrame, k: int = 5, pct: int = 80) -> DataFrame:
             empty = np.diff(start) == 0
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(set_identity(s, start).view(np.int64), mask=empty)], names=names)
 
-    known = suspects.mapInArrow(identify, with_fields(docs, (node, "long")))
+    known = map_rows(suspects, identify, with_fields(docs, (node, "long")))
     judged = known.join(looked, (column("doc_id") == F.col(ident)) & (F.col(node) == F.col(place)), "left").where(F.coalesce(stay, F.lit(True)))
     # where a row stays for its component, one does; rows of no component all do
     once = judged.withColumn(tag, F.when(F.col(stay), F.lit(-1).cast("long")).otherwise(F.monotonically_increasing_id()))
