@@ -16,16 +16,19 @@ MAX_STATES = 500_000
 
 
 def lower_neighbours(groups: dict[int, int], intent: int) -> list[frozenset[int]]:
-    """The maximal proper sub-extents of an extent, as sets of masks: for each attribute outside the intent, the masks having it."""
+    """The maximal proper sub-extents of an extent, as sets of masks: for each attribute outside the intent, the masks having it.
+
+    An extent without any such attribute has one, the empty extent.
+    """
     outside = 0
     for mask in groups:
         outside |= mask & ~intent
-    found = set()
+    found = set() if outside else {frozenset()}
     while outside:
         bit = outside & -outside
         outside ^= bit
         found.add(frozenset(m for m in groups if m & bit))
-    return [a for a in found if a and not any(a < b for b in found)]
+    return [a for a in found if not any(a < b for b in found)]
 
 
 def generators(groups: dict[int, int], intent: int, max_states: int = MAX_STATES) -> int | None:
@@ -36,8 +39,8 @@ def generators(groups: dict[int, int], intent: int, max_states: int = MAX_STATES
     equal intersections added up as they arise, counts those that don't.
     """
     signed: dict[frozenset[int], int] = {}
-    # the empty set has every attribute in common; it lies within any lower neighbour, if there is one
-    for low in lower_neighbours(groups, intent) or [frozenset()]:
+    # the empty set has every attribute in common; it lies within any lower neighbour
+    for low in lower_neighbours(groups, intent):
         fresh: dict[frozenset[int], int] = {low: -1}
         for known, sign in signed.items():
             both = known & low
@@ -67,9 +70,12 @@ def brute_force_generators(masks: list[int], intent: int) -> int:
 
 
 def log2_fraction(numerator: int, denominator_bits: int) -> float:
-    """log2(numerator / 2^bits) of integers of any length."""
+    """log2(numerator / 2^bits) of integers of any length; next to 1 from the exact loss, which a double of the share would hide."""
     if numerator <= 0:
         return -math.inf
+    loss = Fraction((1 << denominator_bits) - numerator, 1 << denominator_bits)
+    if 2 * abs(loss) < 1:
+        return math.log1p(-float(loss)) / math.log(2)
     shift = max(0, numerator.bit_length() - 53)
     return math.log2(numerator >> shift) + shift - denominator_bits
 

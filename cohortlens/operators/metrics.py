@@ -5,30 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlens.functions.ranks import value_ranks
+
 
 def hash_order(seed: int, c: str = "customer_id") -> Column:
     """A pseudo-random key of a row, the same in any engine."""
     return F.md5(F.concat(F.col(c).cast("string"), F.lit(f"|{seed}")).cast("binary"))
 
 
+def _placed(df: DataFrame, by: list[str], seed: int) -> DataFrame:
+    """df, a row a customer, with how many rows of its group come before it in hash order (``__before``) and how many there are
+    (``__total``): global ranks, so no task holds a group."""
+    keyed = df.select(*by, F.struct(hash_order(seed).alias("h"), "customer_id").alias("__key"))
+    ranks = value_ranks(keyed, "__key", by).select(F.col("__key.customer_id").alias("customer_id"), F.col("before").alias("__before"), F.col("total").alias("__total"))
+    return df.join(ranks, "customer_id")
+
+
 def stratified_folds(df: DataFrame, label: str = "repurchased", k: int = 5, seed: int = 0) -> DataFrame:
     """df with ``fold`` 0 to k - 1: rows of each label in hash order are dealt in turn, so folds differ by one row a label."""
-    order = Window.partitionBy(label).orderBy(hash_order(seed), "customer_id")
-    return df.withColumn("fold", ((F.row_number().over(order) - 1) % k).cast("int"))
+    return _placed(df, [label], seed).withColumn("fold", (F.col("__before") % k).cast("int")).drop("__before", "__total")
 
 
 def stratified_split(df: DataFrame, label: str = "repurchased", train: float = 0.7, seed: int = 42) -> DataFrame:
     """df with ``is_train``: the first floor(train * n) rows of each label in hash order."""
-    n = Window.partitionBy(label)
-    order = n.orderBy(hash_order(seed), "customer_id")
-    return df.withColumn("is_train", F.row_number().over(order) <= F.floor(F.lit(train) * F.count("*").over(n)))
+    return _placed(df, [label], seed).withColumn("is_train", F.col("__before") < F.floor(F.lit(train) * F.col("__total"))).drop("__before", "__total")
 
 
 def subsample(df: DataFrame, share: float, seed: int, how: str = "round") -> DataFrame:
     """round(share * n) rows (or its whole part) in hash order, without replacement."""
-    n = df.agg((F.round(F.lit(share) * F.count("*")) if how == "round" else F.floor(F.lit(share) * F.count("*"))).cast("long").alias("__n"))
-    ranked = df.withColumn("__r", F.row_number().over(Window.orderBy(hash_order(seed), "customer_id")))
-    return ranked.crossJoin(F.broadcast(n)).where(F.col("__r") <= F.col("__n")).drop("__r", "__n")
+    n = F.lit(share) * F.col("__total")
+    return _placed(df, [], seed).where(F.col("__before") < (F.round(n) if how == "round" else F.floor(n)).cast("long")).drop("__before", "__total")
 
 
 def weighted_auc(df: DataFrame, y: str, score: str, weight: str | None = None, by: list[str] = []) -> DataFrame:

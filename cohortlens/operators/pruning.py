@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlens.functions.ranks import checkpointed
+
 from .scoring import DIMS
 
 MU_CUT = 0.5
@@ -126,7 +128,7 @@ def greedy_cover(degrees: DataFrame, share: float = 0.8) -> DataFrame:
     Works on distinct core sets and their counts; ties go to the smaller mask.
     """
     core = degrees.where(F.col("mu") >= MU_CUT)
-    sets = core.groupBy("customer_id").agg(F.sort_array(F.collect_list("band_mask")).alias("s")).groupBy("s").agg(F.count("*").alias("n"))
+    sets = checkpointed(core.groupBy("customer_id").agg(F.sort_array(F.collect_list("band_mask")).alias("s")).groupBy("s").agg(F.count("*").alias("n")))
     goal = (sets.agg(F.sum("n")).first()[0] or 0) * share
     done, chosen, left = 0, [], sets
     while done < goal:

@@ -10,7 +10,7 @@ from cohortlens.plans import registry
 
 SMALL = Path("/root/testdata/sf0.001")
 # one of each family; the driver compares all of them
-SAMPLE = ["c3_rolling_cohorts", "s1_clean_lines", "g12_best_k", "i9_sign_flip", "l9_weighted_metrics", "e2_headline_deltas", "v1_parity", "k5_resume", "a9_passthrough"]
+SAMPLE = ["c3_rolling_cohorts", "s1_clean_lines", "g12_best_k", "i10_paired_t", "l1_folds", "i6_holm", "l9_weighted_metrics", "e2_headline_deltas", "v1_parity", "k5_resume", "a9_passthrough"]
 
 
 def test_names_line_up():

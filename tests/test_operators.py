@@ -363,3 +363,18 @@ def test_ward_is_exact_beyond_a_thousand_points(spark):
         new[(size == 0) | (np.arange(len(x)) == i)] = np.inf
         d[i] = d[:, i] = new
     assert len({(got[f"c{i}"], label[i]) for i in range(len(x))}) == 4
+
+
+def test_log2_next_to_one_and_far_from_it():
+    from decimal import Decimal, getcontext
+
+    getcontext().prec = 60
+    for numerator, bits in ((2**70 - 1, 70), (2**300 - 2**40, 300), (3, 2), (1, 1), (5, 400), (2**60 - 2**20, 60), (8, 3)):
+        want = (Decimal(numerator) / Decimal(2) ** bits).ln() / Decimal(2).ln()
+        assert lattice.log2_fraction(numerator, bits) == pytest.approx(float(want), rel=1e-14)
+    assert lattice.log2_fraction(2**70 - 1, 70) < 0
+
+
+def test_an_extent_of_one_profile_has_the_empty_lower_neighbour():
+    assert lattice.lower_neighbours({0b11: 4}, 0b11) == [frozenset()]
+    assert set(lattice.lower_neighbours({0b11: 1, 0b101: 1, 0b111: 2}, 0b1)) == {frozenset({0b11, 0b111}), frozenset({0b101, 0b111})}
