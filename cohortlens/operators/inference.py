@@ -88,6 +88,74 @@ def paired_t(differences: DataFrame, value: str, by: list[str]) -> DataFrame:
     return t.join(ranks, by)
 
 
+def _series(last: Column, ratio) -> Column:
+    """1 + r(1) + r(1) r(2) + ... up to r(1) ... r(last)."""
+    steps = F.when(last >= 1, F.sequence(F.lit(1), last.cast("int"))).otherwise(F.array().cast("array<int>"))
+
+    def add(done, i):
+        term = done["term"] * ratio(i)
+        return F.struct(term.alias("term"), (done["total"] + term).alias("total"))
+
+    return F.aggregate(steps, F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total")), add, lambda done: done["total"])
+
+
+def student_p(t: Column, df: Column) -> Column:
+    """Two-sided p of Student's t with a whole number of degrees of freedom: the finite series in the angle whose tangent is t / sqrt(df)."""
+    cos2, sin = df / (df + t * t), F.abs(t) / F.sqrt(df + t * t)
+    even = sin * _series(df / 2 - 1, lambda i: cos2 * (2 * i - 1) / (2 * i))
+    product = F.when(df > 1, sin * F.sqrt(cos2) * _series((df - 3) / 2, lambda i: cos2 * 2 * i / (2 * i + 1))).otherwise(0.0)
+    odd = (F.asin(sin) + product) * 2 / F.pi()
+    p = 1 - F.when(df % 2 == 0, even).otherwise(odd)
+    return F.when(p < 0, 0.0).otherwise(p)
+
+
+def normal_p(z: Column) -> Column:
+    """Two-sided p of a standard normal value, by the error function's series of positive terms; beyond 8.5 it is that of 8.5."""
+    x = F.when(F.abs(z) > 8.5, 8.5).otherwise(F.abs(z)) / F.sqrt(F.lit(2.0))
+    erf = 2 * x / F.sqrt(F.pi()) * F.exp(-x * x) * _series(F.lit(60) + F.ceil(4 * x * x), lambda i: 2 * x * x / (2 * i + 1))
+    return F.when(erf > 1, 0.0).otherwise(1 - erf)
+
+
+def paired_p(differences: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """(by..., n, p_t, p_wilcoxon): two-sided p-values of ``paired_t``'s statistics; by may not hold nulls.
+
+    The signed-rank test is the sign-flip test of the signed ranks: exact for
+    20 differences other than 0 at most, beyond that normal with the correction for
+    ties. Groups without such a difference have no p_wilcoxon, groups of one no p_t.
+    """
+    w = Window.partitionBy(*by)
+    tied = F.count("*").over(w.partitionBy(*by, "__a"))
+    ranks = differences.where(F.col(value) != 0).withColumn("__a", F.abs(value)).select(*by, value, tied.alias("__tied"), (F.rank().over(w.orderBy("__a")) + (tied - 1) / 2).alias("__r"))
+    signed = ranks.withColumn("__s", F.signum(value) * F.col("__r"))
+    few = signed.join(signed.groupBy(*by).count().where("count <= 20").drop("count"), by)
+    exact = sign_flip_p(few, "__s", by).select(*by, F.col("p").alias("__exact"))
+    # each of a tie's rows adds its square less 1, so the tie its cube less its size
+    m, ties = F.count("*").cast("double"), F.sum(F.col("__tied") * F.col("__tied") - 1)
+    z = signed.groupBy(*by).agg((F.sum("__s") / 2 / F.sqrt((m * (m + 1) * (2 * m + 1) - ties / 2) / 24)).alias("__z"))
+    t = paired_t(differences, value, by).select(*by, "t")
+    n = differences.groupBy(*by).agg(F.count("*").alias("n"))
+    out = n.join(t, by, "left").join(z, by, "left").join(exact, by, "left")
+    return out.select(*by, "n", F.when(F.col("n") > 1, student_p(F.col("t"), F.col("n").cast("double") - 1)).alias("p_t"), F.coalesce("__exact", normal_p(F.col("__z"))).alias("p_wilcoxon"))
+
+
+def split_means(differences: DataFrame, value: str, by: list[str], order: str, b: int = 2000, seed: int = 7) -> DataFrame:
+    """(by..., b, m): means of b resamples, with replacement, of each group's differences, a group having some splits numbered by order."""
+    x = differences.withColumns({"__i": (F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1).cast("long"), "__n": F.count("*").over(Window.partitionBy(*by))})
+    slots = x.crossJoin(F.broadcast(differences.sparkSession.range(b).withColumnRenamed("id", "b")))
+    key = F.concat_ws("|", F.col("b").cast("string"), F.col("__i").cast("string"), F.lit(str(seed)))
+    pick = F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long") % F.col("__n")
+    return slots.select(*by, "b", pick.alias("__i")).join(x.select(*by, "__i", value), [*by, "__i"]).groupBy(*by, "b").agg(F.avg(value).alias("m"))
+
+
+def split_comparisons(differences: DataFrame, value: str, by: list[str], order: str, b: int = 2000) -> DataFrame:
+    """(by..., splits, mean, std, wins, losses, ci_low, ci_high, p): paired differences of an arm to the baseline, a row a split:
+    their sample deviation and signs, the bootstrap interval of the mean and the sign-flip p (10,000 patterns beyond 20 splits)."""
+    v = F.col(value)
+    point = differences.groupBy(*by).agg(F.count("*").alias("splits"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.count_if(v > 0).alias("wins"), F.count_if(v < 0).alias("losses"))
+    ends = interval(split_means(differences, value, by, order, b), "m", by).select(*by, "ci_low", "ci_high")
+    return point.join(ends, by).join(sign_flip_p(differences, value, by, draws=10_000).select(*by, "p"), by)
+
+
 def verdict_by_p(p: Column, delta: Column, alpha: float = 0.05) -> Column:
     return F.when((p < alpha) & (delta > 0), "better").when((p < alpha) & (delta < 0), "worse").otherwise("no difference")
 

@@ -360,13 +360,7 @@ d AS (SELECT arm, b, avg(q.diff) AS m FROM (SELECT arm, b, ('0x' || substr(md5(b
 SELECT arm, round(quantile_cont(m, 0.025), 3) AS ci_low, round(quantile_cont(m, 0.975), 3) AS ci_high FROM d GROUP BY 1""")
 def i8(spark, d):
     """Interval of the mean of an arm's differences over splits, an arm having some splits."""
-    from pyspark.sql import Window
-
-    x = _diffs(spark, d).withColumn("i", (F.row_number().over(Window.partitionBy("arm").orderBy("seed")) - 1).cast("long")).withColumn("n", F.count("*").over(Window.partitionBy("arm")))
-    b = x.crossJoin(F.broadcast(spark.range(2000).withColumnRenamed("id", "b")))
-    pick = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("b").cast("string"), F.col("i").cast("string"), F.lit("7")).cast("binary")), 1, 8), 16, 10).cast("long") % F.col("n")
-    drawn = b.select("arm", "b", pick.alias("i")).join(x.select("arm", "i", "diff"), ["arm", "i"]).groupBy("arm", "b").agg(F.avg("diff").alias("m"))
-    return rounded(inference.interval(drawn, "m", ["arm"]).select("arm", "ci_low", "ci_high"), 3)
+    return rounded(inference.interval(inference.split_means(_diffs(spark, d), "diff", ["arm"], "seed"), "m", ["arm"]).select("arm", "ci_low", "ci_high"), 3)
 
 
 @query("i9_sign_flip")
@@ -382,6 +376,21 @@ def i10(spark, d):
     return rounded(inference.paired_t(_diffs(spark, d), "diff", ["arm"]).where("n > 1"), 4)
 
 
+# Areas under both densities by the midpoint rule, all sign patterns of small groups.
+@query("i10_paired_p", f"""WITH x AS (SELECT arm, seed, round(diff - 0.45, 4) AS diff FROM ({_DIFFS})), r AS (SELECT arm, seed, diff, sign(diff) * (rank() OVER (PARTITION BY arm ORDER BY abs(diff)) + (count(*) OVER (PARTITION BY arm, abs(diff)) - 1) / 2) AS r, count(*) OVER (PARTITION BY arm, abs(diff)) AS tied FROM x WHERE diff <> 0),
+z AS (SELECT arm, count(*) AS m, sum(r) / 2 / sqrt((count(*) * (count(*) + 1) * (2 * count(*) + 1) - sum(tied * tied - 1) / 2) / 24) AS z FROM r GROUP BY 1),
+q AS (SELECT arm, row_number() OVER (PARTITION BY arm ORDER BY seed) - 1 AS i, m, r FROM r JOIN z USING (arm) WHERE m <= 20),
+fl AS (SELECT arm, k, sum(CASE WHEN (k >> i) & 1 = 1 THEN -r ELSE r END) AS s, sum(r) AS o FROM q JOIN range(1048576) p(k) ON k < (1 << m) GROUP BY 1, 2),
+ex AS (SELECT arm, avg((abs(s) >= abs(o))::INT) AS p FROM fl GROUP BY 1),
+t AS (SELECT arm, count(*) AS n, abs(avg(diff) / (stddev_samp(diff) / sqrt(count(*)))) AS t FROM x GROUP BY 1),
+pt AS (SELECT arm, n, 1 - 2 * sum(exp(lgamma(n / 2) - lgamma((n - 1) / 2) - ln((n - 1) * pi()) / 2 - n / 2 * ln(1 + (t * (k + 0.5::DOUBLE) / 20000) ** 2 / (n - 1)))) * max(t) / 20000 AS p FROM t, range(20000) g(k) WHERE n > 1 GROUP BY 1, 2),
+pz AS (SELECT arm, 1 - 2 * sum(exp((z * (k + 0.5::DOUBLE) / 20000) ** 2 / -2)) * abs(max(z)) / 20000 / sqrt(2 * pi()) AS p FROM z, range(20000) g(k) GROUP BY arm)
+SELECT pt.arm, n, round(pt.p, 4) AS p_t, round(coalesce(ex.p, pz.p), 4) AS p_wilcoxon FROM pt LEFT JOIN pz USING (arm) LEFT JOIN ex USING (arm)""")
+def i10b(spark, d):
+    """Against a difference of 0.45, about the mean."""
+    return rounded(inference.paired_p(_diffs(spark, d).withColumn("diff", F.round(F.col("diff") - 0.45, 4)), "diff", ["arm"]).where("n > 1"), 4)
+
+
 @query("i11_subsample", with_(COHORT, "SELECT customer_id FROM (SELECT customer_id, row_number() OVER (ORDER BY md5(customer_id || '|2026'), customer_id) AS r FROM cohort) WHERE r <= round(0.8 * (SELECT count(*) FROM cohort))"))
 def i11(spark, d):
     """80 % of the customers without replacement: sampling is the operator."""
@@ -405,12 +414,21 @@ def i13(spark, d):
     return rounded(inference.factorial_contrasts(o), 3)
 
 
-@query("i14_split_comparisons", f"WITH x AS ({_DIFFS}), b AS (SELECT seed % 5 AS s, avg(diff) AS base FROM x WHERE arm < 12 GROUP BY 1), a AS (SELECT arm, seed % 5 AS s, avg(diff) AS v FROM x WHERE arm >= 12 GROUP BY 1, 2) SELECT arm, count(*) AS splits, round(avg(v - base), 6) AS mean, round(stddev_samp(v - base), 6) AS std FROM a JOIN b USING (s) GROUP BY 1 HAVING count(*) > 1")
+@query("i14_split_comparisons", f"""WITH x AS ({_DIFFS}), b AS (SELECT seed % 5 AS s, avg(diff) AS base FROM x WHERE arm < 12 GROUP BY 1), a AS (SELECT arm, seed % 5 AS s, avg(diff) AS v FROM x WHERE arm >= 12 GROUP BY 1, 2),
+e AS (SELECT arm, s, v - base AS e FROM a JOIN b USING (s)), n AS (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY s) - 1 AS i, count(*) OVER (PARTITION BY arm) AS n FROM e),
+dr AS (SELECT arm, b, avg(q.e) AS m FROM (SELECT arm, b, ('0x' || substr(md5(b || '|' || i || '|7'), 1, 8))::BIGINT % n AS i FROM n, range(2000) r(b)) w JOIN n q USING (arm, i) GROUP BY 1, 2),
+ci AS (SELECT arm, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high FROM dr GROUP BY 1),
+fl AS (SELECT arm, k, round(abs(sum(CASE WHEN (k >> i) & 1 = 1 THEN -e ELSE e END)), 9) >= round(abs(sum(e)), 9) AS reached FROM n JOIN range(32) p(k) ON k < (1 << n) GROUP BY 1, 2),
+p AS (SELECT arm, avg(reached::INT) AS p FROM fl GROUP BY 1)
+SELECT arm, count(*) AS splits, round(avg(e), 6) AS mean, round(stddev_samp(e), 6) AS std, count(*) FILTER (e > 0) AS wins, count(*) FILTER (e < 0) AS losses, round(any_value(ci_low), 4) AS ci_low, round(any_value(ci_high), 4) AS ci_high, round(any_value(p), 6) AS p
+FROM e JOIN ci USING (arm) JOIN p USING (arm) GROUP BY 1 HAVING count(*) > 1""")
 def i14(spark, d):
+    """Arms 12 and above against the mean of the others, over five splits."""
     x = _diffs(spark, d).withColumn("s", F.col("seed") % 5)
     base = x.where("arm < 12").groupBy("s").agg(F.avg("diff").alias("base"))
-    a = x.where("arm >= 12").groupBy("arm", "s").agg(F.avg("diff").alias("v")).join(base, "s")
-    return rounded(a.groupBy("arm").agg(F.count("*").alias("splits"), F.avg(F.col("v") - F.col("base")).alias("mean"), F.stddev_samp(F.col("v") - F.col("base")).alias("std")).where("splits > 1"))
+    paired = x.where("arm >= 12").groupBy("arm", "s").agg(F.avg("diff").alias("v")).join(base, "s").select("arm", "s", (F.col("v") - F.col("base")).alias("e"))
+    out = rounded(inference.split_comparisons(checkpointed(paired), "e", ["arm"], "s").where("splits > 1"))
+    return out.withColumns({c: F.round(c, 4) for c in ("ci_low", "ci_high")})
 
 
 @query("i15_unit_weights", with_(COHORT, f", {_PRED} SELECT (SELECT round(v, 6) FROM ({_auc_sql('1')})) AS auc, (SELECT round(1 - sum((y - f) * (y - f)) / (var_pop(y) * count(*)), 6) FROM pred) AS r2"))

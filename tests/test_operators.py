@@ -378,3 +378,24 @@ def test_log2_next_to_one_and_far_from_it():
 def test_an_extent_of_one_profile_has_the_empty_lower_neighbour():
     assert lattice.lower_neighbours({0b11: 4}, 0b11) == [frozenset()]
     assert set(lattice.lower_neighbours({0b11: 1, 0b101: 1, 0b111: 2}, 0b1)) == {frozenset({0b11, 0b111}), frozenset({0b101, 0b111})}
+
+
+def test_paired_p_values(spark):
+    from itertools import product
+
+    df = spark.createDataFrame([(0.0, 5.0, 1), (2.0, 10.0, 2), (2.228139, 10.0, 3), (12.706205, 1.0, 4), (2.570582, 5.0, 5)], "t double, df double, i int")
+    got = [r.p for r in df.select("i", inference.student_p(F.col("t"), F.col("df")).alias("p")).orderBy("i").collect()]
+    assert np.allclose(got, [1.0, 0.073388, 0.05, 0.05, 0.05], atol=1e-5)
+    z = [0.0, 0.3, -1.959964, 3.0, 6.0]
+    got = [r.p for r in spark.createDataFrame([(i, v) for i, v in enumerate(z)], "i int, z double").select("i", inference.normal_p(F.col("z")).alias("p")).orderBy("i").collect()]
+    assert np.allclose(got, [math.erfc(abs(v) / 2**0.5) for v in z], atol=1e-12)
+
+    few = [1.5, -0.5, 2.0, 2.0, 0.0, -1.0, 3.0]
+    ranks = np.array([3, -1, 4.5, 4.5, -2, 6])
+    sums = [abs((ranks * s).sum()) for s in product([1, -1], repeat=6)]
+    rows = [("few", v) for v in few] + [("one", 1.0), ("zeros", 0.0), ("zeros", 0.0)] + [("many", float(v)) for v in range(-10, 31)]
+    found = {r.g: r for r in inference.paired_p(spark.createDataFrame(rows, "g string, v double"), "v", ["g"]).collect()}
+    assert found["few"].n == 7 and math.isclose(found["few"].p_wilcoxon, np.mean([s >= abs(ranks.sum()) for s in sums]))
+    assert found["one"].p_t is None and found["one"].p_wilcoxon == 1.0
+    assert found["zeros"].p_t is None and found["zeros"].p_wilcoxon is None
+    assert 0 < found["many"].p_wilcoxon < 0.001 and 0 < found["many"].p_t < 0.001
