@@ -112,6 +112,13 @@ def set_jaccards(sets: DataFrame, key: str) -> DataFrame:
     return x.join(F.broadcast(y), F.col("a") < F.col("b")).join(shared, ["a", "b"], "left").select("a", "b", (c / (F.col("na") + F.col("nb") - c)).alias("jaccard"))
 
 
+def set_recurrence(reference: DataFrame, sets: DataFrame, key: str) -> DataFrame:
+    """(band_mask, share): the share of concept sets (key, band_mask) that hold each concept of reference (band_mask); none without sets."""
+    n = sets.select(key).distinct().agg(F.count("*").alias("n"))
+    held = sets.select(key, "band_mask").distinct().groupBy("band_mask").agg(F.count("*").alias("c"))
+    return reference.select("band_mask").distinct().join(held, "band_mask", "left").crossJoin(F.broadcast(n)).select("band_mask", F.try_divide(F.coalesce("c", F.lit(0)), "n").alias("share"))
+
+
 def equal_columns(a: DataFrame, b: DataFrame, digits: int = 9) -> DataFrame:
     """One row: columns of degrees that only one side has, as multisets of whole columns, whatever their keys."""
     entry = F.xxhash64("customer_id", F.round("mu", digits)).cast("decimal(20,0)")

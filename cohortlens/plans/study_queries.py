@@ -482,6 +482,13 @@ def t6(spark, d):
     return rounded(stability.set_jaccards(sets, "b"))
 
 
+@query("t6_recurrence")
+def t6b(spark, d):
+    """How often resamples have each concept of all customers."""
+    df = checkpointed(cohort(spark, d))
+    return rounded(stability.set_recurrence(stability.fit_crisp(df)[1], checkpointed(stability.resample_sets(df, 3)), "b"))
+
+
 @query("t7_fold_jaccards", with_(CRISP, ", f AS (SELECT intent_mask, n_customers % 5 AS fold FROM crisp), e AS (SELECT DISTINCT fold, bit_count(intent_mask) AS m FROM f), z AS (SELECT fold, count(*) AS n FROM e GROUP BY 1) SELECT p.fold AS a, q.fold AS b, round((SELECT count(*) FROM e x JOIN e y ON x.m = y.m AND x.fold = p.fold AND y.fold = q.fold) / (p.n + q.n - (SELECT count(*) FROM e x JOIN e y ON x.m = y.m AND x.fold = p.fold AND y.fold = q.fold)), 6) AS jaccard FROM z p JOIN z q ON p.fold < q.fold"))
 def t7(spark, d):
     found = concepts.crisp_concepts(scored(spark, d))

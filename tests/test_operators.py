@@ -399,3 +399,10 @@ def test_paired_p_values(spark):
     assert found["one"].p_t is None and found["one"].p_wilcoxon == 1.0
     assert found["zeros"].p_t is None and found["zeros"].p_wilcoxon is None
     assert 0 < found["many"].p_wilcoxon < 0.001 and 0 < found["many"].p_t < 0.001
+
+
+def test_recurrence_of_concepts_in_resamples(spark):
+    sets = spark.createDataFrame([(0, 1), (0, 3), (1, 1), (2, 1), (2, 1), (2, 9)], "b int, band_mask long")
+    found = stability.set_recurrence(spark.createDataFrame([(1,), (3,), (7,)], "band_mask long"), sets, "b").collect()
+    assert {r.band_mask: round(r.share, 6) for r in found} == {1: 1.0, 3: 0.333333, 7: 0.0}
+    assert stability.set_recurrence(sets, sets.limit(0), "b").where("share IS NOT NULL").isEmpty()
