@@ -7,6 +7,8 @@ masks, so mining is grouping, whatever the number of customers.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,17 +38,19 @@ def fuzzy_mask(thresholds=THRESHOLDS) -> Column:
     return out
 
 
-def crisp_concepts(scored: DataFrame, min_support: float = MIN_SUPPORT) -> DataFrame:
-    """(intent_mask, n_customers, support): closed band sets with support, and the root where it is closed.
+def crisp_concepts(scored: DataFrame, min_support: float = MIN_SUPPORT, by: list[str] = []) -> DataFrame:
+    """(by..., intent_mask, n_customers, support): closed band sets with support, and the root where it is closed.
 
-    A set of bands holds one band a dimension at most, so the cube over the
-    three scores has every extent; its masks' bitwise and is the closure.
+    A set of bands holds one band a dimension at most, so the grouping sets of
+    the three scores have every extent; its masks' bitwise and is the closure.
     """
-    masked = scored.select(*[f"{d}_score" for d in DIMS], crisp_mask().alias("mask"))
-    cube = masked.cube(*[f"{d}_score" for d in DIMS]).agg(F.count("*").alias("n_customers"), F.bit_and("mask").alias("intent_mask"), F.grouping_id().alias("g"))
-    total = masked.agg(F.count("*").alias("total"))
-    kept = cube.crossJoin(F.broadcast(total)).where((F.col("n_customers") >= min_support * F.col("total")) | (F.col("g") == 7))
-    return kept.groupBy("intent_mask").agg(F.max("n_customers").alias("n_customers"), F.max(F.col("n_customers") / F.col("total")).alias("support"))
+    scores = [f"{d}_score" for d in DIMS]
+    masked = scored.select(*by, *scores, crisp_mask().alias("mask"))
+    sets = [[*by, *kept] for n in range(4) for kept in combinations(scores, n)]
+    cube = masked.groupingSets(sets, *by, *scores).agg(F.count("*").alias("n_customers"), F.bit_and("mask").alias("intent_mask"), F.grouping_id().alias("g"))
+    total = F.broadcast(masked.groupBy(*by).agg(F.count("*").alias("total")))
+    kept = (cube.join(total, by) if by else cube.crossJoin(total)).where((F.col("n_customers") >= min_support * F.col("total")) | (F.col("g") == 7))
+    return kept.groupBy(*by, "intent_mask").agg(F.max("n_customers").alias("n_customers"), F.max(F.col("n_customers") / F.col("total")).alias("support"))
 
 
 def profiles(fuzzy: DataFrame, thresholds=THRESHOLDS) -> DataFrame:

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from cohortlens.functions.ranks import value_ranks
 
 
-def hash_order(seed: int, c: str = "customer_id") -> Column:
+def hash_order(seed: int | Column, c: str = "customer_id") -> Column:
     """A pseudo-random key of a row, the same in any engine."""
-    return F.md5(F.concat(F.col(c).cast("string"), F.lit(f"|{seed}")).cast("binary"))
+    return F.md5(F.concat(F.col(c).cast("string"), F.lit("|"), (seed if isinstance(seed, Column) else F.lit(seed)).cast("string")).cast("binary"))
 
 
-def _placed(df: DataFrame, by: list[str], seed: int) -> DataFrame:
+def placed(df: DataFrame, by: list[str], seed: int) -> DataFrame:
     """df, a row a customer, with how many rows of its group come before it in hash order (``__before``) and how many there are
     (``__total``): global ranks, so no task holds a group."""
     keyed = df.select(*by, F.struct(hash_order(seed).alias("h"), "customer_id").alias("__key"))
@@ -23,18 +23,28 @@ def _placed(df: DataFrame, by: list[str], seed: int) -> DataFrame:
 
 def stratified_folds(df: DataFrame, label: str = "repurchased", k: int = 5, seed: int = 0) -> DataFrame:
     """df with ``fold`` 0 to k - 1: rows of each label in hash order are dealt in turn, so folds differ by one row a label."""
-    return _placed(df, [label], seed).withColumn("fold", (F.col("__before") % k).cast("int")).drop("__before", "__total")
+    return placed(df, [label], seed).withColumn("fold", (F.col("__before") % k).cast("int")).drop("__before", "__total")
 
 
 def stratified_split(df: DataFrame, label: str = "repurchased", train: float = 0.7, seed: int = 42) -> DataFrame:
     """df with ``is_train``: the first floor(train * n) rows of each label in hash order."""
-    return _placed(df, [label], seed).withColumn("is_train", F.col("__before") < F.floor(F.lit(train) * F.col("__total"))).drop("__before", "__total")
+    return placed(df, [label], seed).withColumn("is_train", F.col("__before") < F.floor(F.lit(train) * F.col("__total"))).drop("__before", "__total")
 
 
 def subsample(df: DataFrame, share: float, seed: int, how: str = "round") -> DataFrame:
     """round(share * n) rows (or its whole part) in hash order, without replacement."""
     n = F.lit(share) * F.col("__total")
-    return _placed(df, [], seed).where(F.col("__before") < (F.round(n) if how == "round" else F.floor(n)).cast("long")).drop("__before", "__total")
+    return placed(df, [], seed).where(F.col("__before") < (F.round(n) if how == "round" else F.floor(n)).cast("long")).drop("__before", "__total")
+
+
+def subsamples(df: DataFrame, share: float, seeds: list[int], how: str = "round") -> DataFrame:
+    """df's columns and ``sample``: the ``subsample`` of each seed, numbered from 0, all in one pass."""
+    samples = F.explode(F.array(*[F.struct(F.lit(i).alias("sample"), F.lit(s).alias("seed")) for i, s in enumerate(seeds)])).alias("s")
+    keyed = df.select("customer_id", samples).select("s.sample", F.struct(hash_order(F.col("s.seed")).alias("h"), "customer_id").alias("__key"))
+    ranks = value_ranks(keyed, "__key", ["sample"])
+    n = F.lit(share) * F.col("total")
+    kept = ranks.where(F.col("before") < (F.round(n) if how == "round" else F.floor(n)).cast("long")).select("sample", F.col("__key.customer_id").alias("customer_id"))
+    return kept.join(df, "customer_id")
 
 
 def weighted_auc(df: DataFrame, y: str, score: str, weight: str | None = None, by: list[str] = []) -> DataFrame:

@@ -20,18 +20,18 @@ def long_dims(df: DataFrame, keep: list[str] = ["customer_id"]) -> DataFrame:
     return df.select(*keep, F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).cast("double").alias("x")) for d in DIMS])).alias("p")).select(*keep, "p.dim", "p.x")
 
 
-def fit_cutpoints(df: DataFrame, strict: bool = True, digits: int = 6) -> DataFrame:
-    """(dim, cuts): the 20, 40, 60 and 80 % quantiles of each dimension; strict ones must increase."""
-    cuts = exact_quantiles(long_dims(df, []), "x", QUINTILES, ["dim"]).select("dim", F.transform("quantiles", lambda q: F.round(q, digits)).alias("cuts"))
+def fit_cutpoints(df: DataFrame, strict: bool = True, digits: int = 6, by: list[str] = []) -> DataFrame:
+    """(by..., dim, cuts): the 20, 40, 60 and 80 % quantiles of each dimension; strict ones must increase."""
+    cuts = exact_quantiles(long_dims(df, by), "x", QUINTILES, [*by, "dim"]).select(*by, "dim", F.transform("quantiles", lambda q: F.round(q, digits)).alias("cuts"))
     if strict:
         ok = F.size(F.array_distinct("cuts")) == 4
         cuts = cuts.withColumn("cuts", F.when(ok, F.col("cuts")).otherwise(F.raise_error(F.concat(F.lit("tied cutpoints of "), F.col("dim")))))
     return cuts
 
 
-def as_row(cuts: DataFrame) -> DataFrame:
-    """The fitted rows of all dimensions as one row of columns R_cuts, F_cuts, M_cuts."""
-    return cuts.agg(*[F.max(F.when(F.col("dim") == d, F.col("cuts"))).alias(f"{d}_cuts") for d in DIMS])
+def as_row(cuts: DataFrame, by: list[str] = []) -> DataFrame:
+    """The fitted rows of all dimensions as one row (a group) of columns R_cuts, F_cuts, M_cuts."""
+    return cuts.groupBy(*by).agg(*[F.max(F.when(F.col("dim") == d, F.col("cuts"))).alias(f"{d}_cuts") for d in DIMS])
 
 
 def band(x: Column, cuts: Column, invert: bool = False) -> Column:
@@ -40,9 +40,10 @@ def band(x: Column, cuts: Column, invert: bool = False) -> Column:
     return (F.size(cuts) + 1 - above if invert else 1 + above).cast("int")
 
 
-def score(df: DataFrame, cuts: DataFrame) -> DataFrame:
-    """df with R_score, F_score, M_score by fitted cutpoints; R is inverted."""
-    scored = df.crossJoin(F.broadcast(as_row(cuts)))
+def score(df: DataFrame, cuts: DataFrame, by: list[str] = []) -> DataFrame:
+    """df with R_score, F_score, M_score by fitted cutpoints, of its own group where there are groups (a few); R is inverted."""
+    rows = F.broadcast(as_row(cuts, by))
+    scored = df.join(rows, by) if by else df.crossJoin(rows)
     for d in DIMS:
         scored = scored.withColumn(f"{d}_score", band(F.col(d).cast("double"), F.col(f"{d}_cuts"), d == "R"))
     return scored.drop(*[f"{d}_cuts" for d in DIMS])

@@ -12,10 +12,10 @@ MU_CUT = 0.5
 RANK_TOLERANCE = 0.05
 
 
-def fit_crisp(train: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(cutpoints, concepts keyed by band_mask) of a cohort."""
-    cuts = scoring.fit_cutpoints(train, strict=False)
-    found = mining.crisp_concepts(scoring.score(train, cuts)).where("intent_mask <> 0").withColumnRenamed("intent_mask", "band_mask")
+def fit_crisp(train: DataFrame, by: list[str] = []) -> tuple[DataFrame, DataFrame]:
+    """(cutpoints, concepts keyed by band_mask) of a cohort, or of each group of rows."""
+    cuts = scoring.fit_cutpoints(train, strict=False, by=by)
+    found = mining.crisp_concepts(scoring.score(train, cuts, by), by=by).where("intent_mask <> 0").withColumnRenamed("intent_mask", "band_mask")
     return cuts, found
 
 
@@ -81,6 +81,34 @@ def refit_study(cohort: DataFrame, subsamples: int = 3, share: float = 0.8, seed
     return out
 
 
+def crisp_refits(cohort: DataFrame, seeds: list[int], share: float = 0.8) -> DataFrame:
+    """What ``refit_study`` gives for crisp models, a row a seed: all subsamples are fitted as groups of one table.
+
+    A customer's concepts are those of few whose bands it has, so both models'
+    are arrays in its row and the overlaps add up without a shuffle of customers.
+    """
+    from cohortlens.functions.ranks import checkpointed
+
+    cohort, by = checkpointed(cohort), ["sample"]
+    cuts, found = fit_crisp(cohort)
+    fits = fit_crisp(checkpointed(metrics.subsamples(cohort, share, seeds)), by)
+    fit_cuts, fit_found = checkpointed(fits[0]), checkpointed(fits[1])
+    # the mask is bound once for a row, not worked out for each concept
+    held = lambda c: F.get(F.transform(F.array("mask"), lambda mask: F.filter(c, lambda m: mask.bitwiseAND(m) == m)), F.lit(0))
+    masked = scoring.score(cohort, cuts).crossJoin(F.broadcast(found.agg(F.collect_list("band_mask").alias("all")))).select(*scoring.DIMS, "all", mining.crisp_mask().alias("mask"))
+    models = scoring.as_row(fit_cuts, by).join(fit_found.groupBy("sample").agg(F.collect_list("band_mask").alias("fitted")), by, "left").withColumn("fitted", F.coalesce("fitted", F.array().cast("array<bigint>")))
+    sets = masked.select(*scoring.DIMS, "all", held("all").alias("a")).crossJoin(F.broadcast(models))
+    for d in scoring.DIMS:
+        sets = sets.withColumn(f"{d}_score", scoring.band(F.col(d).cast("double"), F.col(f"{d}_cuts"), d == "R"))
+    sets = sets.select("sample", "all", "fitted", "a", mining.crisp_mask().alias("mask")).withColumn("b", held("fitted"))
+    common, either = F.sum(F.size(F.array_intersect("a", "b"))), F.sum(F.size(F.array_union("a", "b")))
+    out = sets.groupBy("sample").agg(F.coalesce(F.try_divide(common, either), F.lit(1.0)).alias("core_jaccard"), F.first("all").alias("all"), F.first("fitted").alias("fitted"))
+    return out.select(
+        F.col("sample").alias("subsample"), "core_jaccard", F.col("core_jaccard").alias("fuzzy_jaccard"),
+        F.try_divide(F.size(F.array_intersect("all", "fitted")), F.size("all")).alias("concept_recurrence"), F.size("all").cast("long").alias("n_concepts_ref"), F.size("fitted").cast("long").alias("n_concepts_fit"),
+    )
+
+
 def temporal_pair(first: DataFrame, second: DataFrame, fit=fit_crisp, project=project_crisp) -> DataFrame:
     """(subset, n_customers, core_jaccard, fuzzy_jaccard) of two cohorts' common customers: all of them, and those whose
     percent ranks moved ``RANK_TOLERANCE`` at most in each dimension. Each cohort has its own model."""
@@ -95,12 +123,11 @@ def temporal_pair(first: DataFrame, second: DataFrame, fit=fit_crisp, project=pr
 
 
 def resample_sets(cohort: DataFrame, b: int, share: float = 0.8, seed: int = 7) -> DataFrame:
-    """(b, band_mask): crisp concepts of each of several subsamples."""
-    out = None
-    for i in range(b):
-        part = fit_crisp(metrics.subsample(cohort, share, seed + i, "floor"))[1].select(F.lit(i).alias("b"), "band_mask")
-        out = part if out is None else out.union(part)
-    return out
+    """(b, band_mask): crisp concepts of each of several subsamples, fitted as groups of one table."""
+    from cohortlens.functions.ranks import checkpointed
+
+    drawn = checkpointed(metrics.subsamples(cohort, share, [seed + i for i in range(b)], "floor"))
+    return fit_crisp(drawn, ["sample"])[1].select(F.col("sample").alias("b"), "band_mask")
 
 
 def set_jaccards(sets: DataFrame, key: str) -> DataFrame:

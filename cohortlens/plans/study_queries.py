@@ -238,14 +238,16 @@ def l16(spark, d):
     return rounded(x.select("customer_id", *[F.get("x", F.lit(i)).alias(c) for i, c in enumerate("rfm")]))
 
 
+SPLIT_SEEDS = list(range(1000, 1010))
+
+
 @query("l17_repeated_splits")
 def l17(spark, d):
-    """Mean and spread of held-out metrics over split seeds, and wins over the first arm."""
+    """Mean and spread of held-out metrics over ten 70/30 splits, and wins over the first arm; ten logistic and twenty ridge penalties."""
     df, rows = checkpointed(cohort(spark, d)), None
-    for seed in (1000, 1001):
-        for arm in ("raw_std", "log_rfm"):
-            one = models.evaluate(models.out_of_fold(df, arm, k=2, seed=seed, cs=[1.0])).select(F.lit(seed).alias("seed"), F.lit(arm).alias("arm"), "auc", "spend_r2", "invoice_r2")
-            rows = one if rows is None else rows.unionByName(one)
+    for arm in ("raw_std", "log_rfm"):
+        one = models.evaluate(models.repeated_splits(df, arm, SPLIT_SEEDS), ["seed"]).select("seed", F.lit(arm).alias("arm"), "auc", "spend_r2", "invoice_r2")
+        rows = one if rows is None else rows.unionByName(one)
     rows = checkpointed(rows)
     base = rows.where("arm = 'raw_std'").select("seed", F.col("auc").alias("base"))
     return rounded(rows.join(base, "seed").groupBy("arm").agg(F.avg("auc").alias("auc_mean"), F.stddev_samp("auc").alias("auc_std"), F.avg("spend_r2").alias("spend_r2_mean"), F.count_if(F.col("auc") > F.col("base")).alias("wins")), 4)
@@ -253,17 +255,17 @@ def l17(spark, d):
 
 @query("l18_temporal_holdout")
 def l18(spark, d):
-    """One fixed split, several arms, one holdout."""
+    """One fixed 70/30 split of one origin's customers, whose outcomes are later, for several arms."""
     df, rows = checkpointed(cohort(spark, d)), None
-    for arm in ("crisp_bands", "spline_log_rfm"):
-        one = models.evaluate(models.out_of_fold(df, arm, k=2, seed=42, cs=[0.1, 1.0])).withColumn("arm", F.lit(arm))
+    for arm in ("log_rfm", "crisp_bands", "spline_log_rfm"):
+        one = models.evaluate(models.repeated_splits(df, arm, [42])).withColumn("arm", F.lit(arm))
         rows = one if rows is None else rows.unionByName(one)
     return rounded(rows, 4)
 
 
 @query("l19_harness")
 def l19(spark, d):
-    return rounded(models.evaluate(_oof(spark, d, "crisp_rfm_fca", k=2, cs=[0.01])), 4)
+    return rounded(models.evaluate(_oof(spark, d, "crisp_rfm_fca")), 4)
 
 
 B, SEED = 2000, 12345
@@ -452,9 +454,28 @@ def t2(spark, d):
     return rounded(stability.similarity(stability.project_crisp(a, stability.fit_crisp(a)), stability.project_crisp(b, stability.fit_crisp(b))))
 
 
-@query("t3_refit_study")
+# Crisp concepts of subsamples in SQL: sk (b, customer_id, mask) and sn (b, m).
+def _subsamples_sql(b: int, seed: int, how: str) -> str:
+    return f""", dr AS (SELECT b, cohort.*, row_number() OVER (PARTITION BY b ORDER BY md5(customer_id || '|' || (b + {seed})), customer_id) AS place FROM cohort, range({b}) t(b)),
+sb AS (SELECT * FROM dr WHERE place <= {how}(0.8 * (SELECT count(*) FROM cohort))),
+sq AS (SELECT b, list_transform(quantile_cont(R::DOUBLE, [0.2, 0.4, 0.6, 0.8]), lambda v: round(v, 6)) AS qr, list_transform(quantile_cont(F::DOUBLE, [0.2, 0.4, 0.6, 0.8]), lambda v: round(v, 6)) AS qf,
+  list_transform(quantile_cont(M, [0.2, 0.4, 0.6, 0.8]), lambda v: round(v, 6)) AS qm FROM sb GROUP BY b),
+sl AS (SELECT b, customer_id, 4 - len(list_filter(qr, lambda c: R::DOUBLE > c)) AS rs, 5 + len(list_filter(qf, lambda c: F::DOUBLE > c)) AS fs, 10 + len(list_filter(qm, lambda c: M > c)) AS ms FROM cohort, sq),
+sk AS (SELECT b, customer_id, rs, fs, ms, ((1 << rs) + (1 << fs) + (1 << ms))::BIGINT AS mask FROM sl),
+sn AS (SELECT DISTINCT b, m FROM (SELECT b, count(*) AS n, bit_and(mask) AS m FROM sk SEMI JOIN sb USING (b, customer_id) GROUP BY GROUPING SETS ((b), (b, rs), (b, fs), (b, ms), (b, rs, fs), (b, rs, ms), (b, fs, ms), (b, rs, fs, ms)))
+  WHERE n >= 0.04 * (SELECT count(*) FROM sb WHERE b = 0) AND m <> 0)"""
+
+
+_REFERENCE = ", rn AS (SELECT intent_mask AS m FROM crisp WHERE intent_mask <> 0)"
+
+
+@query("t3_refit_study", with_(CRISP, _subsamples_sql(30, 2026, "round") + _REFERENCE + """, ra AS (SELECT customer_id, m FROM cm JOIN rn ON (mask & m) = m), fb AS (SELECT b, customer_id, m FROM sk JOIN sn USING (b) WHERE (mask & m) = m),
+i AS (SELECT b, count(*) AS c FROM ra JOIN fb USING (customer_id, m) GROUP BY 1), e AS (SELECT b, count(*) AS f FROM fb GROUP BY 1), w AS (SELECT b, count(*) AS nf, count(*) FILTER (m IN (SELECT m FROM rn)) AS again FROM sn GROUP BY 1)
+SELECT b AS subsample, round(c / ((SELECT count(*) FROM ra) + f - c), 6) AS core_jaccard, round(c / ((SELECT count(*) FROM ra) + f - c), 6) AS fuzzy_jaccard,
+ round(again / (SELECT count(*) FROM rn), 6) AS concept_recurrence, (SELECT count(*) FROM rn) AS n_concepts_ref, nf AS n_concepts_fit FROM i JOIN e USING (b) JOIN w USING (b)"""))
 def t3(spark, d):
-    return rounded(stability.refit_study(cohort(spark, d), subsamples=2))
+    """Thirty subsamples of 80 % of the customers."""
+    return rounded(stability.crisp_refits(cohort(spark, d), [2026 + s for s in range(30)]))
 
 
 @query("t4_temporal_pair", _PAIR + """, pa AS (SELECT customer_id, R, F, M FROM (""" + with_(CRISP_COHORT.format(cut="1998-01-01"), "SELECT * FROM pct") + """)), pb AS (SELECT customer_id, R, F, M FROM (""" + with_(CRISP_COHORT.format(cut="1999-01-01"), "SELECT * FROM pct") + """)),
@@ -476,17 +497,21 @@ def t5(spark, d):
     return rounded(stability.temporal_pair(a, b, fit=lambda df: stability.fit_fuzzy(df, k), project=stability.project_fuzzy))
 
 
-@query("t6_resample_sets")
+RESAMPLES = 50
+
+
+@query("t6_resample_sets", with_(COHORT, _subsamples_sql(RESAMPLES, 7, "floor") + """, z AS (SELECT b, count(*) AS n FROM sn GROUP BY 1), c AS (SELECT x.b AS a, y.b, count(*) AS c FROM sn x JOIN sn y ON x.m = y.m AND x.b < y.b GROUP BY 1, 2)
+SELECT p.b AS a, q.b, round(coalesce(c, 0) / (p.n + q.n - coalesce(c, 0)), 6) AS jaccard FROM z p JOIN z q ON p.b < q.b LEFT JOIN c ON c.a = p.b AND c.b = q.b"""))
 def t6(spark, d):
-    sets = checkpointed(stability.resample_sets(checkpointed(cohort(spark, d)), 3))
+    sets = checkpointed(stability.resample_sets(checkpointed(cohort(spark, d)), RESAMPLES))
     return rounded(stability.set_jaccards(sets, "b"))
 
 
-@query("t6_recurrence")
+@query("t6_recurrence", with_(CRISP, _subsamples_sql(RESAMPLES, 7, "floor") + _REFERENCE + f" SELECT rn.m AS band_mask, round(count(sn.b) / {RESAMPLES}, 6) AS share FROM rn LEFT JOIN sn USING (m) GROUP BY 1"))
 def t6b(spark, d):
-    """How often resamples have each concept of all customers."""
+    """How often fifty resamples have each concept of all customers."""
     df = checkpointed(cohort(spark, d))
-    return rounded(stability.set_recurrence(stability.fit_crisp(df)[1], checkpointed(stability.resample_sets(df, 3)), "b"))
+    return rounded(stability.set_recurrence(stability.fit_crisp(df)[1], checkpointed(stability.resample_sets(df, RESAMPLES)), "b"))
 
 
 @query("t7_fold_jaccards", with_(CRISP, ", f AS (SELECT intent_mask, n_customers % 5 AS fold FROM crisp), e AS (SELECT DISTINCT fold, bit_count(intent_mask) AS m FROM f), z AS (SELECT fold, count(*) AS n FROM e GROUP BY 1) SELECT p.fold AS a, q.fold AS b, round((SELECT count(*) FROM e x JOIN e y ON x.m = y.m AND x.fold = p.fold AND y.fold = q.fold) / (p.n + q.n - (SELECT count(*) FROM e x JOIN e y ON x.m = y.m AND x.fold = p.fold AND y.fold = q.fold)), 6) AS jaccard FROM z p JOIN z q ON p.fold < q.fold"))

@@ -406,3 +406,24 @@ def test_recurrence_of_concepts_in_resamples(spark):
     found = stability.set_recurrence(spark.createDataFrame([(1,), (3,), (7,)], "band_mask long"), sets, "b").collect()
     assert {r.band_mask: round(r.share, 6) for r in found} == {1: 1.0, 3: 0.333333, 7: 0.0}
     assert stability.set_recurrence(sets, sets.limit(0), "b").where("share IS NOT NULL").isEmpty()
+
+
+def test_keyed_subsamples_and_refits_equal_one_at_a_time(cohort):
+    several = metrics.subsamples(cohort, 0.8, [3, 4], "floor")
+    for i, seed in enumerate([3, 4]):
+        one = {r.customer_id for r in metrics.subsample(cohort, 0.8, seed, "floor").collect()}
+        assert one == {r.customer_id for r in several.where(F.col("sample") == i).collect()}
+    want = stability.refit_study(cohort, subsamples=2, seed=5).orderBy("subsample").collect()
+    got = stability.crisp_refits(cohort, [5, 6]).orderBy("subsample").collect()
+    assert [tuple(round(v, 9) for v in r.asDict().values()) for r in got] == [tuple(round(r[c], 9) for c in got[0].asDict()) for r in want]
+
+
+def test_repeated_splits_predict_the_held_customers_of_each_seed(cohort):
+    said = models.repeated_splits(cohort, "crisp_rfm_fca", [1, 2], cs=[0.1, 1.0]).collect()
+    for seed in (1, 2):
+        held = {r.customer_id for r in metrics.stratified_split(cohort, seed=seed).where("NOT is_train").collect()}
+        rows = [r for r in said if r.seed == seed]
+        assert held == {r.customer_id for r in rows} and len(held) == len(rows)
+    # a run's models don't depend on the runs trained beside it
+    alone = {r.customer_id: r.prob for r in models.repeated_splits(cohort, "crisp_rfm_fca", [2], cs=[0.1, 1.0]).collect()}
+    assert all(abs(alone[r.customer_id] - r.prob) < 1e-6 for r in said if r.seed == 2)
