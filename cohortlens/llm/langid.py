@@ -2,24 +2,23 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column, columns, free_names, lean_batches, map_rows, with_fields
 from .kernels import pieces
 
-#: Runs of anything that is no letter part words; a word is padded by one space at both ends.
-_GAPS = re.compile(r"[\W\d_]+")
+#: Runs of anything that is no letter (of Unicode category L) part words; a word is padded by one space at both ends.
+_GAPS = regex.compile(r"\P{L}+")
 #: Length of a profile, of languages and of documents.
 TOP = 400
 #: Training documents of a language, about, at most.
 SAMPLE = 20_000
-#: Languages at most, those of most documents: profiles are broadcast.
-MAX_LANGUAGES = 1000
+#: Languages whose profiles are broadcast at once, some 5 KB each; more take further passes over the texts.
+LANGUAGES = 5000
 
 
 def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -44,45 +43,51 @@ def ranked(grams: np.ndarray, counts: np.ndarray, top: int) -> np.ndarray:
 
 
 class Profiles:
-    """Rank-order profiles of languages, looked up for all languages at once."""
+    """Rank-order profiles of languages: for every n-gram the languages that have it and its ranks there."""
 
     def __init__(self, profiles: dict[str, list[int]], top: int):
         self.langs, self.top = sorted(profiles), top
-        vocab = sorted({g for p in profiles.values() for g in p})
-        self.vocab = np.array(vocab, np.uint64)
-        at = {g: i for i, g in enumerate(vocab)}
-        self.rank = np.full((len(vocab) + 1, len(self.langs)), -1, np.int32)
-        for k, lang in enumerate(self.langs):
-            for r, g in enumerate(profiles[lang]):
-                self.rank[at[g], k] = r
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The language of least out-of-place distance and how far it is from the greatest distance, 0 to 1."""
+        grams = np.concatenate([np.zeros(0, np.uint64), *(np.asarray(profiles[x], np.uint64) for x in self.langs)])
+        lang = np.repeat(np.arange(len(self.langs)), [len(profiles[x]) for x in self.langs])
+        rank = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(profiles[x])) for x in self.langs)])
+        order = np.argsort(grams, kind="stable")
+        self.lang, self.rank = lang[order], rank[order]
+        self.vocab, first = np.unique(grams[order], return_index=True)
+        self.first, self.count = first, np.diff(np.append(first, len(order)))
+
+    def nearest(self, text: str | None) -> tuple[str, int, int]:
+        """The language of least out-of-place distance (the first by name of several), that distance, and the greatest possible one."""
         grams, counts = ngrams(text or "")
         if not len(grams) or not self.langs:
-            return "und", 0.0
+            return "und", 0, 0
         doc = ranked(grams, counts, self.top)
-        i = np.searchsorted(self.vocab, doc)
-        i[i == len(self.vocab)] = len(self.vocab) - 1
-        i = np.where(self.vocab[i] == doc, i, len(self.vocab))
-        rank = self.rank[i]
-        away = np.where(rank < 0, self.top, np.abs(rank - np.arange(len(doc), dtype=np.int32)[:, None]))
-        distance = away.sum(axis=0)
-        best = int(distance.argmin())
-        return self.langs[best], float(1 - distance[best] / (self.top * len(doc)))
+        i = np.minimum(np.searchsorted(self.vocab, doc), max(0, len(self.vocab) - 1))
+        here = np.flatnonzero(self.vocab[i] == doc) if len(self.vocab) else np.zeros(0, np.int64)
+        n = self.count[i[here]]
+        at = np.repeat(self.first[i[here]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        # an n-gram that a language lacks counts the whole length of a profile
+        saved = np.bincount(self.lang[at], self.top - np.abs(self.rank[at] - np.repeat(here, n)), minlength=len(self.langs))
+        best, most = int(saved.argmax()), self.top * len(doc)
+        return self.langs[best], most - int(saved[best]), most
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        """The language of least out-of-place distance and how far it is from the greatest distance, 0 to 1."""
+        lang, distance, most = self.nearest(text)
+        return lang, 1 - distance / most if most else 0.0
 
 
 def learn(train: DataFrame, top: int = TOP, sample: int = SAMPLE) -> dict[str, list[int]]:
-    """Profiles of the languages in train (text, lang, ``__order``); rows without text or lang are passed over.
+    """Profiles of all languages in train (text, lang, ``__order``); rows without text or lang are passed over.
 
     Learns from about ``sample`` documents of a language at most: those whose
     64-bit hash ``__order`` lies in the lowest share of all hashes that holds
     so many on average. N-grams are counted in each task and summed by Spark;
-    only the finished profiles, ``top`` numbers a language, come to the driver.
+    only the sizes of languages and the finished profiles, ``top`` numbers each,
+    come to the driver. No language is left out, however many there are.
     """
     lean_batches(train.sparkSession)
     rows = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not sizes:
         return {}
     shares = [(r.lang, min((1 << 63) - 1, int((min(1.0, sample / r.n) * 2 - 1) * (1 << 63)))) for r in sizes]
@@ -101,10 +106,8 @@ def learn(train: DataFrame, top: int = TOP, sample: int = SAMPLE) -> dict[str, l
 
     counted = rows.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = counted.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= top)
-    out: dict[str, list[int]] = {}
-    for row in best.orderBy("lang", "r").toLocalIterator():
-        out.setdefault(row.lang, []).append(row.gram)
-    return out
+    profiles = best.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "gram"))), lambda x: x.gram).alias("grams"))
+    return {row.lang: row.grams for row in profiles.toLocalIterator()}
 
 
 def identify(docs: DataFrame, profiles: dict[str, list[int]], top: int = TOP) -> DataFrame:
@@ -117,16 +120,27 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], top: int = TOP) ->
     """
     at, names = docs.columns.index("text"), free_names(docs, "lang_pred", "score")
     lean_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(profiles)
-    out_names = [*docs.columns, *names]
+    langs, n = sorted(profiles), len(docs.columns)
+    out = docs
+    for start in range(0, max(1, len(langs)), LANGUAGES):
+        sent = docs.sparkSession.sparkContext.broadcast({x: profiles[x] for x in langs[start : start + LANGUAGES]})
+        out = map_rows(out, _predictions(sent, top, at, n, [*docs.columns, *names]), with_fields(docs, (names[0], "string"), (names[1], "double")))
+    return out
+
+
+def _predictions(sent, top: int, at: int, n: int, out_names: list[str]):
+    """Adds each text's language and score, or keeps those that languages of an earlier pass have given it, if they aren't worse."""
 
     def predict(batches):
         model = Profiles(sent.value, top)
         for batch in pieces(batches, at):
             said = [model.predict(t.as_py()) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())], names=out_names)
+            if batch.num_columns > n:
+                before = zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), strict=True)
+                said = [old if old[1] >= new[1] else new for old, new in zip(before, said, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())], names=out_names)
 
-    return map_rows(docs, predict, with_fields(docs, (names[0], "string"), (names[1], "double")))
+    return predict
 
 
 def held_out() -> F.Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, divergence, htmltext, importance, langid, licenses, linededup, media, mixing, ngramjoin, oracles, secrets
+from . import chat, decontam, divergence, hamming, htmltext, importance, langid, licenses, linededup, media, mixing, ngramjoin, oracles, secrets
 from .common import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,7 @@ QUERIES: dict[str, Query] = {
     "op8_media_columns": lambda spark, d: media.media_digest(table(spark, d, "documents")),
     "op9_mixing": lambda spark, d: mixing.mixture_digest(table(spark, d, "documents")),
     "op10_secret_scan": lambda spark, d: secrets.secret_digest(table(spark, d, "documents"), f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"),
+    "op11_nearest_neighbours": lambda spark, d: hamming.neighbour_digest(table(spark, d, "embeddings")),
     "op12_source_divergence": lambda spark, d: divergence.source_divergence(table(spark, d, "documents")),
     "op13_importance_resampling": lambda spark, d: importance.importance_digest(table(spark, d, "documents"), table(spark, d, "benchmark")),
 }
