@@ -16,7 +16,7 @@ from .kernels import LOWER, pieces
 #: bytes.translate table of the terms ``[^\x00-\x40\x5B-\x60\x7B-\x7F]+``: A-Z lower-cased, anything that is no letter or high byte a space.
 TERM_TABLE = bytes(int(LOWER[b]) if ord("a") <= LOWER[b] <= ord("z") or b >= 128 else 32 for b in range(256))
 #: Entries that a task counts up before it hands them on.
-HELD = 300_000
+HELD = 1_000_000
 #: Sources and distinct count columns of one block of pairs, about.
 SOURCES, COLUMNS = 128, 2048
 UNIT, PRIOR = 1_000_000_000, 5
