@@ -28,8 +28,13 @@ DROPPED_NAMES = frozenset(
     " nav navbar navigation menu breadcrumb breadcrumbs sidebar footer header masthead comment comments disqus replies social share sharing"
     " related widget contentinfo complementary search alert toolbar pagination".split()
 )
-#: Of these, words that name a part of the text itself within an article or main element.
-HEADINGS = frozenset("header masthead".split())
+#: Within an article or main element a name counts as a whole only: these name what is no text of it,
+DROPPED_WITHIN = frozenset(
+    "ad ads advert adverts advertisement sponsor sponsored promo banner cookie cookies cookie-notice cookie-banner consent gdpr notice popup modal newsletter newsletter-signup subscribe"
+    " nav navbar navigation menu breadcrumb breadcrumbs sidebar footer comment comments comment-list disqus replies share-buttons social-share sharing widget contentinfo complementary toolbar pagination".split()
+)
+#: and these do where at least half of the element's text is links.
+LINKED_WITHIN = frozenset("related related-posts related-articles related-links search share social alert".split())
 #: Beginnings of such words where they are written as one.
 DROPPED_STARTS = ("adsby", "adslot", "advert", "breadcrumb", "cookie", "footer", "navbar", "navlink", "newsletter", "popup", "sidebar", "sidenav", "sponsor", "topnav")
 #: What makes an article or main element one of these, and nothing else does.
@@ -37,8 +42,14 @@ DROPPED_ARTICLES = frozenset("ad ads advert comment comments reply replies spons
 NAMED = frozenset("div section ul ol dl p span table header blockquote figure details center".split())
 #: Start tags that end an open element of the same name in their container.
 CLOSES_SELF = frozenset("p li dt dd tr td th option".split())
-#: A template class needs so many pages, and so many tags among its tokens.
+#: A template class needs so many pages, and so many tags among its tokens; one of texts alone needs a slot of such a class.
 MIN_PAGES, MIN_TAGS = 3, 2
+#: A page of whose texts, and of whose characters, more than this is template is a near copy of others: its text is its own.
+NEAR_COPY = 0.5
+#: A template text within an article goes if so much of it is links, or at its end if it is a label of so many words.
+LINKED, LABEL = 0.8, 5
+#: An article of less than this share of the other text is a teaser.
+TEASER = 0.25
 #: Up to so many template tokens (8 bytes each) are broadcast.
 BROADCAST_TOKENS = 1 << 21
 
@@ -60,29 +71,39 @@ def _hash(text: str, path: int = 0) -> int:
 class Page:
     """The tokens of a page: tags and text blocks, each with the place where it stands.
 
-    ``blocks`` are (token, text, within content, dropped): text runs between
-    block tags, with inline tags left out and references still in place.
-    ``stream`` has the tokens of start tags (odd) and of blocks (even) in their
-    order. A token stands for a path of open elements and, for a block, its text.
+    ``blocks`` are (token, text, within content, dropped, link characters,
+    doubt): text runs between block tags, with inline tags left out and
+    references still in place. ``stream`` has the tokens of start tags (odd)
+    and of blocks (even) in their order. A token stands for an element and the
+    block around it and, for a block, its text. ``doubt`` numbers elements
+    that are dropped if their text is mostly links.
     """
 
     def __init__(self, source: str, cache: dict[str, int]):
         self.stream: list[int] = []
-        self.blocks: list[tuple[int, str, int, bool]] = []
+        self.blocks: list[tuple[int, str, int, bool, int, int]] = []
         self.has_content = 0
         self.cache = cache
-        stack: list[tuple[str, str, int, bool]] = []  # name, path, 2 in an article or 1 in main, dropped
+        stack: list[tuple[str, str, int, bool, int]] = []  # name, path, 2 in an article or 1 in main, dropped, doubt
         run: list[str] = []
-        at = 0
+        at = linked = doubts = 0
 
         def flush():
+            nonlocal linked
             if run:
                 text = "".join(run)
                 run.clear()
                 if text and not text.isspace():
-                    _, path, inside, dropped = stack_of_blocks() or ("", "", 0, False)
+                    _, path, inside, dropped, doubt = stack_of_blocks() or ("", "", 0, False, 0)
                     self.stream.append(self._with_text(self._token(path), text))
-                    self.blocks.append((self.stream[-1], text, inside, dropped))
+                    self.blocks.append((self.stream[-1], text, inside, dropped, linked, doubt))
+                linked = 0
+
+        def put(text: str):
+            nonlocal linked
+            run.append(text)
+            if any(x[0] == "a" for x in stack):
+                linked += len(text)
 
         def stack_of_blocks():
             return next((x for x in reversed(stack) if x[0] not in INLINE or x[3]), None)
@@ -91,7 +112,7 @@ class Page:
             end, name, rest = m.group(1, 2, 3) if m.group(2) else m.group(4, 5, 6)
             name = name.lower() if name else None
             if m.start() > at:
-                run.append(source[at : m.start()])
+                put(source[at : m.start()])
             at = m.end()
             if name is None:
                 continue
@@ -112,12 +133,13 @@ class Page:
                     if block:
                         flush()
                 continue
-            above = stack[-1] if stack else ("", "", 0, False)
-            drop = name in DROPPED or self._named(name, rest, above)
+            above = stack[-1] if stack else ("", "", 0, False, 0)
+            drop, doubtful = self._named(name, rest, above)
+            drop |= name in DROPPED
             if block or drop != above[3]:
                 flush()
             if name in RAW:
-                self.stream.append(self._token(above[1] + "/" + name) | 1)
+                self.stream.append(self._token(self._below(above, name)) | 1)
                 if not rest.endswith("/"):  # its content is no markup: on to its end
                     closing = re.compile(rf"</{name}\s*>", re.I).search(source, at)
                     at = closing.end() if closing else len(source)
@@ -129,36 +151,42 @@ class Page:
                         break
                     if stack[depth][0] not in INLINE:
                         break
-                above = stack[-1] if stack else ("", "", 0, False)
+                above = stack[-1] if stack else ("", "", 0, False, 0)
             content = 0 if above[3] or drop else CONTENT.get(name, 0)
             self.has_content = max(self.has_content, content)
-            path = above[1] + "/" + name
+            path = self._below(above, name)
+            doubts += doubtful
             if block:
                 self.stream.append(self._token(path) | 1)
             if not rest.endswith("/"):
-                stack.append((name, path if block else above[1], max(above[2], content), above[3] or drop))
+                stack.append((name, path if block else above[1], max(above[2], content), above[3] or drop, above[4] or (doubts if doubtful else 0)))
         if at < len(source):
-            run.append(source[at:])
+            put(source[at:])
         flush()
 
+    @staticmethod
+    def _below(above, name: str) -> str:
+        return f"{above[1].rpartition('/')[2]}/{name}"
+
     def _token(self, path: str) -> int:
         if path not in self.cache:
             self.cache[path] = _hash(path)
         return self.cache[path]
 
     @staticmethod
-    def _named(name: str, rest: str, above) -> bool:
+    def _named(name: str, rest: str, above) -> tuple[bool, bool]:
+        """Whether an element's names say that it is no text, and whether they say so if it is mostly links."""
         if name == "header":
-            return not above[2]  # an article's own header holds its headline
+            return not above[2], False  # an article's own header holds its headline
         if name not in NAMED and name not in CONTENT or "=" not in rest:
-            return False
-        names = DROPPED_ARTICLES if name in CONTENT else DROPPED_NAMES - HEADINGS if above[2] else DROPPED_NAMES
-        for m in _NAMES.finditer(rest):
-            value = m.group(2) or m.group(3) or m.group(4) or ""
-            words = [w.lower() for w in _WORD.findall(value)]
-            if not names.isdisjoint(words) or name not in CONTENT and any(w.startswith(DROPPED_STARTS) for w in words):
-                return True
-        return False
+            return False, False
+        values = [(m.group(2) or m.group(3) or m.group(4) or "") for m in _NAMES.finditer(rest)]
+        if above[2] and name not in CONTENT:
+            whole = {w for v in values for w in v.lower().split()}
+            return not DROPPED_WITHIN.isdisjoint(whole), not LINKED_WITHIN.isdisjoint(whole)
+        words = [w.lower() for v in values for w in _WORD.findall(v)]
+        names = DROPPED_ARTICLES if name in CONTENT else DROPPED_NAMES
+        return not names.isdisjoint(words) or name not in CONTENT and any(w.startswith(DROPPED_STARTS) for w in words), False
 
     @staticmethod
     def _with_text(token: int, text: str) -> int:
@@ -167,13 +195,35 @@ class Page:
     def main_text(self, template: np.ndarray) -> str:
         """The text of the slots, which is all that isn't among the sorted template tokens: of the article, or else of main, or else of whatever isn't dropped.
 
-        An article or main without any slot is its own.
+        An article keeps what pages share, but for template texts that are
+        links, or labels at its end. Elsewhere template texts go. Where they
+        are most of what would be the text, nothing goes: pages that share so
+        much are near copies. Beside an article or
+        main element of a few words, all that isn't dropped is the text.
         """
-        chosen = [b for b in self.blocks if b[2] == self.has_content and not b[3]]
-        fixed, _ = _find(template, np.array([b[0] for b in chosen], np.uint64))
-        if self.has_content and fixed.all():
+        size, links = Counter(), Counter()
+        for b in self.blocks:
+            size[b[5]] += len(b[1])
+            links[b[5]] += b[4]
+        there = [b for b in self.blocks if not b[3] and not (b[5] and 2 * links[b[5]] >= size[b[5]])]
+        fixed, _ = _find(template, np.array([b[0] for b in there], np.uint64))
+        length = np.array([len(b[1]) for b in there], np.int64)
+        inside = np.array([b[2] for b in there], np.int64)
+        content = inside == self.has_content
+        chosen = content
+        if self.has_content:
+            goes = fixed & (np.array([b[4] for b in there], np.int64) >= LINKED * length)
+            for i in np.flatnonzero(content)[::-1]:
+                if not fixed[i] or len(there[i][1].split()) > LABEL or there[i][1].rstrip().endswith((".", "!", "?", ":", "…", "。")):
+                    break
+                goes[i] = True
+            fixed = np.where(content, goes, fixed)
+            if length[content].sum() < TEASER * length[~content & ~fixed].sum():
+                chosen = np.ones(len(there), bool)
+        lost = chosen & fixed
+        if lost.sum() > NEAR_COPY * chosen.sum() and length[lost].sum() > NEAR_COPY * length[chosen].sum():
             fixed[:] = False
-        return " ".join(entities.unescape(" ".join(b[1] for b, f in zip(chosen, fixed.tolist(), strict=True) if not f)).split())
+        return " ".join(entities.unescape(" ".join(b[1] for b, c in zip(there, (chosen & ~fixed).tolist(), strict=True) if c)).split())
 
 
 def _find(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -299,8 +349,9 @@ def _nesting(stream: np.ndarray, table: tuple[np.ndarray, ...], tell) -> None:
             del open_[depth]
 
 
-def _invalid(streams: DataFrame, table: DataFrame, broadcast_tokens: int) -> DataFrame:
-    """(host, class, token): tokens of classes that aren't ordered; with a null token, classes that aren't nested, which is in one slot of one class or of none."""
+def _invalid(streams: DataFrame, table: DataFrame, min_tags: int, broadcast_tokens: int) -> DataFrame:
+    """(host, class, token): tokens of classes that aren't ordered; with a null token, classes that aren't nested, which is in one slot of one class or of none.
+    Classes of fewer than ``min_tags`` tags must have such a slot."""
 
     def work(batches, table_of):
         for batch in pieces(batches, 2):
@@ -325,7 +376,12 @@ def _invalid(streams: DataFrame, table: DataFrame, broadcast_tokens: int) -> Dat
     named = [F.col("host"), F.col("number"), F.col("stream")]
     rows = _beside(streams, named, F.col("host"), F.xxhash64("number"), table.select("host", "token", "class", "pages", "at"), broadcast_tokens, work, "host string, class long, token long, low long, high long")
     ends = rows.groupBy("host", "class", "token").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    return ends.where("token is not null or low <> high").select("host", "class", "token")
+    tags = table.groupBy("host", "class").agg(F.count_if(F.expr(_IS_TAG)).alias("tags"))
+    alone = (F.col("tags") < min_tags) & (F.col("low") == 0)  # in no slot of another class
+    return ends.join(tags, ["host", "class"]).where(F.col("token").isNotNull() | (F.col("low") != F.col("high")) | alone).select("host", "class", "token")
+
+
+_IS_TAG = "(token & 1) = 1"
 
 
 def template_tokens(pages: DataFrame, min_pages: int = MIN_PAGES, min_tags: int = MIN_TAGS, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
@@ -333,25 +389,20 @@ def template_tokens(pages: DataFrame, min_pages: int = MIN_PAGES, min_tags: int
 
     Tokens of equal occurrence vectors form a class. A class is valid on
     ``min_pages`` pages of different content or more, with ``min_tags`` tags or
-    more, if it is ordered (on every page its tokens come in rounds of one
-    order) and nested (each round lies within one slot, the same on all pages,
-    of another class, or in none). Tokens out of order leave their class, and
-    classes that cross others or change their slot go, until all are valid;
-    the valid classes are the template.
+    more or else in a slot of another class, if it is ordered (on every page
+    its tokens come in rounds of one order) and nested (each round lies within
+    one slot, the same on all pages, of another class, or in none). Tokens out
+    of order leave their class, and classes that cross others or change their
+    slot go, until all are valid; the valid classes are the template.
     """
-
-    def large(df: DataFrame) -> DataFrame:
-        tags = df.groupBy("host", "class").agg(F.count_if(F.col("token").bitwiseAND(1) == 1).alias("tags")).where(F.col("tags") >= min_tags)
-        return checkpointed(df.join(tags.select("host", "class"), ["host", "class"]).select("host", "token", "class", "pages", "at"))
-
     streams = checkpointed(page_streams(pages))
-    table = large(checkpointed(_counted(streams).where(F.col("pages") >= min_pages)))
+    table = checkpointed(_counted(streams).where(F.col("pages") >= min_pages))
     while True:
-        bad = checkpointed(_invalid(streams, table, broadcast_tokens))
+        bad = checkpointed(_invalid(streams, table, min_tags, broadcast_tokens))
         if bad.isEmpty():
-            return table.where(F.col("token").bitwiseAND(1) == 0).select("host", "token")
+            return table.where(f"NOT ({_IS_TAG})").select("host", "token")
         table = table.join(bad.where("token is not null").select("host", "token"), ["host", "token"], "left_anti")
-        table = large(table.join(bad.where("token is null").select("host", "class"), ["host", "class"], "left_anti"))
+        table = checkpointed(table.join(bad.where("token is null").select("host", "class"), ["host", "class"], "left_anti"))
 
 
 def _beside(rows: DataFrame, named: list, host, salt, table: DataFrame, broadcast_tokens: int, work, schema: str) -> DataFrame:
@@ -389,7 +440,8 @@ def extract_text(pages: DataFrame, broadcast_tokens: int = BROADCAST_TOKENS) ->
     All pages lose the template of their host; what remains lies in its slots.
     Of these, those in an ``article`` or ``main`` element are chosen where a
     page has one, and those in elements that name menus, adverts, notices,
-    forms, comments and the like are not. A null or empty html has an empty
+    forms, comments and the like are not. What an article repeats from others
+    stays (see ``Page.main_text``). A null or empty html has an empty
     text; repeated rows are separate pages that count once in their host's
     template; a null url is a host of its own. Pages may be of any length;
     other columns of pages aren't read.
