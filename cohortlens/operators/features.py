@@ -124,7 +124,7 @@ def _fit_fuzzy(train, df, family="piecewise", dense=False):
 
 def _kept(fuzzy_train, t_norm="min"):
     found = mining.distinct_profiles(mining.fuzzy_concepts(fuzzy_train))
-    return pruning.suppress(found, pruning.concept_degrees(fuzzy_train, found, t_norm))
+    return pruning.suppress(found, pruning.core_profiles(fuzzy_train, found, t_norm))
 
 
 @arm("raw_std")
@@ -182,7 +182,7 @@ def _(train, df):
 
     a, b = _fit_fuzzy(train, df)
     found = mining.distinct_profiles(stability_filter(mining.fuzzy_concepts(a), mining.profiles(a)))
-    return concept_features(b, pruning.suppress(found, pruning.concept_degrees(a, found)))
+    return concept_features(b, pruning.suppress(found, pruning.core_profiles(a, found)))
 
 
 @arm("hybrid_fuzzy")

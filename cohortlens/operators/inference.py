@@ -6,18 +6,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _slots(customers: DataFrame, b: int, seed: int) -> DataFrame:
+    """(b, place): the place that each slot of each of b resamples takes, by an md5 of (b, slot, seed); hashed in the tasks."""
+    n = customers.agg(F.count("*").alias("n"))
+    slots = customers.select(F.col("place").alias("slot")).crossJoin(F.broadcast(n)).crossJoin(F.broadcast(customers.sparkSession.range(b).withColumnRenamed("id", "b")))
+    key = F.concat_ws("|", F.col("b").cast("string"), F.col("slot").cast("string"), F.lit(str(seed)))
+    return slots.select("b", (F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long") % F.col("n")).alias("place"))
+
+
 def draw_weights(customers: DataFrame, b: int, seed: int) -> DataFrame:
     """(b, customer_id, w): how often each of b resamples of the customers, with replacement, holds a customer.
 
-    customers (customer_id, place) are numbered from 0. Slot i of resample b
-    takes the place given by an md5 of (b, i, seed); slots are hashed in the
-    tasks and counted, so no resample is ever in one place.
+    customers (customer_id, place) are numbered from 0. Slots are counted in
+    the tasks and over them, so no resample is ever in one place.
     """
-    n = customers.agg(F.count("*").alias("n"))
-    slots = customers.select(F.col("place").alias("slot")).crossJoin(F.broadcast(n)).crossJoin(F.broadcast(customers.sparkSession.range(b).withColumnRenamed("id", "b")))
-    key = F.concat_ws("|", F.col("b").cast("string"), F.col("slot").cast("string"), F.lit(str(seed)))
-    pick = F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long") % F.col("n")
-    return slots.select("b", pick.alias("place")).groupBy("b", "place").agg(F.count("*").alias("w")).join(customers, "place").select("b", "customer_id", "w")
+    return _slots(customers, b, seed).groupBy("b", "place").agg(F.count("*").alias("w")).join(customers, "place").select("b", "customer_id", "w")
+
+
+def draw_sums(df: DataFrame, b: int, seed: int, sums: dict[str, Column], by: list[str] = []) -> DataFrame:
+    """(b, by..., sums): aggregates over the rows of each of b resamples of df's customers.
+
+    A slot meets its customer's rows and is added up where it is made, so what
+    is shuffled is a row a task, resample and group: the resamples themselves never are,
+    where the customers are few enough for Spark to broadcast them.
+    """
+    from cohortlens.functions.ranks import checkpointed
+
+    customers = checkpointed(number_customers(df))
+    return _slots(customers, b, seed).join(df.join(customers, "customer_id"), "place").groupBy("b", *by).agg(*[c.alias(name) for name, c in sums.items()])
 
 
 def number_customers(df: DataFrame) -> DataFrame:

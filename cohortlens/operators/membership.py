@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.functions.ranks import exact_quantiles
+
 from .scoring import DIMS, as_row
 
 EPS = 1e-9
@@ -25,10 +27,12 @@ def band_centroids(scored: DataFrame, levels: int = 5) -> DataFrame:
     """(dim, cuts): median raw value of each band in score order; an empty band takes the median of all.
 
     The column is named as fitted arrays are, so that as_row turns it into a row of R_cuts, F_cuts, M_cuts.
+    Medians come from global ranks, with all rows as a band 0 of their own.
     """
-    rows = long_scored(scored)
-    medians = [F.median(F.when(F.col("s") == b, F.col("x"))) for b in range(1, levels + 1)]
-    return rows.groupBy("dim").agg(F.array(*[F.coalesce(m, F.median("x")) for m in medians]).alias("cuts"))
+    rows = long_scored(scored).select("dim", "x", F.explode(F.array("s", F.lit(0))).alias("s"))
+    medians = exact_quantiles(rows, "x", [0.5], ["dim", "s"])
+    of = lambda b: F.max(F.when(F.col("s") == b, F.col("quantiles")[0]))
+    return medians.groupBy("dim").agg(F.array(*[F.coalesce(of(b), of(0)) for b in range(1, levels + 1)]).alias("cuts"))
 
 
 def piecewise(x: Column, centroids: Column) -> Column:
@@ -111,12 +115,10 @@ def fit_tail(scored: DataFrame) -> DataFrame:
     over the fourth anchor. Anchors that don't rise are degenerate and raise.
     """
     rows = long_scored(scored).where(F.col("dim") != "R").select("dim", F.log1p("x").alias("z"), "s")
-    of = lambda b: F.when(F.col("s") == b, F.col("z"))
-    fitted = rows.groupBy("dim").agg(
-        F.array(*[F.round(F.median(of(b)), 9) for b in range(1, 5)]).alias("anchors"),
-        F.round(F.percentile(of(5), F.lit(0.75)) - F.percentile(of(5), F.lit(0.25)), 9).alias("iqr"),
-        F.avg(of(5)).alias("top"),
-    )
+    quartiles = exact_quantiles(rows, "z", [0.25, 0.5, 0.75], ["dim", "s"])
+    of = lambda b, q: F.max(F.when(F.col("s") == b, F.col("quantiles")[q]))
+    fitted = quartiles.groupBy("dim").agg(F.array(*[F.round(of(b, 1), 9) for b in range(1, 5)]).alias("anchors"), F.round(of(5, 2) - of(5, 0), 9).alias("iqr"))
+    fitted = fitted.join(rows.groupBy("dim").agg(F.avg(F.when(F.col("s") == 5, F.col("z"))).alias("top")), "dim")
     rises = F.forall(F.sequence(F.lit(0), F.lit(2)), lambda i: F.get("anchors", i + 1) > F.get("anchors", i))
     spread = F.when(F.col("iqr") > 0, F.col("iqr")).otherwise(F.round(F.col("top") - F.get("anchors", F.lit(3)), 9))
     return fitted.select("dim", F.when(rises, F.col("anchors")).otherwise(F.raise_error(F.lit("degenerate training data: anchors don't rise"))).alias("anchors"), spread.alias("s_tail"))

@@ -35,44 +35,65 @@ def concept_degrees(fuzzy: DataFrame, concepts: DataFrame, t_norm: str = "min")
     return fuzzy.select("customer_id", degrees.alias("degrees")).crossJoin(F.broadcast(few)).select("customer_id", "band_mask", mu.alias("mu"))
 
 
-def core_overlaps(degrees: DataFrame) -> DataFrame:
-    """(a, b, common, size_a, size_b, jaccard) of concept pairs a < b with common core customers.
+def _masks(concepts: DataFrame) -> DataFrame:
+    """One row: the concepts' masks in ascending order. They are few; support bounds them."""
+    return F.broadcast(concepts.agg(F.sort_array(F.collect_set("band_mask")).alias("masks")))
 
-    Customers are compacted to distinct core sets first, so pairs are made of
-    sets of concepts, not of customers.
+
+def core_profiles(fuzzy: DataFrame, concepts: DataFrame, t_norm: str = "min") -> DataFrame:
+    """(core, any, n): how many customers are core to just the concepts ``core`` (ascending masks), and whether they have a degree in any.
+
+    By the least degree a customer is core to the concepts whose bands it is
+    all core to, so customers are first counted by their core bands and those
+    of any degree; a product is worked out in the customer's own row. Either
+    way only counts are shuffled, never customers times concepts.
     """
-    core = degrees.where(F.col("mu") >= MU_CUT)
-    sets = core.groupBy("customer_id").agg(F.sort_array(F.collect_list("band_mask")).alias("s")).groupBy("s").agg(F.count("*").alias("n"))
-    one = sets.select("s", "n", F.explode("s").alias("a"))
+    degrees = F.concat(*[f"{d}_mu" for d in DIMS])
+
+    def bits(least):
+        return F.aggregate(F.transform("degrees", lambda mu, i: F.when(least(mu), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(0)), F.lit(0).cast("long"), lambda a, v: a + v)
+
+    rows = fuzzy.select(degrees.alias("degrees"))
+    within = lambda of: lambda m: m.bitwiseAND(F.col(of)) == m
+    if t_norm == "min":
+        counted = rows.select(bits(lambda mu: mu >= MU_CUT).alias("high"), bits(lambda mu: mu > 0).alias("some")).groupBy("high", "some").agg(F.count("*").alias("n"))
+        sets = counted.crossJoin(_masks(concepts)).select(F.filter("masks", within("high")).alias("core"), F.exists("masks", within("some")).alias("any"), "n")
+    else:
+        product = lambda m: F.aggregate(F.transform("degrees", lambda mu, i: F.when(F.getbit(m, i) == 1, mu).otherwise(1.0)), F.lit(1.0), lambda a, v: a * v)
+        sets = rows.withColumn("some", bits(lambda mu: mu > 0)).crossJoin(_masks(concepts)).select(F.filter("masks", lambda m: product(m) >= MU_CUT).alias("core"), F.exists("masks", within("some")).alias("any"), F.lit(1).alias("n"))
+    return sets.groupBy("core", "any").agg(F.sum("n").alias("n"))
+
+
+def core_overlaps(profiles: DataFrame) -> DataFrame:
+    """(a, b, common, size_a, size_b, jaccard) of concept pairs a < b with common core customers, from core profiles (core, n):
+    pairs are made of sets of concepts, not of customers."""
+    one = profiles.select(F.col("core").alias("s"), "n", F.explode("core").alias("a"))
     sizes = one.groupBy("a").agg(F.sum("n").alias("size"))
-    pairs = one.select("n", "a", F.explode("s").alias("b")).where("a < b").groupBy("a", "b").agg(F.sum("n").alias("common"))
+    pairs = one.select("n", "a", F.explode(F.filter("s", lambda b: b > F.col("a"))).alias("b")).groupBy("a", "b").agg(F.sum("n").alias("common"))
     both = pairs.join(F.broadcast(sizes.select("a", F.col("size").alias("size_a"))), "a").join(F.broadcast(sizes.select(F.col("a").alias("b"), F.col("size").alias("size_b"))), "b")
     return both.select("a", "b", "common", "size_a", "size_b", (F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))).alias("jaccard"))
 
 
-def suppress(concepts: DataFrame, degrees: DataFrame, j_max: float = J_MAX, by_support_only: bool = False) -> DataFrame:
+def suppress(concepts: DataFrame, profiles: DataFrame, j_max: float = J_MAX, by_support_only: bool = False) -> DataFrame:
     """The concepts (band_mask, n_customers, ...) that greedy suppression keeps.
 
     In order of support, then fewer attributes, higher proxy and mask, a
     concept stays unless its core customers are none or overlap those of one
     kept before by a Jaccard index of ``j_max`` or more. The order makes it
-    sequential; it runs over the concepts, some hundreds by their support, and
-    the overlapping pairs, never over customers.
+    sequential: one fold over the concepts, which support bounds, each with
+    its close ones. profiles are the core profiles of the same concepts.
     """
-    spark = concepts.sparkSession
-    close = core_overlaps(degrees).where(F.col("jaccard") >= j_max)
-    cores = {r.band_mask for r in degrees.where(F.col("mu") >= MU_CUT).select("band_mask").distinct().toLocalIterator()}
-    near: dict[int, set[int]] = {}
-    for r in close.toLocalIterator():
-        near.setdefault(r.a, set()).add(r.b)
-        near.setdefault(r.b, set()).add(r.a)
-    rows = concepts.collect()
-    rank = (lambda r: (-r.n_customers, r.band_mask)) if by_support_only else (lambda r: (-r.n_customers, bin(r.band_mask).count("1"), -(r.stability_proxy if "stability_proxy" in r else 1.0), r.band_mask))
-    kept: set[int] = set()
-    for r in sorted(rows, key=rank):
-        if r.band_mask and r.band_mask in cores and not near.get(r.band_mask, set()) & kept:
-            kept.add(r.band_mask)
-    return concepts.where(F.col("band_mask").isin(sorted(kept))) if kept else concepts.limit(0) if rows else spark.createDataFrame([], concepts.schema)
+    close = core_overlaps(profiles).where(F.col("jaccard") >= j_max)
+    ends = F.explode(F.array(F.struct(F.col("a").alias("band_mask"), F.col("b").alias("near")), F.struct(F.col("b").alias("band_mask"), F.col("a").alias("near"))))
+    near = close.select(ends.alias("e")).groupBy("e.band_mask").agg(F.collect_set("e.near").alias("near"))
+    cores = profiles.select(F.explode("core").alias("band_mask")).distinct()
+    able = concepts.where("band_mask <> 0").join(F.broadcast(cores), "band_mask").join(F.broadcast(near), "band_mask", "left")
+    proxy = F.col("stability_proxy") if "stability_proxy" in concepts.columns else F.lit(1.0)
+    rank = [-F.col("n_customers"), *([] if by_support_only else [F.bit_count("band_mask").cast("long"), -proxy]), F.col("band_mask")]
+    order = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(rank)], F.coalesce("near", F.array().cast("array<bigint>")).alias("near"))
+    keep = lambda kept, c: F.when(F.arrays_overlap(kept, c.near), kept).otherwise(F.array_append(kept, c[f"o{len(rank) - 1}"]))
+    kept = able.agg(F.aggregate(F.array_sort(F.collect_list(order)), F.array().cast("array<bigint>"), keep).alias("kept"))
+    return concepts.join(F.broadcast(kept.select(F.explode("kept").alias("band_mask"))), "band_mask", "left_semi")
 
 
 def hard_labels(degrees: DataFrame, concepts: DataFrame) -> DataFrame:
@@ -99,51 +120,52 @@ def matrix_info(degrees: DataFrame) -> DataFrame:
     return columns.agg(F.count("*").alias("n_features"), F.countDistinct("h").alias("n_distinct_columns"), F.count_if(F.col("core") == 0).alias("n_empty_core"))
 
 
-def complexity(degrees: DataFrame) -> DataFrame:
+def complexity(profiles: DataFrame, concepts: DataFrame) -> DataFrame:
     """One row: share of customers with any degree and with a core one, core concepts a customer, share with several,
     mean Jaccard of core pairs, share of pairs at .8 or more, distinct core profiles. Pairs without common customers count as 0."""
-    per = degrees.groupBy("customer_id").agg(F.max("mu").alias("top"), F.count_if(F.col("mu") >= MU_CUT).alias("k"), F.sum(F.when(F.col("mu") >= MU_CUT, F.xxhash64("band_mask").cast("decimal(20,0)")).otherwise(0)).alias("profile"))
-    one = per.agg(
-        F.avg((F.col("top") > 0).cast("int")).alias("coverage_any"), F.avg((F.col("k") > 0).cast("int")).alias("coverage_core"), F.avg("k").alias("concepts_per_customer"),
-        F.avg((F.col("k") > 1).cast("int")).alias("multi_share"), F.countDistinct("profile").alias("unique_profiles"),
+    k, n = F.size("core"), F.col("n")
+    share = lambda condition: F.sum(F.when(condition, n).otherwise(0)) / F.sum(n)
+    one = profiles.agg(
+        share(F.col("any")).alias("coverage_any"), share(k > 0).alias("coverage_core"), (F.sum(k * n) / F.sum(n)).alias("concepts_per_customer"),
+        share(k > 1).alias("multi_share"), F.countDistinct("core").alias("unique_profiles"),
     )
-    pairs = core_overlaps(degrees).agg(F.coalesce(F.sum("jaccard"), F.lit(0.0)).alias("s"), F.count_if(F.col("jaccard") >= J_MAX).alias("d"))
-    k = degrees.select("band_mask").distinct().agg((F.count("*") * (F.count("*") - 1) / 2).alias("pairs"))
+    pairs = core_overlaps(profiles).agg(F.coalesce(F.sum("jaccard"), F.lit(0.0)).alias("s"), F.count_if(F.col("jaccard") >= J_MAX).alias("d"))
+    k = concepts.select("band_mask").distinct().agg((F.count("*") * (F.count("*") - 1) / 2).alias("pairs"))
     out = one.crossJoin(F.broadcast(pairs)).crossJoin(F.broadcast(k))
     return out.select(*one.columns, F.coalesce(F.try_divide("s", "pairs"), F.lit(0.0)).alias("mean_jaccard"), F.coalesce(F.try_divide("d", "pairs"), F.lit(0.0)).alias("near_duplicate_share"))
 
 
-def interpretability(degrees: DataFrame) -> DataFrame:
+def interpretability(profiles: DataFrame, concepts: DataFrame) -> DataFrame:
     """One row: concepts K, coverage, mean intent length, core concepts a covered customer, mean overlap of pairs."""
-    c = complexity(degrees)
-    length = degrees.select("band_mask").distinct().agg(F.count("*").alias("k"), F.avg(F.bit_count("band_mask")).alias("intent_length"))
+    c = complexity(profiles, concepts)
+    length = concepts.select("band_mask").distinct().agg(F.count("*").alias("k"), F.avg(F.bit_count("band_mask")).alias("intent_length"))
     return c.crossJoin(F.broadcast(length)).select(
         "k", F.col("coverage_core").alias("coverage"), "intent_length", F.coalesce(F.try_divide("concepts_per_customer", "coverage_core"), F.lit(0.0)).alias("core_load"), F.col("mean_jaccard").alias("overlap")
     )
 
 
-def greedy_cover(degrees: DataFrame, share: float = 0.8) -> DataFrame:
+def greedy_cover(profiles: DataFrame, share: float = 0.8) -> DataFrame:
     """(step, band_mask, covered): concepts chosen one by one for most new core customers until ``share`` of the coverable is covered.
 
-    Works on distinct core sets and their counts; ties go to the smaller mask.
+    Works on core profiles and their counts; ties go to the smaller mask.
     """
-    core = degrees.where(F.col("mu") >= MU_CUT)
-    sets = checkpointed(core.groupBy("customer_id").agg(F.sort_array(F.collect_list("band_mask")).alias("s")).groupBy("s").agg(F.count("*").alias("n")))
+    sets = checkpointed(profiles.where(F.size("core") > 0).groupBy("core").agg(F.sum("n").alias("n")))
     goal = (sets.agg(F.sum("n")).first()[0] or 0) * share
     done, chosen, left = 0, [], sets
     while done < goal:
-        best = left.select("n", F.explode("s").alias("c")).groupBy("c").agg(F.sum("n").alias("gain")).orderBy(F.desc("gain"), "c").first()
+        best = left.select("n", F.explode("core").alias("c")).groupBy("c").agg(F.sum("n").alias("gain")).orderBy(F.desc("gain"), "c").first()
         done += best.gain
         chosen.append((len(chosen) + 1, best.c, done))
-        left = sets.where(~F.arrays_overlap("s", F.array(*[F.lit(c) for _, c, _ in chosen])))
-    return degrees.sparkSession.createDataFrame(chosen, "step int, band_mask long, covered long")
+        left = sets.where(~F.arrays_overlap("core", F.array(*[F.lit(c) for _, c, _ in chosen])))
+    return profiles.sparkSession.createDataFrame(chosen, "step int, band_mask long, covered long")
 
 
-def lattice_summary(concepts: DataFrame, kept: DataFrame, degrees: DataFrame) -> DataFrame:
+def lattice_summary(concepts: DataFrame, kept: DataFrame, profiles: DataFrame) -> DataFrame:
     """One row: raw and kept concepts, their ratio, core concepts a customer, mean and greatest extents."""
     n = concepts.agg(F.count("*").alias("raw"))
     k = kept.agg(F.count("*").alias("kept"), F.avg("n_customers").alias("mean_extent"), F.max("n_customers").alias("max_extent"))
-    per = degrees.join(F.broadcast(kept.select("band_mask")), "band_mask").groupBy("customer_id").agg(F.count_if(F.col("mu") >= MU_CUT).alias("c")).agg(F.avg("c").alias("concepts_per_customer"))
+    masks = _masks(kept)
+    per = profiles.crossJoin(masks).agg((F.sum(F.size(F.array_intersect("core", "masks")) * F.col("n")) / F.sum("n")).alias("concepts_per_customer"))
     return n.crossJoin(k).crossJoin(per).select("raw", "kept", F.try_divide("kept", "raw").alias("ratio"), "concepts_per_customer", "mean_extent", "max_extent")
 
 

@@ -108,7 +108,8 @@ def occupancy(scored: DataFrame, levels: int = 5) -> DataFrame:
     """(dim, band, n, pct, raw_min, raw_max, median) of every band, empty ones too."""
     rows = scored.select(F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).cast("double").alias("x"), F.col(f"{d}_score").alias("band")) for d in DIMS])).alias("p")).select("p.*")
     spine = scored.sparkSession.createDataFrame([(d, b) for d in DIMS for b in range(1, levels + 1)], "dim string, band int")
-    stats = rows.groupBy("dim", "band").agg(F.count("*").alias("n"), F.min("x").alias("raw_min"), F.max("x").alias("raw_max"), F.median("x").alias("median"))
+    stats = rows.groupBy("dim", "band").agg(F.count("*").alias("n"), F.min("x").alias("raw_min"), F.max("x").alias("raw_max"))
+    stats = stats.join(exact_quantiles(rows, "x", [0.5], ["dim", "band"]).select("dim", "band", F.col("quantiles")[0].alias("median")), ["dim", "band"])
     total = scored.agg(F.count("*").alias("total"))
     return spine.join(stats, ["dim", "band"], "left").crossJoin(F.broadcast(total)).select(
         "dim", "band", F.coalesce("n", F.lit(0)).alias("n"), (100.0 * F.coalesce("n", F.lit(0)) / F.col("total")).alias("pct"), "raw_min", "raw_max", "median"

@@ -34,7 +34,7 @@ def fit_fuzzy(train: DataFrame, best: int | None = None) -> tuple[DataFrame, Dat
     centroids = membership.band_centroids(scored)
     fuzzy = membership.fuzzify(scored, centroids)
     found = mining.distinct_profiles(mining.fuzzy_concepts(fuzzy))
-    kept = pruning.suppress(found, pruning.concept_degrees(fuzzy, found))
+    kept = pruning.suppress(found, pruning.core_profiles(fuzzy, found))
     return cuts, centroids, pruning.best_k(kept, best) if best else kept
 
 

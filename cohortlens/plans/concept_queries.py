@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cohortlens.functions.ranks import checkpointed
 from cohortlens.operators import concepts, membership, pruning, scoring
 
 from .base import CENTROIDS, COHORT, MU, SCORED_LONG, cohort, fuzzy, query, rounded, scored, with_
@@ -297,19 +298,36 @@ jc AS (SELECT a, b, common, p.n AS size_a, q.n AS size_b, common / (p.n + q.n -
 
 @query("g3_core_overlaps", with_(CORE, "SELECT a, b, common, size_a, size_b, round(jaccard, 6) AS jaccard FROM jc"))
 def g3e(spark, d):
-    return rounded(pruning.core_overlaps(degrees(spark, d)))
+    return rounded(pruning.core_overlaps(cores(spark, d)))
+
+
+def cores(spark, d):
+    return checkpointed(pruning.core_profiles(fuzzy(spark, d), profiles(spark, d)))
 
 
 def kept(spark, d, **options):
-    return pruning.suppress(profiles(spark, d), degrees(spark, d), **options)
+    return pruning.suppress(profiles(spark, d), cores(spark, d), **options)
+
+
+def _greedy_sql(order: str, select: str) -> str:
+    """The concepts one by one, with the list of those kept so far."""
+    return with_(CORE, f""", nr AS (SELECT m, list(o) AS near FROM (SELECT a AS m, b AS o FROM jc WHERE jaccard >= 0.8 UNION ALL SELECT b, a FROM jc WHERE jaccard >= 0.8) GROUP BY m),
+od AS MATERIALIZED (SELECT fd.*, coalesce(near, []::BIGINT[]) AS near, row_number() OVER (ORDER BY {order}) AS i FROM fd JOIN sz USING (band_mask) LEFT JOIN nr ON m = band_mask WHERE band_mask <> 0),
+wk AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL SELECT od.i, CASE WHEN list_has_any(kept, near) THEN kept ELSE list_append(kept, band_mask::BIGINT) END FROM wk JOIN od ON od.i = wk.i + 1),
+kp AS (SELECT unnest(kept) AS band_mask FROM wk WHERE i = (SELECT max(i) FROM wk))
+{select}""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_KEPT = "SELECT fd.band_mask, intent_mask, n_customers FROM fd JOIN kp USING (band_mask)"
+_BY_QUALITY = "n_customers DESC, bit_count(band_mask), stability_proxy DESC, band_mask"
 
 
-@query("g3_greedy_suppression")
+@query("g3_greedy_suppression", _greedy_sql(_BY_QUALITY, _KEPT))
 def g3(spark, d):
     return rounded(kept(spark, d).select("band_mask", "intent_mask", "n_customers"))
 
 
-@query("g4_suppression_by_support")
+@query("g4_suppression_by_support", _greedy_sql("n_customers DESC, band_mask", _KEPT))
 def g4(spark, d):
     return rounded(kept(spark, d, by_support_only=True).select("band_mask", "intent_mask", "n_customers"))
 
@@ -337,22 +355,22 @@ jj AS (SELECT coalesce(sum(jaccard), 0) AS s, count(*) FILTER (jaccard >= 0.8) A
 
 @query("g8_complexity", with_(COMPLEX, "SELECT round(coverage_any, 6) AS coverage_any, round(coverage_core, 6) AS coverage_core, round(concepts_per_customer, 6) AS concepts_per_customer, round(multi_share, 6) AS multi_share, unique_profiles, round(s / pairs, 6) AS mean_jaccard, round(d / pairs, 6) AS near_duplicate_share FROM cx, kk, jj"))
 def g8(spark, d):
-    return rounded(pruning.complexity(degrees(spark, d)))
+    return rounded(pruning.complexity(cores(spark, d), profiles(spark, d)))
 
 
 @query("g9_interpretability", with_(COMPLEX, "SELECT k, round(coverage_core, 6) AS coverage, round(intent_length, 6) AS intent_length, round(concepts_per_customer / coverage_core, 6) AS core_load, round(s / pairs, 6) AS overlap FROM cx, kk, jj"))
 def g9(spark, d):
-    return rounded(pruning.interpretability(degrees(spark, d)))
+    return rounded(pruning.interpretability(cores(spark, d), profiles(spark, d)))
 
 
 @query("g10_greedy_cover")
 def g10(spark, d):
-    return rounded(pruning.greedy_cover(degrees(spark, d)))
+    return rounded(pruning.greedy_cover(cores(spark, d)))
 
 
 @query("g11_lattice_summary")
 def g11(spark, d):
-    return rounded(pruning.lattice_summary(profiles(spark, d), kept(spark, d), degrees(spark, d)))
+    return rounded(pruning.lattice_summary(profiles(spark, d), kept(spark, d), cores(spark, d)))
 
 
 @query("g12_best_k", with_(PROFILES, ", nk AS (SELECT count(*) AS k FROM (WITH " + CRISP + " SELECT * FROM crisp WHERE intent_mask <> 0)) SELECT band_mask, place FROM (SELECT band_mask, row_number() OVER (ORDER BY n_customers DESC, bit_count(band_mask), round(stability_proxy, 9) DESC, band_mask) AS place FROM fd), nk WHERE place <= k"))

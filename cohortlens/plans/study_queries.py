@@ -118,9 +118,8 @@ def l4(spark, d):
 
 @query("l5_boosted_trees")
 def l5(spark, d):
-    df = checkpointed(metrics.stratified_split(cohort(spark, d)))
-    x = features.raw(df).join(df.select("customer_id", "repurchased", "is_train"), "customer_id")
-    return rounded(models.boosted(x.where("is_train"), x.where("NOT is_train"), "repurchased", rounds=5), 4)
+    """Out-of-fold probabilities and amounts by boosted trees of raw features: 200 rounds, 15 leaves, three targets, five folds."""
+    return rounded(_oof(spark, d, models.BOOSTED).select("customer_id", "fold", "prob", "spend", "invoices"), 4)
 
 
 @query("l6_out_of_fold")
@@ -290,10 +289,12 @@ _DELTA = _DRAWS + _ARMS2 + """, st AS (SELECT b, (1 - sum(w * (y - fa) * (y - fa
 
 
 def _deltas(spark, d):
+    """One pass over the draws for both arms."""
     two = cohort(spark, d).select("customer_id", F.log1p("future_spend").alias("y"), (F.round(F.log1p("M"), 4) * 0.5).alias("fa"), F.round(F.log1p("F"), 4).alias("fb"))
-    drawn = two.join(_weights(spark, d), "customer_id")
-    a, b = metrics.weighted_r2(drawn, "y", "fa", "w", ["b"]), metrics.weighted_r2(drawn, "y", "fb", "w", ["b"])
-    return a.withColumnRenamed("r2", "ra").join(b.withColumnRenamed("r2", "rb"), "b").select("b", (F.col("ra") - F.col("rb")).alias("delta"))
+    y, sums = F.col("y"), {"n": F.lit(1.0), "t": F.col("y"), "tt": F.col("y") * F.col("y")}
+    sums |= {f: (y - F.col(f)) * (y - F.col(f)) for f in ("fa", "fb")}
+    drawn = inference.draw_sums(two, B, SEED, {k: F.sum(v) for k, v in sums.items()})
+    return drawn.select("b", ((F.col("fb") - F.col("fa")) / (F.col("tt") - F.col("t") * F.col("t") / F.col("n"))).alias("delta"))
 
 
 @query("i2_clustered_bootstrap", "WITH " + TX + ", o(origin, pooled, horizon) AS (VALUES ('1997-01-01', true, 91), ('1998-01-01', true, 91))" + """, kk AS (SELECT *, origin::TIMESTAMP AS cutoff FROM o),
@@ -302,10 +303,10 @@ nc AS (SELECT customer_id, row_number() OVER (ORDER BY customer_id) - 1 AS place
 """ + f"dr AS (SELECT b, ('0x' || substr(md5(b || '|' || place || '|{SEED}'), 1, 8))::BIGINT % n AS place FROM nc, nn, range({B}) r(b))," + """ wt AS (SELECT b, customer_id, count(*) AS w FROM dr JOIN nc USING (place) GROUP BY 1, 2)
 SELECT b, origin, round(sum(w * ln(1 + fs)) / sum(w), 6) AS mean_spend, sum(w)::BIGINT AS n FROM cc JOIN wt USING (customer_id) GROUP BY 1, 2""")
 def i2(spark, d):
-    """One table of weights over the union of customers, joined to every origin: a customer counts alike in all."""
+    """Draws from the union of customers; a customer drawn counts in every origin that has it."""
     df = checkpointed(cohorts.build_cohorts(transactions(spark, d), _origins(spark).where("origin IN ('1997-01-01', '1998-01-01')")))
-    w = inference.draw_weights(checkpointed(inference.number_customers(df)), B, SEED)
-    return rounded(df.join(w, "customer_id").groupBy("b", "origin").agg((F.sum(F.col("w") * F.log1p("future_spend")) / F.sum("w")).alias("mean_spend"), F.sum("w").alias("n")))
+    sums = {"mean_spend": F.avg(F.log1p("future_spend")), "n": F.count("*")}
+    return rounded(inference.draw_sums(df, B, SEED, sums, ["origin"]).select("b", "origin", "mean_spend", "n"))
 
 
 @query("i3_interval", with_(COHORT, _DELTA + " SELECT round(avg(delta), 6) AS mean, round(quantile_cont(delta, 0.025), 6) AS ci_low, round(quantile_cont(delta, 0.975), 6) AS ci_high FROM st"))
@@ -552,7 +553,8 @@ def _kuznetsov(spark, d):
 
 @query("m10_kuznetsov_stability")
 def m10(spark, d):
-    return rounded(_kuznetsov(spark, d).select("intent_mask", F.length("n_generators").alias("digits"), "stability", "status"))
+    """The exact number of generating sets, as powers of two, and the share that it is."""
+    return rounded(_kuznetsov(spark, d).select("intent_mask", "n_generators", "stability", "log2_loss", "status"))
 
 
 @query("m11_log2_stability")
@@ -563,7 +565,7 @@ def m11(spark, d):
 
 @query("m12_loss_grid")
 def m12(spark, d):
-    """Concepts kept at each loss of the grid."""
+    """Concepts kept at each loss of the grid, and how many the state limit leaves uncounted."""
     k = checkpointed(_kuznetsov(spark, d))
     grid = spark.createDataFrame([(v,) for v in lattice.LOSS_GRID], "max_loss double")
-    return grid.join(F.broadcast(k), (F.col("status") == "exact") & (1 - F.col("stability") <= F.col("max_loss")), "left").groupBy("max_loss").agg(F.count("intent_mask").alias("kept"))
+    return grid.join(F.broadcast(k), (F.col("status") == "exact") & (1 - F.col("stability") <= F.col("max_loss")), "left").groupBy("max_loss").agg(F.count("intent_mask").alias("kept")).crossJoin(F.broadcast(k.agg(F.count_if(F.col("status") == "capped").alias("capped"))))

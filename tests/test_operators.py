@@ -6,6 +6,8 @@ import random
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cohortlens.functions.ranks import exact_quantiles, value_ranks
@@ -178,7 +180,7 @@ def test_suppression_keeps_no_close_pair_and_covers_what_it_drops(fuzzy):
     core = {}
     for r in degrees.where("mu >= 0.5").collect():
         core.setdefault(r.band_mask, set()).add(r.customer_id)
-    kept = {r.band_mask for r in pruning.suppress(found, degrees).collect()}
+    kept = {r.band_mask for r in pruning.suppress(found, pruning.core_profiles(fuzzy, found)).collect()}
     jac = lambda a, b: len(core[a] & core[b]) / len(core[a] | core[b])
     assert kept and all(jac(a, b) < 0.8 for a, b in itertools.combinations(kept, 2))
     for r in found.collect():
@@ -186,6 +188,37 @@ def test_suppression_keeps_no_close_pair_and_covers_what_it_drops(fuzzy):
             assert r.band_mask not in core or any(jac(r.band_mask, k) >= 0.8 for k in kept)
 
 
+@pytest.mark.parametrize("t_norm", ["min", "product"])
+def test_core_profiles_count_customers_by_their_core_concepts(fuzzy, t_norm):
+    found = concepts.distinct_profiles(concepts.fuzzy_concepts(fuzzy)).cache()
+    core, some = {}, {}
+    for r in pruning.concept_degrees(fuzzy, found, t_norm).collect():
+        core.setdefault(r.customer_id, set()).update([r.band_mask] if r.mu >= 0.5 else [])
+        some[r.customer_id] = some.get(r.customer_id, False) or r.mu > 0
+    want = {}
+    for c, s in core.items():
+        key = (tuple(sorted(s)), some[c])
+        want[key] = want.get(key, 0) + 1
+    assert {(tuple(r.core), r["any"]): r.n for r in pruning.core_profiles(fuzzy, found, t_norm).collect()} == want
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.integers(0, 10**6), st.booleans())
+def test_suppression_equals_the_sequential_rule(spark, seed, by_support_only):
+    rng = random.Random(seed)
+    masks = rng.sample(range(1, 200), 9) + [0]
+    cores = [(sorted(rng.sample(masks, rng.randint(0, 7))), True, rng.randint(1, 9)) for _ in range(12)]
+    rows = [(m, rng.randint(1, 4) * 10, rng.choice([0.2, 0.5])) for m in masks]
+    size = lambda *ms: sum(n for s, _, n in cores if all(m in s for m in ms))
+    kept = []
+    for m, n, p in sorted(rows, key=lambda r: (-r[1], r[0]) if by_support_only else (-r[1], bin(r[0]).count("1"), -r[2], r[0])):
+        if m and size(m) and all(size(m, o) < 0.8 * (size(m) + size(o) - size(m, o)) for o in kept):
+            kept.append(m)
+    found = spark.createDataFrame(rows, "band_mask long, n_customers long, stability_proxy double")
+    profiles = spark.createDataFrame(cores, "core array<bigint>, any boolean, n long")
+    assert sorted(r.band_mask for r in pruning.suppress(found, profiles, by_support_only=by_support_only).collect()) == sorted(kept)
+
+
 def test_norms_and_their_errors(fuzzy):
     found = concepts.distinct_profiles(concepts.fuzzy_concepts(fuzzy))
     least = {(r.customer_id, r.band_mask): r.mu for r in pruning.concept_degrees(fuzzy, found).collect()}
@@ -208,8 +241,38 @@ def test_stability_counts_match_brute_force():
                 continue
             groups = {m: extent.count(m) for m in extent}
             made = lattice.generators(groups, intent)
-            assert made == lattice.brute_force_generators(extent, intent)
-            assert abs(lattice.log2_fraction(made, len(extent)) - math.log2(made / 2 ** len(extent))) < 1e-12
+            whole = sum(d << e for e, d in made.items())
+            assert whole == lattice.brute_force_generators(extent, intent)
+            assert abs(lattice.log2_share(made, len(extent)) - math.log2(whole / 2 ** len(extent))) < 1e-12
+            assert lattice.scaled(made, len(extent)) == whole / 2 ** len(extent)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.integers(0, 90), st.integers(-40, 40), max_size=8), st.dictionaries(st.integers(0, 90), st.integers(-40, 40), max_size=8))
+def test_sparse_powers_equal_big_integers(a, b):
+    value = lambda x: sum(d * 2**e for e, d in x.items())
+    p, q = lattice.powers(a), lattice.powers(b)
+    assert value(p) == value(a) and all(d in (1, -1) and e + 1 not in p for e, d in p.items())
+    assert value(lattice.added(p, q, -1)) == value(a) - value(b)
+    assert lattice.compared(p, q) == (value(a) > value(b)) - (value(a) < value(b))
+    if value(a) > 0:
+        assert lattice.log2_of(p, 50) == pytest.approx(math.log2(value(a)) - 50, abs=1e-12)
+        assert lattice.scaled(p, 50) == value(a) / 2**50
+
+
+@pytest.mark.parametrize("n", [16_000, 10**6, 10**12])
+def test_extents_of_any_size_are_counted(spark, n):
+    """Three profiles of n customers each: sets that miss one of two attributes don't generate the empty intent."""
+    groups = {0b01: n, 0b10: n, 0b11: n}
+    made = lattice.generators(groups, 0)
+    assert made == lattice.powers({3 * n: 1, 2 * n: -2, n: 1})
+    frame = spark.createDataFrame(list(groups.items()), "mask long, n long")
+    found = spark.createDataFrame([(0,), (1,)], "intent_mask long")
+    rows = {r.intent_mask: r for r in lattice.kuznetsov(found, frame).collect()}
+    assert (rows[0].status, rows[0].stability, rows[0].loss) == ("exact", 1.0, 0.0)
+    assert rows[0].log2_loss == pytest.approx(1 - n) and rows[0].n_generators == f"+2^{3 * n}-2^{2 * n + 1}+2^{n}"
+    assert rows[1].log2_loss == -n  # of the sets within 2 n customers, those of n don't generate
+    assert {r.intent_mask for r in lattice.stability_filter(found, frame).collect()} == {0, 1}
 
 
 def test_states_beyond_the_limit_are_reported(fuzzy):
@@ -371,8 +434,8 @@ def test_log2_next_to_one_and_far_from_it():
     getcontext().prec = 60
     for numerator, bits in ((2**70 - 1, 70), (2**300 - 2**40, 300), (3, 2), (1, 1), (5, 400), (2**60 - 2**20, 60), (8, 3)):
         want = (Decimal(numerator) / Decimal(2) ** bits).ln() / Decimal(2).ln()
-        assert lattice.log2_fraction(numerator, bits) == pytest.approx(float(want), rel=1e-14)
-    assert lattice.log2_fraction(2**70 - 1, 70) < 0
+        assert lattice.log2_share(lattice.powers({0: numerator}), bits) == pytest.approx(float(want), rel=1e-14)
+    assert lattice.log2_share(lattice.powers({70: 1, 0: -1}), 70) < 0
 
 
 def test_an_extent_of_one_profile_has_the_empty_lower_neighbour():
