@@ -23,7 +23,9 @@ UNIT, PRIOR = 1_000_000_000, 5
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, df): occurrences of each term in a source's documents, and how many of these have it; null lang, source and text are ''."""
+    """(lang, source, term, n, df): occurrences of each term in a source's documents, and how many of these have it; null lang, source and text are ''.
+    The rows of a term lie in one partition; tasks have added up their own before, so there are some a task and source.
+    """
     lean_batches(docs.sparkSession)
     rows = docs.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")))
 
@@ -53,7 +55,19 @@ def term_counts(docs: DataFrame) -> DataFrame:
         yield from flush(held)
 
     counted = rows.mapInArrow(count, "lang string, source string, term string, n long, df long")
-    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+    return counted.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+
+
+def kept_counts(docs: DataFrame, min_docs: int) -> DataFrame:
+    """(lang, source, term, n, lang_n, sig, sig2, first) of the terms that ``min_docs`` documents of their language have.
+
+    ``sig`` and ``sig2`` are the same for terms of the same column, that is of
+    the same sources with the same counts; ``first`` marks one row a term.
+    """
+    term = Window.partitionBy("lang", "term")
+    mark = {name: F.bit_xor(F.xxhash64(F.lit(k), "source", "n")).over(term) for k, name in enumerate(("sig", "sig2"))}
+    rows = term_counts(docs).withColumn("all_df", F.sum("df").over(term)).where(F.col("all_df") >= min_docs).drop("df", "all_df")
+    return rows.withColumns({"lang_n": F.sum("n").over(term), **mark, "first": F.row_number().over(term.orderBy("source")) == 1})
 
 
 def smoothed(count: str, total: str, terms: str) -> Column:
@@ -107,20 +121,17 @@ def source_divergence(docs: DataFrame, min_docs: int = 30, top_terms: int = 50)
     """
     empty = F.lit("")
     groups = docs.select(F.coalesce("lang", empty).alias("lang"), F.coalesce("source", empty).alias("source")).distinct()
-    counts = checkpointed(term_counts(docs))
-    mark = [F.bit_xor(F.xxhash64(F.lit(k), "source", "n")).alias(name) for k, name in enumerate(("sig", "sig2"))]
-    kept = counts.groupBy("lang", "term").agg(F.sum("df").alias("df"), F.sum("n").alias("lang_n"), *mark).where(F.col("df") >= min_docs).drop("df")
-    kept = checkpointed(kept)
+    counts = checkpointed(kept_counts(docs, min_docs))
+    kept = counts.where("first")
     # the first term of a column stands for all of them
-    shared = kept.groupBy("lang", "sig", "sig2").agg(F.min("term").alias("term"), F.count("*").alias("mult"), F.first("lang_n").alias("lang_n"))
+    shared = kept.groupBy("lang", "sig", "sig2").agg(F.min("term").alias("term"), F.count("*").alias("mult"))
     langs = kept.groupBy("lang").agg(F.sum("lang_n").alias("lang_total"), F.count("*").alias("terms"))
-    used = counts.join(kept.select("lang", "term"), ["lang", "term"])
-    totals = used.groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     sizes = groups.groupBy("lang").agg(F.count("*").alias("sources")).join(shared.groupBy("lang").agg(F.count("*").alias("columns")), "lang", "left")
     sizes = sizes.select("lang", F.ceil(F.col("sources") / SOURCES).alias("blocks"), F.greatest(F.lit(1), F.ceil(F.coalesce("columns", F.lit(0)) / COLUMNS)).alias("parts"))
     groups = groups.join(totals, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0, ["total", "lang_total", "terms"]).join(sizes, "lang")
     groups = checkpointed(groups.withColumn("block", F.pmod(F.xxhash64("source"), F.col("blocks"))))
-    entries = counts.drop("df").join(shared, ["lang", "term"]).join(groups, ["lang", "source"])
+    entries = counts.drop("first").join(shared.drop("sig", "sig2"), ["lang", "term"]).join(groups, ["lang", "source"])
     entries = checkpointed(entries.withColumn("p", smoothed("n", "total", "terms")))
 
     partner = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
