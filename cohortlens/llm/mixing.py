@@ -64,11 +64,8 @@ def poisson_replicate(docs: DataFrame, rates: DataFrame, seed: int = 9) -> DataF
         spread = tables.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
         joined = keyed.join(spread, [source, salt])
     ident = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    draw = F.aggregate(
-        F.sequence(F.lit(1), F.col(parts)),
-        F.lit(0),
-        lambda total, j: total + F.size(F.filter(cdf, lambda c: c <= _uniform(F.lit(str(seed)), ident, j.cast("string")))),
-    )
+    uniforms = F.transform(F.sequence(F.lit(1), F.col(parts)), lambda j: _uniform(F.lit(str(seed)), ident, j.cast("string")))
+    draw = F.aggregate(uniforms, F.lit(0), lambda total, u: total + F.size(F.filter(cdf, lambda c: c <= u)))
     drawn = joined.withColumn(n_copies, draw).where(F.col(n_copies) > 0)
     copies = drawn.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(n_copies) - 1)))
     order = F.md5(F.concat_ws("|", F.lit(f"order{seed}"), ident, F.col(copy).cast("string")).cast("binary"))
