@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.functions.ranks import value_ranks
+from cohortlens.functions.ranks import checkpointed, value_ranks
 
 
 def hash_order(seed: int | Column, c: str = "customer_id") -> Column:
@@ -48,15 +48,21 @@ def subsamples(df: DataFrame, share: float, seeds: list[int], how: str = "round"
 
 
 def weighted_auc(df: DataFrame, y: str, score: str, weight: str | None = None, by: list[str] = []) -> DataFrame:
-    """(by..., auc): probability that a positive scores higher than a negative, ties one half, rows weighted.
+    """(by..., auc): probability that a positive scores higher than a negative, ties one half, rows weighted; by may not hold nulls.
 
-    Scores are grouped first, so the window runs over distinct scores.
+    Scores are grouped first and range-partitioned; the negatives below a score
+    are those of its partition and, a row a partition and group, of the partitions before.
+    The layout is checkpointed, as range bounds are sampled anew on each evaluation.
     """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     g = df.groupBy(*by, F.col(score).alias("s")).agg(F.sum(F.when(F.col(y) == 1, w).otherwise(0.0)).alias("p"), F.sum(F.when(F.col(y) == 1, 0.0).otherwise(w)).alias("n"))
-    below = F.sum("n").over(Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
-    g = g.withColumn("below", below)
-    return g.groupBy(*by).agg(F.try_divide(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)), F.sum("p") * F.sum("n")).alias("auc"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = checkpointed(g.repartitionByRange(parts, *by, "s").withColumn("__pid", F.spark_partition_id()))
+    upto = Window.partitionBy("__pid", *by).orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = laid.withColumn("below", F.sum("n").over(upto) - F.col("n") / 2)
+    sums = sums.groupBy("__pid", *by).agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.sum(F.col("p") * F.col("below")).alias("area"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    return sums.withColumn("area", F.col("area") + F.col("p") * before).groupBy(*by).agg(F.try_divide(F.sum("area"), F.sum("p") * F.sum("n")).alias("auc"))
 
 
 def weighted_r2(df: DataFrame, y: str, f: str, weight: str | None = None, by: list[str] = []) -> DataFrame:
@@ -67,15 +73,28 @@ def weighted_r2(df: DataFrame, y: str, f: str, weight: str | None = None, by: li
     return sums.select(*by, (1 - F.try_divide(F.col("ee"), F.col("tt") - F.col("t") * F.col("t") / F.col("w"))).alias("r2"))
 
 
-def average_rank(c: str, by: list[str] = []) -> Column:
-    """Ranks from 1, tied rows sharing their mean."""
-    w = Window.partitionBy(*by)
-    return F.rank().over(w.orderBy(c)) + (F.count("*").over(w.partitionBy(*by, c)) - 1) / 2
+def rank_correlation(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(spearman) of two columns, tied values sharing their mean rank: distinct pairs of values meet the global ranks of each."""
+    pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
+    pairs = checkpointed(pairs)
+    for c in ("a", "b"):
+        values = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a if c == "a" else b).alias(c))
+        rank = value_ranks(values, c).select(c, (F.col("before") + (F.col("ties") + 1) / 2).alias(f"r{c}"))
+        pairs = pairs.join(rank, c)
+    n, x, y = F.col("n"), F.col("ra"), F.col("rb")
+    sums = pairs.agg(F.sum(n).alias("n"), F.sum(n * x).alias("x"), F.sum(n * y).alias("y"), F.sum(n * x * x).alias("xx"), F.sum(n * y * y).alias("yy"), F.sum(n * x * y).alias("xy"))
+    spread = F.sqrt((F.col("xx") - F.col("x") * F.col("x") / F.col("n")) * (F.col("yy") - F.col("y") * F.col("y") / F.col("n")))
+    return sums.select(F.try_divide(F.col("xy") - F.col("x") * F.col("y") / F.col("n"), spread).alias("spearman"))
 
 
 def error_metrics(df: DataFrame, y: str, prob: str, target: str, predicted: str) -> DataFrame:
     """One row: Brier score of prob, mean absolute error and Spearman correlation of predicted."""
-    ranked = df.withColumn("__a", average_rank(target)).withColumn("__b", average_rank(predicted))
-    return ranked.agg(
-        F.avg(F.pow(F.col(prob) - F.col(y), F.lit(2.0))).alias("brier"), F.avg(F.abs(F.col(predicted) - F.col(target))).alias("mae"), F.corr("__a", "__b").alias("spearman")
-    )
+    errors = df.agg(F.avg(F.pow(F.col(prob) - F.col(y), F.lit(2.0))).alias("brier"), F.avg(F.abs(F.col(predicted) - F.col(target))).alias("mae"))
+    return errors.crossJoin(rank_correlation(df, target, predicted))
+
+
+def train_test_gap(metrics: DataFrame, by: list[str], names: list[str]) -> DataFrame:
+    """(by..., name_train, name_test, name_gap): metrics (by..., part, names) of the rows trained on less those of the rows held out."""
+    of = lambda part, n: F.max(F.when(F.col("part") == part, F.col(n)))
+    columns = [c for n in names for c in (of("train", n).alias(f"{n}_train"), of("test", n).alias(f"{n}_test"), (of("train", n) - of("test", n)).alias(f"{n}_gap"))]
+    return metrics.groupBy(*by).agg(*columns)
