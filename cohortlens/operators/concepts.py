@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.ranks import checkpointed
 
-from .scoring import DIMS
+from .scoring import DIMS, beside
 
 THRESHOLDS = (0.3, 0.5, 0.7)
 MIN_SUPPORT = 0.04
@@ -53,10 +53,10 @@ def crisp_concepts(scored: DataFrame, min_support: float = MIN_SUPPORT, by: list
     return kept.groupBy(*by, "intent_mask").agg(F.max("n_customers").alias("n_customers"), F.max(F.col("n_customers") / F.col("total")).alias("support"))
 
 
-def profiles(fuzzy: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
-    """(mask, triple, n): customers by mask and score triple. All further mining works on these few rows."""
+def profiles(fuzzy: DataFrame, thresholds=THRESHOLDS, by: list[str] = []) -> DataFrame:
+    """(by..., mask, triple, n): customers by mask and score triple. All further mining works on these few rows."""
     triple = sum(F.col(f"{d}_score") * 10**i for i, d in enumerate(DIMS))
-    return fuzzy.select(fuzzy_mask(thresholds).alias("mask"), triple.alias("triple")).groupBy("mask", "triple").agg(F.count("*").alias("n"))
+    return fuzzy.select(*by, fuzzy_mask(thresholds).alias("mask"), triple.alias("triple")).groupBy(*by, "mask", "triple").agg(F.count("*").alias("n"))
 
 
 def _patterns(masks: DataFrame, shift: int, width: int) -> DataFrame:
@@ -68,26 +68,27 @@ def _patterns(masks: DataFrame, shift: int, width: int) -> DataFrame:
     return found.union(found.sparkSession.range(1).select(F.lit(0).cast("long").alias("p"))).distinct()
 
 
-def fuzzy_concepts(fuzzy: DataFrame, min_support: float = MIN_SUPPORT, thresholds=THRESHOLDS) -> DataFrame:
-    """(intent_mask, n_customers, support, stability_proxy): closed attribute sets with support, without the empty one.
+def fuzzy_concepts(fuzzy: DataFrame, min_support: float = MIN_SUPPORT, thresholds=THRESHOLDS, by: list[str] = []) -> DataFrame:
+    """(by..., intent_mask, n_customers, support, stability_proxy): closed attribute sets with support, without the empty one.
 
     Any extent is given by the patterns a dimension's attributes can have in
     common. Each profile meets the patterns it holds, dimension by dimension;
     each combination is grouped, and the closure is the bitwise and of the masks.
     The proxy is 1 less the distinct score triples over the customers, 1 for a single customer.
+    Groups share the patterns: one that a group lacks gives it an extent as well, closed like any other.
     """
     width = 5 * len(thresholds)
-    rows = checkpointed(profiles(fuzzy, thresholds))
-    total = rows.agg(F.sum("n").alias("total"))
+    rows = checkpointed(profiles(fuzzy, thresholds, by))
+    total = rows.groupBy(*by).agg(F.sum("n").alias("total"))
     met = rows
     for i in range(3):
         p = _patterns(rows, i * width, width).select(F.shiftleft("p", i * width).alias(f"p{i}"))
         met = met.join(F.broadcast(p), F.col("mask").bitwiseAND(F.col(f"p{i}")) == F.col(f"p{i}"))
     key = F.col("p0").bitwiseOR(F.col("p1")).bitwiseOR(F.col("p2"))
-    found = met.groupBy(key.alias("key")).agg(F.sum("n").alias("n_customers"), F.bit_and("mask").alias("intent_mask"), F.countDistinct("triple").alias("triples"))
-    kept = found.crossJoin(F.broadcast(total)).where((F.col("n_customers") >= min_support * F.col("total")) & (F.col("intent_mask") != 0))
+    found = met.groupBy(*by, key.alias("key")).agg(F.sum("n").alias("n_customers"), F.bit_and("mask").alias("intent_mask"), F.countDistinct("triple").alias("triples"))
+    kept = beside(found, total, by).where((F.col("n_customers") >= min_support * F.col("total")) & (F.col("intent_mask") != 0))
     proxy = F.when(F.col("n_customers") <= 1, 1.0).otherwise(1 - F.col("triples") / F.col("n_customers"))
-    return kept.groupBy("intent_mask").agg(F.max("n_customers").alias("n_customers"), F.max(F.col("n_customers") / F.col("total")).alias("support"), F.max(proxy).alias("stability_proxy"))
+    return kept.groupBy(*by, "intent_mask").agg(F.max("n_customers").alias("n_customers"), F.max(F.col("n_customers") / F.col("total")).alias("support"), F.max(proxy).alias("stability_proxy"))
 
 
 def base_bands(mask: Column, thresholds: int = 3) -> Column:
@@ -134,10 +135,10 @@ def knee_flags(concepts: DataFrame, columns=("support", "stability_proxy")) -> D
     return out.withColumn("is_knee", flags).drop(*[f"__{c}" for c in columns])
 
 
-def distinct_profiles(concepts: DataFrame) -> DataFrame:
+def distinct_profiles(concepts: DataFrame, by: list[str] = []) -> DataFrame:
     """The first concept of each band set, by support, then fewer attributes, then mask."""
     size = F.bit_count("intent_mask")
-    order = Window.partitionBy(base_bands(F.col("intent_mask"))).orderBy(F.desc("n_customers"), size, "intent_mask")
+    order = Window.partitionBy(*by, base_bands(F.col("intent_mask"))).orderBy(F.desc("n_customers"), size, "intent_mask")
     return concepts.withColumn("__r", F.row_number().over(order)).where("__r = 1").drop("__r").withColumn("band_mask", base_bands(F.col("intent_mask")))
 
 

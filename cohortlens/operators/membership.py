@@ -13,26 +13,26 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.ranks import exact_quantiles
 
-from .scoring import DIMS, as_row
+from .scoring import DIMS, as_row, beside
 
 EPS = 1e-9
 
 
-def long_scored(scored: DataFrame) -> DataFrame:
-    """(dim, x, s) of scored customers."""
-    return scored.select(F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).cast("double").alias("x"), F.col(f"{d}_score").alias("s")) for d in DIMS])).alias("p")).select("p.*")
+def long_scored(scored: DataFrame, by: list[str] = []) -> DataFrame:
+    """(by..., dim, x, s) of scored customers."""
+    return scored.select(*by, F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).cast("double").alias("x"), F.col(f"{d}_score").alias("s")) for d in DIMS])).alias("p")).select(*by, "p.*")
 
 
-def band_centroids(scored: DataFrame, levels: int = 5) -> DataFrame:
-    """(dim, cuts): median raw value of each band in score order; an empty band takes the median of all.
+def band_centroids(scored: DataFrame, levels: int = 5, by: list[str] = []) -> DataFrame:
+    """(by..., dim, cuts): median raw value of each band in score order; an empty band takes the median of all.
 
     The column is named as fitted arrays are, so that as_row turns it into a row of R_cuts, F_cuts, M_cuts.
     Medians come from global ranks, with all rows as a band 0 of their own.
     """
-    rows = long_scored(scored).select("dim", "x", F.explode(F.array("s", F.lit(0))).alias("s"))
-    medians = exact_quantiles(rows, "x", [0.5], ["dim", "s"])
+    rows = long_scored(scored, by).select(*by, "dim", "x", F.explode(F.array("s", F.lit(0))).alias("s"))
+    medians = exact_quantiles(rows, "x", [0.5], [*by, "dim", "s"])
     of = lambda b: F.max(F.when(F.col("s") == b, F.col("quantiles")[0]))
-    return medians.groupBy("dim").agg(F.array(*[F.coalesce(of(b), of(0)) for b in range(1, levels + 1)]).alias("cuts"))
+    return medians.groupBy(*by, "dim").agg(F.array(*[F.coalesce(of(b), of(0)) for b in range(1, levels + 1)]).alias("cuts"))
 
 
 def piecewise(x: Column, centroids: Column) -> Column:
@@ -88,15 +88,15 @@ def normalized(df: DataFrame, x: Column, centroids: str, widths: str, shape: str
     return df.withColumn(out, F.transform("__z", lambda v: v / F.col("__t"))).drop("__z", "__t")
 
 
-def fuzzify(df: DataFrame, centroids: DataFrame, family: str = "piecewise") -> DataFrame:
+def fuzzify(df: DataFrame, centroids: DataFrame, family: str = "piecewise", by: list[str] = []) -> DataFrame:
     """df with R_mu, F_mu, M_mu: degrees in score order by a family: piecewise, gaussian, bell or log_gaussian."""
-    params, shape = as_row(centroids), family.removeprefix("log_")
+    params, shape = as_row(centroids, by), family.removeprefix("log_")
     for d in DIMS:
         c = F.col(f"{d}_cuts")
         params = params.withColumn(f"{d}_cuts", F.array_sort(F.transform(c, lambda v: F.log1p(F.greatest(v, F.lit(0.0)))) if family == "log_gaussian" else c))
         if shape != "piecewise":
             params = with_widths(params, f"{d}_cuts", f"{d}_widths")
-    out = df.crossJoin(F.broadcast(params))
+    out = beside(df, params, by)
     for d in DIMS:
         x = F.col(d).cast("double")
         x = F.log1p(F.greatest(x, F.lit(0.0))) if family == "log_gaussian" else x

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.ranks import checkpointed
 
-from .scoring import DIMS
+from .scoring import DIMS, beside
 
 MU_CUT = 0.5
 J_MAX = 0.80
@@ -35,13 +35,13 @@ def concept_degrees(fuzzy: DataFrame, concepts: DataFrame, t_norm: str = "min")
     return fuzzy.select("customer_id", degrees.alias("degrees")).crossJoin(F.broadcast(few)).select("customer_id", "band_mask", mu.alias("mu"))
 
 
-def _masks(concepts: DataFrame) -> DataFrame:
-    """One row: the concepts' masks in ascending order. They are few; support bounds them."""
-    return F.broadcast(concepts.agg(F.sort_array(F.collect_set("band_mask")).alias("masks")))
+def masks_of(concepts: DataFrame, by: list[str] = []) -> DataFrame:
+    """(by..., masks): the concepts' masks in ascending order. They are few; support bounds them."""
+    return concepts.groupBy(*by).agg(F.sort_array(F.collect_set("band_mask")).alias("masks"))
 
 
-def core_profiles(fuzzy: DataFrame, concepts: DataFrame, t_norm: str = "min") -> DataFrame:
-    """(core, any, n): how many customers are core to just the concepts ``core`` (ascending masks), and whether they have a degree in any.
+def core_profiles(fuzzy: DataFrame, concepts: DataFrame, t_norm: str = "min", by: list[str] = []) -> DataFrame:
+    """(by..., core, any, n): how many customers are core to just the concepts ``core`` (ascending masks), and whether they have a degree in any.
 
     By the least degree a customer is core to the concepts whose bands it is
     all core to, so customers are first counted by their core bands and those
@@ -53,47 +53,47 @@ def core_profiles(fuzzy: DataFrame, concepts: DataFrame, t_norm: str = "min") ->
     def bits(least):
         return F.aggregate(F.transform("degrees", lambda mu, i: F.when(least(mu), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(0)), F.lit(0).cast("long"), lambda a, v: a + v)
 
-    rows = fuzzy.select(degrees.alias("degrees"))
+    rows = fuzzy.select(*by, degrees.alias("degrees"))
     within = lambda of: lambda m: m.bitwiseAND(F.col(of)) == m
     if t_norm == "min":
-        counted = rows.select(bits(lambda mu: mu >= MU_CUT).alias("high"), bits(lambda mu: mu > 0).alias("some")).groupBy("high", "some").agg(F.count("*").alias("n"))
-        sets = counted.crossJoin(_masks(concepts)).select(F.filter("masks", within("high")).alias("core"), F.exists("masks", within("some")).alias("any"), "n")
+        counted = rows.select(*by, bits(lambda mu: mu >= MU_CUT).alias("high"), bits(lambda mu: mu > 0).alias("some")).groupBy(*by, "high", "some").agg(F.count("*").alias("n"))
+        sets = beside(counted, masks_of(concepts, by), by).select(*by, F.filter("masks", within("high")).alias("core"), F.exists("masks", within("some")).alias("any"), "n")
     else:
         product = lambda m: F.aggregate(F.transform("degrees", lambda mu, i: F.when(F.getbit(m, i) == 1, mu).otherwise(1.0)), F.lit(1.0), lambda a, v: a * v)
-        sets = rows.withColumn("some", bits(lambda mu: mu > 0)).crossJoin(_masks(concepts)).select(F.filter("masks", lambda m: product(m) >= MU_CUT).alias("core"), F.exists("masks", within("some")).alias("any"), F.lit(1).alias("n"))
-    return sets.groupBy("core", "any").agg(F.sum("n").alias("n"))
+        sets = beside(rows.withColumn("some", bits(lambda mu: mu > 0)), masks_of(concepts, by), by).select(*by, F.filter("masks", lambda m: product(m) >= MU_CUT).alias("core"), F.exists("masks", within("some")).alias("any"), F.lit(1).alias("n"))
+    return sets.groupBy(*by, "core", "any").agg(F.sum("n").alias("n"))
 
 
-def core_overlaps(profiles: DataFrame) -> DataFrame:
-    """(a, b, common, size_a, size_b, jaccard) of concept pairs a < b with common core customers, from core profiles (core, n):
+def core_overlaps(profiles: DataFrame, by: list[str] = []) -> DataFrame:
+    """(by..., a, b, common, size_a, size_b, jaccard) of concept pairs a < b with common core customers, from core profiles (core, n):
     pairs are made of sets of concepts, not of customers."""
-    one = profiles.select(F.col("core").alias("s"), "n", F.explode("core").alias("a"))
-    sizes = one.groupBy("a").agg(F.sum("n").alias("size"))
-    pairs = one.select("n", "a", F.explode(F.filter("s", lambda b: b > F.col("a"))).alias("b")).groupBy("a", "b").agg(F.sum("n").alias("common"))
-    both = pairs.join(F.broadcast(sizes.select("a", F.col("size").alias("size_a"))), "a").join(F.broadcast(sizes.select(F.col("a").alias("b"), F.col("size").alias("size_b"))), "b")
-    return both.select("a", "b", "common", "size_a", "size_b", (F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))).alias("jaccard"))
+    one = profiles.select(*by, F.col("core").alias("s"), "n", F.explode("core").alias("a"))
+    sizes = one.groupBy(*by, "a").agg(F.sum("n").alias("size"))
+    pairs = one.select(*by, "n", "a", F.explode(F.filter("s", lambda b: b > F.col("a"))).alias("b")).groupBy(*by, "a", "b").agg(F.sum("n").alias("common"))
+    both = pairs.join(F.broadcast(sizes.withColumnRenamed("size", "size_a")), [*by, "a"]).join(F.broadcast(sizes.select(*by, F.col("a").alias("b"), F.col("size").alias("size_b"))), [*by, "b"])
+    return both.select(*by, "a", "b", "common", "size_a", "size_b", (F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))).alias("jaccard"))
 
 
-def suppress(concepts: DataFrame, profiles: DataFrame, j_max: float = J_MAX, by_support_only: bool = False) -> DataFrame:
+def suppress(concepts: DataFrame, profiles: DataFrame, j_max: float = J_MAX, by_support_only: bool = False, by: list[str] = []) -> DataFrame:
     """The concepts (band_mask, n_customers, ...) that greedy suppression keeps.
 
     In order of support, then fewer attributes, higher proxy and mask, a
     concept stays unless its core customers are none or overlap those of one
     kept before by a Jaccard index of ``j_max`` or more. The order makes it
-    sequential: one fold over the concepts, which support bounds, each with
-    its close ones. profiles are the core profiles of the same concepts.
+    sequential: one fold over the concepts of a group, which support bounds,
+    each with its close ones. profiles are the core profiles of the same concepts.
     """
-    close = core_overlaps(profiles).where(F.col("jaccard") >= j_max)
+    close, key = core_overlaps(profiles, by).where(F.col("jaccard") >= j_max), [*by, "band_mask"]
     ends = F.explode(F.array(F.struct(F.col("a").alias("band_mask"), F.col("b").alias("near")), F.struct(F.col("b").alias("band_mask"), F.col("a").alias("near"))))
-    near = close.select(ends.alias("e")).groupBy("e.band_mask").agg(F.collect_set("e.near").alias("near"))
-    cores = profiles.select(F.explode("core").alias("band_mask")).distinct()
-    able = concepts.where("band_mask <> 0").join(F.broadcast(cores), "band_mask").join(F.broadcast(near), "band_mask", "left")
+    near = close.select(*by, ends.alias("e")).select(*by, "e.*").groupBy(*key).agg(F.collect_set("near").alias("near"))
+    cores = profiles.select(*by, F.explode("core").alias("band_mask")).distinct()
+    able = concepts.where("band_mask <> 0").join(F.broadcast(cores), key).join(F.broadcast(near), key, "left")
     proxy = F.col("stability_proxy") if "stability_proxy" in concepts.columns else F.lit(1.0)
     rank = [-F.col("n_customers"), *([] if by_support_only else [F.bit_count("band_mask").cast("long"), -proxy]), F.col("band_mask")]
     order = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(rank)], F.coalesce("near", F.array().cast("array<bigint>")).alias("near"))
     keep = lambda kept, c: F.when(F.arrays_overlap(kept, c.near), kept).otherwise(F.array_append(kept, c[f"o{len(rank) - 1}"]))
-    kept = able.agg(F.aggregate(F.array_sort(F.collect_list(order)), F.array().cast("array<bigint>"), keep).alias("kept"))
-    return concepts.join(F.broadcast(kept.select(F.explode("kept").alias("band_mask"))), "band_mask", "left_semi")
+    kept = able.groupBy(*by).agg(F.aggregate(F.array_sort(F.collect_list(order)), F.array().cast("array<bigint>"), keep).alias("kept"))
+    return concepts.join(F.broadcast(kept.select(*by, F.explode("kept").alias("band_mask"))), key, "left_semi")
 
 
 def hard_labels(degrees: DataFrame, concepts: DataFrame) -> DataFrame:
@@ -164,8 +164,7 @@ def lattice_summary(concepts: DataFrame, kept: DataFrame, profiles: DataFrame) -
     """One row: raw and kept concepts, their ratio, core concepts a customer, mean and greatest extents."""
     n = concepts.agg(F.count("*").alias("raw"))
     k = kept.agg(F.count("*").alias("kept"), F.avg("n_customers").alias("mean_extent"), F.max("n_customers").alias("max_extent"))
-    masks = _masks(kept)
-    per = profiles.crossJoin(masks).agg((F.sum(F.size(F.array_intersect("core", "masks")) * F.col("n")) / F.sum("n")).alias("concepts_per_customer"))
+    per = beside(profiles, masks_of(kept)).agg((F.sum(F.size(F.array_intersect("core", "masks")) * F.col("n")) / F.sum("n")).alias("concepts_per_customer"))
     return n.crossJoin(k).crossJoin(per).select("raw", "kept", F.try_divide("kept", "raw").alias("ratio"), "concepts_per_customer", "mean_extent", "max_extent")
 
 

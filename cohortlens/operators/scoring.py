@@ -34,6 +34,11 @@ def as_row(cuts: DataFrame, by: list[str] = []) -> DataFrame:
     return cuts.groupBy(*by).agg(*[F.max(F.when(F.col("dim") == d, F.col("cuts"))).alias(f"{d}_cuts") for d in DIMS])
 
 
+def beside(df: DataFrame, fitted: DataFrame, by: list[str] = []) -> DataFrame:
+    """df with the columns of the one fitted row, or of that of its own group, of which there are a few."""
+    return df.join(F.broadcast(fitted), by) if by else df.crossJoin(F.broadcast(fitted))
+
+
 def band(x: Column, cuts: Column, invert: bool = False) -> Column:
     """1 + the cutpoints below x; inverted, the best is the lowest."""
     above = F.size(F.filter(cuts, lambda c: x > c))
@@ -42,8 +47,7 @@ def band(x: Column, cuts: Column, invert: bool = False) -> Column:
 
 def score(df: DataFrame, cuts: DataFrame, by: list[str] = []) -> DataFrame:
     """df with R_score, F_score, M_score by fitted cutpoints, of its own group where there are groups (a few); R is inverted."""
-    rows = F.broadcast(as_row(cuts, by))
-    scored = df.join(rows, by) if by else df.crossJoin(rows)
+    scored = beside(df, as_row(cuts, by), by)
     for d in DIMS:
         scored = scored.withColumn(f"{d}_score", band(F.col(d).cast("double"), F.col(f"{d}_cuts"), d == "R"))
     return scored.drop(*[f"{d}_cuts" for d in DIMS])
