@@ -57,13 +57,25 @@ def k1(spark, d):
     return spark.read.csv(path, header=True, schema=rows.schema)
 
 
-@query("k2_parameters", "SELECT '{\"folds\": 5, \"seed\": 0}' AS value")
+@query("k2_parameters", """SELECT '{"customers": ' || count(DISTINCT o_custkey) || ', "first_day": "' || strftime(min(o_orderdate), '%Y-%m-%d') || '", "folds": 5, "last_day": "' || strftime(max(o_orderdate), '%Y-%m-%d') || '"}' AS value FROM orders""")
 def k2(spark, d):
+    """A run's parameters: its settings and what its input says of itself."""
     path = _folder(spark)
-    files.write_parameters(spark, path, {"seed": 0, "folds": 5})
+    of = table(spark, d, "orders").agg(F.countDistinct("o_custkey").alias("customers"), F.min("o_orderdate").cast("date").alias("first_day"), F.max("o_orderdate").cast("date").alias("last_day")).first()
+    files.write_parameters(spark, path, {"folds": 5, "customers": of.customers, "first_day": str(of.first_day), "last_day": str(of.last_day)})
     return spark.read.text(path)
 
 
+@query("k3_report", f"""{_MEANS}, t AS (SELECT '| arm | auc |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || arm || ' | ' || printf('%.3f', auc) || ' |', chr(10) ORDER BY arm) AS t FROM means WHERE dataset = 'O')
+SELECT '# Arms by mean' || chr(10) || chr(10) || '## Scope' || chr(10) || chr(10) || (SELECT count(*) FROM points) || ' results' || chr(10) || chr(10) || '## Means' || chr(10) || chr(10) || t AS report FROM t""")
+def k3b(spark, d):
+    """A report is written and read back whole."""
+    path, rows = _folder(spark), points(spark, d)
+    means = evidence.means_by_arm(rows).where("dataset = 'O'").select("arm", "auc").orderBy("arm")
+    files.write_report(spark, path, "Arms by mean", [("Scope", f"{rows.count()} results"), ("Means", means)], floats="%.3f")
+    return spark.read.text(path, wholetext=True).select(F.rtrim(F.regexp_replace("value", "\\s+$", "")).alias("report"))
+
+
 @query("k3_markdown", f"{_MEANS} SELECT '| arm | auc |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || arm || ' | ' || printf('%.3f', auc) || ' |', chr(10) ORDER BY arm) AS report FROM means WHERE dataset = 'O'")
 def k3(spark, d):
     means = evidence.means_by_arm(points(spark, d)).where("dataset = 'O'").select("arm", "auc").orderBy("arm")
@@ -115,12 +127,15 @@ def e7(spark, d):
     return rounded(evidence.missing_pairs(table(spark, d, "customer").select("c_nationkey", "c_mktsegment"), ["c_nationkey", "c_mktsegment"]))
 
 
-@query("v1_parity", f"WITH {_POINTS} SELECT metric, count(*) AS compared, 0::BIGINT AS missing, 0.0::DOUBLE AS worst, true AS ok FROM points, (VALUES ('auc'), ('spend_r2'), ('invoice_r2')) m(metric) GROUP BY 1")
+@query("v1_parity", f"""WITH {_POINTS}, a AS (UNPIVOT (SELECT dataset, origin, arm, auc, spend_r2, invoice_r2 FROM points) ON auc, spend_r2, invoice_r2 INTO NAME metric VALUE was),
+b AS (SELECT dataset, origin, arm, metric, was + CASE WHEN metric = 'auc' AND arm = '1-URGENT' THEN 0.001::DOUBLE ELSE 0 END AS now FROM a WHERE NOT (dataset = 'P' AND arm = '5-LOW'))
+SELECT metric, count(*) AS compared, count(*) FILTER (now IS NULL) AS missing, round(coalesce(max(abs(was - now)), 0), 6) AS worst, count(*) FILTER (now IS NULL) = 0 AND coalesce(max(abs(was - now)), 0) <= 1e-12 AS ok FROM a LEFT JOIN b USING (dataset, origin, arm, metric) GROUP BY 1""")
 def v1(spark, d):
-    """Results computed again equal the written ones."""
-    path = _folder(spark)
-    files.write_new(points(spark, d), path)
-    return evidence.guard(evidence.parity(spark.read.parquet(path), points(spark, d), ["dataset", "origin", "arm"]))
+    """Results computed again against the written ones: one arm's area has moved, and an arm of one dataset is missing."""
+    path, now = _folder(spark), points(spark, d)
+    files.write_new(now, path)
+    now = now.where("NOT (dataset = 'P' AND arm = '5-LOW')").withColumn("auc", F.col("auc") + F.when(F.col("arm") == "1-URGENT", 0.001).otherwise(0.0))
+    return rounded(evidence.parity(spark.read.parquet(path), now, ["dataset", "origin", "arm"]))
 
 
 @query("v2_claims", f"{_MEANS}, c(claim, dataset, arm, stated) AS (VALUES (1::BIGINT, 'O', '5-LOW', 0.5::DOUBLE), (2, 'F', '5-LOW', 9.0), (3, 'X', 'none', 0.0)) SELECT claim, coalesce(round(auc, 4) = round(stated, 4), false) AS ok FROM c LEFT JOIN means USING (dataset, arm)")

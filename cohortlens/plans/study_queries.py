@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from cohortlens.functions.ranks import checkpointed
-from cohortlens.operators import clustering, cohorts, concepts, features, inference, lattice, metrics, models, scoring, stability
+from cohortlens.operators import bootstrap, clustering, cohorts, concepts, features, inference, lattice, metrics, models, scoring, stability
 
 from .base import COHORT, CRISP_COHORT, LONG, MU, SCORED_LONG, TX, cohort, fuzzy, query, rounded, scored, table, transactions, with_
 from .cohort_queries import _origins
@@ -240,11 +242,14 @@ def l16(spark, d):
 SPLIT_SEEDS = list(range(1000, 1010))
 
 
+LINEAR_ARMS = ["raw_std", "log_rfm", "crisp_bands", "fuzzy_bands", "crisp_rfm_fca", "fuzzy_rfm_fca"]
+
+
 @query("l17_repeated_splits")
 def l17(spark, d):
-    """Mean and spread of held-out metrics over ten 70/30 splits, and wins over the first arm; ten logistic and twenty ridge penalties."""
+    """Mean and spread of held-out metrics of every arm over ten 70/30 splits, and wins over the first; ten logistic and twenty ridge penalties."""
     df, rows = checkpointed(cohort(spark, d)), None
-    for arm in ("raw_std", "log_rfm"):
+    for arm in LINEAR_ARMS:
         one = models.evaluate(models.repeated_splits(df, arm, SPLIT_SEEDS), ["seed"]).select("seed", F.lit(arm).alias("arm"), "auc", "spend_r2", "invoice_r2")
         rows = one if rows is None else rows.unionByName(one)
     rows = checkpointed(rows)
@@ -252,6 +257,19 @@ def l17(spark, d):
     return rounded(rows.join(base, "seed").groupBy("arm").agg(F.avg("auc").alias("auc_mean"), F.stddev_samp("auc").alias("auc_std"), F.avg("spend_r2").alias("spend_r2_mean"), F.count_if(F.col("auc") > F.col("base")).alias("wins")), 4)
 
 
+@query("l10_train_test_gap")
+def l10b(spark, d):
+    """Metrics of trained and held rows of five folds, averaged, and their gap."""
+    splits, rows = models.folds_as_splits(cohort(spark, d)), None
+    for arm in ("log_rfm", "crisp_bands"):
+        said = models.predictions(splits, arm, trained_too=True)
+        one = models.evaluate(said.withColumn("part", F.when(F.col("held"), "test").otherwise("train")), ["run", "part"]).withColumn("arm", F.lit(arm))
+        rows = one if rows is None else rows.unionByName(one)
+    names = ["auc", "spend_r2", "invoice_r2"]
+    means = rows.groupBy("arm", "part").agg(*[F.avg(n).alias(n) for n in names])
+    return rounded(metrics.train_test_gap(means, ["arm"], names), 4)
+
+
 @query("l18_temporal_holdout")
 def l18(spark, d):
     """One fixed 70/30 split of one origin's customers, whose outcomes are later, for several arms."""
@@ -309,6 +327,20 @@ def i2(spark, d):
     return rounded(inference.draw_sums(df, B, SEED, sums, ["origin"]).select("b", "origin", "mean_spend", "n"))
 
 
+@query("i2_model_bootstrap")
+def i2b(spark, d):
+    """Two representations compared by out-of-fold metrics: five seeds of folds, two origins, one draw of the union of customers
+    for all of them, the seeds' draws taken together; Holm over the metrics."""
+    df = checkpointed(cohorts.build_cohorts(transactions(spark, d), _origins(spark).where("origin IN ('1997-01-01', '1998-01-01')")))
+    arms = ("crisp_bands", "log_rfm")
+    said = [models.seeds_and_origins(df, arm, [0, 1, 2, 3, 4]).withColumn("arm", F.lit(arm)) for arm in arms]
+    said = checkpointed(said[0].unionByName(said[1]))
+    by = ["seed", "origin", "arm"]
+    points = models.evaluate(said, by).unpivot(by, ["auc", "spend_r2", "invoice_r2"], "metric", "value")
+    draws = checkpointed(bootstrap.metric_draws(said, B, SEED, by))
+    return rounded(bootstrap.paired_comparisons(draws, checkpointed(points), [arms]), 4)
+
+
 @query("i3_interval", with_(COHORT, _DELTA + " SELECT round(avg(delta), 6) AS mean, round(quantile_cont(delta, 0.025), 6) AS ci_low, round(quantile_cont(delta, 0.975), 6) AS ci_high FROM st"))
 def i3(spark, d):
     return rounded(inference.interval(_deltas(spark, d), "delta", []).drop("p_boot"))
@@ -434,6 +466,17 @@ def i14(spark, d):
     return out.withColumns({c: F.round(c, 4) for c in ("ci_low", "ci_high")})
 
 
+@query("i14_concept_counts")
+def i14b(spark, d):
+    """How many concepts each arm keeps on the training rows of ten 70/30 splits: fuzzy less crisp, paired by split."""
+    df = cohort(spark, d)
+    runs = [metrics.stratified_split(df, seed=s).where("is_train").withColumn("run", F.lit(i)) for i, s in enumerate(SPLIT_SEEDS)]
+    train = checkpointed(functools.reduce(lambda a, b: a.unionByName(b), runs))
+    counts = [features.run_concepts(train, kind)[1].groupBy("run").agg(F.count("*").cast("double").alias(n)) for kind, n in ((True, "fuzzy"), (False, "crisp"))]
+    paired = counts[0].join(counts[1], "run").select(F.lit("concepts").alias("metric"), "run", (F.col("fuzzy") - F.col("crisp")).alias("e"))
+    return rounded(inference.split_comparisons(checkpointed(paired), "e", ["metric"], "run"), 4)
+
+
 @query("i15_unit_weights", with_(COHORT, f", {_PRED} SELECT (SELECT round(v, 6) FROM ({_auc_sql('1')})) AS auc, (SELECT round(1 - sum((y - f) * (y - f)) / (var_pop(y) * count(*)), 6) FROM pred) AS r2"))
 def i15(spark, d):
     p = _pred(spark, d).withColumn("w", F.lit(1))
@@ -515,20 +558,43 @@ def t6b(spark, d):
     return rounded(stability.set_recurrence(stability.fit_crisp(df)[1], checkpointed(stability.resample_sets(df, RESAMPLES)), "b"))
 
 
-@query("t7_fold_jaccards", with_(CRISP, ", f AS (SELECT intent_mask, n_customers % 5 AS fold FROM crisp), e AS (SELECT DISTINCT fold, bit_count(intent_mask) AS m FROM f), z AS (SELECT fold, count(*) AS n FROM e GROUP BY 1) SELECT p.fold AS a, q.fold AS b, round((SELECT count(*) FROM e x JOIN e y ON x.m = y.m AND x.fold = p.fold AND y.fold = q.fold) / (p.n + q.n - (SELECT count(*) FROM e x JOIN e y ON x.m = y.m AND x.fold = p.fold AND y.fold = q.fold)), 6) AS jaccard FROM z p JOIN z q ON p.fold < q.fold"))
+_FOLD_SETS = FOLDS + """, tr AS (SELECT g.i AS run, customer_id, R::DOUBLE AS R, F::DOUBLE AS F, M FROM folds, range(5) g(i) WHERE fold <> g.i),
+qt AS (SELECT run, list_transform(quantile_cont(R, [0.2, 0.4, 0.6, 0.8]), lambda v: round(v, 6)) AS qr, list_transform(quantile_cont(F, [0.2, 0.4, 0.6, 0.8]), lambda v: round(v, 6)) AS qf,
+  list_transform(quantile_cont(M, [0.2, 0.4, 0.6, 0.8]), lambda v: round(v, 6)) AS qm FROM tr GROUP BY run),
+kt AS (SELECT run, 4 - len(list_filter(qr, lambda c: R > c)) AS rs, 5 + len(list_filter(qf, lambda c: F > c)) AS fs, 10 + len(list_filter(qm, lambda c: M > c)) AS ms FROM tr JOIN qt USING (run)),
+mt AS (SELECT *, ((1 << rs) + (1 << fs) + (1 << ms))::BIGINT AS mask FROM kt), nt AS (SELECT run, count(*) AS t FROM mt GROUP BY run),
+ct AS (SELECT run, count(*) AS n, bit_and(mask) AS m FROM mt GROUP BY run, CUBE (rs, fs, ms)), sn AS (SELECT DISTINCT run, m FROM ct JOIN nt USING (run) WHERE n >= 0.04 * t AND m <> 0)"""
+
+
+def _fold_concepts(spark, d, fuzzy):
+    """(cuts, concepts, centroids) of five folds' training rows, fitted at once."""
+    folds = functools.reduce(lambda a, b: a.unionByName(b), [x.withColumn("run", F.lit(f)) for f, x in enumerate(models.folds_as_splits(cohort(spark, d)))])
+    return features.run_concepts(checkpointed(folds.where("NOT held")), fuzzy)
+
+
+@query("t7_fold_jaccards", with_(_FOLD_SETS, """, z AS (SELECT run, count(*) AS n FROM sn GROUP BY 1), c AS (SELECT x.run AS a, y.run AS b, count(*) AS c FROM sn x JOIN sn y ON x.m = y.m AND x.run < y.run GROUP BY 1, 2)
+SELECT p.run AS a, q.run AS b, round(coalesce(c, 0) / (p.n + q.n - coalesce(c, 0)), 6) AS jaccard FROM z p JOIN z q ON p.run < q.run LEFT JOIN c ON c.a = p.run AND c.b = q.run"""))
 def t7(spark, d):
-    found = concepts.crisp_concepts(scored(spark, d))
-    sets = found.select((F.col("n_customers") % 5).alias("fold"), F.bit_count("intent_mask").cast("long").alias("band_mask")).distinct()
-    return rounded(stability.set_jaccards(checkpointed(sets), "fold"))
+    """Crisp concept sets of five folds, each fitted on the other four."""
+    return rounded(stability.set_jaccards(_fold_concepts(spark, d, False)[1].select("run", "band_mask"), "run"))
+
+
+@query("t7_fold_jaccards_fuzzy")
+def t7b(spark, d):
+    """Kept fuzzy concepts of the same folds."""
+    return rounded(stability.set_jaccards(_fold_concepts(spark, d, True)[1].select("run", "band_mask"), "run"))
 
 
-@query("t8_equal_segments", "SELECT 0::BIGINT AS only_first, 0::BIGINT AS only_second")
+@query("t8_equal_segments", with_(CRISP_COHORT.format(cut="1998-01-01"), """, co AS (SELECT list(customer_id ORDER BY customer_id) AS c FROM proj GROUP BY m), fe AS (SELECT c FROM co WHERE len(c) >= 0.1 * (SELECT count(*) FROM m0))
+SELECT (SELECT count(*) FROM (SELECT c FROM co EXCEPT ALL SELECT c FROM fe)) AS only_first, (SELECT count(*) FROM (SELECT c FROM fe EXCEPT ALL SELECT c FROM co)) AS only_second"""))
 def t8(spark, d):
-    """Two refits on the same customers have the same columns, whatever the rows' order."""
+    """Segments of a model against those of a refit that asks for more support, on the customers in another order."""
     df = cohort(spark, d)
-    a = stability.project_crisp(df, stability.fit_crisp(df))
+    cuts, found = stability.fit_crisp(df)
     other = df.orderBy(F.desc("M"))
-    return stability.equal_columns(a, stability.project_crisp(other, stability.fit_crisp(other)))
+    cuts2, found2 = stability.fit_crisp(other)
+    held = F.col("n_customers") >= 0.1 * F.lit(df.count())
+    return stability.equal_columns(stability.project_crisp(df, (cuts, found)), stability.project_crisp(other, (cuts2, found2.where(held))))
 
 
 @query("m9_lower_neighbours")

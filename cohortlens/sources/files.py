@@ -80,6 +80,12 @@ def markdown(df: DataFrame, rows: int = 200, floats: str = "%.4f", padded: bool
     return "\n".join([line(text[0]), "|" + "|".join("-" * (w + 2 if padded else 3) for w in width) + "|", *map(line, text[1:])])
 
 
+def write_report(spark: SparkSession, path: str, title: str, sections: list[tuple[str, DataFrame | str]], floats: str = "%.4f") -> None:
+    """A Markdown report of a title and sections, each a heading over a small table or a text, as one text file that must not exist."""
+    parts = [f"# {title}", *(f"## {heading}\n\n{body if isinstance(body, str) else markdown(body, floats=floats)}" for heading, body in sections)]
+    write_new(spark.createDataFrame([("\n\n".join(parts),)], "value string"), path, "text")
+
+
 def append_missing(rows: DataFrame, path: str, keys: list[str]) -> DataFrame:
     """Appends the rows whose keys the table at path lacks, partitioned by the first key, and returns the table.
 
