@@ -298,15 +298,18 @@ jc AS (SELECT a, b, common, p.n AS size_a, q.n AS size_b, common / (p.n + q.n -
 
 @query("g3_core_overlaps", with_(CORE, "SELECT a, b, common, size_a, size_b, round(jaccard, 6) AS jaccard FROM jc"))
 def g3e(spark, d):
-    return rounded(pruning.core_overlaps(cores(spark, d)))
+    return rounded(pruning.core_overlaps(mined(spark, d)[1]))
 
 
-def cores(spark, d):
-    return checkpointed(pruning.core_profiles(fuzzy(spark, d), profiles(spark, d)))
+def mined(spark, d):
+    """(concepts by band set, core profiles), each worked out once."""
+    degrees = checkpointed(fuzzy(spark, d))
+    found = checkpointed(concepts.distinct_profiles(concepts.fuzzy_concepts(degrees)))
+    return found, checkpointed(pruning.core_profiles(degrees, found))
 
 
 def kept(spark, d, **options):
-    return pruning.suppress(profiles(spark, d), cores(spark, d), **options)
+    return pruning.suppress(*mined(spark, d), **options)
 
 
 def _greedy_sql(order: str, select: str) -> str:
@@ -355,22 +358,23 @@ jj AS (SELECT coalesce(sum(jaccard), 0) AS s, count(*) FILTER (jaccard >= 0.8) A
 
 @query("g8_complexity", with_(COMPLEX, "SELECT round(coverage_any, 6) AS coverage_any, round(coverage_core, 6) AS coverage_core, round(concepts_per_customer, 6) AS concepts_per_customer, round(multi_share, 6) AS multi_share, unique_profiles, round(s / pairs, 6) AS mean_jaccard, round(d / pairs, 6) AS near_duplicate_share FROM cx, kk, jj"))
 def g8(spark, d):
-    return rounded(pruning.complexity(cores(spark, d), profiles(spark, d)))
+    return rounded(pruning.complexity(*reversed(mined(spark, d))))
 
 
 @query("g9_interpretability", with_(COMPLEX, "SELECT k, round(coverage_core, 6) AS coverage, round(intent_length, 6) AS intent_length, round(concepts_per_customer / coverage_core, 6) AS core_load, round(s / pairs, 6) AS overlap FROM cx, kk, jj"))
 def g9(spark, d):
-    return rounded(pruning.interpretability(cores(spark, d), profiles(spark, d)))
+    return rounded(pruning.interpretability(*reversed(mined(spark, d))))
 
 
 @query("g10_greedy_cover")
 def g10(spark, d):
-    return rounded(pruning.greedy_cover(cores(spark, d)))
+    return rounded(pruning.greedy_cover(mined(spark, d)[1]))
 
 
 @query("g11_lattice_summary")
 def g11(spark, d):
-    return rounded(pruning.lattice_summary(profiles(spark, d), kept(spark, d), cores(spark, d)))
+    found, profiles_ = mined(spark, d)
+    return rounded(pruning.lattice_summary(found, pruning.suppress(found, profiles_), profiles_))
 
 
 @query("g12_best_k", with_(PROFILES, ", nk AS (SELECT count(*) AS k FROM (WITH " + CRISP + " SELECT * FROM crisp WHERE intent_mask <> 0)) SELECT band_mask, place FROM (SELECT band_mask, row_number() OVER (ORDER BY n_customers DESC, bit_count(band_mask), round(stability_proxy, 9) DESC, band_mask) AS place FROM fd), nk WHERE place <= k"))
