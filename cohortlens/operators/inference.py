@@ -132,12 +132,25 @@ def normal_p(z: Column) -> Column:
     return F.when(erf > 1, 0.0).otherwise(1 - erf)
 
 
+#: Untied differences up to so many have the exact signed-rank distribution.
+EXACT_RANKS = 50
+
+
+def signed_rank_p(n: Column, w: Column) -> Column:
+    """Two-sided p of a signed-rank sum of w or less among n untied differences: how many subsets of the ranks 1 to n have each sum,
+    rank by rank; counts up to 2^50 are exact in doubles."""
+    start = F.concat(F.array(F.lit(1.0)), F.array_repeat(F.lit(0.0), (n * (n + 1) / 2).cast("int")))
+    with_rank = lambda counts, i: F.transform(counts, lambda c, s: c + F.when(s >= i, F.get(counts, s - i)).otherwise(0.0))
+    counts = F.aggregate(F.sequence(F.lit(1), n.cast("int")), start, with_rank)
+    return F.least(F.lit(1.0), 2 * F.aggregate(F.slice(counts, F.lit(1), w.cast("int") + 1), F.lit(0.0), lambda a, c: a + c) / F.pow(F.lit(2.0), n))
+
+
 def paired_p(differences: DataFrame, value: str, by: list[str]) -> DataFrame:
     """(by..., n, p_t, p_wilcoxon): two-sided p-values of ``paired_t``'s statistics; by may not hold nulls.
 
     The signed-rank test is the sign-flip test of the signed ranks: exact for
-    20 differences other than 0 at most, beyond that normal with the correction for
-    ties. Groups without such a difference have no p_wilcoxon, groups of one no p_t.
+    20 differences other than 0 at most, and for ``EXACT_RANKS`` if none are tied, beyond
+    that normal with the correction for ties. Groups without such a difference have no p_wilcoxon, groups of one no p_t.
     """
     w = Window.partitionBy(*by)
     tied = F.count("*").over(w.partitionBy(*by, "__a"))
@@ -147,11 +160,13 @@ def paired_p(differences: DataFrame, value: str, by: list[str]) -> DataFrame:
     exact = sign_flip_p(few, "__s", by).select(*by, F.col("p").alias("__exact"))
     # each of a tie's rows adds its square less 1, so the tie its cube less its size
     m, ties = F.count("*").cast("double"), F.sum(F.col("__tied") * F.col("__tied") - 1)
-    z = signed.groupBy(*by).agg((F.sum("__s") / 2 / F.sqrt((m * (m + 1) * (2 * m + 1) - ties / 2) / 24)).alias("__z"))
+    plus = F.sum(F.when(F.col("__s") > 0, F.col("__r")).otherwise(0.0))
+    z = signed.groupBy(*by).agg((F.sum("__s") / 2 / F.sqrt((m * (m + 1) * (2 * m + 1) - ties / 2) / 24)).alias("__z"), F.count("*").alias("__m"), (F.max("__tied") == 1).alias("__untied"), F.least(plus, F.sum("__r") - plus).alias("__w"))
+    table = F.when(F.col("__untied") & (F.col("__m") <= EXACT_RANKS), signed_rank_p(F.col("__m"), F.col("__w")))
     t = paired_t(differences, value, by).select(*by, "t")
     n = differences.groupBy(*by).agg(F.count("*").alias("n"))
     out = n.join(t, by, "left").join(z, by, "left").join(exact, by, "left")
-    return out.select(*by, "n", F.when(F.col("n") > 1, student_p(F.col("t"), F.col("n").cast("double") - 1)).alias("p_t"), F.coalesce("__exact", normal_p(F.col("__z"))).alias("p_wilcoxon"))
+    return out.select(*by, "n", F.when(F.col("n") > 1, student_p(F.col("t"), F.col("n").cast("double") - 1)).alias("p_t"), F.coalesce("__exact", table, normal_p(F.col("__z"))).alias("p_wilcoxon"))
 
 
 def split_means(differences: DataFrame, value: str, by: list[str], order: str, b: int = 2000, seed: int = 7) -> DataFrame:

@@ -411,16 +411,19 @@ def i10(spark, d):
     return rounded(inference.paired_t(_diffs(spark, d), "diff", ["arm"]).where("n > 1"), 4)
 
 
-# Areas under both densities by the midpoint rule, all sign patterns of small groups.
-@query("i10_paired_p", f"""WITH x AS (SELECT arm, seed, round(diff - 0.45, 4) AS diff FROM ({_DIFFS})), r AS (SELECT arm, seed, diff, sign(diff) * (rank() OVER (PARTITION BY arm ORDER BY abs(diff)) + (count(*) OVER (PARTITION BY arm, abs(diff)) - 1) / 2) AS r, count(*) OVER (PARTITION BY arm, abs(diff)) AS tied FROM x WHERE diff <> 0),
+# Areas under both densities by the midpoint rule, all sign patterns of small groups, subsets of ranks by their sum.
+@query("i10_paired_p", f"""WITH RECURSIVE x AS (SELECT arm, seed, round(diff - 0.45, 4) AS diff FROM ({_DIFFS})), r AS (SELECT arm, seed, diff, sign(diff) * (rank() OVER (PARTITION BY arm ORDER BY abs(diff)) + (count(*) OVER (PARTITION BY arm, abs(diff)) - 1) / 2) AS r, count(*) OVER (PARTITION BY arm, abs(diff)) AS tied FROM x WHERE diff <> 0),
 z AS (SELECT arm, count(*) AS m, sum(r) / 2 / sqrt((count(*) * (count(*) + 1) * (2 * count(*) + 1) - sum(tied * tied - 1) / 2) / 24) AS z FROM r GROUP BY 1),
 q AS (SELECT arm, row_number() OVER (PARTITION BY arm ORDER BY seed) - 1 AS i, m, r FROM r JOIN z USING (arm) WHERE m <= 20),
 fl AS (SELECT arm, k, sum(CASE WHEN (k >> i) & 1 = 1 THEN -r ELSE r END) AS s, sum(r) AS o FROM q JOIN range(1048576) p(k) ON k < (1 << m) GROUP BY 1, 2),
 ex AS (SELECT arm, avg((abs(s) >= abs(o))::INT) AS p FROM fl GROUP BY 1),
+dp AS (SELECT 0 AS n, list_transform(range(1276), lambda s: CASE WHEN s = 0 THEN 1.0::DOUBLE ELSE 0 END) AS c UNION ALL SELECT n + 1, list_transform(range(1276), lambda s: c[s + 1] + CASE WHEN s > n THEN c[s - n] ELSE 0 END) FROM dp WHERE n < 50),
+un AS (SELECT arm, count(*) AS n, least(sum(r) FILTER (r > 0), -sum(r) FILTER (r < 0)) AS w FROM r GROUP BY 1 HAVING max(tied) = 1 AND count(*) <= 50),
+ur AS (SELECT arm, least(1, 2 * list_sum(c[1:coalesce(w, 0)::INT + 1]) / 2.0 ** n) AS p FROM un JOIN dp USING (n)),
 t AS (SELECT arm, count(*) AS n, abs(avg(diff) / (stddev_samp(diff) / sqrt(count(*)))) AS t FROM x GROUP BY 1),
 pt AS (SELECT arm, n, 1 - 2 * sum(exp(lgamma(n / 2) - lgamma((n - 1) / 2) - ln((n - 1) * pi()) / 2 - n / 2 * ln(1 + (t * (k + 0.5::DOUBLE) / 20000) ** 2 / (n - 1)))) * max(t) / 20000 AS p FROM t, range(20000) g(k) WHERE n > 1 GROUP BY 1, 2),
 pz AS (SELECT arm, 1 - 2 * sum(exp((z * (k + 0.5::DOUBLE) / 20000) ** 2 / -2)) * abs(max(z)) / 20000 / sqrt(2 * pi()) AS p FROM z, range(20000) g(k) GROUP BY arm)
-SELECT pt.arm, n, round(pt.p, 4) AS p_t, round(coalesce(ex.p, pz.p), 4) AS p_wilcoxon FROM pt LEFT JOIN pz USING (arm) LEFT JOIN ex USING (arm)""")
+SELECT pt.arm, n, round(pt.p, 4) AS p_t, round(coalesce(ex.p, ur.p, pz.p), 4) AS p_wilcoxon FROM pt LEFT JOIN pz USING (arm) LEFT JOIN ex USING (arm) LEFT JOIN ur USING (arm)""")
 def i10b(spark, d):
     """Against a difference of 0.45, about the mean."""
     return rounded(inference.paired_p(_diffs(spark, d).withColumn("diff", F.round(F.col("diff") - 0.45, 4)), "diff", ["arm"]).where("n > 1"), 4)

@@ -490,3 +490,24 @@ def test_repeated_splits_predict_the_held_customers_of_each_seed(cohort):
     # a run's models don't depend on the runs trained beside it
     alone = {r.customer_id: r.prob for r in models.repeated_splits(cohort, "crisp_rfm_fca", [2], cs=[0.1, 1.0]).collect()}
     assert all(abs(alone[r.customer_id] - r.prob) < 1e-6 for r in said if r.seed == 2)
+
+
+def test_signed_rank_distribution(spark):
+    def subsets(n):
+        counts = np.zeros(n * (n + 1) // 2 + 1)
+        counts[0] = 1
+        for i in range(1, n + 1):
+            counts[i:] = counts[i:] + counts[:-i].copy()
+        return counts
+
+    cases = [(n, float(w)) for n in (1, 3, 10, 21, 37, 50) for w in (0, n, n * (n + 1) // 4)]
+    rows = spark.createDataFrame(cases, "n long, w double").withColumn("p", inference.signed_rank_p(F.col("n"), F.col("w"))).collect()
+    for r in rows:
+        assert r.p == pytest.approx(min(1.0, 2 * subsets(r.n)[: int(r.w) + 1].sum() / 2**r.n))
+    # twelve differences: the same as all sign patterns
+    d = [(1, float(v)) for v in (3, -1, 4, 1.5, -9, 2.5, 6, -5, 3.5, 8, 9.5, -7)]
+    ranks = np.argsort(np.argsort([abs(v) for _, v in d])) + 1
+    w = min(sum(k for k, (_, v) in zip(ranks, d) if v > 0), sum(k for k, (_, v) in zip(ranks, d) if v < 0))
+    p = spark.range(1).select(inference.signed_rank_p(F.lit(12), F.lit(float(w))).alias("p")).first().p
+    flips = inference.paired_p(spark.createDataFrame(d, "g int, v double"), "v", ["g"]).first().p_wilcoxon
+    assert p == pytest.approx(flips)
