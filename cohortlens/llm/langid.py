@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import re
+import sys
+
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column, columns, free_names, lean_batches, map_rows, with_fields
 from .kernels import pieces
 
-#: Runs of anything that is no letter (of Unicode category L) part words; a word is padded by one space at both ends.
-_GAPS = regex.compile(r"\P{L}+")
+#: Word characters of ``re`` that are neither letters (of Unicode category L) nor decimal digits: fractions, numerals and the like.
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+#: Runs of anything that is no letter part words; a word is padded by one space at both ends.
+_GAPS = re.compile(rf"[\W\d_{_NUMBERS}]+")
 #: Length of a profile, of languages and of documents.
 TOP = 400
 #: Training documents of a language, about, at most.
