@@ -10,7 +10,7 @@ from cohortlens.plans import registry
 
 SMALL = Path("/root/testdata/sf0.001")
 # one of each family; the driver compares all of them
-SAMPLE = ["c3_rolling_cohorts", "s1_clean_lines", "g12_best_k", "i10_paired_t", "l1_folds", "i6_holm", "l9_weighted_metrics", "e2_headline_deltas", "v1_parity", "k5_resume", "a9_passthrough"]
+SAMPLE = ["c3_rolling_cohorts", "s1_clean_lines", "g12_best_k", "i10_paired_t", "l1_folds", "i6_holm", "l9_weighted_metrics", "e2_headline_deltas", "v1_parity", "k5_resume", "a9_passthrough", "g3_greedy_suppression", "g8_complexity", "k2_parameters", "k3_report", "t7_fold_jaccards", "t8_equal_segments", "i4_bootstrap_p", "i10_paired_p", "l10_error_metrics"]
 
 
 def test_names_line_up():
@@ -28,7 +28,8 @@ def test_query_agrees_with_sql(spark, name):
         df = registry.QUERIES[name](spark, str(SMALL))
         got = sorted((tuple(r) for r in df.collect()), key=repr)
     except Exception as e:  # some small cohorts have tied cutpoints, which strict fits refuse
-        assert "tied cutpoints" in str(e)
-        return
+        if "tied cutpoints" not in str(e):
+            raise
+        pytest.skip("this cohort has tied cutpoints")
     want = sorted(c.sql(f"SELECT {', '.join(df.columns)} FROM ({registry.ORACLES[name]})").fetchall(), key=repr)
     assert got == want
