@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import functools
+import re
+import sys
+
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column, columns, free_names, lean_batches, map_rows, with_fields
 from .kernels import pieces
 
-#: Runs of anything that is no letter (of Unicode category L) part words; a word is padded by one space at both ends.
-_GAPS = regex.compile(r"\P{L}+")
+#: Runs of anything that is no letter part words; a word is padded by one space at both ends. Other numbers are letters here, see ``other_numbers``.
+_GAPS = re.compile(r"[\W\d_]+")
 #: Length of a profile, of languages and of documents.
 TOP = 400
 #: Training documents of a language, about, at most.
@@ -21,12 +24,18 @@ SAMPLE = 20_000
 LANGUAGES = 5000
 
 
+@functools.cache
+def other_numbers() -> dict[int, str]:
+    """A translation of fractions, numerals and the like, which are neither letters (of Unicode category L) nor decimal digits, to spaces."""
+    return {c: " " for c in range(128, sys.maxunicode + 1) if chr(c).isalnum() and not chr(c).isalpha()}
+
+
 def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct 1-, 2- and 3-grams of a whole text as numbers, ascending, and their counts.
 
     Code points take 21 bits each; n-grams don't reach across words.
     """
-    plain = _GAPS.sub(" ", text.lower()).strip()
+    plain = _GAPS.sub(" ", (text if text.isascii() else text.translate(other_numbers())).lower()).strip()
     if not plain:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     c = np.frombuffer(f" {plain} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
