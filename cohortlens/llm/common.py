@@ -80,6 +80,14 @@ def map_rows(df: DataFrame, work, schema: StructType) -> DataFrame:
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(work, schema)
 
 
+def large_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join of tables that both grow with the input: sorted and merged, never broadcast.
+
+    Spark judges by compressed bytes, and 10 MB of hashed keys are some 200 MB once the driver has built the table of them.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 #: A key that this share of all rows holds, or more, is hot; so there are so many hot keys at most.
 HOT_KEYS = 64
 
@@ -98,7 +106,7 @@ def join_spread(rows: DataFrame, table: DataFrame, on: str, weight: str, spread:
     hot = table.crossJoin(sums).where(is_hot).select(on, F.lit(HOT_KEYS).alias(salts))
     salted = rows.join(F.broadcast(hot), on, "left").withColumn(salt, F.coalesce(F.pmod(F.xxhash64(spread), F.col(salts)), F.lit(0)).cast("int")).drop(salts)
     repeated = table.crossJoin(sums).withColumn(salt, F.explode(F.sequence(F.lit(0), F.when(is_hot, HOT_KEYS - 1).otherwise(0)))).drop(total, weight)
-    return salted.join(repeated, [on, salt], how).drop(salt)
+    return large_join(salted, repeated, [on, salt], how).drop(salt)
 
 
 #: Edges that a task of the component search takes, about.

@@ -10,8 +10,9 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from cohortlens.llm import decontam, kernels, langid, licenses, linededup, media, ngramjoin
+from cohortlens.llm import common, decontam, kernels, langid, licenses, linededup, media, ngramjoin
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -268,3 +269,12 @@ def test_media_digest(docs_of):
         assert (out[i].n_bytes, out[i].payload_bytes, out[i].payload_sha256) == (len((t or "").encode()), len(payload), hashlib.sha256(payload).hexdigest())
         assert out[i].tail_crc32 == zlib.crc32(payload[-32:])
     assert out[0][1:] == out[3][1:]
+
+
+def test_joins_of_large_tables_are_not_broadcast(spark):
+    table = spark.range(10).select("id", F.lit(1).alias("rows"))
+    plan = common.join_spread(spark.range(100), table, "id", "rows", F.col("id"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [id" in plan
+    # by size this would be broadcast: Spark counts the bytes of the compressed shuffle
+    both = common.large_join(spark.range(100), spark.range(10), "id")
+    assert both.count() == 10 and "BroadcastHashJoin" not in both._jdf.queryExecution().executedPlan().toString()
