@@ -2,38 +2,92 @@
 
 from __future__ import annotations
 
+import functools
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlens.functions.draws import draw_counts, flipped_sums, weights_of
+
 
-def _slots(customers: DataFrame, b: int, seed: int) -> DataFrame:
-    """(b, place): the place that each slot of each of b resamples takes, by an md5 of (b, slot, seed); hashed in the tasks."""
-    n = customers.agg(F.count("*").alias("n"))
-    slots = customers.select(F.col("place").alias("slot")).crossJoin(F.broadcast(n)).crossJoin(F.broadcast(customers.sparkSession.range(b).withColumnRenamed("id", "b")))
-    key = F.concat_ws("|", F.col("b").cast("string"), F.col("slot").cast("string"), F.lit(str(seed)))
-    return slots.select("b", (F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long") % F.col("n")).alias("place"))
+#: Places that meet all draws of their group in one task.
+SUM_CHUNK, ROW_CHUNK = 4096, 512
 
 
 def draw_weights(customers: DataFrame, b: int, seed: int) -> DataFrame:
     """(b, customer_id, w): how often each of b resamples of the customers, with replacement, holds a customer.
 
-    customers (customer_id, place) are numbered from 0. Slots are counted in
-    the tasks and over them, so no resample is ever in one place.
+    customers (customer_id, place) are numbered from 0. A slot takes the place
+    that an md5 of (b, slot, seed) gives; resamples are counted where they are
+    hashed (see ``draw_counts``), and a range of places meets its counts of all resamples.
     """
-    return _slots(customers, b, seed).groupBy("b", "place").agg(F.count("*").alias("w")).join(customers, "place").select("b", "customer_id", "w")
-
-
-def draw_sums(df: DataFrame, b: int, seed: int, sums: dict[str, Column], by: list[str] = []) -> DataFrame:
-    """(b, by..., sums): aggregates over the rows of each of b resamples of df's customers.
-
-    A slot meets its customer's rows and is added up where it is made, so what
-    is shuffled is a row a task, resample and group: the resamples themselves never are,
-    where the customers are few enough for Spark to broadcast them.
+    n = customers.count()
+    counts = draw_counts(customers.sparkSession.createDataFrame([(0, n)], "g long, n long"), b, seed, ROW_CHUNK, n)
+    held = customers.withColumn("chunk", F.expr(f"place div {ROW_CHUNK}"))
+
+    def rows(drawn: pa.Table, own: pa.Table) -> pa.Table:
+        own = own.sort_by("place")
+        ids, at = own["customer_id"].combine_chunks(), own["place"].to_numpy() % ROW_CHUNK
+        parts = []
+        for block, w in zip(drawn["block"].to_pylist(), drawn["w"].to_pylist(), strict=True):
+            first, weights = weights_of(block, w, b, ROW_CHUNK)
+            draw, who = np.nonzero(weights[:, at])
+            parts.append(pa.table({"b": pa.array(first + draw), "customer_id": ids.take(pa.array(who)), "w": pa.array(weights[draw, at[who]].astype(np.int64))}))
+        return pa.concat_tables(parts) if parts else pa.table({"b": pa.array([], pa.int64()), "customer_id": ids[:0], "w": pa.array([], pa.int64())})
+
+    kind = customers.schema["customer_id"].dataType.simpleString()
+    return counts.groupBy("chunk").cogroup(held.groupBy("chunk")).applyInArrow(rows, f"b long, customer_id {kind}, w long")
+
+
+def _weighted_sums(counts: DataFrame, placed: DataFrame, b: int, names: list[str], by: list[str]) -> DataFrame:
+    """(by..., b, w, names): placed (__id, __place, by..., names) added up with the weights of counts, a range of places in a task."""
+    held = placed.select("__id", F.expr(f"__place div {SUM_CHUNK}").alias("__chunk"), (F.col("__place") % SUM_CHUNK).alias("__at"), *by, *names)
+    kinds = "".join(f"{c} {held.schema[c].dataType.simpleString()}, " for c in by)
+
+    def add(drawn: pa.Table, own: pa.Table) -> pa.Table:
+        at = own["__at"].to_numpy()
+        values = np.stack([np.ones(len(at)), *[own[c].to_numpy().astype(float) for c in names]], axis=1)
+        keys = own.select(by)
+        row = pa.array(np.arange(len(at)))
+        which = keys.append_column("__row", row).group_by(by).aggregate([("__row", "list")])["__row_list"].to_pylist() if by else [np.arange(len(at))]
+        parts = []
+        for rows in (np.asarray(r, np.int64) for r in which):
+            if not len(rows):
+                continue
+            sums, firsts = [], []
+            for block, w in zip(drawn["block"].to_pylist(), drawn["w"].to_pylist(), strict=True):
+                first, weights = weights_of(block, w, b, SUM_CHUNK)
+                firsts.append(first + np.arange(len(weights)))
+                sums.append(weights[:, at[rows]].astype(float) @ values[rows])
+            if sums:
+                whole = np.concatenate(sums)
+                same = keys.take(pa.array(np.full(len(whole), rows[0])))
+                parts.append(pa.table([*same.columns, pa.array(np.concatenate(firsts)), *[pa.array(x) for x in whole.T]], names=[*by, "b", "w", *names]))
+        if parts:
+            return pa.concat_tables(parts)
+        return pa.table([*keys.slice(0, 0).columns, pa.array([], pa.int64()), *[pa.array([], pa.float64())] * (1 + len(names))], names=[*by, "b", "w", *names])
+
+    schema = kinds + "b long, " + ", ".join(f"{c} double" for c in ("w", *names))
+    added = counts.groupBy("g", "chunk").cogroup(held.groupBy("__id", "__chunk")).applyInArrow(add, schema)
+    return added.groupBy(*by, "b").agg(*[F.sum(c).alias(c) for c in ("w", *names)]).where("w > 0")
+
+
+def draw_sums(df: DataFrame, b: int, seed: int, values: dict[str, Column], by: list[str] = []) -> DataFrame:
+    """(by..., b, w, values): how many rows each of b resamples of df's customers has, and sums of values over them.
+
+    The draws are those of ``draw_weights``. Counts of draws and customers' rows are dealt
+    out by ranges of customers, so what is shuffled is a byte a customer and draw, and in the end a row a range, draw and group.
     """
     from cohortlens.functions.ranks import checkpointed
 
     customers = checkpointed(number_customers(df))
-    return _slots(customers, b, seed).join(df.join(customers, "customer_id"), "place").groupBy("b", *by).agg(*[c.alias(name) for name, c in sums.items()])
+    n = customers.count()
+    counts = draw_counts(df.sparkSession.createDataFrame([(0, n)], "g long, n long"), b, seed, SUM_CHUNK, n)
+    rows = df.select("customer_id", *by, *[v.cast("double").alias(c) for c, v in values.items()])
+    placed = rows.join(customers.hint("merge"), "customer_id").withColumnRenamed("place", "__place").withColumn("__id", F.lit(0).cast("long"))
+    return _weighted_sums(counts, placed, b, list(values), by)
 
 
 def number_customers(df: DataFrame) -> DataFrame:
@@ -79,19 +133,38 @@ def sign_flip_p(differences: DataFrame, value: str, by: list[str], draws: int |
 
     Larger groups take ``draws`` random patterns, of r that reach the observed
     sum p is (r + 1) / (draws + 1); without ``draws`` they raise. Patterns are
-    numbered and each is summed from the group's array: its signs are the bits
-    of the number, or of hashes of number, place and seed.
+    numbered: their signs are the bits of the number, or of hashes of number,
+    place and seed. Sums of patterns are made a part of a larger group at a time and added up, so none is ever in one place.
     """
-    groups = differences.groupBy(*by).agg(F.sort_array(F.collect_list(value)).alias("d"))
+    own = Window.partitionBy(*by)
+    counted = differences.select(*by, F.col(value).cast("double").alias("__v")).withColumn("__n", F.count("__v").over(own))
     n = F.size("d")
-    last = F.raise_error(F.lit("more than 20 differences: sample patterns instead")) if draws is None else F.lit(draws - 1)
-    patterns = F.sequence(F.lit(0), F.when(n <= 20, F.call_function("shiftleft", F.lit(1), n) - 1).otherwise(last))
+    few = counted.where("__n <= 20").groupBy(*by).agg(F.sort_array(F.collect_list("__v")).alias("d"))
+    patterns = F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), n) - 1)
     total = F.aggregate("d", F.lit(0.0), lambda a, x: a + x)
-    bit = lambda i: F.when(n <= 20, F.getbit(F.col("pattern").cast("long"), F.least(i, F.lit(20)))).otherwise(F.xxhash64("pattern", i, F.lit(seed)).bitwiseAND(1))
+    bit = lambda i: F.getbit(F.col("pattern").cast("long"), F.least(i, F.lit(20)))
     flipped = F.abs(F.aggregate(F.transform("d", lambda x, i: F.when(bit(i) == 1, -x).otherwise(x)), F.lit(0.0), lambda a, x: a + x))
-    rows = groups.withColumn("observed", F.abs(total)).withColumn("pattern", F.explode(patterns))
-    reached = rows.groupBy(*by, F.size("d").cast("long").alias("n")).agg(F.count_if(F.round(flipped, 9) >= F.round(F.col("observed"), 9)).alias("__r"), F.count("*").alias("__b"))
-    return reached.select(*by, "n", F.when(F.col("n") <= 20, F.col("__r") / F.col("__b")).otherwise((F.col("__r") + 1) / (F.col("__b") + 1)).alias("p"))
+    rows = few.withColumn("observed", F.abs(total)).withColumn("pattern", F.explode(patterns))
+    reached = rows.groupBy(*by, F.size("d").cast("long").alias("n")).agg((F.count_if(F.round(flipped, 9) >= F.round(F.col("observed"), 9)) / F.count("*")).alias("p"))
+    many = counted.where("__n > 20 AND __v IS NOT NULL")
+    if draws is None:
+        last = many.groupBy(*by).agg(F.raise_error(F.lit("more than 20 differences: sample patterns instead")).cast("double").alias("p"), F.count("*").alias("n"))
+        return reached.select(*by, "n", "p").unionByName(last.select(*by, "n", "p"))
+    kinds = "".join(f"{c} {many.schema[c].dataType.simpleString()}, " for c in by)
+
+    def add(chunk: pa.Table) -> pa.Table:
+        chunk = chunk.sort_by("__i")
+        sums = flipped_sums(chunk["__v"].to_numpy(), chunk["__i"][0].as_py(), draws, seed)
+        same = chunk.select(by).take(pa.array(np.zeros(draws, np.int64)))
+        return pa.table([*same.columns, pa.array(np.arange(draws)), pa.array(sums)], names=[*by, "pattern", "__s"])
+
+    numbered = many.withColumn("__i", (F.row_number().over(own.orderBy("__v")) - 1).cast("long")).withColumn("__c", F.expr(f"__i div {SUM_CHUNK}"))
+    sums = numbered.groupBy(*by, "__c").applyInArrow(add, kinds + "pattern long, __s double").groupBy(*by, "pattern").agg(F.abs(F.sum("__s")).alias("__s"))
+    observed = many.groupBy(*by).agg(F.abs(F.sum("__v")).alias("__o"), F.count("*").alias("n"))
+    same = functools.reduce(lambda x, y: x & y, [F.col(f"__f.{c}").eqNullSafe(F.col(f"__g.{c}")) for c in by])
+    met = sums.alias("__f").join(observed.alias("__g"), same).groupBy(*[F.col(f"__g.{c}") for c in by], "n")
+    sampled = met.agg(((F.count_if(F.round("__s", 9) >= F.round("__o", 9)) + 1) / (F.count("*") + 1)).alias("p"))
+    return reached.select(*by, "n", "p").unionByName(sampled.select(*by, "n", "p"))
 
 
 def paired_t(differences: DataFrame, value: str, by: list[str]) -> DataFrame:
@@ -170,12 +243,19 @@ def paired_p(differences: DataFrame, value: str, by: list[str]) -> DataFrame:
 
 
 def split_means(differences: DataFrame, value: str, by: list[str], order: str, b: int = 2000, seed: int = 7) -> DataFrame:
-    """(by..., b, m): means of b resamples, with replacement, of each group's differences, a group having some splits numbered by order."""
-    x = differences.withColumns({"__i": (F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1).cast("long"), "__n": F.count("*").over(Window.partitionBy(*by))})
-    slots = x.crossJoin(F.broadcast(differences.sparkSession.range(b).withColumnRenamed("id", "b")))
-    key = F.concat_ws("|", F.col("b").cast("string"), F.col("__i").cast("string"), F.lit(str(seed)))
-    pick = F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long") % F.col("__n")
-    return slots.select(*by, "b", pick.alias("__i")).join(x.select(*by, "__i", value), [*by, "__i"]).groupBy(*by, "b").agg(F.avg(value).alias("m"))
+    """(by..., b, m): means of b resamples, with replacement, of each group's differences, its splits numbered by order; a group has one at least."""
+    from cohortlens.functions.ranks import checkpointed
+
+    numbers = differences.groupBy(*by).agg(F.count("*").alias("__n"))
+    numbers = checkpointed(numbers.withColumn("__id", F.row_number().over(Window.orderBy(*by)).cast("long")))  # a row a group
+    most = numbers.agg(F.max("__n")).first()[0]
+    same = functools.reduce(lambda x, y: x & y, [F.col(f"__x.{c}").eqNullSafe(F.col(f"__g.{c}")) for c in by])
+    x = differences.alias("__x").join(F.broadcast(numbers.alias("__g")), same).select("__x.*", "__id")
+    x = x.withColumn("__place", (F.row_number().over(Window.partitionBy("__id").orderBy(order)) - 1).cast("long"))
+    # a null difference has a place, but no part in a mean
+    x = x.select("__id", "__place", *by, F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("__v"), F.col(value).isNotNull().cast("double").alias("__k"))
+    counts = draw_counts(numbers.select(F.col("__id").alias("g"), F.col("__n").alias("n")), b, seed, SUM_CHUNK, most or 0)
+    return _weighted_sums(counts, x, b, ["__v", "__k"], by).select(*by, "b", F.try_divide("__v", "__k").alias("m"))
 
 
 def split_comparisons(differences: DataFrame, value: str, by: list[str], order: str, b: int = 2000) -> DataFrame:

@@ -311,8 +311,8 @@ def _deltas(spark, d):
     two = cohort(spark, d).select("customer_id", F.log1p("future_spend").alias("y"), (F.round(F.log1p("M"), 4) * 0.5).alias("fa"), F.round(F.log1p("F"), 4).alias("fb"))
     y, sums = F.col("y"), {"n": F.lit(1.0), "t": F.col("y"), "tt": F.col("y") * F.col("y")}
     sums |= {f: (y - F.col(f)) * (y - F.col(f)) for f in ("fa", "fb")}
-    drawn = inference.draw_sums(two, B, SEED, {k: F.sum(v) for k, v in sums.items()})
-    return drawn.select("b", ((F.col("fb") - F.col("fa")) / (F.col("tt") - F.col("t") * F.col("t") / F.col("n"))).alias("delta"))
+    drawn = inference.draw_sums(two, B, SEED, sums)
+    return drawn.select("b", ((F.col("fb") - F.col("fa")) / (F.col("tt") - F.col("t") * F.col("t") / F.col("w"))).alias("delta"))
 
 
 @query("i2_clustered_bootstrap", "WITH " + TX + ", o(origin, pooled, horizon) AS (VALUES ('1997-01-01', true, 91), ('1998-01-01', true, 91))" + """, kk AS (SELECT *, origin::TIMESTAMP AS cutoff FROM o),
@@ -323,8 +323,8 @@ SELECT b, origin, round(sum(w * ln(1 + fs)) / sum(w), 6) AS mean_spend, sum(w)::
 def i2(spark, d):
     """Draws from the union of customers; a customer drawn counts in every origin that has it."""
     df = checkpointed(cohorts.build_cohorts(transactions(spark, d), _origins(spark).where("origin IN ('1997-01-01', '1998-01-01')")))
-    sums = {"mean_spend": F.avg(F.log1p("future_spend")), "n": F.count("*")}
-    return rounded(inference.draw_sums(df, B, SEED, sums, ["origin"]).select("b", "origin", "mean_spend", "n"))
+    drawn = inference.draw_sums(df, B, SEED, {"spend": F.log1p("future_spend")}, ["origin"])
+    return rounded(drawn.select("b", "origin", (F.col("spend") / F.col("w")).alias("mean_spend"), F.col("w").cast("long").alias("n")))
 
 
 @query("i2_model_bootstrap")
