@@ -159,7 +159,9 @@ def sign_flip_p(differences: DataFrame, value: str, by: list[str], draws: int |
         return pa.table([*same.columns, pa.array(np.arange(draws)), pa.array(sums)], names=[*by, "pattern", "__s"])
 
     numbered = many.withColumn("__i", (F.row_number().over(own.orderBy("__v")) - 1).cast("long")).withColumn("__c", F.expr(f"__i div {SUM_CHUNK}"))
-    sums = numbered.groupBy(*by, "__c").applyInArrow(add, kinds + "pattern long, __s double").groupBy(*by, "pattern").agg(F.abs(F.sum("__s")).alias("__s"))
+    # few bytes and much work: without a number of its own Spark would put all parts in one task
+    tasks = int(differences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sums = numbered.repartition(tasks, *by, "__c").groupBy(*by, "__c").applyInArrow(add, kinds + "pattern long, __s double").groupBy(*by, "pattern").agg(F.abs(F.sum("__s")).alias("__s"))
     observed = many.groupBy(*by).agg(F.abs(F.sum("__v")).alias("__o"), F.count("*").alias("n"))
     same = functools.reduce(lambda x, y: x & y, [F.col(f"__f.{c}").eqNullSafe(F.col(f"__g.{c}")) for c in by])
     met = sums.alias("__f").join(observed.alias("__g"), same).groupBy(*[F.col(f"__g.{c}") for c in by], "n")
