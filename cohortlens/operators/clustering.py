@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,6 +67,11 @@ def _ward_tree(x: np.ndarray, w: np.ndarray, k: int) -> np.ndarray:
             left -= 1
         else:
             chain.append(b)
+    return _cut(merges, n, k)
+
+
+def _cut(merges: list[tuple[float, int, int]], n: int, k: int) -> np.ndarray:
+    """Labels of n points after the merges of least variance that leave k clusters."""
     root = list(range(n))
 
     def find(i: int) -> int:
@@ -79,9 +85,104 @@ def _ward_tree(x: np.ndarray, w: np.ndarray, k: int) -> np.ndarray:
     return np.unique([find(i) for i in range(n)], return_inverse=True)[1]
 
 
+#: Points of a block of the search for nearest clusters, and clusters beyond which blocks are searched by Spark's tasks.
+BLOCK, ON_DRIVER = 256, 20_000
+
+
+def _blocks(centre: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """Clusters of like size (by powers of two) and place, ascending indices of up to ``BLOCK`` each."""
+    kind = np.floor(np.log2(size))
+    waiting, out = [np.flatnonzero(kind == v) for v in np.unique(kind)], []
+    while waiting:
+        at = waiting.pop()
+        if len(at) <= BLOCK:
+            out.append(np.sort(at))
+            continue
+        own = centre[at]
+        order = np.argpartition(own[:, np.ptp(own, axis=0).argmax()], len(at) // 2)
+        waiting += [at[order[: len(at) // 2]], at[order[len(at) // 2 :]]]
+    return out
+
+
+def _nearest(centre: np.ndarray, size: np.ndarray, blocks: list[np.ndarray], asked: list[tuple[int, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(clusters, nearest, added variance) of the asked (block, clusters of it): exact, ties to the smaller index.
+
+    Blocks are met in the order of a lower bound, from their boxes and least sizes, until it exceeds what every asked cluster has found.
+    """
+    low, high = np.stack([centre[b].min(axis=0) for b in blocks]), np.stack([centre[b].max(axis=0) for b in blocks])
+    least, out = np.array([size[b].min() for b in blocks]), []
+    for of, q in asked:
+        x, w = centre[q], size[q]
+        apart = np.maximum(0, np.maximum(low - x.max(axis=0), x.min(axis=0) - high))
+        bound = (apart**2).sum(axis=1) * (w.min() * least / (w.min() + least)) * (1 - 1e-12)
+        found, best = np.full(len(q), len(centre)), np.full(len(q), np.inf)
+        for b in np.argsort(bound, kind="stable"):
+            if bound[b] > best.max():
+                break
+            far = np.maximum(0, np.maximum(low[b] - x, x - high[b]))
+            rows = np.flatnonzero((far**2).sum(axis=1) * (w * least[b] / (w + least[b])) * (1 - 1e-12) <= best)
+            if not len(rows):
+                continue
+            other = blocks[b]
+            d = sum((x[rows, None, i] - centre[None, other, i]) ** 2 for i in range(x.shape[1]))
+            d *= w[rows, None] * size[None, other] / (w[rows, None] + size[None, other])
+            d[q[rows, None] == other] = np.inf
+            at = d.argmin(axis=1)
+            value, index = d[np.arange(len(rows)), at], other[at]
+            better = (value < best[rows]) | ((value == best[rows]) & (index < found[rows]))
+            best[rows[better]], found[rows[better]] = value[better], index[better]
+        out.append((q, found, best))
+    return out
+
+
+def _ward_rounds(spark, x: np.ndarray, w: np.ndarray, k: int) -> np.ndarray:
+    """What ``_ward_tree`` gives, for many points: in a round all pairs that are each other's nearest merge.
+
+    Ward's distance is reducible, so such merges are those of the hierarchy in
+    whatever order they are made, and a cluster's nearest stays so until it merges. Tasks search for
+    nearest clusters by blocks; the driver holds centres and sizes.
+    """
+    n = len(x)
+    centre, size, node = x.astype(float).copy(), w.astype(float).copy(), np.arange(n)
+    nearest, gap = np.full(n, -1), np.full(n, np.inf)
+    merges: list[tuple[float, int, int]] = []
+    while len(centre) > 1:
+        blocks = _blocks(centre, size)
+        asked = [(i, q) for i, b in enumerate(blocks) if len(q := b[nearest[b] < 0])]
+        if sum(len(q) for _, q in asked) > ON_DRIVER:
+            sc = spark.sparkContext
+            sent, tasks = sc.broadcast((centre, size, blocks, asked)), 4 * sc.defaultParallelism
+            search = lambda t, sent=sent, tasks=tasks: _nearest(*sent.value[:3], sent.value[3][t::tasks])
+            results = sc.parallelize(range(tasks), tasks).flatMap(search).collect()
+            sent.destroy()
+        else:
+            results = _nearest(centre, size, blocks, asked)
+        for q, found, best in results:
+            nearest[q], gap[q] = found, best
+        a = np.flatnonzero((nearest[nearest] == np.arange(len(centre))) & (np.arange(len(centre)) < nearest))
+        if not len(a):
+            raise ValueError("points must be finite")
+        b = nearest[a]
+        merges += zip(gap[a].tolist(), node[a].tolist(), node[b].tolist())
+        centre[a] = (centre[a] * size[a, None] + centre[b] * size[b, None]) / (size[a] + size[b])[:, None]
+        size[a] += size[b]
+        node[a] = np.minimum(node[a], node[b])
+        gone, changed = np.zeros(len(centre), bool), np.zeros(len(centre), bool)
+        gone[b] = changed[a] = changed[b] = True
+        nearest[changed | changed[nearest]] = -1
+        place = np.cumsum(~gone) - 1
+        nearest = np.where(nearest >= 0, place[nearest], -1)[~gone]
+        centre, size, node, gap = centre[~gone], size[~gone], node[~gone], gap[~gone]
+    return _cut(merges, n, k)
+
+
+#: Distinct points up to which one chain of nearest neighbours is as quick.
+CHAINED = 5_000
+
+
 def ward(points: DataFrame, k: int, most: int | None = None) -> DataFrame:
-    """(customer_id, x, label) by Ward's method over the distinct points, which the driver holds once; their number
-    is the work squared. Only if a caller gives ``most`` and there are more, over the weighted centres of ``most`` k-means clusters."""
+    """(customer_id, x, label) by Ward's method over the distinct points, which the driver holds once; beyond ``CHAINED``
+    of them nearest clusters are searched in Spark's tasks. Only if a caller gives ``most`` and there are more, over the weighted centres of ``most`` k-means clusters."""
     if most is None or points.select("x").distinct().count() <= most:
         keyed = points.withColumn("key", F.to_json(F.struct("x")))
         centres = keyed.groupBy("key").agg(F.first("x").alias("c"), F.count("*").alias("w"))
@@ -89,9 +190,10 @@ def ward(points: DataFrame, k: int, most: int | None = None) -> DataFrame:
         small = k_means(points, most, starts=1).withColumn("key", F.col("label").cast("string"))
         centres = small.groupBy("key").agg(F.array(*[F.avg(F.get("x", F.lit(i))) for i in range(3)]).alias("c"), F.count("*").alias("w"))
         keyed = small.drop("label")
-    rows = centres.orderBy("key").collect()
-    labels = _ward_tree(np.array([r.c for r in rows]), np.array([r.w for r in rows]), k)
-    table = points.sparkSession.createDataFrame([(r.key, int(v)) for r, v in zip(rows, labels, strict=True)], "key string, label int")
+    rows = centres.orderBy("key").toPandas()
+    x, w = np.array(rows["c"].tolist(), float).reshape(len(rows), -1), rows["w"].to_numpy()
+    labels = _ward_tree(x, w, k) if len(rows) <= CHAINED else _ward_rounds(points.sparkSession, x, w, k)
+    table = points.sparkSession.createDataFrame(pd.DataFrame({"key": rows["key"], "label": labels.astype(np.int32)}), "key string, label int")
     return keyed.join(table, "key").select("customer_id", "x", "label")
 
 
