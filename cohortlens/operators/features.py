@@ -82,15 +82,12 @@ def fuzzy_bands(fuzzy: DataFrame, by: list[str] = [], keep: list[str] = ["custom
 def concept_features(fuzzy: DataFrame, kept: DataFrame, t_norm: str = "min", by: list[str] = [], keep: list[str] = ["customer_id"]) -> DataFrame:
     """Degrees in the kept concepts (band_mask), ordered by mask: one row a customer, without a shuffle."""
     degrees = F.concat(*[f"{d}_mu" for d in DIMS])
-    masks = pruning.masks_of(kept, by)
     combine = (lambda a, v: F.least(a, v)) if t_norm == "min" else (lambda a, v: a * v)
-
-    def degree(mask):
-        inside = F.transform(F.filter(F.sequence(F.lit(0), F.lit(14)), lambda b: F.getbit(mask, b) == 1), lambda b: F.get("degrees", b))
-        return F.aggregate(inside, F.lit(1.0), combine)
-
+    # the bands of a mask are worked out once, not for each customer
+    bands = pruning.masks_of(kept, by).select(*by, F.transform("masks", lambda m: F.filter(F.sequence(F.lit(0), F.lit(14)), lambda b: F.getbit(m, b) == 1)).alias("bands"))
+    degree = lambda bs: F.aggregate(bs, F.lit(1.0), lambda a, b: combine(a, F.get("degrees", b)))
     kept_columns = list(dict.fromkeys([*by, *keep]))
-    return scoring.beside(fuzzy.select(*kept_columns, degrees.alias("degrees")), masks, by).select(*kept_columns, F.transform("masks", degree).alias("x"))
+    return scoring.beside(fuzzy.select(*kept_columns, degrees.alias("degrees")), checkpointed(bands), by).select(*kept_columns, F.transform("bands", degree).alias("x"))
 
 
 def scores_as_degrees(scored: DataFrame) -> DataFrame:
@@ -119,15 +116,16 @@ def arm(name: str):
 
 
 def _fit_fuzzy(train, df, family="piecewise", dense=False):
-    cuts = scoring.dense_rank_cutoffs(scoring.dense_rank_scores(train)) if dense else scoring.fit_cutpoints(train, strict=False)
+    ranked = scoring.ranked_dims(train)
+    cuts = checkpointed(scoring.fit_dense_ranks(train, ranked=ranked) if dense else scoring.fit_cutpoints(train, strict=False, ranked=ranked))
     scored = scoring.score(train, cuts)
-    centroids = membership.band_centroids(scored)
+    centroids = checkpointed(membership.ranked_centroids(ranked, cuts))
     return membership.fuzzify(scored, centroids, family), membership.fuzzify(scoring.score(df, cuts), centroids, family)
 
 
 def _kept(fuzzy_train, t_norm="min"):
-    found = mining.distinct_profiles(mining.fuzzy_concepts(fuzzy_train))
-    return pruning.suppress(found, pruning.core_profiles(fuzzy_train, found, t_norm))
+    found = checkpointed(mining.distinct_profiles(mining.fuzzy_concepts(fuzzy_train)))
+    return checkpointed(pruning.suppress(found, checkpointed(pruning.core_profiles(fuzzy_train, found, t_norm))))
 
 
 @arm("raw_std")
@@ -184,8 +182,8 @@ def _(train, df):
     from .lattice import stability_filter
 
     a, b = _fit_fuzzy(train, df)
-    found = mining.distinct_profiles(stability_filter(mining.fuzzy_concepts(a), mining.profiles(a)))
-    return concept_features(b, pruning.suppress(found, pruning.core_profiles(a, found)))
+    found = checkpointed(mining.distinct_profiles(stability_filter(checkpointed(mining.fuzzy_concepts(a)), checkpointed(mining.profiles(a)))))
+    return concept_features(b, checkpointed(pruning.suppress(found, checkpointed(pruning.core_profiles(a, found)))))
 
 
 @arm("hybrid_fuzzy")
@@ -205,9 +203,10 @@ def _(train, df):
 
 
 def _tail_pair(train, df):
-    cuts = scoring.fit_cutpoints(train, strict=False)
+    ranked = scoring.ranked_dims(train)
+    cuts = checkpointed(scoring.fit_cutpoints(train, strict=False, ranked=ranked))
     scored = scoring.score(train, cuts)
-    r, t = membership.band_centroids(scored), membership.fit_tail(scored)
+    r, t = checkpointed(membership.ranked_centroids(ranked, cuts)), checkpointed(membership.ranked_tail(ranked, cuts))
     return membership.fuzzify_tail(scored, r, t), membership.fuzzify_tail(scoring.score(df, cuts), r, t)
 
 
@@ -261,15 +260,17 @@ def _(train, df, keep=RUN_KEPT):
     return crisp_bands(scoring.score(df, checkpointed(scoring.fit_cutpoints(train, strict=False, by=RUN)), RUN), RUN, keep)
 
 
-def run_concepts(train: DataFrame, fuzzy: bool) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+def run_concepts(train: DataFrame, fuzzy: bool, fitted: tuple[DataFrame, DataFrame | None] | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """(cuts, concepts, centroids) fitted for each run on its training rows: concepts (run, band_mask, ...), fuzzy ones after suppression.
 
-    Scores and degrees are worked out from a row and the fitted parameters wherever they are asked for; only what is fitted is stored."""
-    cuts = checkpointed(scoring.fit_cutpoints(train, strict=False, by=RUN))
+    Scores and degrees are worked out from a row and the fitted parameters wherever they are asked for; only what is fitted is stored.
+    ``fitted`` are the cutpoints and centroids, if known before."""
+    ranked = None if fitted else scoring.ranked_dims(train, RUN)
+    cuts = fitted[0] if fitted else checkpointed(scoring.fit_cutpoints(train, strict=False, by=RUN, ranked=ranked))
     scored = scoring.score(train, cuts, RUN)
     if not fuzzy:
         return cuts, checkpointed(mining.crisp_concepts(scored, by=RUN).where("intent_mask <> 0").withColumn("band_mask", F.col("intent_mask"))), None
-    centroids = checkpointed(membership.band_centroids(scored, by=RUN))
+    centroids = fitted[1] if fitted else checkpointed(membership.ranked_centroids(ranked, cuts, by=RUN))
     degrees = membership.fuzzify(scored, centroids, by=RUN)
     found = checkpointed(mining.distinct_profiles(mining.fuzzy_concepts(degrees, by=RUN), RUN))
     return cuts, checkpointed(pruning.suppress(found, checkpointed(pruning.core_profiles(degrees, found, by=RUN)), by=RUN)), centroids
@@ -277,8 +278,9 @@ def run_concepts(train: DataFrame, fuzzy: bool) -> tuple[DataFrame, DataFrame, D
 
 @run_arm("fuzzy_bands")
 def _(train, df, keep=RUN_KEPT):
-    cuts = checkpointed(scoring.fit_cutpoints(train, strict=False, by=RUN))
-    centroids = checkpointed(membership.band_centroids(scoring.score(train, cuts, RUN), by=RUN))
+    ranked = scoring.ranked_dims(train, RUN)
+    cuts = checkpointed(scoring.fit_cutpoints(train, strict=False, by=RUN, ranked=ranked))
+    centroids = checkpointed(membership.ranked_centroids(ranked, cuts, by=RUN))
     return fuzzy_bands(membership.fuzzify(scoring.score(df, cuts, RUN), centroids, by=RUN), RUN, keep)
 
 

@@ -11,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.ranks import exact_quantiles
+from cohortlens.functions.ranks import Ordered, exact_quantiles, ranked_quantiles, small_methods
 
-from .scoring import DIMS, as_row, beside
+from .scoring import DIMS, as_row, band, beside
 
 EPS = 1e-9
 
@@ -30,7 +30,40 @@ def band_centroids(scored: DataFrame, levels: int = 5, by: list[str] = []) -> Da
     Medians come from global ranks, with all rows as a band 0 of their own.
     """
     rows = long_scored(scored, by).select(*by, "dim", "x", F.explode(F.array("s", F.lit(0))).alias("s"))
-    medians = exact_quantiles(rows, "x", [0.5], [*by, "dim", "s"])
+    return _centroids(exact_quantiles(rows, "x", [0.5], [*by, "dim", "s"]), levels, by)
+
+
+def banded(ranked: DataFrame, cuts: DataFrame, by: list[str] = []) -> DataFrame:
+    """(by..., dim, s, x, ties, before, total): ``scoring.ranked_dims`` within the bands of fitted cutpoints (by..., dim, cuts), which are
+    stretches of the order: a band's ranks are those of its dimension less its first."""
+    key = [*by, "dim"]
+    s = F.when(F.col("dim") == "R", band(F.col("x"), F.col("cuts"), True)).otherwise(band(F.col("x"), F.col("cuts")))
+    rows = ranked.join(F.broadcast(cuts), key).select(*key, s.alias("s"), "x", "ties", "before")
+    spans = rows.groupBy(*key, "s").agg(F.min("before").alias("__first"), F.sum("ties").alias("total"))
+    return rows.join(F.broadcast(spans), [*key, "s"]).select(*key, "s", "x", "ties", (F.col("before") - F.col("__first")).alias("before"), "total")
+
+
+def ranked_centroids(ranked: DataFrame, cuts: DataFrame, levels: int = 5, by: list[str] = []) -> DataFrame:
+    """The ``band_centroids`` of rows scored by cuts, from the ``scoring.ranked_dims`` of the same rows: nothing is ranked again."""
+    every = ranked.select(*by, "dim", F.lit(0).alias("s"), "x", "ties", "before", "total")
+    return _centroids(ranked_quantiles(every.unionByName(banded(ranked, cuts, by)), "x", [0.5], [*by, "dim", "s"]), levels, by)
+
+
+def run_centroids(ordered: Ordered, cuts: DataFrame, by: str = "run", levels: int = 5) -> DataFrame:
+    """(by, dim, cuts): the ``band_centroids`` of each run of dimensions in order, scored by its own cutpoints (by, dim, cuts)."""
+    limits = {(r["dim"], r[by]): sorted(r.cuts) for r in cuts.collect()}
+    ends, stretches = ordered.upto(limits), {}
+    for (dim, run), c in limits.items():
+        edges = [0, *(ends[dim, run, v] for v in c), int(ordered.totals[dim][run])]
+        stretches[dim, run, 0] = dim, run, 0, edges[-1]
+        for b, (first, end) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            stretches[dim, run, len(c) + 1 - b if dim == "R" else 1 + b] = dim, run, first, end - first
+    medians = ordered.quantiles(stretches, [0.5])
+    rows = [(run, dim, [medians.get((dim, run, b), medians[dim, run, 0])[0] for b in range(1, levels + 1)]) for dim, run in limits]
+    return ordered.laid.sparkSession.createDataFrame(rows, f"{by} int, dim string, cuts array<double>")
+
+
+def _centroids(medians: DataFrame, levels: int, by: list[str]) -> DataFrame:
     of = lambda b: F.max(F.when(F.col("s") == b, F.col("quantiles")[0]))
     return medians.groupBy(*by, "dim").agg(F.array(*[F.coalesce(of(b), of(0)) for b in range(1, levels + 1)]).alias("cuts"))
 
@@ -48,6 +81,25 @@ def piecewise(x: Column, centroids: Column) -> Column:
     return F.transform(centroids, degree)
 
 
+def compiled_piecewise(x: Column, centroids: Column, n: int) -> Column:
+    """``piecewise`` of exactly n centroids, a column a degree: Spark compiles it, where it interprets a function of an array's elements."""
+    c = [F.get(centroids, F.lit(i)) for i in range(n)]
+    out = []
+    for i in range(n):
+        left = F.lit(1.0) if i == 0 else (x - c[i - 1]) / _gap(c[i] - c[i - 1])
+        right = F.lit(1.0) if i == n - 1 else (c[i + 1] - x) / _gap(c[i + 1] - c[i])
+        left = F.when(x >= c[i], 1.0).otherwise(left) if i == n - 1 and i else left
+        right = F.when(x <= c[i], 1.0).otherwise(right) if i == 0 and i < n - 1 else right
+        out.append(F.greatest(F.lit(0.0), F.least(F.lit(1.0), left, right)))
+    return F.array(*out)
+
+
+def rounded_degrees(mu: str, n: int = 5, invert: bool = False) -> Column:
+    """Nine digits of the n degrees, the last first if inverted; most are 0 or 1, which need no rounding."""
+    v = [F.get(F.col(mu), F.lit(i)) for i in range(n)]
+    return F.array(*[F.when((x == 0) | (x == 1), x).otherwise(F.round(x, 9)) for x in (reversed(v) if invert else v)])
+
+
 def _gap(g: Column) -> Column:
     return F.when(g == 0, EPS).otherwise(g)
 
@@ -88,8 +140,9 @@ def normalized(df: DataFrame, x: Column, centroids: str, widths: str, shape: str
     return df.withColumn(out, F.transform("__z", lambda v: v / F.col("__t"))).drop("__z", "__t")
 
 
-def fuzzify(df: DataFrame, centroids: DataFrame, family: str = "piecewise", by: list[str] = []) -> DataFrame:
+def fuzzify(df: DataFrame, centroids: DataFrame, family: str = "piecewise", by: list[str] = [], levels: int = 5) -> DataFrame:
     """df with R_mu, F_mu, M_mu: degrees in score order by a family: piecewise, gaussian, bell or log_gaussian."""
+    small_methods(df.sparkSession)
     params, shape = as_row(centroids, by), family.removeprefix("log_")
     for d in DIMS:
         c = F.col(f"{d}_cuts")
@@ -101,10 +154,10 @@ def fuzzify(df: DataFrame, centroids: DataFrame, family: str = "piecewise", by:
         x = F.col(d).cast("double")
         x = F.log1p(F.greatest(x, F.lit(0.0))) if family == "log_gaussian" else x
         if shape == "piecewise":
-            out = out.withColumn(f"{d}_mu", piecewise(x, F.col(f"{d}_cuts")))
+            out = out.withColumn(f"{d}_mu", compiled_piecewise(x, F.col(f"{d}_cuts"), levels))
         else:
             out = normalized(out, x, f"{d}_cuts", f"{d}_widths", shape, f"{d}_mu")
-        out = out.withColumn(f"{d}_mu", F.transform(F.reverse(f"{d}_mu") if d == "R" else F.col(f"{d}_mu"), lambda v: F.round(v, 9)))
+        out = out.withColumn(f"{d}_mu", rounded_degrees(f"{d}_mu", levels, d == "R"))
     return out.drop(*[f"{d}_{c}" for d in DIMS for c in ("cuts", "widths")])
 
 
@@ -116,9 +169,20 @@ def fit_tail(scored: DataFrame) -> DataFrame:
     """
     rows = long_scored(scored).where(F.col("dim") != "R").select("dim", F.log1p("x").alias("z"), "s")
     quartiles = exact_quantiles(rows, "z", [0.25, 0.5, 0.75], ["dim", "s"])
+    return _tail(quartiles, rows.groupBy("dim").agg(F.avg(F.when(F.col("s") == 5, F.col("z"))).alias("top")))
+
+
+def ranked_tail(ranked: DataFrame, cuts: DataFrame) -> DataFrame:
+    """The ``fit_tail`` of rows scored by cuts, from the ``scoring.ranked_dims`` of the same rows."""
+    rows = banded(ranked.where("dim <> 'R'"), cuts).withColumn("z", F.log1p("x"))
+    top = F.when(F.col("s") == 5, F.col("ties"))
+    return _tail(ranked_quantiles(rows, "z", [0.25, 0.5, 0.75], ["dim", "s"]), rows.groupBy("dim").agg((F.sum(top * F.col("z")) / F.sum(top)).alias("top")))
+
+
+def _tail(quartiles: DataFrame, tops: DataFrame) -> DataFrame:
     of = lambda b, q: F.max(F.when(F.col("s") == b, F.col("quantiles")[q]))
     fitted = quartiles.groupBy("dim").agg(F.array(*[F.round(of(b, 1), 9) for b in range(1, 5)]).alias("anchors"), F.round(of(5, 2) - of(5, 0), 9).alias("iqr"))
-    fitted = fitted.join(rows.groupBy("dim").agg(F.avg(F.when(F.col("s") == 5, F.col("z"))).alias("top")), "dim")
+    fitted = fitted.join(tops, "dim")
     rises = F.forall(F.sequence(F.lit(0), F.lit(2)), lambda i: F.get("anchors", i + 1) > F.get("anchors", i))
     spread = F.when(F.col("iqr") > 0, F.col("iqr")).otherwise(F.round(F.col("top") - F.get("anchors", F.lit(3)), 9))
     return fitted.select("dim", F.when(rises, F.col("anchors")).otherwise(F.raise_error(F.lit("degenerate training data: anchors don't rise"))).alias("anchors"), spread.alias("s_tail"))
@@ -127,22 +191,25 @@ def fit_tail(scored: DataFrame) -> DataFrame:
 def tail_degrees(x: Column, anchors: Column, s_tail: Column) -> Column:
     """Five degrees: linear in log(1 + x) up to the fourth anchor, then bands 4 and 5 share 1 as s and the excess do."""
     z = F.log1p(x)
-    low = piecewise(F.least(z, F.get(anchors, F.lit(3))), anchors)
+    low = compiled_piecewise(F.least(z, F.get(anchors, F.lit(3))), anchors, 4)
     over = F.greatest(F.lit(0.0), z - F.get(anchors, F.lit(3)))
     share = over / (over + s_tail)
-    return F.concat(F.slice(low, 1, 3), F.array(F.when(over > 0, 1 - share).otherwise(F.get(low, F.lit(3))), F.when(over > 0, share).otherwise(0.0)))
+    first = [F.get(low, F.lit(i)) for i in range(4)]
+    return F.array(*first[:3], F.when(over > 0, 1 - share).otherwise(first[3]), F.when(over > 0, share).otherwise(0.0))
 
 
 def fuzzify_tail(df: DataFrame, recency: DataFrame, tail: DataFrame) -> DataFrame:
     """df with R_mu piecewise from fitted centroids, F_mu and M_mu with an unsaturated upper tail."""
+    small_methods(df.sparkSession)
     params = tail.agg(*[F.max(F.when(F.col("dim") == d, F.struct("anchors", "s_tail"))).alias(f"{d}_tail") for d in ("F", "M")])
     r = as_row(recency).select("R_cuts")
     out = df.crossJoin(F.broadcast(r)).crossJoin(F.broadcast(params))
-    out = out.withColumn("R_mu", F.reverse(piecewise(F.col("R").cast("double"), F.array_sort("R_cuts"))))
+    out = out.withColumn("R_cuts", F.array_sort("R_cuts"))
+    out = out.withColumn("R_mu", compiled_piecewise(F.col("R").cast("double"), F.col("R_cuts"), 5))
     for d in ("F", "M"):
         out = out.withColumn(f"{d}_mu", tail_degrees(F.col(d).cast("double"), F.col(f"{d}_tail.anchors"), F.col(f"{d}_tail.s_tail")))
     out = out.drop("R_cuts", "F_tail", "M_tail")
-    return out.withColumns({f"{d}_mu": F.transform(f"{d}_mu", lambda v: F.round(v, 9)) for d in DIMS})
+    return out.withColumns({f"{d}_mu": rounded_degrees(f"{d}_mu", invert=d == "R") for d in DIMS})
 
 
 def check_values(df: DataFrame) -> DataFrame:

@@ -50,17 +50,19 @@ def core_profiles(fuzzy: DataFrame, concepts: DataFrame, t_norm: str = "min", by
     """
     degrees = F.concat(*[f"{d}_mu" for d in DIMS])
 
-    def bits(least):
-        return F.aggregate(F.transform("degrees", lambda mu, i: F.when(least(mu), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(0)), F.lit(0).cast("long"), lambda a, v: a + v)
+    def bits(least):  # column by column, so that it is compiled
+        return sum((F.when(least(F.get(f"{d}_mu", F.lit(b))), 1 << (5 * i + b)).otherwise(0) for i, d in enumerate(DIMS) for b in range(5)), F.lit(0)).cast("long")
 
-    rows = fuzzy.select(*by, degrees.alias("degrees"))
+    high, some = bits(lambda mu: mu >= MU_CUT).alias("high"), bits(lambda mu: mu > 0).alias("some")
     within = lambda of: lambda m: m.bitwiseAND(F.col(of)) == m
     if t_norm == "min":
-        counted = rows.select(*by, bits(lambda mu: mu >= MU_CUT).alias("high"), bits(lambda mu: mu > 0).alias("some")).groupBy(*by, "high", "some").agg(F.count("*").alias("n"))
+        counted = fuzzy.select(*by, high, some).groupBy(*by, "high", "some").agg(F.count("*").alias("n"))
         sets = beside(counted, masks_of(concepts, by), by).select(*by, F.filter("masks", within("high")).alias("core"), F.exists("masks", within("some")).alias("any"), "n")
     else:
+        # no degree is above 1, so a product of MU_CUT or more has no factor below; the others aren't worked out
         product = lambda m: F.aggregate(F.transform("degrees", lambda mu, i: F.when(F.getbit(m, i) == 1, mu).otherwise(1.0)), F.lit(1.0), lambda a, v: a * v)
-        sets = beside(rows.withColumn("some", bits(lambda mu: mu > 0)), masks_of(concepts, by), by).select(*by, F.filter("masks", lambda m: product(m) >= MU_CUT).alias("core"), F.exists("masks", within("some")).alias("any"), F.lit(1).alias("n"))
+        rows = fuzzy.select(*by, degrees.alias("degrees"), high, some)
+        sets = beside(rows, masks_of(concepts, by), by).select(*by, F.filter("masks", lambda m: within("high")(m) & (product(m) >= MU_CUT)).alias("core"), F.exists("masks", within("some")).alias("any"), F.lit(1).alias("n"))
     return sets.groupBy(*by, "core", "any").agg(F.sum("n").alias("n"))
 
 

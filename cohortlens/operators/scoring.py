@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.ranks import exact_quantiles, value_ranks
+from cohortlens.functions.ranks import Ordered, exact_quantiles, ranked_quantiles, value_ranks
 
 DIMS = ("R", "F", "M")
 QUINTILES = [0.2, 0.4, 0.6, 0.8]
@@ -20,15 +20,28 @@ def long_dims(df: DataFrame, keep: list[str] = ["customer_id"]) -> DataFrame:
     return df.select(*keep, F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).cast("double").alias("x")) for d in DIMS])).alias("p")).select(*keep, "p.dim", "p.x")
 
 
-def fit_cutpoints(df: DataFrame, strict: bool = True, digits: int = 6, by: list[str] = []) -> DataFrame:
-    """(by..., dim, cuts): the 20, 40, 60 and 80 % quantiles of each dimension; strict ones must increase."""
-    cuts = exact_quantiles(long_dims(df, by), "x", QUINTILES, [*by, "dim"]).select(*by, "dim", F.transform("quantiles", lambda q: F.round(q, digits)).alias("cuts"))
+def ranked_dims(df: DataFrame, by: list[str] = []) -> DataFrame:
+    """(by..., dim, x, ties, before, dense, total): ``value_ranks`` of each dimension. Cutpoints, and whatever else is fitted by order, share them."""
+    return value_ranks(long_dims(df, by), "x", [*by, "dim"])
+
+
+def fit_cutpoints(df: DataFrame, strict: bool = True, digits: int = 6, by: list[str] = [], ranked: DataFrame | None = None) -> DataFrame:
+    """(by..., dim, cuts): the 20, 40, 60 and 80 % quantiles of each dimension; strict ones must increase. ``ranked`` are df's ``ranked_dims``, if made before."""
+    ranked = ranked_dims(df, by) if ranked is None else ranked
+    cuts = ranked_quantiles(ranked, "x", QUINTILES, [*by, "dim"]).select(*by, "dim", F.transform("quantiles", lambda q: F.round(q, digits)).alias("cuts"))
     if strict:
         ok = F.size(F.array_distinct("cuts")) == 4
         cuts = cuts.withColumn("cuts", F.when(ok, F.col("cuts")).otherwise(F.raise_error(F.concat(F.lit("tied cutpoints of "), F.col("dim")))))
     return cuts
 
 
+def run_cutpoints(ordered: Ordered, by: str = "run", digits: int = 6) -> DataFrame:
+    """(by, dim, cuts) of each run of dimensions in order: the ``fit_cutpoints`` of its rows, not strict."""
+    found = ordered.quantiles({(dim, run): (dim, run, 0, int(n)) for dim, totals in ordered.totals.items() for run, n in enumerate(totals)}, QUINTILES)
+    rows = ordered.laid.sparkSession.createDataFrame([(run, dim, q) for (dim, run), q in found.items()], f"{by} int, dim string, quantiles array<double>")
+    return rows.select(by, "dim", F.transform("quantiles", lambda q: F.round(q, digits)).alias("cuts"))
+
+
 def as_row(cuts: DataFrame, by: list[str] = []) -> DataFrame:
     """The fitted rows of all dimensions as one row (a group) of columns R_cuts, F_cuts, M_cuts."""
     return cuts.groupBy(*by).agg(*[F.max(F.when(F.col("dim") == d, F.col("cuts"))).alias(f"{d}_cuts") for d in DIMS])
@@ -39,9 +52,10 @@ def beside(df: DataFrame, fitted: DataFrame, by: list[str] = []) -> DataFrame:
     return df.join(F.broadcast(fitted), by) if by else df.crossJoin(F.broadcast(fitted))
 
 
-def band(x: Column, cuts: Column, invert: bool = False) -> Column:
-    """1 + the cutpoints below x; inverted, the best is the lowest."""
-    above = F.size(F.filter(cuts, lambda c: x > c))
+def band(x: Column, cuts: Column, invert: bool = False, most: int = 4) -> Column:
+    """1 + the cutpoints below x, of which there are ``most`` at most; inverted, the best is the lowest. Compiled, where a filter would be interpreted."""
+    above = sum((F.when(x > F.get(cuts, F.lit(i)), 1).otherwise(0) for i in range(most)), F.lit(0))
+    above = F.when(F.size(cuts) > most, F.raise_error(F.lit(f"more than {most} cutpoints")).cast("int")).otherwise(above)
     return (F.size(cuts) + 1 - above if invert else 1 + above).cast("int")
 
 
@@ -80,9 +94,23 @@ def dense_rank_scores(df: DataFrame, levels: int = 5) -> DataFrame:
     return out
 
 
+def fit_dense_ranks(df: DataFrame, levels: int = 5, ranked: DataFrame | None = None) -> DataFrame:
+    """The ``dense_rank_cutoffs`` of df's dense rank scores, from the ranks of its distinct values: customers aren't joined with their ranks."""
+    ranks = ranked_dims(df) if ranked is None else ranked
+    top = F.broadcast(ranks.groupBy("dim").agg(F.max("dense").alias("top")))
+    s = F.greatest(F.lit(1), F.least(F.lit(levels), F.ceil(F.lit(float(levels)) * F.col("dense") / F.col("top"))))
+    s = F.when(F.col("dim") == "R", levels + 1 - s).otherwise(s)
+    return _midpoints(ranks.join(top, "dim").select("dim", "x", s.alias("s")))
+
+
 def dense_rank_cutoffs(scored: DataFrame) -> DataFrame:
     """(dim, cuts): midpoints between neighbouring bands' extremes, ascending in raw values."""
     rows = scored.select(F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).cast("double").alias("x"), F.col(f"{d}_score").alias("s")) for d in DIMS])).alias("p")).select("p.*")
+    return _midpoints(rows)
+
+
+def _midpoints(rows: DataFrame) -> DataFrame:
+    """(dim, cuts) of rows (dim, x, s)."""
     spans = rows.groupBy("dim", "s").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     spans = spans.groupBy("dim").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("b"))  # five bands
     mids = F.transform(F.sequence(F.lit(1), F.size("b") - 1), lambda i: (F.element_at("b", i).hi + F.element_at("b", i + 1).lo) / 2)
