@@ -45,10 +45,12 @@ def crisp_concepts(scored: DataFrame, min_support: float = MIN_SUPPORT, by: list
     the three scores have every extent; its masks' bitwise and is the closure.
     """
     scores = [f"{d}_score" for d in DIMS]
-    masked = scored.select(*by, *scores, crisp_mask().alias("mask"))
+    # customers are counted by their scores first; the sets are made of these few rows
+    counted = checkpointed(scored.groupBy(*by, *scores).agg(F.count("*").alias("n")))
+    masked = counted.select(*by, *scores, "n", crisp_mask().alias("mask"))
     sets = [[*by, *kept] for n in range(4) for kept in combinations(scores, n)]
-    cube = masked.groupingSets(sets, *by, *scores).agg(F.count("*").alias("n_customers"), F.bit_and("mask").alias("intent_mask"), F.grouping_id().alias("g"))
-    total = F.broadcast(masked.groupBy(*by).agg(F.count("*").alias("total")))
+    cube = masked.groupingSets(sets, *by, *scores).agg(F.sum("n").alias("n_customers"), F.bit_and("mask").alias("intent_mask"), F.grouping_id().alias("g"))
+    total = F.broadcast(masked.groupBy(*by).agg(F.sum("n").alias("total")))
     kept = (cube.join(total, by) if by else cube.crossJoin(total)).where((F.col("n_customers") >= min_support * F.col("total")) | (F.col("g") == 7))
     return kept.groupBy(*by, "intent_mask").agg(F.max("n_customers").alias("n_customers"), F.max(F.col("n_customers") / F.col("total")).alias("support"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.functions.ranks import checkpointed, value_ranks
+from cohortlens.functions.ranks import checkpointed, small_methods, value_ranks
 
 
 def hash_order(seed: int | Column, c: str = "customer_id") -> Column:
@@ -47,6 +47,32 @@ def subsamples(df: DataFrame, share: float, seeds: list[int], how: str = "round"
     return kept.join(df, "customer_id")
 
 
+def drawn(df: DataFrame, seeds: list[int], size, by: list[str] = []) -> DataFrame:
+    """df, a row a customer, with ``drawn``: bit i is set for the first size(n) of the n rows of its group in the hash order of seed i.
+
+    Hashes are counted by their first digits; only those that share them with the last row drawn are ordered. No row is made for each seed.
+    """
+    if len(seeds) > 63:
+        raise ValueError("63 seeds at most")
+    small_methods(df.sparkSession)
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s).alias("seed")) for i, s in enumerate(seeds)])).alias("s")
+    keyed = df.select(*by, "customer_id", each).select(*by, "customer_id", "s.i", hash_order(F.col("s.seed")).alias("h")).withColumn("__digits", F.substring("h", 1, 3))
+    whole = Window.partitionBy(*by, "i")
+    counts = keyed.groupBy(*by, "i", "__digits").agg(F.count("*").alias("n")).withColumn("__upto", F.sum("n").over(whole.orderBy("__digits"))).withColumn("__k", size(F.sum("n").over(whole)).cast("long"))
+    before = F.col("__upto") - F.col("n")
+    last = checkpointed(counts.where((before < F.col("__k")) & (F.col("__k") <= F.col("__upto"))).select(*by, "i", "__digits", (F.col("__k") - before).alias("__rest")))
+    near = keyed.join(F.broadcast(last), [*by, "i", "__digits"]).withColumn("__place", F.row_number().over(whole.orderBy("h", "customer_id"))).where(F.col("__place") == F.col("__rest"))
+    ends = checkpointed(near.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct("h", "customer_id")))).alias("__ends")))
+    rows = df.join(F.broadcast(ends), by, "left") if by else df.join(F.broadcast(ends), F.lit(True), "left")
+    inside = lambda i, s: F.struct(hash_order(s).alias("h"), "customer_id") <= F.try_element_at("__ends", F.lit(i))
+    return rows.withColumn("drawn", sum((F.when(inside(i, s), F.lit(1 << i)).otherwise(0) for i, s in enumerate(seeds)), F.lit(0).cast("long")).cast("long")).drop("__ends")
+
+
+def runs_of(df: DataFrame, runs: int, name: str) -> DataFrame:
+    """df's rows (..., drawn) once for each run they take part in, numbered from 0."""
+    return df.withColumn(name, F.explode(F.filter(F.sequence(F.lit(0), F.lit(runs - 1)), lambda i: F.getbit("drawn", i) == 1))).drop("drawn")
+
+
 def weighted_auc(df: DataFrame, y: str, score: str, weight: str | None = None, by: list[str] = []) -> DataFrame:
     """(by..., auc): probability that a positive scores higher than a negative, ties one half, rows weighted; by may not hold nulls.
 

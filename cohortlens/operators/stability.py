@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlens.functions.ranks import Ordered, checkpointed
+
 from . import concepts as mining
 from . import membership, metrics, pruning, scoring
 
@@ -19,6 +21,13 @@ def fit_crisp(train: DataFrame, by: list[str] = []) -> tuple[DataFrame, DataFram
     return cuts, found
 
 
+def fit_crisp_runs(df: DataFrame, runs: int, by: str = "sample") -> tuple[DataFrame, DataFrame]:
+    """``fit_crisp`` of each run of df (R, F, M, drawn), whose rows have the runs they take part in as bits."""
+    cuts = scoring.run_cutpoints(Ordered(scoring.long_dims(df, ["drawn"]), runs), by)
+    scored = scoring.score(metrics.runs_of(df.select(*scoring.DIMS, "drawn"), runs, by), cuts, [by])
+    return cuts, mining.crisp_concepts(scored, by=[by]).where("intent_mask <> 0").withColumnRenamed("intent_mask", "band_mask")
+
+
 def project_crisp(df: DataFrame, model: tuple[DataFrame, DataFrame]) -> DataFrame:
     """(customer_id, band_mask, mu) of the concepts a customer is in; what is missing is 0."""
     cuts, found = model
@@ -65,8 +74,6 @@ def recurrence(reference: DataFrame, fitted: DataFrame) -> DataFrame:
 def refit_study(cohort: DataFrame, subsamples: int = 3, share: float = 0.8, seed: int = 2026, fit=fit_crisp, project=project_crisp) -> DataFrame:
     """(subsample, core_jaccard, fuzzy_jaccard, concept_recurrence, n_concepts_ref, n_concepts_fit): models of
     subsamples against the model of all customers, both projected on all."""
-    from cohortlens.functions.ranks import checkpointed
-
     cohort = checkpointed(cohort)
     reference = fit(cohort)
     ref_profile = checkpointed(project(cohort, reference))
@@ -87,11 +94,9 @@ def crisp_refits(cohort: DataFrame, seeds: list[int], share: float = 0.8) -> Dat
     A customer's concepts are those of few whose bands it has, so both models'
     are arrays in its row and the overlaps add up without a shuffle of customers.
     """
-    from cohortlens.functions.ranks import checkpointed
-
     cohort, by = checkpointed(cohort), ["sample"]
     cuts, found = fit_crisp(cohort)
-    fits = fit_crisp(checkpointed(metrics.subsamples(cohort, share, seeds)), by)
+    fits = fit_crisp_runs(checkpointed(metrics.drawn(cohort, seeds, lambda n: F.round(F.lit(share) * n))), len(seeds))
     fit_cuts, fit_found = checkpointed(fits[0]), checkpointed(fits[1])
     # the mask is bound once for a row, not worked out for each concept
     held = lambda c: F.get(F.transform(F.array("mask"), lambda mask: F.filter(c, lambda m: mask.bitwiseAND(m) == m)), F.lit(0))
@@ -124,10 +129,8 @@ def temporal_pair(first: DataFrame, second: DataFrame, fit=fit_crisp, project=pr
 
 def resample_sets(cohort: DataFrame, b: int, share: float = 0.8, seed: int = 7) -> DataFrame:
     """(b, band_mask): crisp concepts of each of several subsamples, fitted as groups of one table."""
-    from cohortlens.functions.ranks import checkpointed
-
-    drawn = checkpointed(metrics.subsamples(cohort, share, [seed + i for i in range(b)], "floor"))
-    return fit_crisp(drawn, ["sample"])[1].select(F.col("sample").alias("b"), "band_mask")
+    drawn = checkpointed(metrics.drawn(cohort, [seed + i for i in range(b)], lambda n: F.floor(F.lit(share) * n)).select(*scoring.DIMS, "drawn"))
+    return fit_crisp_runs(drawn, b)[1].select(F.col("sample").alias("b"), "band_mask")
 
 
 def set_jaccards(sets: DataFrame, key: str) -> DataFrame:
