@@ -6,8 +6,8 @@ import functools
 
 from pyspark.sql import functions as F
 
-from cohortlens.functions.ranks import checkpointed
-from cohortlens.operators import bootstrap, clustering, cohorts, concepts, features, inference, lattice, metrics, models, scoring, stability
+from cohortlens.functions.ranks import Ordered, checkpointed
+from cohortlens.operators import bootstrap, clustering, cohorts, concepts, features, inference, lattice, membership, metrics, models, scoring, stability
 
 from .base import COHORT, CRISP_COHORT, LONG, MU, SCORED_LONG, TX, cohort, fuzzy, query, rounded, scored, table, transactions, with_
 from .cohort_queries import _origins
@@ -475,8 +475,12 @@ def i14(spark, d):
 @query("i14_concept_counts")
 def i14b(spark, d):
     """How many concepts each arm keeps on the training rows of ten 70/30 splits: fuzzy less crisp, paired by split."""
-    train = models.split_runs(checkpointed(cohort(spark, d)), SPLIT_SEEDS).where("NOT held")
-    counts = [features.run_concepts(train, kind)[1].groupBy("run").agg(F.count("*").cast("double").alias(n)) for kind, n in ((True, "fuzzy"), (False, "crisp"))]
+    df = metrics.drawn(checkpointed(cohort(spark, d)), SPLIT_SEEDS, lambda n: F.floor(F.lit(0.7) * n), ["repurchased"])
+    df, runs = checkpointed(df.select(*scoring.DIMS, "drawn")), len(SPLIT_SEEDS)
+    ordered = Ordered(scoring.long_dims(df, ["drawn"]), runs)
+    cuts = checkpointed(scoring.run_cutpoints(ordered))
+    fitted, train = (cuts, membership.run_centroids(ordered, cuts)), metrics.runs_of(df, runs, "run")
+    counts = [features.run_concepts(train, kind, fitted)[1].groupBy("run").agg(F.count("*").cast("double").alias(n)) for kind, n in ((True, "fuzzy"), (False, "crisp"))]
     paired = counts[0].join(counts[1], "run").select(F.lit("concepts").alias("metric"), "run", (F.col("fuzzy") - F.col("crisp")).alias("e"))
     return rounded(inference.split_comparisons(checkpointed(paired), "e", ["metric"], "run"), 4)
 
