@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cohortlens.functions.ranks import Ordered, checkpointed
 
 from . import concepts as mining
-from . import membership, metrics, pruning, scoring
+from . import features, membership, metrics, pruning, scoring
 
 MU_CUT = 0.5
 RANK_TOLERANCE = 0.05
@@ -38,13 +38,13 @@ def project_crisp(df: DataFrame, model: tuple[DataFrame, DataFrame]) -> DataFram
 
 def fit_fuzzy(train: DataFrame, best: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(cutpoints, centroids, kept concepts); ``best`` keeps the best so many before suppression's order."""
-    cuts = scoring.fit_cutpoints(train, strict=False)
-    scored = scoring.score(train, cuts)
-    centroids = membership.band_centroids(scored)
-    fuzzy = membership.fuzzify(scored, centroids)
-    found = mining.distinct_profiles(mining.fuzzy_concepts(fuzzy))
-    kept = pruning.suppress(found, pruning.core_profiles(fuzzy, found))
-    return cuts, centroids, pruning.best_k(kept, best) if best else kept
+    ranked = scoring.ranked_dims(train)
+    cuts = checkpointed(scoring.fit_cutpoints(train, strict=False, ranked=ranked))
+    centroids = checkpointed(membership.ranked_centroids(ranked, cuts))
+    fuzzy = membership.fuzzify(scoring.score(train, cuts), centroids)
+    found = checkpointed(mining.distinct_profiles(mining.fuzzy_concepts(fuzzy)))
+    kept = pruning.suppress(found, checkpointed(pruning.core_profiles(fuzzy, found)))
+    return cuts, centroids, checkpointed(pruning.best_k(kept, best) if best else kept)
 
 
 def project_fuzzy(df: DataFrame, model: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
@@ -114,14 +114,38 @@ def crisp_refits(cohort: DataFrame, seeds: list[int], share: float = 0.8) -> Dat
     )
 
 
-def temporal_pair(first: DataFrame, second: DataFrame, fit=fit_crisp, project=project_crisp) -> DataFrame:
-    """(subset, n_customers, core_jaccard, fuzzy_jaccard) of two cohorts' common customers: all of them, and those whose
-    percent ranks moved ``RANK_TOLERANCE`` at most in each dimension. Each cohort has its own model."""
+def _common(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(customer_id, stable) of two cohorts' common customers: whether their percent ranks moved ``RANK_TOLERANCE`` at most in each dimension."""
     a, b = scoring.percent_ranks(first), scoring.percent_ranks(second)
     pair = a.select("customer_id", *[F.col(f"{d}_pct").alias(f"{d}_a") for d in scoring.DIMS]).join(b.select("customer_id", *[F.col(f"{d}_pct").alias(f"{d}_b") for d in scoring.DIMS]), "customer_id")
     moved = F.greatest(*[F.abs(F.col(f"{d}_a") - F.col(f"{d}_b")) for d in scoring.DIMS])
-    common = pair.select("customer_id", (F.round(moved, 9) <= RANK_TOLERANCE).alias("stable"))
-    subsets = common.select("customer_id", F.explode(F.when(F.col("stable"), F.array(F.lit("all"), F.lit("stable"))).otherwise(F.array(F.lit("all")))).alias("subset"))
+    return pair.select("customer_id", (F.round(moved, 9) <= RANK_TOLERANCE).alias("stable"))
+
+
+def temporal_fuzzy_pair(first: DataFrame, second: DataFrame, best: int | None = None) -> DataFrame:
+    """What ``temporal_pair`` gives for fuzzy models: a customer's degrees in both models' concepts are an array of its row, so a row a customer is joined, not one a concept."""
+    models = [fit_fuzzy(df, best) for df in (first, second)]
+    every = checkpointed(models[0][2].select("band_mask").union(models[1][2].select("band_mask")).distinct())
+    sides = []
+    for name, df, (cuts, centroids, kept) in zip("xy", (first, second), models, strict=True):
+        own = pruning.masks_of(every).crossJoin(pruning.masks_of(kept).withColumnRenamed("masks", "own")).select(F.transform("masks", lambda m: F.array_contains("own", m)).alias("own"))
+        degrees = features.concept_features(membership.fuzzify(scoring.score(df, cuts), centroids), every)
+        sides.append(scoring.beside(degrees, checkpointed(own)).select("customer_id", F.zip_with("x", "own", lambda v, o: F.when(o, v).otherwise(0.0)).alias(name)))
+    both = F.arrays_zip("x", "y")
+    add = lambda f: F.aggregate(both, F.lit(0.0), lambda a, p: a + f(p.x, p.y))
+    one = lambda condition: F.when(condition, 1.0).otherwise(0.0)
+    sums = _common(first, second).join(sides[0], "customer_id").join(sides[1], "customer_id").select(
+        F.explode(F.when(F.col("stable"), F.array(F.lit("all"), F.lit("stable"))).otherwise(F.array(F.lit("all")))).alias("subset"),
+        add(lambda x, y: one((x >= MU_CUT) & (y >= MU_CUT))).alias("c"), add(lambda x, y: one((x >= MU_CUT) | (y >= MU_CUT))).alias("e"), add(F.least).alias("lo"), add(F.greatest).alias("hi"),
+    )
+    out = sums.groupBy("subset").agg(F.count("*").alias("n_customers"), *[F.sum(v).alias(v) for v in ("c", "e", "lo", "hi")])
+    return out.select("subset", "n_customers", F.coalesce(F.try_divide("c", "e"), F.lit(1.0)).alias("core_jaccard"), F.coalesce(F.try_divide("lo", "hi"), F.lit(1.0)).alias("fuzzy_jaccard"))
+
+
+def temporal_pair(first: DataFrame, second: DataFrame, fit=fit_crisp, project=project_crisp) -> DataFrame:
+    """(subset, n_customers, core_jaccard, fuzzy_jaccard) of two cohorts' common customers: all of them, and those whose
+    percent ranks moved ``RANK_TOLERANCE`` at most in each dimension. Each cohort has its own model."""
+    subsets = _common(first, second).select("customer_id", F.explode(F.when(F.col("stable"), F.array(F.lit("all"), F.lit("stable"))).otherwise(F.array(F.lit("all")))).alias("subset"))
     x, y = project(first, fit(first)).join(subsets, "customer_id"), project(second, fit(second)).join(subsets, "customer_id")
     n = subsets.groupBy("subset").agg(F.count("*").alias("n_customers"))
     return n.join(similarity(x, y, ["subset"]), "subset").select("subset", "n_customers", "core_jaccard", "fuzzy_jaccard")

@@ -546,7 +546,7 @@ def t5(spark, d):
     """As many fuzzy concepts as crisp ones, between two origins."""
     a, b = checkpointed(cohort(spark, d)), checkpointed(cohorts.one_cohort(transactions(spark, d), "1999-01-01 00:00:00"))
     k = stability.fit_crisp(a)[1].count()
-    return rounded(stability.temporal_pair(a, b, fit=lambda df: stability.fit_fuzzy(df, k), project=stability.project_fuzzy))
+    return rounded(stability.temporal_fuzzy_pair(a, b, k))
 
 
 RESAMPLES = 50
