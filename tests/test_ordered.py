@@ -77,9 +77,12 @@ def test_runs_in_one_order_are_fitted_as_groups_are(customers):
     assert rows(found) == rows(membership.band_centroids(scoring.score(train, cuts, ["run"]), by=["run"]).select(*found.columns))
 
 
-def test_fuzzy_pair_by_rows_is_the_pair_by_concepts(customers):
+def test_fuzzy_pair_by_rows_is_the_pair_by_concepts(customers, monkeypatch):
     second = customers.where("R % 7 <> 0").withColumn("M", F.col("M") * (1 + F.col("R") % 3))
-    by_row = stability.temporal_fuzzy_pair(customers, second, 12)
-    by_concept = stability.temporal_pair(customers, second, fit=lambda df: stability.fit_fuzzy(df, 12), project=stability.project_fuzzy)
+    models = {id(df): stability.fit_fuzzy(df, 12) for df in (customers, second)}
+    fit = lambda df, best=None: models[id(df)]
+    monkeypatch.setattr(stability, "fit_fuzzy", fit)
+    by_row = stability.temporal_fuzzy_pair(customers, second)
+    by_concept = stability.temporal_pair(customers, second, fit=fit, project=stability.project_fuzzy)
     digits = lambda df: rows(df.select("subset", "n_customers", F.round("core_jaccard", 9), F.round("fuzzy_jaccard", 9)))
     assert digits(by_row) == digits(by_concept)
