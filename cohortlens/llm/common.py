@@ -80,6 +80,17 @@ def map_rows(df: DataFrame, work, schema: StructType) -> DataFrame:
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(work, schema)
 
 
+def in_turn(*works):
+    """What ``map_rows`` takes, for all of works one after another: a task needs one Python worker for it, in place of one for each."""
+
+    def work(batches):
+        for each in works:
+            batches = each(batches)
+        return batches
+
+    return work
+
+
 def large_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
     """A join of tables that both grow with the input: sorted and merged, never broadcast.
 
@@ -196,23 +207,26 @@ def filter_size(keys: int, most: int = FILTER_BITS) -> int:
     return min(most, 1 << max(16, (10 * keys).bit_length()))
 
 
-def parted(docs: DataFrame, key: Column, wanted: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+def parted(docs: DataFrame, key: Column, wanted: DataFrame, bits: int, inside=None, outside=None) -> tuple[DataFrame, DataFrame]:
     """docs in two parts: rows whose key's hash may be among ``wanted`` (a column of xxhash64 values), and all others, which surely aren't.
 
     A row without key is among the others. Both parts read docs where it lies.
+    ``inside`` and ``outside`` are (work, schema) as ``map_rows`` takes them, to
+    be done to a part by the Python workers that make it.
     """
     sent = docs.sparkSession.sparkContext.broadcast(bloom_of(wanted, bits))
     keyed = docs.select(*columns(docs), F.when(key.isNotNull(), F.xxhash64(key)).alias(free_names(docs, "h")[0]))
     names = docs.columns
     at = len(names)
 
-    def part(inside: bool):
+    def part(wants: bool, then):
         def rows(batches):
             for batch in batches:
                 h = batch.column(at)
                 hit = all_bits(sent.value, bloom_slots(h.fill_null(0).to_numpy().view(np.uint64), bits, 3)) & np.asarray(h.is_valid())
-                yield pa.RecordBatch.from_arrays(batch.columns[:at], names=names).filter(pa.array(hit == inside))
+                yield pa.RecordBatch.from_arrays(batch.columns[:at], names=names).filter(pa.array(hit == wants))
 
-        return map_rows(keyed, rows, docs.schema)
+        work, schema = then or (in_turn(), docs.schema)
+        return map_rows(keyed, in_turn(rows, work), schema)
 
-    return part(True), part(False)
+    return part(True, inside), part(False, outside)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, columns, filter_size, free_names, join_spread, lean_batches, map_rows, parted, with_fields
+from .common import checkpointed, columns, filter_size, free_names, in_turn, join_spread, lean_batches, map_rows, parted, with_fields
 from .kernels import pieces, words
 
 #: Most item words of one automaton: about 2 states a word, some 100 MB in a worker at this size.
@@ -166,7 +166,7 @@ def _spans(found: list[list[tuple[int, int]]]) -> pa.Array:
     return pa.array([[{"a": a, "b": b} for a, b in x] for x in found], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, shard_words: int = SHARD_WORDS) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, shard_words: int = SHARD_WORDS, then=None) -> DataFrame:
     """docs with ``n_words``, ``spans`` (hit word intervals) and ``items`` (found item ids as strings) at the end.
 
     The benchmark is read in shards of at most ``shard_words`` words, so what a
@@ -178,13 +178,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     Null or empty texts have no words; texts may be of any length; repeated
     rows have equal results; null item ids count as the string "null". Other
     columns pass through, whatever their names; an added column whose name is
-    taken has underscores at its end.
+    taken has underscores at its end. ``then`` is (work, schema) as ``map_rows``
+    takes them, to be done to the result by the same Python workers.
     """
     spark = docs.sparkSession
     lean_batches(spark)
     names = free_names(docs, "n_words", "spans", "items")
     schema = with_fields(docs, (names[0], "long"), (names[1], SPANS), (names[2], "array<string>"))
     out_names, at, width = [*docs.columns, *names], docs.columns.index("text"), len(docs.columns)
+    work, out_schema = then or (in_turn(), schema)
     shards = _shards(benchmark, shard_words)
     first, second = next(shards), next(shards, None)
     if second is None:
@@ -195,7 +197,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
                 n, spans, items = zip(*[look(t.as_py()) for t in batch.column(at)], strict=True)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), _spans(spans), pa.array(items, pa.list_(pa.string()))], names=out_names)
 
-        return map_rows(docs, scan, schema)
+        return map_rows(docs, in_turn(scan, work), out_schema)
 
     # a text's hits follow from the text, so a text's hash stands for its rows
     texts, hits = docs.select(F.sha2("text", 256).alias("key"), "text").where("text IS NOT NULL"), None
@@ -212,8 +214,6 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
         hits = one if hits is None else hits.unionByName(one)
     key, spans, items = free_names(docs, "key", "span_lists", "item_lists")
     found = checkpointed(hits.groupBy(F.col("key").alias(key)).agg(F.collect_list("spans").alias(spans), F.collect_list("items").alias(items), F.max("rows").alias("rows")))
-    touched, others = parted(docs, F.sha2("text", 256), found.select(F.xxhash64(key)), filter_size(found.count()))
-
     def finish(batches):
         for batch in pieces(batches, at):
             n = [len(words((t.as_py() or "").encode())) for t in batch.column(at)]
@@ -222,9 +222,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
             ids = [sorted({i for one in y or [] for i in one}) for _, y in lists]
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(n, pa.int64()), _spans(merged), pa.array(ids, pa.list_(pa.string()))], names=out_names)
 
+    last = in_turn(finish, work)
+    touched, others = parted(docs, F.sha2("text", 256), found.select(F.xxhash64(key)), filter_size(found.count()), outside=(last, out_schema))
     keyed = touched.withColumn(key, F.sha2("text", 256))
     joined = join_spread(keyed, found, key, "rows", F.monotonically_increasing_id(), "left").select(*columns(docs), spans, items)
-    return map_rows(joined, finish, schema).union(map_rows(others, finish, schema))
+    return map_rows(joined, last, out_schema).union(others)
 
 
 def union_spans(x: list[tuple[int, int]], y: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -264,17 +266,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, cover
     last character of each hit interval is removed and n_chars, where there is one, brought up to date.
     Nulls, odd texts and other columns are as ``find_contamination`` says.
     """
-    found = find_contamination(docs, benchmark, window)
-    n_words, spans, _ = free_names(docs, "n_words", "spans", "items")
-    n_hit = F.aggregate(spans, F.lit(0).cast("long"), lambda s, x: s + (x.b - x.a))
-    kept = found.where(~((n_hit > 0) & (coverage * n_hit >= F.col(n_words))))
     names = docs.columns
     length_at = names.index("n_chars") if "n_chars" in names else None
     text_at, at = names.index("text"), len(names)
 
     def cut(batches):
         word = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
-        for batch in pieces(batches, text_at):
+        for batch in batches:
+            n_hit = [sum(s["b"] - s["a"] for s in spans) for spans in batch.column(at + 1).to_pylist()]
+            batch = batch.filter(pa.array([not (k > 0 and coverage * k >= n) for k, n in zip(n_hit, batch.column(at).to_pylist(), strict=True)], pa.bool_()))
             texts = batch.column(text_at).to_pylist()
             for i, spans in enumerate(batch.column(at + 1).to_pylist()):
                 if spans:
@@ -290,4 +290,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, cover
             columns[text_at] = pa.array(texts, columns[text_at].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return map_rows(kept, cut, docs.schema)
+    return find_contamination(docs, benchmark, window, then=(cut, docs.schema))

@@ -8,7 +8,7 @@ import sys
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column, columns, free_names, lean_batches, map_rows, with_fields
@@ -85,22 +85,25 @@ class Profiles:
         return lang, 1 - distance / most if most else 0.0
 
 
+def highest_hash(n: Column, sample: int) -> Column:
+    """Of n rows with signed 64-bit hashes, ``sample`` have no higher one than this on average."""
+    share = F.lit(float(sample)) / n
+    return F.when(n <= sample, F.lit((1 << 63) - 1)).otherwise(((share * 2 - 1) * float(1 << 63)).cast("long"))
+
+
 def learn(train: DataFrame, top: int = TOP, sample: int = SAMPLE) -> dict[str, list[int]]:
     """Profiles of all languages in train (text, lang, ``__order``); rows without text or lang are passed over.
 
     Learns from about ``sample`` documents of a language at most: those whose
     64-bit hash ``__order`` lies in the lowest share of all hashes that holds
     so many on average. N-grams are counted in each task and summed by Spark;
-    only the sizes of languages and the finished profiles, ``top`` numbers each,
-    come to the driver. No language is left out, however many there are.
+    only the sizes of languages, to be broadcast, and the finished profiles,
+    ``top`` numbers each, come to the driver. No language is left out, however
+    many there are.
     """
     lean_batches(train.sparkSession)
     rows = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
-    if not sizes:
-        return {}
-    shares = [(r.lang, min((1 << 63) - 1, int((min(1.0, sample / r.n) * 2 - 1) * (1 << 63)))) for r in sizes]
-    most = train.sparkSession.createDataFrame(shares, "lang string, __most long")
+    most = rows.groupBy("lang").agg(highest_hash(F.count("*"), sample).alias("__most"))
     rows = rows.join(F.broadcast(most), "lang").where(F.col("__order") <= F.col("__most"))
 
     def count(batches):

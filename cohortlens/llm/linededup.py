@@ -243,7 +243,6 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, most_bi
     # a document's keys: as many as it has lines at most
     ident_name, drop = free_names(docs, "id", "drop")
     drops = checkpointed(lost.groupBy(F.col("doc_id").alias(ident_name)).agg(F.collect_list("key").alias(drop)))
-    touched, others = parted(docs, column("doc_id"), drops.select(F.xxhash64(ident_name)), filter_size(drops.count()))
 
     def apply_lists(batches):
         for batch in pieces(batches, at):
@@ -260,8 +259,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, most_bi
                     gone[number[mine][KeyTable(h1, h2).find(a[mine], b[mine]) >= 0]] = True
             yield finished(batch, lines, gone)
 
+    touched, others = parted(docs, column("doc_id"), drops.select(F.xxhash64(ident_name)), filter_size(drops.count()), outside=(apply_lists, schema))
     joined = touched.join(drops, column("doc_id") == F.col(ident_name), "left").select(*columns(docs), drop)
-    return map_rows(joined, apply_lists, schema).union(map_rows(others, apply_lists, schema))
+    return map_rows(joined, apply_lists, schema).union(others)
 
 
 def line_digest(docs: DataFrame) -> DataFrame:
