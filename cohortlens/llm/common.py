@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +76,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, folder: str) -> DataFrame:
+    """df written to a folder and read again. For steps that are repeated: a checkpoint keeps Spark's estimate of its size, which joins
+    multiply, so after some rounds the estimate is a number of hundreds of MB on the driver; a file's size is known."""
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def map_rows(df: DataFrame, work, schema: StructType) -> DataFrame:
     """df.mapInArrow(work, schema), for columns of any names: the batches' own names are plain numbers."""
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(work, schema)
@@ -130,11 +138,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternates large-star and small-star steps. A hub's neighbours are never
     collected: its minimum is a partial aggregate, joined back to the edges,
     and hubs' edges are spread over tasks. Tasks are as many as the edges
-    need, since each round shuffles some times.
+    need, since each round shuffles some times. A round is stored in files
+    until the next has been.
     Nodes without edges are not in the result.
     """
+    spark = edges.sparkSession
+    base = f"{shared_folder(spark)}/components-{uuid.uuid4().hex}"
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges = checkpointed(edges)
+    edges = stored(edges, f"{base}/0")
     size = edges.count()
     seen = None
 
@@ -142,7 +153,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # what one task takes in any case needs no spreading
         return rows.join(low.drop("degree"), "u") if tasks == 1 else join_spread(rows, low, "u", "degree", F.col("v"))
 
-    for _ in range(max_rounds):
+    for number in range(1, max_rounds + 1):
         tasks = max(1, -(-size // EDGES_A_TASK))
         edges = edges.coalesce(tasks)
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -150,7 +161,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = lowest(both.where("v > u"), low, tasks).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(tasks).distinct().coalesce(tasks)
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
         small = lowest(large, low, tasks).select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edges = checkpointed(small.where("u <> v").coalesce(tasks).distinct().coalesce(tasks))
+        edges = stored(small.where("u <> v").coalesce(tasks).distinct().coalesce(tasks), f"{base}/{number}")
+        remove_folder(spark, f"{base}/{number - 1}")
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break
@@ -158,7 +170,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     own = edges.select(F.col("v").alias("node")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(own.select("node", F.col("node").alias("component")))
+    out = checkpointed(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(own.select("node", F.col("node").alias("component"))))
+    remove_folder(spark, base)
+    return out
 
 
 def bloom_slots(h: np.ndarray, n_bits: int, n_hashes: int) -> np.ndarray:
