@@ -6,8 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.ranks import checkpointed
@@ -98,62 +97,128 @@ def r2_draws(predicted: DataFrame, draws: int, seed: int, by: list[str]) -> Data
     return total.select(*by, "b", *[c.alias(m) for m, c in r2.items()])
 
 
+#: Rows of a group, about, in one range of its scores; rows that are added up at once; draws of one final task.
+RANGE_ROWS, CHUNK, DRAWS = 8192, 512, 256
+
+
+def packed_weights(w: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Weights (row, draw) in two bits each, and what those from three on have above it, row by row."""
+    codes = np.zeros((len(w), -(-w.shape[1] // 4) * 4), np.uint8)
+    codes[:, : w.shape[1]] = np.minimum(w, 3)
+    rows, cols = np.nonzero(w >= 3)
+    above = w[rows, cols] - 3
+    above = above.astype(np.uint8 if above.max(initial=0) < 255 else np.uint32)
+    ends = np.cumsum(np.bincount(rows, minlength=len(w)))[:-1]
+    return codes[:, ::4] | codes[:, 1::4] << 2 | codes[:, 2::4] << 4 | codes[:, 3::4] << 6, [x.tobytes() for x in np.split(above, ends)]
+
+
+def unpacked_weights(codes: list[bytes], above: list[bytes], draws: int) -> np.ndarray:
+    packed = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
+    w = np.empty((len(codes), packed.shape[1] * 4))
+    for j in range(4):
+        w[:, j::4] = packed >> (2 * j) & 3
+    high = w == 3
+    each = high.sum(axis=1)
+    w[high] += np.concatenate([np.frombuffer(x, np.uint8 if len(x) == n else np.uint32) for x, n in zip(above, each.tolist(), strict=True)])
+    return w[:, :draws]
+
+
 def auc_draws(predicted: DataFrame, draws: int, seed: int, by: list[str]) -> DataFrame:
     """(by..., b, auc) of every draw from the customers of predicted (by..., customer_id, repurchased, prob).
 
-    Rows take their weights along, are ordered by score in a range
-    partitioning and scanned with the negatives so far as a vector over draws;
-    what the partitions before hold is added afterwards, a row a partition and draw. Ties count one half.
+    A group's scores are cut into ranges at quantiles; the same range of all groups is one task's, as scores of one customer
+    lie near each other in most. A customer's weights go to a task once, whatever number of its rows do, in two bits a draw and some.
+    A score that fills ranges of its own is dealt over their tasks: its pairs are ties. What a range holds of a draw, positives, negatives
+    and their pairs in order, are whole or half numbers, so sums are exact and any cut gives the same.
     """
-    rows, tree = _by_leaf(predicted.select(*by, "customer_id", F.col("repurchased").cast("int").alias("y"), F.col("prob").cast("double").alias("s")), draws, seed)
+    scored = predicted.select(*by, "customer_id", F.col("repurchased").cast("int").alias("y"), F.col("prob").cast("double").alias("s"))
+    rows, tree = _by_leaf(scored, draws, seed)
+    ranges = max(1, -(-tree.n // RANGE_ROWS))
+    ends = F.percentile_approx("s", [i / ranges for i in range(1, ranges)], 10_000) if ranges > 1 else F.array().cast("array<double>")
+    found = scored.groupBy(*by).agg(ends.alias("ends")).orderBy(*by).collect()
+    keys = [tuple(r[c] for c in by) for r in found]
+    cuts = {key: (g, np.array(r.ends or [], float)) for g, (key, r) in enumerate(zip(keys, found, strict=True))}
 
     def attach(frames):
         for own, w in _with_weights(frames, tree):
-            kind = np.uint8 if w.max(initial=0) < 256 else np.uint32
-            yield own[[*by, "y", "s"]].assign(w=[x.tobytes() for x in w.astype(kind)])
-
-    kind = _schema(predicted, by)
-    weighted = rows.mapInPandas(attach, kind + "y int, s double, w binary")
-    n = int(predicted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = weighted.repartitionByRange(n, *by, "s").sortWithinPartitions(*by, "s")
-
-    def scan(frames):
-        now, state = None, None
-
-        def told():
-            p, below, area, tie_p, tie_n, _ = state
-            area = area + tie_p * (below + tie_n / 2)
-            return pd.DataFrame({**dict(zip(by, now, strict=True)), "part": TaskContext.get().partitionId(), "b": np.arange(draws), "p": p + tie_p, "n": below + tie_n, "area": area})
+            g, low, high = np.zeros(len(own), np.int16), np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+            s, y, place = own["s"].to_numpy(float), own["y"].to_numpy(), own["place"].to_numpy()
+            for key, at in own.groupby(by).indices.items():
+                g[at], end = cuts[key if isinstance(key, tuple) else (key,)]
+                low[at], high[at] = np.searchsorted(end, s[at], "left"), np.searchsorted(end, s[at], "right")
+            lone = high - low >= 2
+            unit = (2 * low + lone).astype(np.int32)
+            task = np.where(lone, low + (place * 2654435761 >> 7) % (high - low + 1), low)
+            order = np.lexsort((place, task))
+            first = np.flatnonzero(np.r_[True, (task[order][1:] != task[order][:-1]) | (place[order][1:] != place[order][:-1])])
+            codes, above = packed_weights(w[order[first]])
+            parts = [[x.tobytes() for x in np.split(v[order], first[1:])] for v in (g, unit, (y == 1), s)]
+            yield pd.DataFrame({"task": task[order[first]].astype(np.int32), "codes": [x.tobytes() for x in codes], "above": above, **dict(zip(("g", "unit", "y", "s"), parts, strict=True))})
+
+    dealt = rows.mapInPandas(attach, "task int, codes binary, above binary, g binary, unit binary, y binary, s binary")
+
+    def told(parts):
+        frame = pd.concat(parts)
+        kinds = {"g": np.int16, "unit": np.int32, "y": bool, "s": float}
+        g, unit, y, s = (np.frombuffer(b"".join(frame[c]), kind) for c, kind in kinds.items())
+        owner = np.repeat(np.arange(len(frame)), [len(x) for x in frame["y"]])
+        codes, above = frame["codes"].to_numpy(), frame["above"].to_numpy()
+        order = np.lexsort((s, unit, g))
+        starts = np.flatnonzero(np.r_[True, (g[order][1:] != g[order][:-1]) | (unit[order][1:] != unit[order][:-1])])
+        for at in np.split(order, starts[1:]):
+            p, n, area = _range_sums(s[at], y[at], lambda k, at=at: unpacked_weights(codes[owner[at[k]]].tolist(), above[owner[at[k]]].tolist(), draws), draws)
+            for b in range(0, draws, DRAWS):
+                yield int(g[at[0]]), int(unit[at[0]]), b, *(v[b : b + DRAWS].tobytes() for v in (p, n, area))
 
+    def add(frames):
+        now, waiting = None, []
         for frame in frames:
-            for key, own in frame.groupby(by, sort=False):
-                if key != now:
-                    if now is not None:
-                        yield told()
-                    now, state = key, [*[np.zeros(draws) for _ in range(5)], None]
-                w = np.stack([np.frombuffer(x, np.uint8 if len(x) == draws else np.uint32) for x in own["w"]]).astype(float)
-                score, y = own["s"].to_numpy(), own["y"].to_numpy()[:, None] == 1
-                starts = np.flatnonzero(np.r_[True, score[1:] != score[:-1]])
-                up, down = np.add.reduceat(w * y, starts), np.add.reduceat(w * ~y, starts)
-                if state[5] == score[0]:  # the tie goes on from the rows before
-                    up[0] += state[3]
-                    down[0] += state[4]
-                elif state[5] is not None:
-                    state[2] += state[3] * (state[1] + state[4] / 2)
-                    state[0] += state[3]
-                    state[1] += state[4]
-                below = state[1] + np.cumsum(down, axis=0) - down
-                state[2] += (up[:-1] * (below[:-1] + down[:-1] / 2)).sum(axis=0)
-                state[0] += up[:-1].sum(axis=0)
-                state[1] = below[-1]
-                state[3], state[4], state[5] = up[-1], down[-1], score[-1]
-        if now is not None:
-            yield told()
-
-    parts = ordered.mapInPandas(scan, kind + "part int, b int, p double, n double, area double")
-    earlier = F.coalesce(F.sum("n").over(Window.partitionBy(*by, "b").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    whole = parts.withColumn("area", F.col("area") + F.col("p") * earlier)
-    return whole.groupBy(*by, "b").agg(F.try_divide(F.sum("area"), F.sum("p") * F.sum("n")).alias("auc"))
+            for task, own in frame.groupby("task", sort=False):
+                if task != now and waiting:
+                    yield pd.DataFrame(told(waiting), columns=["g", "unit", "b", "p", "n", "area"])
+                    waiting = []
+                now = task
+                waiting.append(own)
+        if waiting:
+            yield pd.DataFrame(told(waiting), columns=["g", "unit", "b", "p", "n", "area"])
+
+    tasks = dealt.repartition("task").sortWithinPartitions("task")
+    sums = tasks.mapInPandas(add, "g int, unit int, b int, p binary, n binary, area binary")
+
+    def whole(own: pd.DataFrame) -> pd.DataFrame:
+        width, below = len(own["p"].iloc[0]) // 8, 0.0
+        p_all, n_all, area_all = (np.zeros(width) for _ in range(3))
+        for unit, part in own.groupby("unit"):
+            p, n, area = (sum(np.frombuffer(x) for x in part[c]) for c in ("p", "n", "area"))
+            area_all += (p * n / 2 if unit % 2 else area) + p * below
+            below = below + n
+            p_all, n_all = p_all + p, n_all + n
+        pairs = p_all * n_all
+        auc = pd.Series(np.divide(area_all, pairs, out=np.zeros(width), where=pairs > 0), dtype="Float64").mask(pairs == 0)
+        key = keys[int(own["g"].iloc[0])]
+        return pd.DataFrame({**{c: [v] * width for c, v in zip(by, key, strict=True)}, "b": own["b"].iloc[0] + np.arange(width), "auc": auc})
+
+    return sums.groupBy("g", "b").applyInPandas(whole, _schema(predicted, by) + "b int, auc double")
+
+
+def _range_sums(s: np.ndarray, y: np.ndarray, weights, draws: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors over draws of rows in order of s: weights of positives, of negatives, and of their pairs in order, ties one half; weights(k) are those of rows k."""
+    below, ups, area = np.zeros(draws), np.zeros(draws), np.zeros(draws)
+    tie = None  # the last score, whose rows may go on: score, positives, negatives
+    for at in range(0, len(s), CHUNK):
+        k = np.arange(at, min(at + CHUNK, len(s)))
+        w, starts = weights(k), np.flatnonzero(np.r_[True, s[k][1:] != s[k][:-1]])
+        up, down = np.add.reduceat(w * y[k, None], starts), np.add.reduceat(w * ~y[k, None], starts)
+        if tie and tie[0] == s[at]:
+            up[0] += tie[1]
+            down[0] += tie[2]
+        elif tie:
+            area, ups, below = area + tie[1] * (below + tie[2] / 2), ups + tie[1], below + tie[2]
+        upto = below + np.cumsum(down[:-1], axis=0)
+        area = area + (up[:-1] * (upto - down[:-1] / 2)).sum(axis=0)
+        ups, below = ups + up[:-1].sum(axis=0), below + down[:-1].sum(axis=0)
+        tie = s[k[-1]], up[-1], down[-1]
+    return ups + tie[1], below + tie[2], area + tie[1] * (below + tie[2] / 2)
 
 
 def _schema(df: DataFrame, by: list[str]) -> str:
